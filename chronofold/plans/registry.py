@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import encoding, features
+
+GROUPS = (features, encoding)
 FLAGSHIP = "pit_customer_churn_features"
+QUERIES = {name: query for group in GROUPS for name, (query, _) in group.QUERIES.items()}
+ORACLES = {name: sql for group in GROUPS for name, (_, sql) in group.QUERIES.items() if sql}
