@@ -127,11 +127,11 @@ FROM ({' UNION ALL '.join(f"SELECT '{n}' AS " + '"table"' + f", count(*) AS n FR
 def node_times(spark: SparkSession, sf: str) -> DataFrame:
     """Timestamps of given nodes: a semi join on the ids asked for."""
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), S.seconds("o_orderdate").alias("ts"))
-    wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("node")).where("node % 3 = 0")
+    wanted = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("node"))
     return orders.join(wanted, "node", "left_semi")
 
 
-NODE_TIMES_SQL = "SELECT o_orderkey AS node, (epoch_us(o_orderdate) // 1000000)::BIGINT AS ts FROM orders WHERE o_orderkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)"
+NODE_TIMES_SQL = "SELECT o_orderkey AS node, (epoch_us(o_orderdate) // 1000000)::BIGINT AS ts FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"
 
 
 def column_semantic_types(spark: SparkSession, sf: str) -> DataFrame:

@@ -136,7 +136,7 @@ def pit_user_engagement(spark: SparkSession, sf: str) -> DataFrame:
     out = spine.join(agg, ["user_id", "cutoff"], "left")
     return rounded(out.select(
         "user_id", "cutoff", F.exp(-F.least(S.num("last", 9999), S.num("last_buy", 9999)) / 6.0).alias("f_recent"), S.decay("last_buy", 9).alias("f_buy"), S.log_scaled("n3", 20).alias("f_n3"),
-        S.log_scaled("n7", 50).alias("f_n7"), S.log_scaled("n", 200).alias("f_n"), S.ratio("buys", "n7", 0.5).alias("f_buy_rate"), S.capped("viewed", 100, 0).alias("f_viewed"),
+        S.log_scaled("n7", 50).alias("f_n7"), S.log_scaled("n", 200).alias("f_n"), S.ratio("buys", "n7", 0.5).alias("f_buy_rate"), S.capped("viewed", 97, 0).alias("f_viewed"),
         S.num("bought").alias("f_bought"), S.ratio("kinds", F.lit(5), 0).alias("f_kinds"), (F.coalesce(F.col("age") - F.col("last"), F.lit(0)) / F.nullif(F.col("n") - 1, F.lit(0))).cast("double").alias("f_cadence"), S.flag(F.col("n").isNull()).alias("f_new"),
     ))
 
@@ -148,7 +148,7 @@ agg AS (SELECT user_id, cutoff, count(*) AS n, min(d) AS last, min(d) FILTER (WH
   count(*) FILTER (WHERE event_type = 'purchase' AND d <= 14) AS buys, (sum(round(value * 100)::BIGINT) FILTER (WHERE event_type = 'view'))::DOUBLE / ((count(value) FILTER (WHERE event_type = 'view')) * 100.0::DOUBLE) AS viewed, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS bought,
   count(DISTINCT event_type) AS kinds, max(d) AS age FROM seen GROUP BY 1, 2)
 SELECT user_id, cutoff, round(exp(-least(coalesce(last, 9999), coalesce(last_buy, 9999))::DOUBLE / 6.0::DOUBLE), 6) AS f_recent, round({DEC('last_buy', 9)}, 6) AS f_buy,
-  round({LOGS('n3', 20)}, 6) AS f_n3, round({LOGS('n7', 50)}, 6) AS f_n7, round({LOGS('n', 200)}, 6) AS f_n, round({RAT('buys', 'n7', 0.5)}, 6) AS f_buy_rate, round({CAP('viewed', 100, 0)}, 6) AS f_viewed,
+  round({LOGS('n3', 20)}, 6) AS f_n3, round({LOGS('n7', 50)}, 6) AS f_n7, round({LOGS('n', 200)}, 6) AS f_n, round({RAT('buys', 'n7', 0.5)}, 6) AS f_buy_rate, round({CAP("viewed", 97, 0)}, 6) AS f_viewed,
   coalesce(bought, 0)::DOUBLE AS f_bought, round(coalesce(kinds, 0)::DOUBLE / 5.0::DOUBLE, 6) AS f_kinds, round(coalesce(age - last, 0)::DOUBLE / nullif(n - 1, 0), 6) AS f_cadence,
   CASE WHEN n IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f_new
 FROM task LEFT JOIN agg USING (user_id, cutoff)

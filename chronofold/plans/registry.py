@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import encoding, features
+from . import encoding, features, graphs, scoring
 
-GROUPS = (features, encoding)
+GROUPS = (features, encoding, graphs, scoring)
 FLAGSHIP = "pit_customer_churn_features"
 QUERIES = {name: query for group in GROUPS for name, (query, _) in group.QUERIES.items()}
 ORACLES = {name: sql for group in GROUPS for name, (_, sql) in group.QUERIES.items() if sql}
