@@ -61,7 +61,7 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW,
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(rows, run, SCHEMA, rows=256)
+    return map_batches(rows, run, SCHEMA, rows=1024)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

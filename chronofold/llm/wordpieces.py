@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: Entries of a worker's cache, and the longest cut kept in it.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
 #: The splitting patterns of the two vocabularies.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -31,10 +31,12 @@ BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
 #: A space and what follows it up to the next white space, or a run of white space as BYTE_SPLIT takes it.
 BYTE_CUTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Commas and points beside other symbols, and runs of white space.
+TOUCHING, BLANK_RUN = re.compile(r"(?:[^\w\s]|_)[,.]|[,.](?:[^\w\s]|_)"), re.compile(r"\s\s")
 #: The rank of a pair that no merge joins.
 FREE = np.iinfo(np.int32).max
 #: Characters encoded together by Library.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 4_000_000
 
 
 def vocabulary(name: str) -> str:
@@ -51,6 +53,26 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+#: Bytes of PLAIN characters but those that 0xC2 begins.
+_PLAIN_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
+
+
+def plain(text: str) -> bool:
+    """Whether all characters are PLAIN; most texts are told so from their bytes."""
+    return not text.encode("utf-8", "surrogatepass").translate(None, _PLAIN_BYTES) or not PLAIN.search(text)
+
+
+#: Bytes of letters, digits, blanks, commas and points: what plain prose is made of.
+_PROSE_BYTES = bytes([9, 10, 13, 32, 44, 46, *range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
+
+
+def touching(text: str) -> bool:
+    """Whether a comma or point stands beside another symbol."""
+    if text.encode("utf-8").translate(None, _PROSE_BYTES) or "×" in text or "÷" in text:
+        return bool(TOUCHING.search(text))
+    return ",," in text or ".." in text or ",." in text or ".," in text
+
+
 class Cuts(dict):
     """A bounded cache of what `encode` gives for a cut of text, as little-endian unsigned 32-bit ids."""
 
@@ -193,43 +215,58 @@ class Library:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def cut(self, text: str) -> list[str] | None:
-        """Cuts that may be encoded apart, or None if the text is not an ordinary one."""
-        if "<|" in text or PLAIN.search(text):
+        """Cuts that may be encoded apart, or None if the text is not an ordinary one.
+
+        Commas and points that no other symbol touches are cut off their words, so that fewer cuts differ.
+        """
+        if "<|" in text or not plain(text):
             return None
+        alone = not touching(text)
         if self.words:
-            return text.lower().split()
+            text = text.lower()
+            return text.replace(",", " , ").replace(".", " . ").split() if alone else text.split()
         if "  " in text:
             return BYTE_CUTS.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
+        if alone and not BLANK_RUN.search(text):
+            text = text.replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.")
+        return [c for c in text.replace(" ", "\0 ").split("\0") if c]
 
     def learn(self, missing: set[str]) -> None:
         """Add the ids of cuts to the cache, all their words merged at once."""
-        parts = {cut: self.split.findall(cut) for cut in missing if len(cut) <= CACHE_CHARS}
-        words = list({w for found in parts.values() for w in found})
-        ids = dict(zip(words, self.merges.many([w.encode() for w in words]), strict=True))
+        known, whole, parts = self.known.young, [], {}
         for cut in missing:
-            self.known.young[cut] = b"".join(map(ids.__getitem__, parts[cut])) if cut in parts else self.whole(cut)
+            if len(cut) > CACHE_CHARS:
+                known[cut] = self.whole(cut)
+            elif cut.isalpha() or (not self.words and cut[0] == " " and cut[1:].isalpha()):
+                whole.append(cut)
+            else:
+                parts[cut] = self.split.findall(cut)
+        words = [*whole, *{w for found in parts.values() for w in found}]
+        ids = dict(zip(words, self.merges.many([w.encode() for w in words]), strict=True))
+        for cut, found in parts.items():
+            known[cut] = b"".join(map(ids.__getitem__, found))
+        known.update((cut, ids[cut]) for cut in whole)
 
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, a few at a time so that the cuts of few are in memory."""
+    def ids_of(self, texts: list[str], stretch: bool = True) -> list[bytes]:
+        """Ids of whole texts, a few at a time so that the cuts of few are in memory; very long ones in stretches."""
         out, at = [], 0
         while at < len(texts):
             end, chars = at, 0
             while end < len(texts) and (end == at or chars + len(texts[end]) < BATCH_CHARS):
                 chars += len(texts[end])
                 end += 1
-            if chars > 4 * BATCH_CHARS and (parts := stretches(texts[at], self.words)):
-                out.append(b"".join(x for part in parts for x in self.ids_of([part])))
+            if stretch and chars > 4 * BATCH_CHARS and (parts := stretches(texts[at], self.words)):
+                out.append(b"".join(x for part in parts for x in self.ids_of([part], False)))
             else:
                 cuts = [self.cut(t) for t in texts[at:end]]
-                missing = set()
-                for c in cuts:
-                    if c and None in (got := self.known.look(c)):
-                        missing.update(x for x, ids in zip(c, got, strict=True) if ids is None)
-                if missing:
+                found = [None if c is None else self.known.look(c) for c in cuts]
+                open_ = [(c, ids, [i for i, x in enumerate(ids) if x is None]) for c, ids in zip(cuts, found, strict=True) if ids and None in ids]
+                if missing := {c[i] for c, _, gaps in open_ for i in gaps}:
                     self.learn(missing)
-                out += [self.whole(t) if c is None else b"".join(map(self.known.young.__getitem__, c)) for c, t in zip(cuts, texts[at:end], strict=True)]
+                    for c, ids, gaps in open_:
+                        for i in gaps:
+                            ids[i] = self.known.young[c[i]]
+                out += [self.whole(t) if ids is None else b"".join(ids) for ids, t in zip(found, texts[at:end], strict=True)]
                 self.known.turn()
             at = end
         return out
@@ -237,9 +274,9 @@ class Library:
 
 def stretches(text: str, words: bool) -> list[str]:
     """A very long ordinary text in stretches that may be encoded apart."""
-    if "<|" in text or PLAIN.search(text):
+    if "<|" in text or not plain(text):
         return []
-    return re.findall(r"(?s).{1,1000000}\S*(?=\s|\Z)" if words else r"(?s).{1,1000000}\S*(?= \S|\Z)", text)
+    return re.findall(rf"(?s).{{1,{BATCH_CHARS}}}\S*(?=\s|\Z)" if words else rf"(?s).{{1,{BATCH_CHARS}}}\S*(?= \S|\Z)", text)
 
 
 class Generations:
