@@ -3,9 +3,10 @@
 Filters are directions made of two random unit vectors, one from a code for each half of the (rotated) space.
 A vector lies in a filter's cap if its product with the direction reaches a bound. List decoding finds all its
 caps without trying each filter: the products with the two codes are sorted, and only sums that can reach the
-bound are formed. Vectors that share a cap are compared in double precision, and a pair counts in the smallest
-of its common caps only. The bound makes a cap hold a handful of unrelated vectors at any corpus size, and the
-number of filters follows from it and from the miss rate allowed.
+bound are formed. A vector is also in the cap nearest to it. Vectors that share a cap are compared in double
+precision, and a pair counts in the smallest of its common caps only. The bound makes a cap hold a handful of
+unrelated vectors at any corpus size. As filters of one pair of codes are not independent, several turned sets of
+them are used: as many as find the asked share of random pairs at exactly the least cosine.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import connected, map_batches, materialise
 
-COSINE, MISS, CAP, SEED = 0.9, 0.005, 8, 11
+COSINE, MISS, CAP, SEED = 0.9, 0.05, 8, 11
+#: Share of pairs at the least cosine that the sets of filters must find together, of so many random ones.
+RECALL, TRIALS, MOST_SETS = 0.98, 600, 40
 #: Members of a cap compared at once; larger caps are cut into pairs of parts of this size.
 PART = 1024
 
@@ -38,35 +41,58 @@ def bound_and_codes(n: int, cosine: float = COSINE, miss: float = MISS, cap: int
 
 
 class Caps:
-    """The filters for vectors of one dimension."""
-
-    def __init__(self, dimension: int, z: float, size: int):
-        rng = np.random.default_rng(SEED + dimension)
-        self.turn = np.linalg.qr(rng.normal(size=(dimension, dimension)))[0]
-        self.half, self.size = dimension - dimension // 2, size
-        codes = [rng.normal(size=(size, d)) for d in (self.half, dimension // 2)]
-        self.codes = [c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) for c in codes]
-        self.bound = z * math.sqrt(2 / dimension)
-
-    def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector, the ascending numbers of the caps it lies in."""
-        turned = vectors @ self.turn
-        left, right = turned[:, : self.half] @ self.codes[0].T, turned[:, self.half :] @ self.codes[1].T
+    """The filters for vectors of one dimension: `sets` turned pairs of codes."""
+
+    def __init__(self, dimension: int, z: float, size: int, sets: int):
+        self.half, self.size, self.bound, self.sets = dimension - dimension // 2, size, z * math.sqrt(2 / dimension), []
+        for i in range(sets):
+            rng = np.random.default_rng([SEED, dimension, i])
+            turn = np.linalg.qr(rng.normal(size=(dimension, dimension)))[0]
+            codes = [rng.normal(size=(size, d)) for d in (self.half, dimension // 2)]
+            self.sets.append((turn, [c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) for c in codes]))
+
+    def of_set(self, vectors: np.ndarray, i: int) -> list[np.ndarray]:
+        turn, codes = self.sets[i]
+        turned = vectors @ turn
+        left, right = turned[:, : self.half] @ codes[0].T, turned[:, self.half :] @ codes[1].T
         if not right.shape[1]:
             right = np.zeros_like(left)
-        order = np.argsort(-right, axis=1)
-        out = []
-        for a, b, by in zip(left, np.take_along_axis(right, order, 1), order, strict=True):
+        order, out, nearest = np.argsort(-right, axis=1), [], left.argmax(1)
+        for a, b, by, top in zip(left, np.take_along_axis(right, order, 1), order, nearest, strict=True):
             able = np.flatnonzero(a >= self.bound - b[0])
             counts = np.searchsorted(-b, a[able] - self.bound, side="right")
             which = np.repeat(able, counts)
             place = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-            out.append(np.sort(which * self.size + by[place]))
+            found = which * self.size + by[place] if len(which) else np.array([top * self.size + by[0]])
+            out.append(found + i * self.size * self.size)
         return out
 
+    def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """For each unit vector, the ascending numbers of the caps it lies in."""
+        each = [self.of_set(vectors, i) for i in range(len(self.sets))]
+        return [np.sort(np.concatenate(caps)) for caps in zip(*each, strict=True)]
+
+
+def sets_needed(dimension: int, z: float, size: int, cosine: float = COSINE, recall: float = RECALL) -> int:
+    """How many sets of filters find `recall` of random pairs at exactly `cosine`; the trial is the same on every run."""
+    rng = np.random.default_rng([SEED, dimension])
+    x = rng.normal(size=(TRIALS, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = cosine * x + math.sqrt(1 - cosine * cosine) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    caps, missed = Caps(dimension, z, size, MOST_SETS), np.ones(TRIALS, bool)
+    for i in range(MOST_SETS):
+        near = zip(caps.of_set(x[missed], i), caps.of_set(y[missed], i), strict=True)
+        missed[missed] = [not len(np.intersect1d(a, b, assume_unique=True)) for a, b in near]
+        if missed.mean() <= 1 - recall:
+            return i + 1
+    return MOST_SETS
+
 
 def unit(raw: bytes) -> np.ndarray:
-    x = np.frombuffer(raw, "<f8")
+    """A stored vector at unit length, in double precision: a mark of its dimension and width, then its components."""
+    x = np.frombuffer(raw[5:], "<f4" if raw[4] == 4 else "<f8").astype(float)
     x = x / np.abs(x).max()
     return x / np.linalg.norm(x)
 
@@ -79,14 +105,16 @@ def named(rows: DataFrame) -> DataFrame:
         for v in batch.column("v").to_pylist():
             x = None if not v or any(c is None for c in v) else np.array(v, "<f8")
             good = x is not None and np.isfinite(x).all() and x.any()
-            raws.append(x.tobytes() if good else None)
-            names.append(xxhash.xxh3_128_digest(raws[-1]) if good else None)
+            names.append(xxhash.xxh3_128_digest((x + 0.0).tobytes()) if good else None)
+            with np.errstate(over="ignore"):
+                short = good and (x.astype("<f4") == x).all()
+            raws.append(len(x).to_bytes(4, "little") + bytes([4 if short else 8]) + x.astype("<f4" if short else "<f8").tobytes() if good else None)
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.binary()), pa.array(raws, pa.binary())], ["id", "name", "raw"])
 
     return map_batches(rows, run, "id long, name binary, raw binary", rows=2048)
 
 
-def compare(name: list[bytes], weight: np.ndarray, x: np.ndarray, caps: list[np.ndarray], cap: int, side: np.ndarray, whole: bool, cosine: float):
+def compare(name: list[bytes], weight: np.ndarray, x: np.ndarray, filters: Caps, cap: int, side: np.ndarray, whole: bool, cosine: float):
     """Links inside one cap, or between its two sides: (names, weights newly linked, smallest name reached)."""
     a = np.arange(len(name)) if whole else np.flatnonzero(side == 0)
     b = a if whole else np.flatnonzero(side == 1)
@@ -96,12 +124,12 @@ def compare(name: list[bytes], weight: np.ndarray, x: np.ndarray, caps: list[np.
     if not linked.any():
         return None
     keep = np.unique(np.concatenate([a[linked.any(1)], b[linked.any(0)]]))
-    smaller = [c[: np.searchsorted(c, cap)] for c in caps]
-    columns, at = np.unique(np.concatenate([smaller[i] for i in keep]), return_inverse=True)
+    smaller = [c[: np.searchsorted(c, cap)] for c in filters.decode(x[keep])]
+    columns, at = np.unique(np.concatenate(smaller), return_inverse=True)
     mine = linked
     if len(columns):
         in_cap = np.zeros((len(name), len(columns)), np.float32)
-        in_cap[np.repeat(keep, [len(smaller[i]) for i in keep]), at] = 1
+        in_cap[np.repeat(keep, list(map(len, smaller))), at] = 1
         mine = linked & (in_cap[a] @ in_cap[b].T == 0)
     gained = np.zeros(len(name), np.int64)
     np.add.at(gained, a, mine @ weight[b])
@@ -124,61 +152,61 @@ def compare(name: list[bytes], weight: np.ndarray, x: np.ndarray, caps: list[np.
 def links(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS) -> DataFrame:
     """(a, b, gained): for the distinct vectors (name, raw, weight), a name, a smaller name it reaches by links,
     and the weight of vectors newly found linked to a."""
-    count = vectors.count()
-    z, size = bound_and_codes(count, cosine, miss)
+    by_mark = F.substring("raw", 1, 4)
+    marks = vectors.groupBy(by_mark.alias("mark")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "mark").limit(1).collect()
+    if not marks:
+        return vectors.select(F.col("name").alias("a"), F.col("name").alias("b"), F.col("weight").alias("gained"))
+    z, size = bound_and_codes(vectors.count(), cosine, miss)
+    sets = sets_needed(int.from_bytes(marks[0].mark, "little"), z, size, cosine)
+
+    def filters_for():
+        made: dict[int, Caps] = {}
+        return lambda d: made.get(d) or made.setdefault(d, Caps(d, z, size, sets))
 
     def caps_of(batches):
-        made: dict[int, Caps] = {}
+        filters = filters_for()
         for batch in batches:
             raws = batch.column("raw").to_pylist()
             caps: list = [None] * len(raws)
-            for d in {len(r) for r in raws}:
-                which = [i for i, r in enumerate(raws) if len(r) == d]
-                filters = made.setdefault(d, Caps(d // 8, z, size)) if d not in made else made[d]
-                for i, c in zip(which, filters.decode(np.stack([unit(raws[i]) for i in which])), strict=True):
-                    caps[i] = c * 4096 + min(d // 8, 4095)  # the dimension is part of a cap's number
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(caps, pa.list_(pa.int64()))], ["name", "raw", "weight", "caps"])
-
-    capped = materialise(vectors.select("name", "raw", "weight").repartition("name").mapInArrow(caps_of, "name binary, raw binary, weight long, caps array<long>"), "caps")
-    each = capped.withColumn("cap", F.explode("caps"))
-    sizes = each.groupBy("cap").agg(F.count("*").alias("n")).where("n > 1").select("cap", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    dealt = each.join(sizes, "cap").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+            dims = [int.from_bytes(r[:4], "little") for r in raws]
+            for d in set(dims):
+                which = [i for i, x in enumerate(dims) if x == d]
+                for i, c in zip(which, filters(d).decode(np.stack([unit(raws[i]) for i in which])), strict=True):
+                    caps[i] = c
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(caps, pa.list_(pa.int64()))], ["name", "raw", "weight", "dim", "caps"])
+
+    capped = materialise(vectors.select("name", "raw", "weight").repartition("name").mapInArrow(caps_of, "name binary, raw binary, weight long, dim int, caps array<long>"), "caps")
+    each = capped.select("name", "raw", "weight", "dim", F.explode("caps").alias("cap"))
+    sizes = each.groupBy("dim", "cap").agg(F.count("*").alias("n")).where("n > 1").select("dim", "cap", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    dealt = each.join(sizes, ["dim", "cap"]).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    job = dealt.select("cap", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).cast("int").alias("side"), "name", "raw", "weight", "caps")
-    ordered = job.repartition("cap", "lo", "hi").sortWithinPartitions("cap", "lo", "hi")
+    job = dealt.select("dim", "cap", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).cast("int").alias("side"), "name", "raw", "weight")
+    ordered = job.repartition("dim", "cap", "lo", "hi").sortWithinPartitions("dim", "cap", "lo", "hi")
 
-    def finish(key, rows):
+    def finish(key, rows, filters):
         if len(rows) < 2:
             return [], [], []
-        name, raw, weight, caps, side = zip(*rows, strict=True)
-        by_size: dict[int, list[int]] = {}
-        for i, r in enumerate(raw):
-            by_size.setdefault(len(r), []).append(i)
-        out: tuple[list, list, list] = ([], [], [])
-        for which in by_size.values():
-            pick = lambda v, w=which: [v[i] for i in w]
-            found = compare(pick(name), np.array(pick(weight)), np.stack([unit(raw[i]) for i in which]), [np.asarray(c) for c in pick(caps)], key[0], np.array(pick(side)), key[1] == key[2], cosine)
-            if found:
-                keep, gained, low = found
-                for i in keep:
-                    out[0].append(name[which[i]])
-                    out[1].append(name[which[low[i]]])
-                    out[2].append(int(gained[i]))
-        return out
+        name, raw, weight, side = zip(*rows, strict=True)
+        dim, cap, lo, hi = key
+        found = compare(list(name), np.array(weight), np.stack(list(map(unit, raw))), filters(dim), cap, np.array(side), lo == hi, cosine)
+        if not found:
+            return [], [], []
+        keep, gained, low = found
+        return [name[i] for i in keep], [name[low[i]] for i in keep], gained[keep].tolist()
 
     def run(batches):
-        key, rows, ready = None, [], ([], [], [])
+        filters, key, rows, ready = filters_for(), None, [], ([], [], [])
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cap", "lo", "hi", "name", "raw", "weight", "caps", "side")]
-            for cap, lo, hi, *row in zip(*columns, strict=True):
-                if (cap, lo, hi) != key:
-                    for have, more in zip(ready, finish(key, rows), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("dim", "cap", "lo", "hi", "name", "raw", "weight", "side")]
+            for dim, cap, lo, hi, *row in zip(*columns, strict=True):
+                if (dim, cap, lo, hi) != key:
+                    for have, more in zip(ready, finish(key, rows, filters), strict=True):
                         have.extend(more)
-                    key, rows = (cap, lo, hi), []
+                    key, rows = (dim, cap, lo, hi), []
                 rows.append(row)
             yield out(ready)
             ready = ([], [], [])
-        yield out(finish(key, rows))
+        yield out(finish(key, rows, filters))
 
     def out(columns):
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())], ["a", "b", "gained"])
