@@ -21,28 +21,40 @@ END_ID = 2
 #: Row c: the four lengths, less one, that control byte c stands for.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])[None, :]) & 3).astype(np.int64)
 
+#: The least ranks of two, three and four bytes.
+STEPS = np.array([1 << 8, 1 << 16, 1 << 24], np.uint32)
+
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit ranks."""
-    extra = (ranks > 0xFF).astype(np.int64) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.int64)
+    extra = np.searchsorted(STEPS, ranks, side="right") if len(ranks) and ranks.max() > 0xFFFF else (ranks > 0xFF).astype(np.int64)
+    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = extra
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6])).sum(1).astype(np.uint8)
-    bytes_of = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), bytes_of[np.arange(4)[None, :] <= extra[:, None]].tobytes()
+    quads = padded.reshape(-1, 4)
+    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    at = np.cumsum(extra + 1)
+    data = np.empty(int(at[-1]) if len(ranks) else 0, np.uint8)
+    at -= extra + 1
+    data[at] = ranks & 0xFF
+    for k in (1, 2, 3):
+        more = np.flatnonzero(extra >= k)
+        if not len(more):
+            break
+        data[at[more] + k] = ranks[more] >> np.uint32(8 * k) & 0xFF
+    return control.tobytes(), data.tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ranks of a record, by table lookup of its control bytes."""
     extra = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)]).astype(np.uint32)
+    raw = np.frombuffer(data, np.uint8)
     at = np.cumsum(extra + 1) - (extra + 1)
-    out = raw[at].copy() if n else np.zeros(0, np.uint32)
+    out = raw[at].astype(np.uint32)
     for k in (1, 2, 3):
-        more = extra >= k
-        if not more.any():
+        more = np.flatnonzero(extra >= k)
+        if not len(more):
             break
-        out[more] |= raw[at[more] + k] << np.uint32(8 * k)
+        out[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -63,7 +75,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID, id_col
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(small, pa.binary())], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    staged = materialise(map_batches(rows, ids, "id long, ids binary", rows=256), "token-ids")
+    staged = materialise(map_batches(rows, ids, "id long, ids binary", rows=1024), "token-ids")
 
     def counts(batches):
         total = np.zeros(0, np.int64)
