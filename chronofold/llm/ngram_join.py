@@ -1,13 +1,15 @@
 """Exact Jaccard self-join of documents on word shingles, by token-combination prefixes.
 
 Documents of equal shingle sets are one node, named by a 128-bit hash of the set. Tokens (shingles) are
-ordered rare ones first. By the prefix principle two sets of similarity t or more, cut to prefixes long
+ordered by a sketch of their counts, rare ones first. By the prefix principle two sets of similarity t or more, cut to prefixes long
 enough, share a token there. Rare tokens are indexed singly. Frequent tokens are dealt into classes by
 hash; a prefix is extended until it would survive one unmatched token in every class, and then a pair must
 share a rare token or two tokens of one class, so combinations of two within a class are indexed instead of
-single frequent tokens. A prefix of p tokens is extended by about p/3, which keeps combinations near 3p.
+single frequent tokens. A prefix of p tokens is extended by about p/12, which keeps combinations near 7p. Each
+entry carries how much its set can share with one that it meets there first, so most pairs that a key brings
+together are ruled out unread. Sets of under about ten tokens have frequent ones indexed singly.
 
-A key's nodes are not paired with each other: each is verified against the key's best-connected node, what
+A key's nodes are not paired with each other: each is verified against the best-connected node it meets, what
 links is one component, and only pairs of nodes that share a key and are still in different components are
 verified one by one. So a group of n similar documents costs about n verifications, not n squared, and every
 component is exact.
@@ -21,7 +23,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected, map_batches, materialise, texts_of
@@ -40,6 +42,16 @@ def set_name(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes(), seed=len(tokens))
 
 
+def node_number(name: bytes) -> int:
+    """56 bits of a name. Candidates are found by number; sets are verified and linked by name, so two nodes of one
+    number cost a comparison more."""
+    return int.from_bytes(name[:7], "big")
+
+
+def number_of(name: str = "name"):
+    return F.conv(F.hex(F.substring(name, 1, 7)), 16, 10).cast("long")
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     """Tokens of a set of n of which one at least is shared with any set of that similarity."""
     return n - -(-percent * n // 100) + 1
@@ -52,39 +64,53 @@ def size_class(n: int, percent: int = PERCENT) -> int:
 
 def classes_of(kappa: int, percent: int = PERCENT) -> int:
     """Hash classes of frequent tokens for size class kappa; 0: frequent tokens are indexed singly."""
-    return int((1 - percent / 100) * (100 / percent) ** kappa / 3)
+    return int(math.ceil((1 - percent / 100) * (100 / percent) ** kappa / 12)) if kappa >= 9 else 0
+
+
+def level(counts):
+    """Counts in eighths of a doubling, as one byte; in order with the counts."""
+    return np.minimum(255, np.round(8 * np.log2(1 + np.asarray(counts, float)))).astype(np.uint8)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys (int64) under which a set is indexed. tokens: ascending; frequent: a flag for each slot."""
+def index_keys(tokens: np.ndarray, levels: np.ndarray, frequent: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (int64) under which a set is indexed, and for each the most tokens that it can share with a set it
+    meets there first. tokens: ascending; levels: each slot's; frequent: the least level of a frequent token.
+
+    Tokens are taken by level, then by hash. If the first token that two sets share is at place i of a set of n (from
+    0), they share n - i at most. For combinations, the earliest complete one has at most one shared token of each
+    class before its second token, so they share at most n - i and as many as there are classes.
+    """
     n = len(tokens)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     p = prefix_size(n, percent)
-    often = frequent[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    rare = tokens[~often]
-    if len(rare) >= p:
-        return rare[:p].view(np.int64)
-    need, common, keys = p - len(rare), tokens[often], [rare]
+    own = levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    order = np.argsort(own, kind="stable")
+    tokens, often = tokens[order], own[order] >= frequent
+    rare = int(len(tokens) - often.sum())
+    if rare >= p:
+        return tokens[:p].view(np.int64), n - np.arange(p)
+    need, common, keys, rest = p - rare, tokens[rare:], [tokens[:rare]], [n - np.arange(rare)]
     for kappa in (size_class(n, percent), size_class(n, percent) + 1):
         classes = classes_of(kappa, percent)
-        if not classes or len(common) - min(classes, len(common)) < need:
+        if not classes:
             keys.append(common[:need])
+            rest.append(n - rare - np.arange(need))
             continue
         group = ((common * _MULT) >> np.uint64(33)) % np.uint64(classes)
         first = np.zeros(len(common), bool)
         first[np.unique(group, return_index=True)[1]] = True
         cut = int(np.searchsorted(np.cumsum(~first), need)) + 1
-        order = np.argsort(group[:cut], kind="stable")
-        groups, sorted_tokens = group[:cut][order], common[:cut][order]
-        salt = np.uint64(2 * kappa + 1) * _MULT
+        place = np.argsort(group[:cut], kind="stable")
+        groups, dealt = group[:cut][place], common[:cut][place]
+        salt = np.uint64((2 * kappa + 1) * int(_MULT) % 2**64)
         step = 1
         while step < cut and (same := groups[step:] == groups[:-step]).any():
-            left, right = sorted_tokens[:-step][same], sorted_tokens[step:][same]
-            mixed = (left * _MULT ^ right) * salt
+            mixed = (dealt[:-step][same] * _MULT ^ dealt[step:][same]) * salt
             keys.append(mixed ^ mixed >> np.uint64(31))
+            rest.append(n - rare - place[step:][same] + classes)
             step += 1
-    return np.unique(np.concatenate(keys)).view(np.int64)
+    return np.concatenate(keys).view(np.int64), np.concatenate(rest)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -120,8 +146,9 @@ def scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, name binary, slots int, counts binary")
 
 
-def frequent_slots(scanned: DataFrame) -> np.ndarray:
-    """A flag for each slot: one bit a slot comes to the driver, whatever the corpus's size."""
+def slot_levels(scanned: DataFrame) -> tuple[np.ndarray, int]:
+    """Each slot's level, and the least level of frequent tokens: a byte a slot comes to the driver, 8 MB whatever
+    the corpus's size."""
     total = scanned.agg(F.sum("n")).first()[0] or 0
     least = max(FREQUENT, TIMES_MEAN * total >> SKETCH_BITS)
 
@@ -131,77 +158,89 @@ def frequent_slots(scanned: DataFrame) -> np.ndarray:
             for i, raw in zip(batch.column("slots").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 found = np.frombuffer(zlib.decompress(raw), np.uint16).astype(np.int64)
                 sums[i] = sums[i] + found if i in sums else found
-        bits = [np.packbits(s >= least).tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(bits, pa.binary())], ["slots", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([level(s).tobytes() for s in sums.values()], pa.binary())], ["slots", "levels"])
 
-    parts = scanned.where("slots IS NOT NULL").select("slots", "counts").repartition("slots").mapInArrow(add, "slots int, bits binary").collect()
-    flags = np.zeros((RANGES, (1 << SKETCH_BITS) // RANGES // 8), np.uint8)
+    parts = scanned.where("slots IS NOT NULL").select("slots", "counts").repartition("slots").mapInArrow(add, "slots int, levels binary").collect()
+    levels = np.zeros((RANGES, (1 << SKETCH_BITS) // RANGES), np.uint8)
     for r in parts:
-        flags[r.slots] = np.frombuffer(r.bits, np.uint8)
-    return flags.ravel()
+        levels[r.slots] = np.frombuffer(r.levels, np.uint8)
+    return levels.ravel(), int(level(least))
 
 
-def index(docs: DataFrame, flags: np.ndarray, text_col: str, width: int, percent: int) -> DataFrame:
-    """(key, name): every node under its keys; a task writes a node once, however many copies it has."""
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
+def index(docs: DataFrame, levels: np.ndarray, frequent: int, text_col: str, width: int, percent: int) -> DataFrame:
+    """(key, node, bounds): every node's number under its keys, with its size and what it can share there in one
+    number; a task writes a node once, however many copies it has."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
-        frequent, seen = np.unpackbits(shared.value).astype(bool), set()
+        seen = set()
         for batch in batches:
-            keys, names = [], []
+            keys, bounds, nodes = [], [], []
             for text in texts_of(batch):
                 tokens = shingle_set(text, width)
                 if len(tokens) and (name := set_name(tokens)) not in seen:
                     seen.add(name)
-                    own = index_keys(tokens, frequent, percent)
+                    own, rest = index_keys(tokens, shared.value, frequent, percent)
                     keys.append(own)
-                    names.append((name, len(own)))
+                    bounds.append(rest << 32 | len(tokens))
+                    nodes.append(np.full(len(own), node_number(name), np.int64))
             if keys:
-                where = np.repeat(np.arange(len(names)), [n for _, n in names])
-                column = pa.array([n for n, _ in names], pa.binary()).take(pa.array(where))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), column], ["key", "name"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (keys, nodes, bounds)], ["key", "node", "bounds"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, name binary")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, node long, bounds long")
 
 
-def node_sets(docs: DataFrame, nodes: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(name, tokens binary) of the nodes named, and of few others that the filter lets through."""
-    spark = docs.sparkSession
-    hashed = nodes.select(F.pmod(F.conv(F.hex(F.substring("name", 1, 7)), 16, 10).cast("long"), F.lit(1 << FILTER_BITS)).alias("h"))
+def node_filter(nodes: DataFrame):
+    """A broadcast test that holds for all node numbers given and for few others; its size, 8 MB, depends on nothing."""
+    spark = nodes.sparkSession
+    hashed = nodes.select(F.pmod("node", F.lit(1 << FILTER_BITS)).alias("h"))
     words = hashed.groupBy(F.shiftright("h", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 31 AS INT))")).alias("bits"))
 
     def gather(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column("w")).astype("<u4").tobytes()], pa.binary()), pa.array([np.asarray(batch.column("bits")).astype("<u4").tobytes()], pa.binary())], ["w", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column(c)).astype("<u4").tobytes()], pa.binary()) for c in ("w", "bits")], ["w", "bits"])
 
-    bits = np.zeros(1 << FILTER_BITS - 5, np.uint32)  # 8 MB, whatever the number of nodes
+    bits = np.zeros(1 << FILTER_BITS - 5, np.uint32)
     for r in words.mapInArrow(gather, "w binary, bits binary").collect():
         bits[np.frombuffer(r.w, "<u4")] = np.frombuffer(r.bits, "<u4")
     shared = spark.sparkContext.broadcast(bits)
 
+    def holds(name: bytes) -> bool:
+        h = node_number(name) % (1 << FILTER_BITS)
+        return bool(int(shared.value[h >> 5]) >> (h & 31) & 1)
+
+    return holds
+
+
+def node_sets(docs: DataFrame, nodes: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(name, tokens binary) of the nodes numbered, and of few others that the filter lets through."""
+    holds = node_filter(nodes)
+
     def run(batches):
         seen = set()
         for batch in batches:
             names, sets = [], []
             for text in texts_of(batch):
                 tokens = shingle_set(text, width)
-                if not len(tokens) or (name := set_name(tokens)) in seen:
-                    continue
-                h = int.from_bytes(name[:7], "big") % (1 << FILTER_BITS)
-                if int(shared.value[h >> 5]) >> (h & 31) & 1:
+                if len(tokens) and (name := set_name(tokens)) not in seen and holds(name):
                     seen.add(name)
                     names.append(name)
                     sets.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["name", "tokens"])
 
     found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "name binary, tokens binary")
-    return materialise(found, "node-sets").dropDuplicates(["name"])
+    return materialise(found.dropDuplicates(["name"]), "node-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) with `linked`: whether the sets' similarity reaches the threshold."""
-    left = sets.select(F.col("name").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("name").alias("b"), F.col("tokens").alias("tb"))
+    """(x, y, a, b, linked) for pairs(x, y) of node numbers: names, and whether the sets are similar enough.
+
+    Only the sets that the pairs name, and few others, are dealt out.
+    """
+    holds = node_filter(pairs.select(F.explode(F.array("x", "y")).alias("node")))
+    asked = map_batches(sets, lambda batch: batch.filter(pa.array([holds(n) for n in batch.column("name").to_pylist()], pa.bool_())), sets.schema)
+    left = asked.select(number_of().alias("x"), F.col("name").alias("a"), F.col("tokens").alias("ta"))
+    right = asked.select(number_of().alias("y"), F.col("name").alias("b"), F.col("tokens").alias("tb"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         linked = []
@@ -209,9 +248,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(u, v, assume_unique=True))
             linked.append(100 * both >= percent * (len(u) + len(v) - both))
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in "xyab"), pa.array(linked, pa.bool_())], [*"xyab", "linked"])
 
-    return map_batches(pairs.join(left, "a").join(right, "b"), run, "a binary, b binary, linked boolean", rows=256)
+    met = pairs.join(left, "x").join(right, "y").select(*"xyab", "ta", "tb")
+    return map_batches(met, run, "x long, y long, a binary, b binary, linked boolean", rows=256)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -224,38 +264,36 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scanned = materialise(scan(docs, id_col, text_col, width), "shingle-scan")
     rows = scanned.where("slots IS NULL").select("id", "n", "name")
     nodes = rows.where("n > 0").groupBy("name").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    keyed = index(docs, frequent_slots(scanned), text_col, width, percent)
-    from pyspark.sql import Window
-
+    keyed = index(docs, *slot_levels(scanned), text_col, width, percent)
     per_key = Window.partitionBy("key")
-    shared = keyed.withColumns({"lo": F.min("name").over(per_key), "hi": F.max("name").over(per_key)}).where("lo <> hi").select("key", "name")
-    shared = materialise(shared, "shared-keys").distinct()
-    degree = shared.groupBy("name").agg(F.count("*").alias("degree")).join(nodes.select("name", "n"), "name")
-    entries = materialise(shared.join(degree, "name"), "index")
-    sets = node_sets(docs, entries.select("name").distinct(), text_col, width)
+    shared = keyed.withColumns({"lo": F.min("node").over(per_key), "hi": F.max("node").over(per_key)}).where("lo <> hi").select("key", "node", "bounds")
+    entries = shared.distinct().select("key", "node", F.shiftright("bounds", 32).alias("rest"), F.col("bounds").bitwiseAND(0xFFFFFFFF).alias("n"))
+    entries = materialise(entries.withColumn("degree", F.count("*").over(Window.partitionBy("node"))), "index")
+    sets = node_sets(docs, entries.select("node").distinct(), text_col, width)
 
-    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    fits = F.least("rest", "its_rest") * (100 + percent) >= (F.col("n") + F.col("its_n")) * percent
     tried = links = groups = None
     for turn in range(ROUNDS + 1):
-        if groups is None:
-            here = entries.withColumn("component", F.col("name"))
-        else:
-            here = entries.join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
+        here = entries.withColumn("component", F.col("node"))
+        if groups is not None:
+            known = groups.select(number_of().alias("node"), number_of("component").alias("joined"))
+            here = here.join(known, "node", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
+        here = here.withColumns({"lo": F.min("component").over(per_key), "hi": F.max("component").over(per_key)}).where("lo <> hi").drop("lo", "hi")
         if turn < ROUNDS:
-            rank = F.struct("degree", F.xxhash64("name", F.lit(turn)), "name", "n", "component") if turn == 0 else F.struct(F.xxhash64("component", F.lit(turn)), "degree", "name", "n", "component")
-            best = here.groupBy("key").agg(F.max(rank).alias("best"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-            best = best.select("key", F.col("best.name").alias("other"), F.col("best.n").alias("m"), F.col("best.component").alias("its"))
-            met = here.join(best, "key").where((F.col("component") != F.col("its")) & fits)
+            # One other node is tried for each: the best-connected one that it meets, then one picked by hash.
+            rank = F.struct("degree", "node", "n", "rest", "component") if turn == 0 else F.struct(F.xxhash64("component", F.lit(turn)), "degree", "node", "n", "rest", "component")
+            met = here.withColumn("best", F.max(rank).over(per_key)).withColumns({"its_n": F.col("best.n"), "its_rest": F.col("best.rest")}).where((F.col("component") != F.col("best.component")) & fits)
+            met = met.groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("other"))
         else:
-            mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-            here = materialise(here.join(mixed, "key", "left_semi"), "open-keys")
-            that = here.select("key", F.col("name").alias("other"), F.col("n").alias("m"), F.col("component").alias("its"))
-            met = here.join(that, (here["key"] == that["key"]) & (here["name"] < that["other"]) & (here["component"] != that["its"]) & fits)
-        pairs = met.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
+            here = materialise(here, "open-keys")
+            that = here.select("key", F.col("node").alias("other"), F.col("n").alias("its_n"), F.col("rest").alias("its_rest"), F.col("component").alias("its"))
+            met = here.join(that, (here["key"] == that["key"]) & (here["node"] < that["other"]) & (here["component"] != that["its"]) & fits)
+        pairs = met.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried, ["x", "y"], "left_anti")
+        pairs = materialise(pairs, "candidates")
         checked = materialise(verified(pairs, sets, percent), "checked")
-        tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
+        tried = pairs if tried is None else tried.union(pairs)
         new = checked.where("linked").select("a", "b")
         if turn and new.isEmpty():
             continue
@@ -268,20 +306,29 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, that of the smallest id, with all columns; rows without words all stay."""
-    found = components(docs, id_col, text_col, width, percent)
-    stays = found.where("n > 0 AND name = first AND id <=> component_id").select(F.col("id").alias("cf_id"), F.col("name").alias("cf_name")).distinct()
-    place, names = docs.columns.index(text_col), docs.columns
+    """One row of each component, that of the smallest id, with all columns; rows without words all stay.
+
+    Rows whose set no other row has and that stand for their component stay without a shuffle. A filter of fixed size
+    tells them from the others (and from a few more, which lose nothing by it); only those are joined and deduplicated.
+    """
+    found = components(docs, id_col, text_col, width, percent).where("n > 0")
+    stays = found.where("name = first AND id <=> component_id").select(F.col("id").alias("cf_id"), F.col("name").alias("cf_name")).distinct()
+    doubtful = found.groupBy("name").agg(F.count("*").alias("rows"), F.first("first").alias("first")).where("rows > 1 OR name <> first").select(number_of().alias("node"))
+    holds, place, names = node_filter(doubtful), docs.columns.index(text_col), docs.columns
 
-    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def named(batch: pa.RecordBatch, sure: bool) -> pa.RecordBatch:
         sets = [shingle_set(t or "", width) for t in batch.column(place).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_name(s) if len(s) else None for s in sets], pa.binary())], [*(f"c{i}" for i in range(len(names))), "cf_set"])
+        marks = [set_name(s) if len(s) else None for s in sets]
+        pick = pa.array([(m is None or not holds(m)) == sure for m in marks], pa.bool_())
+        if sure:
+            return batch.filter(pick)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], [*(f"c{i}" for i in range(len(names))), "cf_set"]).filter(pick)
 
+    sure = map_batches(docs, lambda batch: named(batch, True), docs.schema)
     fields = ", ".join(f"c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
-    marked = map_batches(docs, named, f"{fields}, cf_set binary").toDF(*names, "cf_set")
-    full = marked.where("cf_set IS NOT NULL")
-    one = full.join(stays, (full["cf_set"] == stays["cf_name"]) & full[id_col].cast("long").eqNullSafe(stays["cf_id"]), "left_semi").dropDuplicates([id_col, "cf_set"])
-    return one.unionByName(marked.where("cf_set IS NULL")).select(*names)
+    others = map_batches(docs, lambda batch: named(batch, False), f"{fields}, cf_set binary").toDF(*names, "cf_set")
+    one = others.join(stays, (others["cf_set"] == stays["cf_name"]) & others[id_col].cast("long").eqNullSafe(stays["cf_id"]), "left_semi").dropDuplicates([id_col, "cf_set"])
+    return sure.unionByName(one.select(*names))
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -312,10 +312,12 @@ def test_prefix_keys_meet_for_every_similar_pair():
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
             swap = rng.integers(0, max(1, int(n * 0.11)) + 1)
             b = np.unique(np.concatenate([a[rng.permutation(len(a))[swap:]], rng.integers(0, 1 << 63, swap, dtype=np.uint64)]))
-            flags = rng.random(1 << ngram_join.SKETCH_BITS) < rng.choice([0, 0.5, 0.9, 1])
+            levels, frequent = rng.integers(0, 90, 1 << ngram_join.SKETCH_BITS, dtype=np.uint8), int(rng.choice([0, 9, 45, 90]))
             both = len(np.intersect1d(a, b))
             if 100 * both >= 80 * (len(a) + len(b) - both):
-                assert len(np.intersect1d(ngram_join.index_keys(a, flags), ngram_join.index_keys(b, flags)))
+                (ka, ra), (kb, rb) = ngram_join.index_keys(a, levels, frequent), ngram_join.index_keys(b, levels, frequent)
+                _, ia, ib = np.intersect1d(ka, kb, return_indices=True)
+                assert len(ia) and (np.minimum(ra[ia], rb[ib]) >= both).any()
 
 
 def test_connected(spark):
@@ -354,6 +356,18 @@ def test_near_vectors(spark):
     assert neighbours.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [300, 51_282, 10**6])
+def test_recall_at_the_least_cosine(n):
+    z, size = neighbours.bound_and_codes(n)
+    caps = neighbours.Caps(64, z, size, neighbours.sets_needed(64, z, size))
+    rng = np.random.default_rng(77)
+    x, y = rng.normal(size=(2, 300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.decode(x), caps.decode(y), strict=True)]) >= 0.93
+
+
 def test_parts_of_hot_caps_count_each_pair_once(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = [(np.ones(16) + rng.normal(size=16) * 0.02).tolist() for _ in range(90)]
