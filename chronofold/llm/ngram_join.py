@@ -268,6 +268,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_key = Window.partitionBy("key")
     shared = keyed.withColumns({"lo": F.min("node").over(per_key), "hi": F.max("node").over(per_key)}).where("lo <> hi").select("key", "node", "bounds")
     entries = shared.distinct().select("key", "node", F.shiftright("bounds", 32).alias("rest"), F.col("bounds").bitwiseAND(0xFFFFFFFF).alias("n"))
+    # Under a key, no set shares more than the key's largest rest, nor with a smaller set than its smallest.
+    entries = entries.withColumns({"most": F.max("rest").over(per_key), "least": F.min("n").over(per_key)})
+    able = F.least("rest", "most") * (100 + percent) >= (F.col("n") + F.greatest("least", F.col("n") * percent / 100)) * percent
+    entries = entries.where(able).withColumns({"lo": F.min("node").over(per_key), "hi": F.max("node").over(per_key)}).where("lo <> hi").select("key", "node", "rest", "n")
     entries = materialise(entries.withColumn("degree", F.count("*").over(Window.partitionBy("node"))), "index")
     sets = node_sets(docs, entries.select("node").distinct(), text_col, width)
 
