@@ -6,7 +6,8 @@ caps without trying each filter: the products with the two codes are sorted, and
 bound are formed. A vector is also in the cap nearest to it. Vectors that share a cap are compared in double
 precision, and a pair counts in the smallest of its common caps only. The bound makes a cap hold a handful of
 unrelated vectors at any corpus size. As filters of one pair of codes are not independent, several turned sets of
-them are used: as many as find the asked share of random pairs at exactly the least cosine.
+them are used: as many as find the asked share of random pairs at exactly the least cosine. Where that would
+take too many sets, the caps are made larger.
 """
 
 from __future__ import annotations
@@ -73,8 +74,11 @@ class Caps:
         return [np.sort(np.concatenate(caps)) for caps in zip(*each, strict=True)]
 
 
-def sets_needed(dimension: int, z: float, size: int, cosine: float = COSINE, recall: float = RECALL) -> int:
-    """How many sets of filters find `recall` of random pairs at exactly `cosine`; the trial is the same on every run."""
+def sets_needed(dimension: int, z: float, size: int, cosine: float = COSINE, recall: float = RECALL) -> int | None:
+    """How many sets of filters find `recall` of random pairs at exactly `cosine`; the trial is the same on every run.
+
+    None if MOST_SETS do not.
+    """
     rng = np.random.default_rng([SEED, dimension])
     x = rng.normal(size=(TRIALS, dimension))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -87,7 +91,19 @@ def sets_needed(dimension: int, z: float, size: int, cosine: float = COSINE, rec
         missed[missed] = [not len(np.intersect1d(a, b, assume_unique=True)) for a, b in near]
         if missed.mean() <= 1 - recall:
             return i + 1
-    return MOST_SETS
+    return None
+
+
+def filters_needed(n: int, dimension: int, cosine: float = COSINE, miss: float = MISS) -> tuple[float, int, int]:
+    """The bound, the size of the codes and the sets for n vectors; caps grow until the trial reaches its recall."""
+    cap = CAP
+    while True:
+        z, size = bound_and_codes(n, cosine, miss, cap)
+        if sets := sets_needed(dimension, z, size, cosine):
+            return z, size, sets
+        if cap >= 0.05 * n:
+            raise ValueError(f"{MOST_SETS} sets of the largest caps miss the recall {RECALL} at dimension {dimension}, cosine {cosine}")
+        cap *= 2
 
 
 def unit(raw: bytes) -> np.ndarray:
@@ -156,8 +172,7 @@ def links(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS) -> Dat
     marks = vectors.groupBy(by_mark.alias("mark")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "mark").limit(1).collect()
     if not marks:
         return vectors.select(F.col("name").alias("a"), F.col("name").alias("b"), F.col("weight").alias("gained"))
-    z, size = bound_and_codes(vectors.count(), cosine, miss)
-    sets = sets_needed(int.from_bytes(marks[0].mark, "little"), z, size, cosine)
+    z, size, sets = filters_needed(vectors.count(), int.from_bytes(marks[0].mark, "little"), cosine, miss)
 
     def filters_for():
         made: dict[int, Caps] = {}

@@ -368,6 +368,28 @@ def test_recall_at_the_least_cosine(n):
     assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(caps.decode(x), caps.decode(y), strict=True)]) >= 0.93
 
 
+def test_recall_holds_for_a_table_of_100_million_vectors():
+    z, size, sets = neighbours.filters_needed(10**8, 64)
+    assert neighbours.sets_needed(64, z, size) == sets <= neighbours.MOST_SETS
+    z, size, sets = neighbours.filters_needed(117_187_500, 64)  # 30 GB of 64 floats each; 40 sets of caps for 8 miss the recall
+    assert neighbours.sets_needed(64, z, size) == sets <= neighbours.MOST_SETS
+    caps, missed = neighbours.Caps(64, z, size, sets), np.ones(400, bool)
+    rng = np.random.default_rng(78)
+    x, y = rng.normal(size=(2, 400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for i in range(sets):
+        missed[missed] = [not len(np.intersect1d(a, b)) for a, b in zip(caps.of_set(x[missed], i), caps.of_set(y[missed], i), strict=True)]
+    assert 1 - missed.mean() >= 0.96
+
+
+def test_a_recall_out_of_reach_is_an_error(monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_SETS", 1)
+    with pytest.raises(ValueError):
+        neighbours.filters_needed(300, 64)
+
+
 def test_parts_of_hot_caps_count_each_pair_once(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = [(np.ones(16) + rng.normal(size=16) * 0.02).tolist() for _ in range(90)]
