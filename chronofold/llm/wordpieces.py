@@ -33,6 +33,8 @@ PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
 BYTE_CUTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Commas and points beside other symbols, and runs of white space.
 TOUCHING, BLANK_RUN = re.compile(r"(?:[^\w\s]|_)[,.]|[,.](?:[^\w\s]|_)"), re.compile(r"\s\s")
+#: The first blank of a run.
+BORDER = re.compile(r"(?<=\S)\s")
 #: The rank of a pair that no merge joins.
 FREE = np.iinfo(np.int32).max
 #: Characters encoded together by Library.
@@ -255,7 +257,7 @@ class Library:
             while end < len(texts) and (end == at or chars + len(texts[end]) < BATCH_CHARS):
                 chars += len(texts[end])
                 end += 1
-            if stretch and chars > 4 * BATCH_CHARS and (parts := stretches(texts[at], self.words)):
+            if stretch and chars > 4 * BATCH_CHARS and (parts := stretches(texts[at])):
                 out.append(b"".join(x for part in parts for x in self.ids_of([part], False)))
             else:
                 cuts = [self.cut(t) for t in texts[at:end]]
@@ -272,11 +274,21 @@ class Library:
         return out
 
 
-def stretches(text: str, words: bool) -> list[str]:
-    """A very long ordinary text in stretches that may be encoded apart."""
+def stretches(text: str) -> list[str]:
+    """A very long ordinary text in stretches that may be encoded apart; put together they are the text.
+
+    Both splitting patterns end a word at white space and look ahead only, so any border before a run of white
+    space is safe. Without such a border the rest is one stretch.
+    """
     if "<|" in text or not plain(text):
         return []
-    return re.findall(rf"(?s).{{1,{BATCH_CHARS}}}\S*(?=\s|\Z)" if words else rf"(?s).{{1,{BATCH_CHARS}}}\S*(?= \S|\Z)", text)
+    out, at = [], 0
+    while at < len(text):
+        border = BORDER.search(text, at + BATCH_CHARS)
+        end = border.start() if border else len(text)
+        out.append(text[at:end])
+        at = end
+    return out
 
 
 class Generations:

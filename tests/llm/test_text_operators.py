@@ -125,6 +125,15 @@ def test_long_texts_in_stretches(library, monkeypatch):
         assert fast.ids_of([text, "", text]) == [np.array(ids_of(library[name], t), "<u4").tobytes() for t in (text, "", text)]
 
 
+def test_long_texts_of_any_blanks_lose_nothing(library, monkeypatch):
+    monkeypatch.setattr(wordpieces, "BATCH_CHARS", 10)
+    texts = ["12\n34\n56\n78\n90\n" * 8, "a1\n\n\n  two \t\n\tx.\n" * 20, "https://a.b/c?d=1\r\n" * 20, " " * 90 + "x", "x" * 90 + " \n" * 40, "x" * 90]
+    assert all("".join(wordpieces.stretches(t)) == t for t in texts) and len(wordpieces.stretches(texts[0])) > 5
+    for name in library:
+        fast = wordpieces.Library(wordpieces.vocabulary(name))
+        assert fast.ids_of(texts) == [np.array(ids_of(library[name], t), "<u4").tobytes() for t in texts]
+
+
 def test_bpe_query_and_odd_documents(spark, library):
     tokenizer = library["word_bpe_49k.json"]
     for r in wordpieces.encode_decode(odd_docs(spark), wordpieces.vocabulary("word_bpe_49k.json")).collect():
