@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -114,9 +115,9 @@ def chunks(terms: DataFrame) -> list[DataFrame]:
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, share): terms that disclose some entity, with the largest share of its information.
 
-    With N documents, n_e contexts of an entity, n_et of them with the term and n_t documents with the term,
-    the share is ln(N n_et / (n_e n_t)) / ln(N / n_e). Equal contexts count once, so copies of a document are no
-    evidence; a term needs SUPPORT contexts. Null texts and ids do no harm.
+    With N documents, n_e contexts of an entity, n_et of them with the term and n_t distinct texts with the term,
+    the share is ln(N n_et / (n_e n_t)) / ln(N / n_e). Equal contexts and equal texts count once, so copies of a
+    document are no evidence for a term or against it; a term needs SUPPORT contexts. Null texts and ids do no harm.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
 
@@ -136,8 +137,9 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = texts.count()
     counted = None
     for part in parts:
-        wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in part.collect()))
-        one = texts.mapInArrow(term_counter(wanted), "term string, n long")
+        wanted = docs.sparkSession.sparkContext.broadcast({r.term: i for i, r in enumerate(part.collect())})
+        each = map_batches(texts, term_finder(wanted), "name binary, numbers binary").dropDuplicates(["name"])
+        one = each.select("numbers").mapInArrow(term_counter(wanted), "term string, n long")
         counted = one if counted is None else counted.union(one)
     n_t = counted.groupBy("term").agg(F.sum("n").alias("n_t"))
     information = F.log(F.lit(float(total)) / F.col("n_e"))
@@ -146,14 +148,27 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return scored.where(F.col("share") >= GENERALISE)
 
 
+def term_finder(wanted):
+    """(name, numbers): the hash of every text that holds wanted terms, and their numbers as unsigned 32-bit."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, numbers = [], []
+        for text in texts_of(batch):
+            if found := wanted.value.keys() & LETTERS.findall(text.lower()):
+                names.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
+                numbers.append(np.array(sorted(map(wanted.value.__getitem__, found)), "<u4").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(numbers, pa.binary())], ["name", "numbers"])
+
+    return run
+
+
 def term_counter(wanted):
     def run(batches):
-        counts: dict[str, int] = {}
+        counts = np.zeros(len(wanted.value), np.int64)
         for batch in batches:
-            for text in texts_of(batch):
-                for term in wanted.value.intersection(LETTERS.findall(text.lower())):
-                    counts[term] = counts.get(term, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            counts += np.bincount(np.frombuffer(b"".join(batch.column("numbers").to_pylist()), "<u4"), minlength=len(counts))
+        rows = [(t, counts[i]) for t, i in wanted.value.items() if counts[i]]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["term", "n"])
 
     return run
 

@@ -98,6 +98,16 @@ def test_privacy_disclosing_terms(spark):
     assert privacy.disclosing_terms(empty(spark)).count() == 0
 
 
+def test_privacy_copies_hide_no_term(spark, monkeypatch):
+    plain = [f"some text number {i} with word{'abcdefgh'[i % 8]}" for i in range(100)]
+    told = [f"{w} the Zorblatt writes from z@corp.org" for w in ("alpha", "beta", "gamma", "delta", "omega")]
+    docs = docs_of(spark, plain + told + told[:1] * 2000)
+    want = {r.term: r.share for r in privacy.disclosing_terms(docs).collect()}
+    assert want["zorblatt"] == pytest.approx(1.0)
+    monkeypatch.setattr(privacy, "TERMS_AT_ONCE", 2)
+    assert {r.term: r.share for r in privacy.disclosing_terms(docs).collect()} == pytest.approx(want)
+
+
 def test_privacy_in_parts_gives_the_same(spark, monkeypatch):
     docs = docs_of(spark, ["alpha beta gamma", "beta x@y.z delta", None])
     terms = spark.createDataFrame([("alpha", 0.8), ("beta", 0.99), ("delta", 0.8)], "term string, share double")
