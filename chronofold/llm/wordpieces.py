@@ -219,26 +219,27 @@ class Library:
     def cut(self, text: str) -> list[str] | None:
         """Cuts that may be encoded apart, or None if the text is not an ordinary one.
 
-        Commas and points that no other symbol touches are cut off their words, so that fewer cuts differ.
+        Commas and points that no other symbol touches are cut off their words, so that fewer cuts differ. What touches
+        is looked for in lower case, where a letter may have become a letter and a mark; a space before a comma or point
+        is part of the same word of BYTE_SPLIT.
         """
         if "<|" in text or not plain(text):
             return None
-        alone = not touching(text)
         if self.words:
             text = text.lower()
-            return text.replace(",", " , ").replace(".", " . ").split() if alone else text.split()
+            return text.split() if touching(text) else text.replace(",", " , ").replace(".", " . ").split()
         if "  " in text:
             return BYTE_CUTS.findall(text)
-        if alone and not BLANK_RUN.search(text):
+        if " ," not in text and " ." not in text and not touching(text) and not BLANK_RUN.search(text):
             text = text.replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.")
         return [c for c in text.replace(" ", "\0 ").split("\0") if c]
 
-    def learn(self, missing: set[str]) -> None:
-        """Add the ids of cuts to the cache, all their words merged at once."""
-        known, whole, parts = self.known.young, [], {}
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of cuts, all their words merged at once; short cuts are added to the cache."""
+        known, whole, parts, long_ones = self.known.young, [], {}, {}
         for cut in missing:
             if len(cut) > CACHE_CHARS:
-                known[cut] = self.whole(cut)
+                long_ones[cut] = self.whole(cut)
             elif cut.isalpha() or (not self.words and cut[0] == " " and cut[1:].isalpha()):
                 whole.append(cut)
             else:
@@ -248,6 +249,7 @@ class Library:
         for cut, found in parts.items():
             known[cut] = b"".join(map(ids.__getitem__, found))
         known.update((cut, ids[cut]) for cut in whole)
+        return long_ones
 
     def ids_of(self, texts: list[str], stretch: bool = True) -> list[bytes]:
         """Ids of whole texts, a few at a time so that the cuts of few are in memory; very long ones in stretches."""
@@ -264,10 +266,10 @@ class Library:
                 found = [None if c is None else self.known.look(c) for c in cuts]
                 open_ = [(c, ids, [i for i, x in enumerate(ids) if x is None]) for c, ids in zip(cuts, found, strict=True) if ids and None in ids]
                 if missing := {c[i] for c, _, gaps in open_ for i in gaps}:
-                    self.learn(missing)
+                    long_ones = self.learn(missing)
                     for c, ids, gaps in open_:
                         for i in gaps:
-                            ids[i] = self.known.young[c[i]]
+                            ids[i] = long_ones[c[i]] if c[i] in long_ones else self.known.young[c[i]]
                 out += [self.whole(t) if ids is None else b"".join(ids) for ids, t in zip(found, texts[at:end], strict=True)]
                 self.known.turn()
             at = end
