@@ -9,10 +9,16 @@ single frequent tokens. A prefix of p tokens is extended by about p/12, which ke
 entry carries how much its set can share with one that it meets there first, so most pairs that a key brings
 together are ruled out unread. Sets of under about ten tokens have frequent ones indexed singly.
 
-A key's nodes are not paired with each other: each is verified against the best-connected node it meets, what
-links is one component, and only pairs of nodes that share a key and are still in different components are
-verified one by one. So a group of n similar documents costs about n verifications, not n squared, and every
-component is exact.
+A set also has a parity: a bitmap of about a bit and a half a token that holds, for each slot, whether the set has an
+odd number of tokens there. Two parities differ in no more slots than the sets differ in tokens, so a pair whose
+parities differ too much is not similar, and no set is read for it. That leaves hardly any pair but the similar ones,
+so the sets that are moved grow with the links and not with the accidental meetings.
+
+A key's nodes are not paired with each other at once: each is tried against the best-connected node it meets and
+against another one, what passes is one group for the time being, and only pairs of nodes that share a key and are in
+different groups are tried one by one. Then sets are fetched and compared, the groups are formed anew of real links,
+and pairs of a key that are in different groups now and were not tried yet are tried. So a group of n similar documents
+costs about n comparisons, not n squared, and every component is exact.
 """
 
 from __future__ import annotations
@@ -26,14 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected, map_batches, materialise, texts_of
+from .common import connected, discard, map_batches, materialise, texts_of
 from .shingles import WIDTH, shingle_set
 
-#: Similarity in percent; bits of a sketch slot number; ranges in which sketches are added up.
-PERCENT, SKETCH_BITS, RANGES = 80, 23, 64
+#: Similarity in percent; ranges in which sketches are added up.
+PERCENT, RANGES = 80, 64
+#: A sketch has about a slot for so many characters of text, between these powers of two. 64 MB of levels are the most
+#: that is broadcast; beyond it (about 3 GB of text) slots are shared by more tokens, which costs candidates, not links.
+CHARS_A_SLOT, LEAST_BITS, MOST_BITS = 48, 18, 26
 #: A token is frequent from this count of its slot on, or from so many times the mean slot.
 FREQUENT, TIMES_MEAN = 64, 4
-#: Bits of the filter of candidate nodes, and rounds of verification against one node of each key.
+#: Entries of a key in one part of a join; entries of a key known to be hot from the sketch in one part of the first sort.
+KEY_PART, HOT_PART = 512, 1 << 16
+#: Bits of the filter of candidate nodes, and turns in which a node is tried against one node of each key.
 FILTER_BITS, ROUNDS = 26, 2
 _MULT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -52,6 +63,25 @@ def number_of(name: str = "name"):
     return F.conv(F.hex(F.substring(name, 1, 7)), 16, 10).cast("long")
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """For each slot of a power of two of at least len(tokens) and 64, whether an odd number of tokens is there."""
+    size = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes, n: int, m: int, percent: int = PERCENT) -> bool:
+    """False if parities x, y of sets of n and m tokens rule out that similarity. A parity of twice the size folds into
+    one of the size by an exclusive or of slots that are equal modulo the size."""
+    if len(x) > len(y):
+        x, y = y, x
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    differ = int(np.bitwise_count(u ^ v).sum())
+    return (100 + percent) * differ <= (100 - percent) * (n + m)
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     """Tokens of a set of n of which one at least is shared with any set of that similarity."""
     return n - -(-percent * n // 100) + 1
@@ -67,14 +97,26 @@ def classes_of(kappa: int, percent: int = PERCENT) -> int:
     return int(math.ceil((1 - percent / 100) * (100 / percent) ** kappa / 12)) if kappa >= 9 else 0
 
 
+def sketch_bits(chars: int) -> int:
+    """Bits of a slot number of the sketch of a corpus of so many characters."""
+    return min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(1, chars / CHARS_A_SLOT)))))
+
+
 def level(counts):
     """Counts in eighths of a doubling, as one byte; in order with the counts."""
     return np.minimum(255, np.round(8 * np.log2(1 + np.asarray(counts, float)))).astype(np.uint8)
 
 
-def index_keys(tokens: np.ndarray, levels: np.ndarray, frequent: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """The keys (int64) under which a set is indexed, and for each the most tokens that it can share with a set it
-    meets there first. tokens: ascending; levels: each slot's; frequent: the least level of a frequent token.
+def hot_parts(levels: np.ndarray) -> np.ndarray:
+    """Parts in which the entries of a token of that level are sorted; 0: it isn't hot."""
+    counts = np.exp2(levels / 8.0)
+    return np.where(counts >= 2 * HOT_PART, counts // HOT_PART, 0).astype(np.int32)
+
+
+def index_keys(tokens: np.ndarray, levels: np.ndarray, frequent: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys (int64) under which a set is indexed, for each the most tokens that it can share with a set it meets
+    there first, and the parts of hot keys. tokens: ascending; levels: each slot's, a power of two of them; frequent:
+    the least level of a frequent token.
 
     Tokens are taken by level, then by hash. If the first token that two sets share is at place i of a set of n (from
     0), they share n - i at most. For combinations, the earliest complete one has at most one shared token of each
@@ -82,112 +124,144 @@ def index_keys(tokens: np.ndarray, levels: np.ndarray, frequent: int, percent: i
     """
     n = len(tokens)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     p = prefix_size(n, percent)
-    own = levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    own = levels[(tokens >> np.uint64(65 - len(levels).bit_length())).astype(np.int64)]
     order = np.argsort(own, kind="stable")
-    tokens, often = tokens[order], own[order] >= frequent
-    rare = int(len(tokens) - often.sum())
+    tokens, own = tokens[order], own[order]
+    rare = int(np.searchsorted(own, frequent))
     if rare >= p:
-        return tokens[:p].view(np.int64), n - np.arange(p)
-    need, common, keys, rest = p - rare, tokens[rare:], [tokens[:rare]], [n - np.arange(rare)]
+        return tokens[:p].view(np.int64), n - np.arange(p), hot_parts(own[:p])
+    need, common, heights = p - rare, tokens[rare:], own[rare:]
+    keys, rest, least = [tokens[:rare]], [n - np.arange(rare)], [own[:rare]]
     for kappa in (size_class(n, percent), size_class(n, percent) + 1):
         classes = classes_of(kappa, percent)
         if not classes:
             keys.append(common[:need])
             rest.append(n - rare - np.arange(need))
+            least.append(heights[:need])
             continue
         group = ((common * _MULT) >> np.uint64(33)) % np.uint64(classes)
         first = np.zeros(len(common), bool)
         first[np.unique(group, return_index=True)[1]] = True
         cut = int(np.searchsorted(np.cumsum(~first), need)) + 1
         place = np.argsort(group[:cut], kind="stable")
-        groups, dealt = group[:cut][place], common[:cut][place]
+        groups, dealt, height = group[:cut][place], common[:cut][place], heights[:cut][place]
         salt = np.uint64((2 * kappa + 1) * int(_MULT) % 2**64)
         step = 1
         while step < cut and (same := groups[step:] == groups[:-step]).any():
             mixed = (dealt[:-step][same] * _MULT ^ dealt[step:][same]) * salt
             keys.append(mixed ^ mixed >> np.uint64(31))
             rest.append(n - rare - place[step:][same] + classes)
+            least.append(np.minimum(height[:-step][same], height[step:][same]))
             step += 1
-    return np.concatenate(keys).view(np.int64), np.concatenate(rest)
+    return np.concatenate(keys).view(np.int64), np.concatenate(rest), hot_parts(np.concatenate(least))
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows (id, n, name) of all documents, and rows (slots, counts) with each task's sketch of token counts."""
+def scan(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int) -> DataFrame:
+    """Rows (id, n, name, parity, content) of all documents, and rows (slots, counts) with each task's sketch of token
+    counts. content: a 128-bit hash of the text; null texts have the empty text's."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    names = ["id", "n", "name", "slots", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["id", "n", "name", "parity", "content", "slots", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
-        sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint16), set()
+        sketch, seen = np.zeros(1 << bits, np.uint16), set()
         for batch in batches:
-            sizes, ids, fresh = [], [], []
-            for text in texts_of(batch):
+            texts, cols, fresh = texts_of(batch), ([], [], []), []
+            for text in texts:
                 tokens = shingle_set(text, width)
                 name = set_name(tokens)
-                sizes.append(len(tokens))
-                ids.append(name)
+                for col, value in zip(cols, (len(tokens), name, parity(tokens) if len(tokens) else None), strict=True):
+                    col.append(value)
                 if name not in seen:
                     seen.add(name)
                     fresh.append(tokens)
             if fresh:
-                slots, counts = np.unique(np.concatenate(fresh) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                slots, counts = np.unique(np.concatenate(fresh) >> np.uint64(64 - bits), return_counts=True)
                 slots = slots.astype(np.int64)
                 sketch[slots] = np.minimum(sketch[slots].astype(np.int64) + counts, 65535)
-            none = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip([sizes, ids, none, none], kinds[1:], strict=True))], names)
+            cols = [*cols, [content_hash(t) for t in texts], *[[None] * len(texts)] * 2]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=True))], names)
         if seen:
             parts = sketch.reshape(RANGES, -1)
             for i in range(RANGES):
-                cols = [[None], [None], [None], [i], [zlib.compress(parts[i].tobytes(), 1)]]
+                cols = [*[[None]] * 5, [i], [zlib.compress(parts[i].tobytes(), 1)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return rows.mapInArrow(run, "id long, n long, name binary, slots int, counts binary")
+    return rows.mapInArrow(run, "id long, n long, name binary, parity binary, content binary, slots int, counts binary")
+
 
+def content_hash(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
-def slot_levels(scanned: DataFrame) -> tuple[np.ndarray, int]:
-    """Each slot's level, and the least level of frequent tokens: a byte a slot comes to the driver, 8 MB whatever
-    the corpus's size."""
+
+def slot_levels(scanned: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """Each slot's level, and the least level of frequent tokens: a byte a slot comes to the driver, at most 64 MB."""
     total = scanned.agg(F.sum("n")).first()[0] or 0
-    least = max(FREQUENT, TIMES_MEAN * total >> SKETCH_BITS)
+    least = max(FREQUENT, TIMES_MEAN * total >> bits)
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column("slots").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                found = np.frombuffer(zlib.decompress(raw), np.uint16).astype(np.int64)
-                sums[i] = sums[i] + found if i in sums else found
+                found = np.frombuffer(zlib.decompress(raw), np.uint16)
+                if i not in sums:
+                    sums[i] = np.zeros(len(found), np.int64)
+                sums[i] += found
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([level(s).tobytes() for s in sums.values()], pa.binary())], ["slots", "levels"])
 
     parts = scanned.where("slots IS NOT NULL").select("slots", "counts").repartition("slots").mapInArrow(add, "slots int, levels binary").collect()
-    levels = np.zeros((RANGES, (1 << SKETCH_BITS) // RANGES), np.uint8)
+    levels = np.zeros((RANGES, (1 << bits) // RANGES), np.uint8)
     for r in parts:
         levels[r.slots] = np.frombuffer(r.levels, np.uint8)
     return levels.ravel(), int(level(least))
 
 
 def index(docs: DataFrame, levels: np.ndarray, frequent: int, text_col: str, width: int, percent: int) -> DataFrame:
-    """(key, node, bounds): every node's number under its keys, with its size and what it can share there in one
+    """(key, node, bounds, parts): every node's number under its keys, with its size and what it can share there in one
     number; a task writes a node once, however many copies it has."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         seen = set()
         for batch in batches:
-            keys, bounds, nodes = [], [], []
+            found = []
             for text in texts_of(batch):
                 tokens = shingle_set(text, width)
                 if len(tokens) and (name := set_name(tokens)) not in seen:
                     seen.add(name)
-                    own, rest = index_keys(tokens, shared.value, frequent, percent)
-                    keys.append(own)
-                    bounds.append(rest << 32 | len(tokens))
-                    nodes.append(np.full(len(own), node_number(name), np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (keys, nodes, bounds)], ["key", "node", "bounds"])
+                    keys, rest, parts = index_keys(tokens, shared.value, frequent, percent)
+                    found.append((keys, np.full(len(keys), node_number(name), np.int64), rest << 32 | len(tokens), parts))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["key", "node", "bounds", "parts"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, node long, bounds long, parts int")
+
+
+def shared_entries(keyed: DataFrame) -> DataFrame:
+    """(key, node, rest, n, parts) of the keys that two nodes or more have; parts: in how many a key is dealt from here on.
+
+    A key that the sketch knows to be hot is sorted in parts already here, and stays without proof that others have it.
+    """
+    salt = F.when(F.col("parts") > 0, 1 + F.pmod("node", "parts")).otherwise(0)
+    here = Window.partitionBy("key", "salt")
+    found = keyed.withColumn("salt", salt).withColumns({"lo": F.min("node").over(here), "hi": F.max("node").over(here), "copies": F.count("*").over(here)})
+    found = found.where("lo <> hi OR parts > 0").withColumn("parts", F.when(F.col("parts") > 0, F.col("parts")).otherwise((1 + F.floor(F.col("copies") / KEY_PART)).cast("int")))
+    return found.select("key", "node", F.shiftright("bounds", 32).alias("rest"), F.col("bounds").bitwiseAND(0xFFFFFFFF).alias("n"), "parts").distinct()
+
+
+def with_key_facts(entries: DataFrame, **facts) -> DataFrame:
+    """Entries with aggregates of their key: added up before the shuffle and joined part by part, so that no task gets
+    more than KEY_PART entries of one key (or HOT_PART of a hot one)."""
+    totals = entries.groupBy("key", "parts").agg(*(f.alias(name) for name, f in facts.items()))
+    totals = totals.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return entries.withColumn("part", F.pmod("node", "parts").cast("int")).join(totals, ["key", "part"]).drop("part")
+
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, node long, bounds long")
+def several(entries: DataFrame, of: str) -> DataFrame:
+    """The entries whose key has two or more values of a column."""
+    return with_key_facts(entries, lo=F.min(of), hi=F.max(of)).where("lo <> hi").drop("lo", "hi")
 
 
 def node_filter(nodes: DataFrame):
@@ -232,15 +306,26 @@ def node_sets(docs: DataFrame, nodes: DataFrame, text_col: str, width: int) -> D
     return materialise(found.dropDuplicates(["name"]), "node-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y, a, b, linked) for pairs(x, y) of node numbers: names, and whether the sets are similar enough.
+def likely(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """(x, y, passed) for pairs(x, y): whether the parities leave it possible that they are similar.
 
-    Only the sets that the pairs name, and few others, are dealt out.
+    parities(node, n, parity) may have several rows of a number; a pair passes if any of them do.
     """
-    holds = node_filter(pairs.select(F.explode(F.array("x", "y")).alias("node")))
-    asked = map_batches(sets, lambda batch: batch.filter(pa.array([holds(n) for n in batch.column("name").to_pylist()], pa.bool_())), sets.schema)
-    left = asked.select(number_of().alias("x"), F.col("name").alias("a"), F.col("tokens").alias("ta"))
-    right = asked.select(number_of().alias("y"), F.col("name").alias("b"), F.col("tokens").alias("tb"))
+    left = parities.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px"))
+    right = parities.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        passed = [may_be_similar(*row, percent) for row in zip(*(batch.column(c).to_pylist() for c in ("px", "py", "nx", "ny")), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(passed, pa.bool_())], ["x", "y", "passed"])
+
+    met = pairs.join(left, "x").join(right, "y").select("x", "y", "px", "py", "nx", "ny")
+    return map_batches(met, run, "x long, y long, passed boolean", rows=4096)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y, a, b, linked) for pairs(x, y) of node numbers: names, and whether the sets are similar enough."""
+    left = sets.select(number_of().alias("x"), F.col("name").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(number_of().alias("y"), F.col("name").alias("b"), F.col("tokens").alias("tb"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         linked = []
@@ -254,85 +339,123 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(met, run, "x long, y long, a binary, b binary, linked boolean", rows=256)
 
 
+def apart(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Entries with their node's group, of the keys that several groups have. groups(node, joined); others are alone."""
+    here = entries.withColumn("component", F.col("node"))
+    if groups is not None:
+        here = here.join(groups, "node", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
+    return several(here, "component")
+
+
+FITS = "least(rest, its_rest) * ({0} + 100) >= (n + its_n) * {0}"
+
+
+def one_each(here: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(x, y): each node with the best-connected one of all that it meets, or in later turns one picked by hash."""
+    order = ["degree", "node", "n", "rest", "component"]
+    rank = F.struct(*order) if turn == 0 else F.struct(F.xxhash64("component", F.lit(turn)).alias("hash"), *order)
+    met = with_key_facts(here, best=F.max(rank)).withColumns({"its_n": F.col("best.n"), "its_rest": F.col("best.rest")})
+    met = met.where(F.col("component") != F.col("best.component")).where(FITS.format(percent))
+    met = met.groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("other"))
+    return met.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
+
+
+def each_other(here: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the pairs of nodes of a key that are in different groups and could be similar by their places in it."""
+    that = here.select("key", F.col("node").alias("other"), F.col("n").alias("its_n"), F.col("rest").alias("its_rest"), F.col("component").alias("its"), "parts")
+    that = that.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = here.withColumn("part", F.pmod("node", "parts").cast("int")).join(that, ["key", "part"])
+    met = met.where("node < other AND component <> its").where(FITS.format(percent))
+    return met.select(F.col("node").alias("x"), F.col("other").alias("y")).distinct()
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id, name, n, component_id, first): every row's node, set size, component and the node that stands for it.
+    """(id, name, n, content, component_id, first): every row's node, set size, text's hash, component and the node that
+    stands for it.
 
     Rows without words (null, empty or blank texts) have n 0, are linked with nothing and are their own
     component. Repeated rows and equal ids share a node if their sets are equal. Null ids count for no minimum:
     a component of null ids alone has a null component_id.
     """
-    scanned = materialise(scan(docs, id_col, text_col, width), "shingle-scan")
-    rows = scanned.where("slots IS NULL").select("id", "n", "name")
-    nodes = rows.where("n > 0").groupBy("name").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    keyed = index(docs, *slot_levels(scanned), text_col, width, percent)
-    per_key = Window.partitionBy("key")
-    shared = keyed.withColumns({"lo": F.min("node").over(per_key), "hi": F.max("node").over(per_key)}).where("lo <> hi").select("key", "node", "bounds")
-    entries = shared.distinct().select("key", "node", F.shiftright("bounds", 32).alias("rest"), F.col("bounds").bitwiseAND(0xFFFFFFFF).alias("n"))
+    bits = sketch_bits(docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0)
+    scanned = materialise(scan(docs, id_col, text_col, width, bits), "shingle-scan")
+    rows = scanned.where("slots IS NULL").select("id", "n", "name", "content")
+    nodes = rows.where("n > 0").groupBy("name").agg(F.min("id").alias("rep"))
+    entries = shared_entries(index(docs, *slot_levels(scanned, bits), text_col, width, percent))
     # Under a key, no set shares more than the key's largest rest, nor with a smaller set than its smallest.
-    entries = entries.withColumns({"most": F.max("rest").over(per_key), "least": F.min("n").over(per_key)})
     able = F.least("rest", "most") * (100 + percent) >= (F.col("n") + F.greatest("least", F.col("n") * percent / 100)) * percent
-    entries = entries.where(able).withColumns({"lo": F.min("node").over(per_key), "hi": F.max("node").over(per_key)}).where("lo <> hi").select("key", "node", "rest", "n")
+    met = materialise(entries, "shared-keys")
+    entries = several(with_key_facts(met, most=F.max("rest"), least=F.min("n")).where(able).drop("most", "least"), "node")
     entries = materialise(entries.withColumn("degree", F.count("*").over(Window.partitionBy("node"))), "index")
-    sets = node_sets(docs, entries.select("node").distinct(), text_col, width)
+    discard(met)
+    # Distinct before the join, so that copies are added up where they are read.
+    parities = scanned.where("n > 0").select(number_of().alias("node"), "n", "parity").distinct()
+    parities = materialise(parities.join(entries.select("node").distinct(), "node", "left_semi"), "parities")
 
-    fits = F.least("rest", "its_rest") * (100 + percent) >= (F.col("n") + F.col("its_n")) * percent
-    tried = links = groups = None
+    tried = groups = None
     for turn in range(ROUNDS + 1):
-        here = entries.withColumn("component", F.col("node"))
-        if groups is not None:
-            known = groups.select(number_of().alias("node"), number_of("component").alias("joined"))
-            here = here.join(known, "node", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
-        here = here.withColumns({"lo": F.min("component").over(per_key), "hi": F.max("component").over(per_key)}).where("lo <> hi").drop("lo", "hi")
-        if turn < ROUNDS:
-            # One other node is tried for each: the best-connected one that it meets, then one picked by hash.
-            rank = F.struct("degree", "node", "n", "rest", "component") if turn == 0 else F.struct(F.xxhash64("component", F.lit(turn)), "degree", "node", "n", "rest", "component")
-            met = here.withColumn("best", F.max(rank).over(per_key)).withColumns({"its_n": F.col("best.n"), "its_rest": F.col("best.rest")}).where((F.col("component") != F.col("best.component")) & fits)
-            met = met.groupBy("node").agg(F.max("best").alias("best")).select("node", F.col("best.node").alias("other"))
-        else:
-            here = materialise(here, "open-keys")
-            that = here.select("key", F.col("node").alias("other"), F.col("n").alias("its_n"), F.col("rest").alias("its_rest"), F.col("component").alias("its"))
-            met = here.join(that, (here["key"] == that["key"]) & (here["node"] < that["other"]) & (here["component"] != that["its"]) & fits)
-        pairs = met.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
+        here = apart(entries, groups)
+        pairs = one_each(here, turn, percent) if turn < ROUNDS else each_other(materialise(here, "open-keys"), percent)
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = materialise(pairs, "candidates")
-        checked = materialise(verified(pairs, sets, percent), "checked")
-        tried = pairs if tried is None else tried.union(pairs)
-        new = checked.where("linked").select("a", "b")
-        if turn and new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        groups = connected(links, "shingle-links").withColumnRenamed("node", "name")
-    grouped = nodes.join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
+        met = materialise(likely(pairs, parities, percent), "tried")
+        tried = met if tried is None else tried.union(met)
+        if turn < ROUNDS and (turn == 0 or not met.where("passed").isEmpty()):
+            groups = connected(tried.where("passed").select(F.col("x").alias("a"), F.col("y").alias("b")), "likely").withColumnRenamed("component", "joined")
+    chosen = tried.where("passed").select("x", "y").distinct()
+    links = checked_links(docs, chosen, text_col, width, percent)
+    found = connected(links, "shingle-links").withColumnRenamed("node", "name")
+    # Groups of pairs that looked similar and were not may have hidden pairs.
+    here = apart(entries, found.select(number_of().alias("node"), number_of("component").alias("joined")))
+    hidden = materialise(likely(each_other(materialise(here, "open-keys"), percent).join(tried, ["x", "y"], "left_anti"), parities, percent), "hidden").where("passed").select("x", "y").distinct()
+    if not hidden.isEmpty():
+        more = checked_links(docs, hidden, text_col, width, percent)
+        if not more.isEmpty():
+            found = connected(links.union(more), "shingle-links").withColumnRenamed("node", "name")
+    grouped = nodes.join(found, "name", "left").withColumn("component", F.coalesce("component", "name"))
     smallest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"), F.min_by("name", F.struct(F.col("rep").isNull(), "rep", "name")).alias("first"))
     named = materialise(grouped.select("name", "component").join(smallest, "component").select("name", "component_id", "first"), "components")
-    return rows.join(named, "name", "left").select("id", "name", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "first")
+    worded = rows.where("n > 0").join(named, "name").select("id", "name", "n", "content", "component_id", "first")
+    return worded.union(rows.where("n = 0").select("id", "name", "n", "content", F.col("id"), F.lit(None).cast("binary")))
+
+
+def checked_links(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
+    """(a, b), names, of the pairs(x, y) of node numbers whose sets are similar enough."""
+    sets = node_sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("node")), text_col, width)
+    links = materialise(verified(pairs, sets, percent).where("linked").select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row of each component, that of the smallest id, with all columns; rows without words all stay.
 
-    Rows whose set no other row has and that stand for their component stay without a shuffle. A filter of fixed size
-    tells them from the others (and from a few more, which lose nothing by it); only those are joined and deduplicated.
+    Of several rows of that id and shingle set, the one with the least hash of its text stays, and of those with one
+    text too, the one with the least hash of all its columns (any, if they are equal). Components of null ids alone keep
+    one row likewise. Rows whose text occurs in no other row's component stay without a shuffle: a filter of fixed size
+    tells them from the others (and from a few more, which lose nothing by it); only those are joined and ranked.
     """
-    found = components(docs, id_col, text_col, width, percent).where("n > 0")
-    stays = found.where("name = first AND id <=> component_id").select(F.col("id").alias("cf_id"), F.col("name").alias("cf_name")).distinct()
-    doubtful = found.groupBy("name").agg(F.count("*").alias("rows"), F.first("first").alias("first")).where("rows > 1 OR name <> first").select(number_of().alias("node"))
-    holds, place, names = node_filter(doubtful), docs.columns.index(text_col), docs.columns
-
-    def named(batch: pa.RecordBatch, sure: bool) -> pa.RecordBatch:
-        sets = [shingle_set(t or "", width) for t in batch.column(place).to_pylist()]
-        marks = [set_name(s) if len(s) else None for s in sets]
-        pick = pa.array([(m is None or not holds(m)) == sure for m in marks], pa.bool_())
+    found = materialise(components(docs, id_col, text_col, width, percent).where("n > 0"), "members")
+    first = found.where("name = first AND id <=> component_id").groupBy("name", "id").agg(F.min("content").alias("content"))
+    stays = first.select(F.col("id").alias("its_id"), F.col("content").alias("its_content"))
+    doubtful = found.groupBy("name").agg(F.count("*").alias("rows"), F.first("first").alias("first")).where("rows > 1 OR name <> first").select("name")
+    holds = node_filter(found.join(doubtful, "name", "left_semi").select(number_of("content").alias("node")))
+    place, names = docs.columns.index(text_col), docs.columns
+
+    def pick(batch: pa.RecordBatch, sure: bool) -> pa.RecordBatch:
+        marks = [content_hash(t or "") for t in batch.column(place).cast(pa.string()).to_pylist()]
+        mask = pa.array([(not holds(m)) == sure for m in marks], pa.bool_())
         if sure:
-            return batch.filter(pick)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], [*(f"c{i}" for i in range(len(names))), "cf_set"]).filter(pick)
+            return batch.filter(mask)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], [*(f"c{i}" for i in range(len(names))), "content"]).filter(mask)
 
-    sure = map_batches(docs, lambda batch: named(batch, True), docs.schema)
+    sure = map_batches(docs, lambda batch: pick(batch, True), docs.schema)
     fields = ", ".join(f"c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
-    others = map_batches(docs, lambda batch: named(batch, False), f"{fields}, cf_set binary").toDF(*names, "cf_set")
-    one = others.join(stays, (others["cf_set"] == stays["cf_name"]) & others[id_col].cast("long").eqNullSafe(stays["cf_id"]), "left_semi").dropDuplicates([id_col, "cf_set"])
-    return sure.unionByName(one.select(*names))
+    others = map_batches(docs, lambda batch: pick(batch, False), f"{fields}, content binary")
+    row_id, cells = F.col(f"c{names.index(id_col)}").cast("long"), [f"c{i}" for i in range(len(names))]
+    one = others.join(stays, (others["content"] == stays["its_content"]) & row_id.eqNullSafe(stays["its_id"]), "left_semi")
+    one = one.withColumn("rank", F.row_number().over(Window.partitionBy(row_id, "content").orderBy(F.xxhash64(F.to_json(F.struct(*cells))))))
+    return sure.unionByName(one.where("rank = 1").select(*cells).toDF(*names))
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -127,6 +127,25 @@ def test_encoders_equal_the_library(library, name):
         assert pieces.ids(text) == want and ids == want
 
 
+@pytest.mark.parametrize("alphabet", ["ab ,.\n", "aİ ,.×'\"\n\t", "aé1_ ,.-  \n\n", "'stdm,. A÷\r"])
+def test_encoders_equal_the_library_on_points_and_commas(library, alphabet):
+    rng = np.random.default_rng(len(alphabet))
+    texts = [" .", " ,", "İ.", "İ,", "a ,b .c", *("".join(rng.choice(list(alphabet), n)) for n in rng.integers(1, 24, 3000))]
+    for name, tokenizer in library.items():
+        want = [packed_ids(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        pieces = wordpieces.Pieces(wordpieces.vocabulary(name))
+        assert wordpieces.Library(wordpieces.vocabulary(name)).ids_of(texts) == want == list(map(pieces.ids, texts))
+
+
+def packed_ids(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+def test_long_cuts_are_not_kept(library):
+    fast = wordpieces.Library(wordpieces.vocabulary("byte_bpe_50k.json"))
+    assert fast.ids_of(["x" * 100]) == [packed_ids(ids_of(library["byte_bpe_50k.json"], "x" * 100))] and not fast.known.young
+
+
 def test_long_texts_in_stretches(library, monkeypatch):
     monkeypatch.setattr(wordpieces, "BATCH_CHARS", 50)
     text = "Some words, \n\n and  more   words. " * 100
@@ -302,12 +321,14 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("least", [64, 2])
-def test_ngram_join_is_exact(spark, monkeypatch, least):
+@pytest.mark.parametrize(("least", "part"), [(64, 512), (2, 3)])
+def test_ngram_join_is_exact(spark, monkeypatch, least, part):
     monkeypatch.setattr(ngram_join, "FREQUENT", least)  # 2: nearly all shared tokens are frequent and combined
+    monkeypatch.setattr(ngram_join, "KEY_PART", part)
+    monkeypatch.setattr(ngram_join, "HOT_PART", part)  # 3: shared keys are dealt in parts from the first sort on
     texts = near_texts()
     order = np.random.default_rng(2).permutation(len(texts)).tolist()
-    docs = spark.createDataFrame([(i, texts[i], "a", "b") for i in order], "doc_id long, text string, name string, component string")
+    docs = spark.createDataFrame([(i, texts[i], "a", "b") for i in order], "doc_id long, text string, cf_set string, content string")
     got = {r.id: (r.n, r.component_id) for r in ngram_join.components(docs).collect()}
     assert got == brute_components(texts, list(range(len(texts))))
     kept = ngram_join.keep_first(docs)
@@ -331,12 +352,35 @@ def test_prefix_keys_meet_for_every_similar_pair():
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
             swap = rng.integers(0, max(1, int(n * 0.11)) + 1)
             b = np.unique(np.concatenate([a[rng.permutation(len(a))[swap:]], rng.integers(0, 1 << 63, swap, dtype=np.uint64)]))
-            levels, frequent = rng.integers(0, 90, 1 << ngram_join.SKETCH_BITS, dtype=np.uint8), int(rng.choice([0, 9, 45, 90]))
+            levels, frequent = rng.integers(0, 90, 1 << 18, dtype=np.uint8), int(rng.choice([0, 9, 45, 90]))
             both = len(np.intersect1d(a, b))
             if 100 * both >= 80 * (len(a) + len(b) - both):
-                (ka, ra), (kb, rb) = ngram_join.index_keys(a, levels, frequent), ngram_join.index_keys(b, levels, frequent)
+                (ka, ra, pa), (kb, rb, pb) = ngram_join.index_keys(a, levels, frequent), ngram_join.index_keys(b, levels, frequent)
                 _, ia, ib = np.intersect1d(ka, kb, return_indices=True)
-                assert len(ia) and (np.minimum(ra[ia], rb[ib]) >= both).any()
+                assert len(ia) and (np.minimum(ra[ia], rb[ib]) >= both).any() and (pa[ia] == pb[ib]).all()
+                assert ngram_join.may_be_similar(ngram_join.parity(a), ngram_join.parity(b), len(a), len(b))
+
+
+def test_parities_rule_out_only_what_is_not_similar():
+    rng = np.random.default_rng(14)
+    ruled_out = 0
+    for n in (1, 3, 30, 64, 65, 300, 3000):
+        for share in (0, 0.4, 0.7, 0.79, 0.8, 0.82, 1):
+            for _ in range(6):
+                a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                swap = round(len(a) * (1 - share) / (1 + share))
+                b = np.unique(np.concatenate([a[rng.permutation(len(a))[swap:]], rng.integers(0, 1 << 63, swap, dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                passed = ngram_join.may_be_similar(ngram_join.parity(a), ngram_join.parity(b), len(a), len(b))
+                assert passed or 100 * both < 80 * (len(a) + len(b) - both)
+                ruled_out += not passed
+    assert ruled_out > 80
+
+
+def test_keep_first_of_equal_ids_sets_and_texts(spark):
+    rows = [(1, "a b c d e f", "z"), (1, "A b c d e f", "y"), (1, "a b c d e f", "x"), (2, "a b c d e f", "w"), (None, "q r s t u", "v"), (None, "q r s t u", "u"), (3, None, "t"), (3, "", "s")]
+    kept = [ngram_join.keep_first(spark.createDataFrame(order, "doc_id long, text string, tail string")).collect() for order in (rows, rows[::-1])]
+    assert sorted(map(str, kept[0])) == sorted(map(str, kept[1])) and Counter(r.doc_id for r in kept[0]) == {1: 1, None: 1, 3: 2}
 
 
 def test_connected(spark):
