@@ -64,28 +64,49 @@ def balanced(seeds: DataFrame, by: str, rank: str, positive: str, seed: int) ->
     return ordered.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("__k", "__first"))).drop("__k", "__first")
 
 
-def by_time(rows: DataFrame, time: str, key: str) -> DataFrame:
-    """rows with `place`, their position in time order from 0: counts by day added up, and a rank inside the day."""
-    day = F.date_trunc("day", time).cast("date")
-    per_day = rows.groupBy(day.alias("__day")).agg(F.count("*").alias("__n"))
-    before = per_day.withColumn("__before", F.sum("__n").over(Window.orderBy("__day")) - F.col("__n"))
-    inside = rows.withColumn("__day", day).withColumn("__k", F.row_number().over(Window.partitionBy("__day").orderBy(time, key)))
-    return inside.join(before, "__day").withColumn("place", F.col("__before") + F.col("__k") - 1).drop("__day", "__k", "__before", "__n")
+#: Parts in which the rows of one time are ranked.
+TIME_PARTS = 64
+
 
+def by_time(rows: DataFrame, time: str, key: str) -> DataFrame:
+    """rows with `place`, their position in time order from 0, and `upto`, the number of rows no later; a whole-number key
+    orders equal times, by its remainder first. Rows without a time are left out.
 
-def fallback(targets: DataFrame, rows: DataFrame, count: int, seed: int, time: str = "time", node: str = "node", tried: int = 3) -> DataFrame:
-    """(target, node): up to `count` random rows no later than the target and other than it.
+    Counts by time and remainder are added up, by day first, so a task ranks the rows of one time and remainder only.
+    """
+    part = F.pmod(F.col(key), F.lit(TIME_PARTS)).cast("int")
+    dealt = rows.where(F.col(time).isNotNull()).withColumn("__part", part)
+    counts = dealt.groupBy(F.col(time).alias("__time"), "__part").agg(F.count("*").alias("__n")).withColumn("__day", F.date_trunc("day", "__time"))
+    per_day = counts.groupBy("__day").agg(F.sum("__n").alias("__all"))
+    before = per_day.select("__day", (F.sum("__all").over(Window.orderBy("__day")) - F.col("__all")).alias("__days"))
+    inside = Window.partitionBy("__day")
+    running = counts.withColumns({
+        "__before": F.sum("__n").over(inside.orderBy("__time", "__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"),
+        "__upto": F.sum("__n").over(inside.orderBy("__time")),
+    })
+    placed = running.join(before, "__day").select("__time", F.col("__part").alias("__p"), (F.col("__days") + F.col("__before")).alias("__before"), (F.col("__days") + F.col("__upto")).alias("upto"))
+    ranked = dealt.withColumn("__k", F.row_number().over(Window.partitionBy(time, "__part").orderBy(key)))
+    met = ranked.join(placed, (F.col(time) == F.col("__time")) & (F.col("__part") == F.col("__p")))
+    return met.select(*rows.columns, (F.col("__before") + F.col("__k") - 1).alias("place"), "upto")
+
+
+def fallback(targets: DataFrame, rows: DataFrame, count: int, seed: int, time: str = "time", node: str = "node", tried: int = 3, ranked: bool = False) -> DataFrame:
+    """(target, node), on request with rank: `count` random rows no later than the target and other than it, or all of
+    them where there are fewer.
 
     Rows have places in time order, so "no later" is a prefix, and a draw is a hashed place joined by equality: no
-    target meets all rows. `tried` times `count` places are drawn for each; repeats and the target itself drop out.
+    target meets all rows. `tried` times `count` places are drawn for each; repeats and the target itself drop out, and
+    the first places of all, which come last, fill what is missing then.
     """
     placed = by_time(rows, time, node)
-    drawn = placed.select(F.col(node).alias("target"), (F.col("place") + 1).alias("__upto")).join(targets.select("target"), "target")
-    drawn = drawn.withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(tried * count))))
-    drawn = drawn.withColumn("place", F.floor(hash_uniform(seed, "target", "__i") * F.col("__upto")).cast("long"))
+    drawn = placed.select(F.col(node).alias("target"), F.col("upto").alias("__upto")).join(targets.select("target"), "target")
+    drawn = drawn.withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(tried * count + count + 1))))
+    hashed = F.floor(hash_uniform(seed, "target", "__i") * F.col("__upto")).cast("long")
+    drawn = drawn.withColumn("place", F.when(F.col("__i") <= tried * count, hashed).otherwise(F.col("__i") - (tried * count + 1))).where(F.col("place") < F.col("__upto"))
     once = drawn.groupBy("target", "place").agg(F.min("__i").alias("__i"))
     met = once.join(placed.select("place", node), "place").where(F.col("target") != F.col(node))
-    return met.withColumn("__k", F.row_number().over(Window.partitionBy("target").orderBy("__i"))).where(F.col("__k") <= count).select("target", node)
+    chosen = met.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("__i"))).where(F.col("rank") <= count)
+    return chosen.select("target", node, *(["rank"] if ranked else []))
 
 
 def masked(cells: DataFrame, most: float, seed: int, keys: list[str], by: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import seconds
 from ..sources.manifest import Manifest, Table
+from ..sources.shared import materialise
 
 NUMBER, TEXT, DATETIME, BOOLEAN = "number", "text", "datetime", "boolean"
 
@@ -62,7 +63,10 @@ def column_stats(df: DataFrame, table: Table, by: list[str] | None = None) -> Da
     by = by or []
     kinds = {c: k for c, k in value_columns(df, table).items() if k in (NUMBER, BOOLEAN) and c not in by}
     aggs = [x for c, k in kinds.items() for x in (F.count(as_number(c, k)).alias(f"n_{c}"), F.avg(as_number(c, k)).alias(f"m_{c}"), F.stddev_samp(as_number(c, k)).alias(f"s_{c}"))]
-    wide = df.groupBy(*by).agg(*aggs) if aggs else df.groupBy(*by).agg(F.count("*").alias("n"))
+    if not kinds:
+        none = df.select(*by).limit(0)
+        return none.select(*by, *[F.lit(None).cast(k).alias(c) for c, k in (("col", "string"), ("sem", "string"), ("n", "long"), ("mean", "double"), ("std", "double"))])
+    wide = df.groupBy(*by).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("col"), F.lit(k).alias("sem"), F.col(f"n_{c}").alias("n"), F.col(f"m_{c}").alias("mean"), guarded(F.col(f"s_{c}")).alias("std")) for c, k in kinds.items()])
     return wide.select(*by, F.inline(rows))
 
@@ -92,13 +96,13 @@ def train_stats(stats: DataFrame, split: str = "split") -> DataFrame:
         stats.where(F.col(split) == "train").drop(split), [c for c in ("table", "col") if c in stats.columns], "left")
 
 
-def cells(df: DataFrame, table: Table, row: Column, stats: DataFrame, time_stats: DataFrame) -> DataFrame:
+def cells(df: DataFrame, table: Table, row: Column, stats: DataFrame, time_stats: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
     """(row_idx, table, col, sem, num, text): a row for each value that is neither null, NaN nor a key.
 
     The table is read once: an array of its cells is unfolded. Numbers are z-scored with the column's statistics,
-    times with the global ones; an infinite score is an error.
+    times with the global ones; an infinite score is an error. `kinds` names the columns to take, all but keys if unset.
     """
-    kinds = value_columns(df, table)
+    kinds = value_columns(df, table) if kinds is None else kinds
     entry = lambda c, k: F.struct(F.lit(c).alias("col"), F.lit(k).alias("sem"), (F.lit(None).cast("double") if k == TEXT else as_number(c, k)).alias("raw"), (F.col(c).cast("string") if k == TEXT else F.lit(None).cast("string")).alias("text"))
     long = df.select(row.alias("row_idx"), F.explode(F.array(*[entry(c, k) for c, k in kinds.items()])).alias("x")).select("row_idx", "x.*").where("raw IS NOT NULL OR text IS NOT NULL")
     known = stats.select("col", "mean", "std").unionByName(time_stats.select(F.explode(F.array(*[F.lit(c) for c, k in kinds.items() if k == DATETIME] or [F.lit(None).cast("string")])).alias("col"), "mean", "std"))
@@ -116,13 +120,17 @@ def vocabulary(frames: list[DataFrame]) -> DataFrame:
 
 
 def with_text_ids(vocab: DataFrame) -> DataFrame:
-    """Dense ids by text order: ranks inside range partitions, after the partitions' sizes are added up."""
-    spark = vocab.sparkSession
-    parts = vocab.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "text").withColumn("__p", F.spark_partition_id())
-    counts = parts.groupBy("__p").agg(F.count("*").alias("__c"))
-    before = counts.withColumn("__before", F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["__before"])
-    inside = parts.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy("text")))
-    return inside.join(F.broadcast(before), "__p").select(*vocab.columns, (F.col("__before") + F.col("__k") - 1).alias("txt_id"))
+    """Dense ids by text order, as txt_id.
+
+    The texts are sorted by ranges into files once, and both the files' sizes and the places in them are read from there:
+    ranges are cut by a sample, which is not the same when it is drawn again.
+    """
+    sorted_once = materialise(vocab.repartitionByRange("text").sortWithinPartitions("text"), "vocabulary")
+    placed = sorted_once.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__k"))
+    counts = placed.groupBy("__file").agg(F.count("*").alias("__c"))
+    number = F.regexp_extract("__file", "^part-([0-9]+)", 1).cast("long")
+    before = counts.select("__file", (F.sum("__c").over(Window.orderBy(number, "__file")) - F.col("__c")).alias("__before"))
+    return placed.join(before, "__file").select(*vocab.columns, (F.col("__before") + F.col("__k")).alias("txt_id"))
 
 
 def offsets(counts: DataFrame) -> DataFrame:

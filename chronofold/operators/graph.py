@@ -15,24 +15,55 @@ from ..functions.scalars import hash_rank
 SPAN = 1 << 40
 
 
-def bfs(seeds: DataFrame, edges: DataFrame, depth: int, width: int | None = None, seed: int = 0, checkpoint: bool = False) -> DataFrame:
+#: Seconds of a bucket of children of one parent, and parts in which one is ranked.
+BUCKET, PARTS = 30 * 86_400, 64
+
+
+def _thinned(edges: DataFrame, width: int, seed: int) -> DataFrame:
+    """Edges with what a capped expansion needs: a child's bucket of time and its hash rank inside it.
+
+    A bucket that lies wholly before a seed's time can show its first `width` children only, so a hub gives that many for
+    each bucket and all of one bucket, not all its children. Children without a time are one bucket. A bucket is ranked in
+    parts first, and only the first `width` of each part with each other.
+    """
+    order = [hash_rank(seed, "parent", "child"), F.col("child")]
+    dealt = edges.withColumn("bucket", F.floor(F.col("child_ts") / F.lit(BUCKET))).withColumn("part", F.pmod(F.xxhash64("child"), F.lit(PARTS)).cast("int"))
+    dealt = dealt.withColumn("k", F.row_number().over(Window.partitionBy("parent", "bucket", "part").orderBy(*order)))
+    ahead = F.col("k") <= width
+    group = Window.partitionBy("parent", "bucket", F.when(ahead, -1).otherwise(F.col("part"))).orderBy(*order)
+    return dealt.withColumn("in_bucket", F.when(ahead, F.row_number().over(group)).otherwise(width + 1)).drop("part", "k")
+
+
+def bfs(seeds: DataFrame, edges: DataFrame, depth: int, width: int | None = None, seed: int = 0, checkpoint: bool = False, task_rule: bool = False) -> DataFrame:
     """(seed, node, depth): every node within `depth` steps, at its smallest depth.
 
-    seeds(seed, node, ts). A node expanded shows all its parents and at most `width` of its visible children, in hash
-    order. The frontier of each level holds only nodes not reached before. With checkpoint=True each level is written
-    to the checkpoint folder, so deep expansions keep short lineages.
+    seeds(seed, node, ts). A node expanded shows all its parents and at most `width` of its visible children, in the
+    parent's hash order. The frontier of each level holds only nodes not reached before. With checkpoint=True each level
+    is written to the checkpoint folder, so deep expansions keep short lineages. With task_rule=True seeds have `table`
+    and edges `child_table` and `child_split`: label rows are shown only to seeds of their own table, and no width holds for them.
     """
-    reached = seeds.select("seed", "node", "ts", F.lit(0).alias("depth"))
+    extra = ["table"] if task_rule else []
+    reached = seeds.select("seed", "node", "ts", *extra, F.lit(0).alias("depth"))
     frontier = reached
+    plain = edges.where("child_split = 'db'") if task_rule else edges
+    ranked = plain if width is None else _thinned(plain.select("child", "parent", "child_ts").distinct(), width, seed)
+    visible = F.col("child_ts").isNull() | (F.col("child_ts") <= F.col("ts"))
     for level in range(1, depth + 1):
-        up = frontier.join(edges, frontier["node"] == edges["child"]).select("seed", "ts", F.col("parent").alias("node"))
-        visible = F.col("child_ts").isNull() | (F.col("child_ts") <= F.col("ts"))
-        down = frontier.join(edges, frontier["node"] == edges["parent"]).where(visible).select("seed", "ts", F.col("node").alias("via"), "child").distinct()
-        if width is not None:
-            rank = F.row_number().over(Window.partitionBy("seed", "via").orderBy(hash_rank(seed, "seed", "via", "child"), "child"))
+        up = frontier.join(edges, frontier["node"] == edges["child"]).select("seed", "ts", *extra, F.col("parent").alias("node"))
+        met = frontier.join(ranked, frontier["node"] == ranked["parent"])
+        if width is None:
+            down = met.where(visible)
+        else:
+            whole = F.col("child_ts").isNull() | (F.col("bucket") < F.floor(F.col("ts") / F.lit(BUCKET)))
+            down = met.where(visible & (~whole | (F.col("in_bucket") <= width))).select("seed", "ts", *extra, F.col("node").alias("via"), "child").distinct()
+            rank = F.row_number().over(Window.partitionBy("seed", "via").orderBy(hash_rank(seed, "via", "child"), "child"))
             down = down.withColumn("k", rank).where(F.col("k") <= width)
-        found = up.unionByName(down.select("seed", "ts", F.col("child").alias("node"))).distinct()
-        frontier = found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "ts", F.lit(level).alias("depth"))
+        found = up.unionByName(down.select("seed", "ts", *extra, F.col("child").alias("node")))
+        if task_rule:
+            labels = edges.where("child_split <> 'db'").withColumnRenamed("child_table", "__table")
+            own = frontier.join(labels, (frontier["node"] == labels["parent"]) & (frontier["table"] == labels["__table"])).where(visible)
+            found = found.unionByName(own.select("seed", "ts", *extra, F.col("child").alias("node")))
+        frontier = found.distinct().join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "ts", *extra, F.lit(level).alias("depth"))
         if checkpoint:
             frontier = frontier.checkpoint()
         reached = reached.unionByName(frontier)
@@ -49,7 +80,8 @@ def visits(sources: DataFrame, edges: DataFrame, length: int, same_table: int =
     """(source, node, visits): expected visits per walk of `length` nodes, to other nodes of the source's table.
 
     sources(source, ts). A step goes to any parent or visible child (visible from the source), each edge as likely as
-    another. Sampling walks would give these numbers with noise. Mass under `least` is dropped at each step.
+    another. Sampling walks would give these numbers with noise. Mass under `least` is dropped at each step, which keeps
+    long walks short of memory; least=0 drops nothing.
     """
     mass = sources.select("source", "ts", F.col("source").alias("node"), F.lit(1.0).alias("p"))
     seen = None

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hash_uniform
+
 #: What is predicted where nothing is visible.
 DEFAULTS = {"clf": 0.5, "reg": 0.0}
 
@@ -26,13 +30,28 @@ def label_features(targets: DataFrame, labels: DataFrame) -> DataFrame:
     Global means come from running sums over the distinct times, so no target meets all labels.
     """
     own = visible_labels(targets, labels).groupBy("target").agg(F.avg("label").alias("entity_mean"), F.count("label").alias("n"))
-    daily = labels.groupBy("time").agg(F.sum("label").alias("s"), F.count("label").alias("c"))
-    run = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-    overall = daily.select("time", (F.sum("s").over(run) / F.sum("c").over(run)).alias("global_mean"))
-    out = targets.join(own, "target", "left").join(F.broadcast(overall), targets["cutoff"] == overall["time"], "left")
+    overall = means_before(labels, targets.select("cutoff").distinct()).withColumnRenamed("cutoff", "__cutoff")
+    out = targets.join(own, "target", "left").join(overall, F.col("cutoff") == F.col("__cutoff"), "left")
     return out.select("target", F.col("n").isNotNull().alias("same_entity"), "entity_mean", F.log1p(F.coalesce("n", F.lit(0)).cast("double")).alias("log_entity_count"), "global_mean")
 
 
+def means_before(labels: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """(cutoff, global_mean): the mean of all labels(time, label) strictly before each cutoff.
+
+    Labels are added up by time; cutoffs stand between the times in one line. Days are summed first, so a task orders the
+    times of one day only, and a single one orders no more than the days.
+    """
+    daily = labels.groupBy("time").agg(F.sum("label").alias("s"), F.count("label").alias("c"))
+    at = cutoffs.select(F.col("cutoff").alias("time"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"), F.lit(0).alias("side"))
+    line = daily.select("time", F.col("s").cast("double").alias("s"), "c", F.lit(1).alias("side")).unionByName(at).withColumn("day", F.date_trunc("day", "time"))
+    days = line.groupBy("day").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    run = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = days.select("day", F.coalesce(F.sum("s").over(run), F.lit(0.0)).alias("s0"), F.coalesce(F.sum("c").over(run), F.lit(0)).alias("c0"))
+    inside = Window.partitionBy("day").orderBy("time", "side").rowsBetween(Window.unboundedPreceding, 0)
+    summed = line.withColumns({"s": F.sum("s").over(inside), "c": F.sum("c").over(inside)}).where("side = 0").join(earlier, "day")
+    return summed.select(F.col("time").alias("cutoff"), F.try_divide(F.col("s") + F.col("s0"), F.col("c") + F.col("c0")).alias("global_mean"))
+
+
 def mean_prediction(features: DataFrame, task_type: str, by: str = "entity") -> DataFrame:
     """(target, prediction): the entity's mean, where it has none the global one, where that is missing the default."""
     columns = (["entity_mean"] if by == "entity" else []) + ["global_mean"]
@@ -89,8 +108,76 @@ def ridge_prediction(sets: DataFrame, features: list[str], task_type: str, stren
     return sets.select("target", "is_target", "label", *features).groupBy("target").applyInPandas(solve, "target long, prediction double")
 
 
-def boosted_prediction(train: DataFrame, test: DataFrame, features: list[str], task_type: str, seed: int = 0, **options) -> DataFrame:
-    """(target, prediction) of gradient-boosted trees fitted on all of train; classes are weighted by their odds."""
+def linear_solution(x: np.ndarray, y: np.ndarray, at: np.ndarray, logistic: bool) -> float:
+    """Least squares with an intercept, or a logistic model whose weights are held back by half their squares, at one row."""
+    if not logistic:
+        full = np.column_stack([np.ones(len(x)), x])
+        return float(np.append(1.0, at) @ np.linalg.lstsq(full, y, rcond=None)[0])
+    full, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+    penalty = np.diag(np.append(0.0, np.ones(x.shape[1])))
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
+        slope = full.T @ (p - y) + penalty @ w
+        step = np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]) + penalty + 1e-12 * np.eye(len(w)), slope)
+        w -= step * min(1.0, 10.0 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(1 / (1 + np.exp(-np.clip(np.append(1.0, at) @ w, -30, 30))))
+
+
+def imputed(features: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without NaN or infinities: a column's mean of finite values stands for them, 0 where it has none."""
+    finite = np.isfinite(features)
+    sums = np.where(finite, features, 0).sum(0)
+    means = np.divide(sums, finite.sum(0), out=np.zeros_like(sums), where=finite.any(0))
+    return np.where(finite, features, means), np.where(np.isfinite(row), row, means)
+
+
+def regression_prediction(sets: DataFrame, features: list[str], task_type: str) -> DataFrame:
+    """(target, prediction) from rows (target, is_target, label, features...): a linear or logistic model for each target.
+
+    A target with fewer than two labels gets the default, one whose labels are all equal that label.
+    """
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        known, row = pdf[~pdf.is_target], pdf[pdf.is_target]
+        y = known.label.to_numpy(float)
+        if len(row) == 0 or len(y) < 2:
+            guess = DEFAULTS[task_type]
+        elif (y == y[0]).all():
+            guess = float(y[0])
+        else:
+            x, at = imputed(known[features].to_numpy(float), row[features].to_numpy(float)[0])
+            guess = linear_solution(x, y, at, task_type == "clf")
+        return pd.DataFrame({"target": [pdf.target.iloc[0]], "prediction": [guess]})
+
+    return sets.select("target", "is_target", "label", *features).groupBy("target").applyInPandas(solve, "target long, prediction double")
+
+
+#: Settings of the boosted trees that were tuned on validation labels, alike for both kinds of features and tasks.
+TUNED = {"maxIter": 200, "maxDepth": 3, "stepSize": 0.05, "minInstancesPerNode": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+
+
+def tuned_settings(task_type: str, override: str | None = None) -> dict:
+    """TUNED, or what a JSON file {"clf": {...}, "reg": {...}} says for the task type instead."""
+    if override is None:
+        return dict(TUNED)
+    with open(override, encoding="utf-8") as file:
+        return {**TUNED, **json.load(file).get(task_type, {})}
+
+
+def held_back(train: DataFrame, share: float, seed: int) -> DataFrame:
+    """train with `__stop`, true for that share of each label by hash: the rows that tell when to stop."""
+    return train.withColumn("__stop", hash_uniform(seed, "target", "label") < share)
+
+
+def boosted_prediction(train: DataFrame, test: DataFrame, features: list[str], task_type: str, seed: int = 0, stop_share: float = 0.0, **options) -> DataFrame:
+    """(target, prediction) of gradient-boosted trees fitted on all of train; classes are weighted by their odds.
+
+    With stop_share > 0 that share of the rows decides when adding trees ends.
+    """
+    if stop_share > 0:
+        train, options = held_back(train, stop_share, seed), {**options, "validationIndicatorCol": "__stop"}
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
@@ -108,4 +195,5 @@ def boosted_prediction(train: DataFrame, test: DataFrame, features: list[str], t
 
 
 def identity_prediction(rows: DataFrame, feature: str) -> DataFrame:
+    """(target, prediction): a feature as it is."""
     return rows.select("target", F.col(feature).cast("double").alias("prediction"))

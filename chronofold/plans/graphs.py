@@ -52,7 +52,7 @@ def bfs_width_capped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bfs_sql(width: int | None) -> str:
-    cap = f"QUALIFY row_number() OVER (PARTITION BY seed, via ORDER BY md5('5|' || seed || '|' || via || '|' || child), child) <= {width}" if width else ""
+    cap = f"QUALIFY row_number() OVER (PARTITION BY seed, via ORDER BY md5('5|' || via || '|' || child), child) <= {width}" if width else ""
     step = lambda f: f"SELECT seed, ts, parent AS node FROM {f} JOIN e ON node = child UNION SELECT seed, ts, child FROM (SELECT seed, ts, via, child FROM (SELECT DISTINCT seed, ts, node AS via, child FROM {f} JOIN e ON node = parent WHERE child_ts IS NULL OR child_ts <= ts) {cap})"
     return f"""
 WITH e AS ({EDGES_SQL}), l0 AS ({_SEEDS}), s1 AS ({step('l0')}), l1 AS (SELECT * FROM s1 WHERE (seed, node) NOT IN (SELECT seed, node FROM l0)),
@@ -126,12 +126,18 @@ def fallback_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return C.fallback(orders.select(F.col("node").alias("target")), orders, 3, 7)
 
 
-FALLBACK_SQL = """
-WITH p AS (SELECT o_orderkey AS node, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders),
-d AS (SELECT node AS target, i, floor(('0x' || substr(md5('7|' || node || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (place + 1))::BIGINT AS place FROM p, range(1, 10) t(i)),
-o AS (SELECT target, place, min(i) AS i FROM d GROUP BY 1, 2)
-SELECT target, node FROM (SELECT target, node, row_number() OVER (PARTITION BY target ORDER BY i) AS k FROM o JOIN p USING (place) WHERE target <> node) WHERE k <= 3
-"""
+def fallback_sql(rows: str, count: int, seed: int) -> str:
+    """CTEs that give fb(target, node, k) over rows (node, time): hashed places among the rows no later, then the first ones."""
+    hashed = f"('0x' || substr(md5('{seed}|' || node || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    return f"""
+fb_p AS (SELECT node, row_number() OVER (ORDER BY time, node % 64, node) - 1 AS place, count(*) OVER (ORDER BY time RANGE UNBOUNDED PRECEDING) AS upto FROM ({rows})),
+fb_d AS (SELECT node AS target, i, floor({hashed} * upto)::BIGINT AS place FROM fb_p, range(1, {3 * count + 1}) t(i)
+  UNION ALL SELECT node, {3 * count} + 1 + j, j FROM fb_p, range(0, {count + 1}) t(j) WHERE j < upto),
+fb_o AS (SELECT target, place, min(i) AS i FROM fb_d GROUP BY 1, 2),
+fb AS (SELECT target, node, k FROM (SELECT target, node, row_number() OVER (PARTITION BY target ORDER BY i) AS k FROM fb_o JOIN fb_p USING (place) WHERE target <> node) WHERE k <= {count})"""
+
+
+FALLBACK_SQL = f"WITH {fallback_sql('SELECT o_orderkey AS node, o_orderdate AS time FROM orders', 3, 7)} SELECT target, node FROM fb"
 
 
 def mask_cells(spark: SparkSession, sf: str) -> DataFrame:

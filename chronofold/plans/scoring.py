@@ -9,6 +9,8 @@ from ..operators import dfs as D
 from ..operators import evaluate as V
 from ..operators import history as H
 from ..operators import predict as P
+from ..operators import store as ST
+from .contexts import _sources
 from .features import _CUTS, _LABELS, churn_labels
 from .tables import ORDER_CUTOFFS, STAR, rounded, table
 
@@ -155,15 +157,64 @@ ENSEMBLE_SQL = f"SELECT target, round((round(coalesce(entity_mean, global_mean,
 
 
 def submission_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Normalised spend predictions in the label's scale, on the label rows."""
+    """Spend at the last cutoff: lines fitted to normalised labels, brought back to the label's scale on the label rows."""
     _, labels = _labels(spark, sf)
-    stats = V.denormalisation(labels, "spend").first()
-    normal = labels.select(F.col("target").alias("node"), ((F.col("spend") - stats["mean"]) / stats["std"]).alias("prediction"))
-    rows = labels.select(F.col("target").alias("node"), "entity", "time", F.col("spend").alias("label"))
-    return rounded(V.submission(normal, rows, "reg", ["entity", "time"], mean=stats["mean"], std=stats["std"]), 2)
+    last = F.col("time") == F.lit(ORDER_CUTOFFS[-1]).cast("timestamp_ntz")
+    stats = V.denormalisation(labels.where(~last), "spend").first()
+    rows = labels.withColumns({"x": F.year("time").cast("double") - 1997, "y": (F.col("spend") - stats["mean"]) / stats["std"]})
+    ahead = rows.where(last).select("entity", "x", F.col("target").alias("node"))
+    lines = P.linear_prediction(rows.where(~last), "entity", "x", "y", ahead, "x").join(ahead, "entity").select("node", "prediction")
+    truth = rows.where(last).select(F.col("target").alias("node"), "entity", "time", F.col("spend").alias("label"))
+    return rounded(V.submission(lines, truth, "reg", ["entity", "time"], mean=stats["mean"], std=stats["std"]), 2)
+
+
+SUBMISSION_SQL = f"""
+WITH l AS (SELECT *, year(cutoff)::DOUBLE - 1997 AS x FROM ({_L})), past AS (SELECT * FROM l WHERE cutoff < TIMESTAMP '{ORDER_CUTOFFS[-1]}'),
+f AS (SELECT entity, regr_slope(spend, x) AS slope, regr_intercept(spend, x) AS base, avg(spend) AS mean FROM past GROUP BY 1)
+SELECT l.entity, l.cutoff AS time, l.target AS node, l.spend AS label, round(coalesce(CASE WHEN isfinite(slope) THEN base + slope * x END, mean, (SELECT avg(spend) FROM past)), 2) AS prediction
+FROM l LEFT JOIN f USING (entity) WHERE l.cutoff = TIMESTAMP '{ORDER_CUTOFFS[-1]}'
+"""
+
+
+def pred_least_squares(spark: SparkSession, sf: str) -> DataFrame:
+    """Spend at the last cutoff from each customer's earlier label rows, by the linear predictor with one feature."""
+    _, labels = _labels(spark, sf)
+    last = F.lit(ORDER_CUTOFFS[-1]).cast("timestamp_ntz")
+    rows = labels.select(F.col("entity").alias("target"), "time", "spend", (F.year("time").cast("double") - 1997).alias("x"))
+    own = rows.where(F.col("time") == last).select("target", F.lit(True).alias("is_target"), F.lit(None).cast("double").alias("label"), "x")
+    past = rows.where(F.col("time") < last).select("target", F.lit(False).alias("is_target"), F.col("spend").alias("label"), "x")
+    return rounded(P.regression_prediction(own.unionByName(past), ["x"], "reg"), 3)
+
+
+SQUARES_SQL = f"""
+WITH l AS (SELECT *, year(cutoff)::DOUBLE - 1997 AS x FROM ({_L})), n AS (SELECT DISTINCT entity FROM l),
+f AS (SELECT entity, regr_slope(spend, x) AS slope, regr_intercept(spend, x) AS base, count(*) AS c, min(spend) AS lo, max(spend) AS hi FROM l WHERE cutoff < TIMESTAMP '{ORDER_CUTOFFS[-1]}' GROUP BY 1)
+SELECT entity AS target, round(CASE WHEN coalesce(c, 0) < 2 OR l.x IS NULL THEN 0 WHEN lo = hi THEN lo ELSE base + slope * l.x END, 3) AS prediction
+FROM n LEFT JOIN f USING (entity) LEFT JOIN (SELECT entity, x FROM l WHERE cutoff = TIMESTAMP '{ORDER_CUTOFFS[-1]}') l USING (entity)
+"""
+
+
+def metric_auroc_all(spark: SparkSession, sf: str) -> DataFrame:
+    """One score over all label rows, its scores ordered bin by bin."""
+    return rounded(V.auroc(_scored(spark, sf)))
+
+
+AUROC_ALL_SQL = f"""
+WITH s AS (SELECT *, rank() OVER (ORDER BY prediction) + (count(*) OVER (PARTITION BY prediction) - 1) / 2.0::DOUBLE AS r FROM ({_SCORED}))
+SELECT round((sum(r * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))), 6) AS auroc, count(*) AS n FROM s
+"""
+
+
+def task_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as label rows against their encoded rows; every count is 0."""
+    parts = _sources(spark, sf, ("customer", "orders"))
+    at = next(s.offset for s in parts if s.name == "orders")
+    nodes = ST.nodes(parts).where("table = 'orders'")
+    parents = ST.edges(parts, fk="key").select("child", F.col("parent").alias("parent_row"))  # customers are numbered from 0
+    return V.task_audit(table(spark, sf, "orders"), nodes, parents, "o_custkey", "o_orderdate", "o_orderkey", at)
 
 
-SUBMISSION_SQL = f"SELECT entity, cutoff AS time, target AS node, spend AS label, spend AS prediction FROM ({_L})"
+TASK_AUDIT_SQL = "SELECT unnest(['null entity or time', 'label without node', 'node without label', 'other time', 'other parent']) AS \"check\", 0::BIGINT AS found"
 
 
 def metric_means(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,6 +256,9 @@ QUERIES = {
     "pred_global_mean": (pred_global_mean, f"SELECT target, round(coalesce(global_mean, 0.5), 6) AS prediction FROM ({_FEATS})"),
     "pred_linear_1d": (pred_linear_1d, LINEAR_SQL),
     "pred_ridge": (pred_ridge, None),
+    "pred_least_squares": (pred_least_squares, SQUARES_SQL),
+    "metric_auroc_all": (metric_auroc_all, AUROC_ALL_SQL),
+    "task_audit": (task_audit, TASK_AUDIT_SQL),
     "metric_auroc": (metric_auroc, AUROC_SQL),
     "metric_mae_r2": (metric_mae_r2, MAE_SQL),
     "metric_means": (metric_means, f"SELECT 'auroc' AS metric, round(avg(auroc), 4) AS value, count(*) AS tasks FROM ({AUROC_SQL}) UNION ALL SELECT 'mae', round(avg(mae), 4), count(*) FROM ({MAE_SQL})"),

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "val", "test")
@@ -96,6 +96,18 @@ class Files:
         rows = self.spark.read.text(path, wholetext=True).collect()
         return rows[0][0] if rows else ""
 
+    def move(self, path: str, to: str) -> None:
+        """Rename a file over what is there."""
+        fs, p = self._at(path)
+        target = self.jvm.org.apache.hadoop.fs.Path(to)
+        fs.delete(target, True)
+        if not fs.rename(p, target):
+            raise OSError(f"cannot move {path} to {to}")
+
+    def delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
+
     def write(self, path: str, text: str) -> None:
         fs, p = self._at(path)
         out = fs.create(p, True)
@@ -132,14 +144,17 @@ class Database:
         df = self.spark.read.parquet(f"{self.path}/db/{safe_name(name)}.parquet")
         return df.withColumn(row_col, F.col("_metadata.row_index")) if row_col else df
 
+    def splits(self, task: str) -> dict[str, DataFrame]:
+        """A task's splits that exist."""
+        files, paths = Files(self.spark), {s: f"{self.path}/tasks/{safe_name(task)}/{s}.parquet" for s in SPLITS}
+        return {s: self.spark.read.parquet(p) for s, p in paths.items() if files.exists(p)}
+
     def labels(self, task: str) -> DataFrame:
         """A task's splits that exist, in one frame with `split`."""
-        files, out = Files(self.spark), None
-        for split in SPLITS:
-            where = f"{self.path}/tasks/{safe_name(task)}/{split}.parquet"
-            if files.exists(where):
-                one = self.spark.read.parquet(where).withColumn("split", F.lit(split))
-                out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        out = None
+        for split, df in self.splits(task).items():
+            one = df.withColumn("split", F.lit(split))
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
         if out is None:
             raise FileNotFoundError(f"no split of {task}")
         return out
@@ -181,8 +196,8 @@ def import_tables(spark: SparkSession, path: str, database: str) -> list[tuple[s
     made = []
     try:
         for n in names:
-            made.append(n)
             spark.read.parquet(f"{path}/{n}.parquet").write.mode("errorifexists").saveAsTable(f"`{database}`.`{n}`")
+            made.append(n)  # after the write: a table that another session made in the meantime is not ours to drop
         return [(n, spark.table(f"`{database}`.`{n}`").count()) for n in names]
     except Exception:
         for n in made:
@@ -197,14 +212,43 @@ def read_labels(spark: SparkSession, path: str, time_col: str) -> DataFrame:
     return df if kind in ("timestamp_ntz",) else df.withColumn(time_col, F.col(time_col).cast("timestamp_ntz"))
 
 
-def read_external(spark: SparkSession, url: str, names: list[str], **options: str) -> dict[str, DataFrame]:
-    """Tables of a database over JDBC; its driver must be on the class path."""
-    return {n: spark.read.format("jdbc").options(url=url, dbtable=n, **options).load() for n in names}
+def read_external(spark: SparkSession, url: str, names: list[str], by: dict[str, tuple[str, int, int]] | None = None, parts: int = 64, **options: str) -> dict[str, DataFrame]:
+    """Tables of a database over JDBC; its driver must be on the class path.
+
+    by: for a table, a numeric column with its least and largest value, by which it is read in `parts` tasks.
+    """
+    out = {}
+    for n in names:
+        reader = spark.read.format("jdbc").options(url=url, dbtable=n, **options)
+        if n in (by or {}):
+            column, low, high = by[n]
+            reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
+        out[n] = reader.load()
+    return out
+
+
+def positioned(df: DataFrame, name: str) -> DataFrame:
+    """A Parquet table with the position of each row from 0: files by path, then rows as they lie.
+
+    Only the files' row counts are added up, one number a file.
+    """
+    if len(df.inputFiles()) <= 1:
+        return df.withColumn(name, F.col("_metadata.row_index"))
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    counts = df.select(F.col("_metadata.file_path").alias("__file")).groupBy("__file").agg(F.count("*").alias("__c"))
+    before = counts.select("__file", (F.sum("__c").over(Window.orderBy("__file")) - F.col("__c")).alias("__before"))
+    return placed.join(before, "__file").select(*df.columns, (F.col("__before") + F.col("__at")).alias(name))
 
 
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """A surrogate key: the row's position in its file (of a table that is one file)."""
-    return df.withColumn(name, F.col("_metadata.row_index"))
+    """A surrogate key: the row's position in its table."""
+    return positioned(df, name)
+
+
+def export(spark: SparkSession, query: str, path: str, args: list | dict | None = None) -> DataFrame:
+    """Write the rows of a query with bound parameters (? or :name) as Parquet, and read them back."""
+    spark.sql(query, args=args).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def discover(spark: SparkSession, root: str, complete: str = "meta.json") -> list[str]:
