@@ -165,13 +165,13 @@ def submission_rows(spark: SparkSession, sf: str) -> DataFrame:
     ahead = rows.where(last).select("entity", "x", F.col("target").alias("node"))
     lines = P.linear_prediction(rows.where(~last), "entity", "x", "y", ahead, "x").join(ahead, "entity").select("node", "prediction")
     truth = rows.where(last).select(F.col("target").alias("node"), "entity", "time", F.col("spend").alias("label"))
-    return rounded(V.submission(lines, truth, "reg", ["entity", "time"], mean=stats["mean"], std=stats["std"]), 2)
+    return rounded(V.submission(lines, truth, "reg", ["entity", "time"], mean=stats["mean"], std=stats["std"]), 6)
 
 
 SUBMISSION_SQL = f"""
 WITH l AS (SELECT *, year(cutoff)::DOUBLE - 1997 AS x FROM ({_L})), past AS (SELECT * FROM l WHERE cutoff < TIMESTAMP '{ORDER_CUTOFFS[-1]}'),
 f AS (SELECT entity, regr_slope(spend, x) AS slope, regr_intercept(spend, x) AS base, avg(spend) AS mean FROM past GROUP BY 1)
-SELECT l.entity, l.cutoff AS time, l.target AS node, l.spend AS label, round(coalesce(CASE WHEN isfinite(slope) THEN base + slope * x END, mean, (SELECT avg(spend) FROM past)), 2) AS prediction
+SELECT l.entity, l.cutoff AS time, l.target AS node, l.spend AS label, round(coalesce(CASE WHEN isfinite(slope) THEN base + slope * x END, mean, (SELECT avg(spend) FROM past)), 6) AS prediction
 FROM l LEFT JOIN f USING (entity) WHERE l.cutoff = TIMESTAMP '{ORDER_CUTOFFS[-1]}'
 """
 
