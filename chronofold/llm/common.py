@@ -2,58 +2,33 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where tables that cut lineage go if the session names no shared folder (local runs only).
-FALLBACK_DIR = "file:///tmp/checkpoints"
+from ..sources.shared import discard, fresh_path, materialise, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/chronofold-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at replicated storage."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialised tables that no returned plan reads."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            if "/chronofold-" in folder:
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["connected", "discard", "fresh_path", "map_batches", "materialise", "shared_dir", "texts_of"]
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str, rows: int = 512) -> DataFrame:
-    """mapInArrow over batches of at most `rows` rows, so that long texts stay few at a time."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """mapInArrow over slices of at most `rows` rows, so that what is made of long texts is there for few at a time.
+
+    Arrow batches themselves are bounded in bytes by Spark; the session's settings stay as they are.
+    """
 
     def run(batches):
-        for batch in batches:
-            out = fn(batch)
-            if out is None:
-                continue
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                out = fn(whole.slice(at, rows))
+                if out is None:
+                    continue
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
 
     return df.mapInArrow(run, schema)
 
