@@ -25,45 +25,55 @@ def line_keys(text: str, least: int) -> list[bytes | None]:
 
 
 def drop_lists(docs: DataFrame, least: int = 10, documents: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, drops array<binary>): for each document, the keys it must lose.
+    """(id, alt, drops array<binary>): for each document, the keys it must lose.
 
-    A key counts once for each document. Rows with null ids are one document that comes after all others.
+    A key counts once for each document. Rows with null ids are documents told apart by `alt`, a hash of their text; they
+    come after all others, in the order of their hashes.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), nameless(id_col, text_col).alias("alt"), F.col(text_col).cast("string").alias("text"))
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, keys = [], []
-        for doc, text in zip(batch.column("id").to_pylist(), texts_of(batch), strict=True):
+        ids, alts, keys = [], [], []
+        for doc, alt, text in zip(batch.column("id").to_pylist(), batch.column("alt").to_pylist(), texts_of(batch), strict=True):
             own = {k for k in line_keys(text, least) if k}
             ids += [doc] * len(own)
+            alts += [alt] * len(own)
             keys += own
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["id", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(alts, pa.int64()), pa.array(keys, pa.binary())], ["id", "alt", "key"])
 
-    held = materialise(map_batches(rows, hashed, "id long, key binary"), "line-keys")
-    if documents == 2:  # smallest and largest differ: no distinct count is needed
-        several = held.groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("nameless"))
-        several = several.where("keeper < last OR (nameless AND keeper IS NOT NULL)").select("key", "keeper")
+    held = materialise(map_batches(rows, hashed, "id long, alt long, key binary"), "line-keys")
+    keeper = [F.min("id").alias("keeper"), F.min("alt").alias("alt_keeper")]
+    if documents == 2:  # two documents or more: the smallest and the largest differ, so no distinct count is needed
+        several = held.groupBy("key").agg(*keeper, F.max("id").alias("last"), F.max("alt").alias("alt_last"))
+        several = several.where("keeper < last OR alt_keeper < alt_last OR (keeper IS NOT NULL AND alt_keeper IS NOT NULL)")
     else:
-        once = held.select("key", "id").distinct()
-        several = once.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("keeper")).where(F.col("n") >= documents).select("key", "keeper")
-    several = materialise(several, "shared-lines")
-    losing = held.join(several, "key").where("NOT id <=> keeper")
-    return losing.groupBy("id").agg(F.collect_set("key").alias("drops"))
+        once = held.select("key", "id", "alt").distinct()
+        several = once.groupBy("key").agg(F.count("*").alias("n"), *keeper).where(F.col("n") >= documents)
+    several = materialise(several.select("key", "keeper", "alt_keeper"), "shared-lines")
+    losing = held.join(several, "key").where("CASE WHEN id IS NOT NULL THEN id <> keeper ELSE keeper IS NOT NULL OR alt <> alt_keeper END")
+    return losing.groupBy("id", "alt").agg(F.collect_set("key").alias("drops"))
+
+
+def nameless(id_col: str, text_col: str):
+    """A hash of the text where the id is null, else null."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, documents: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with `text_col` reassembled from the lines that stay, and two columns: cf_lines, cf_dropped.
 
-    A null or empty text is one empty line and stays as it is. All rows and columns are kept.
+    A null or empty text is one empty line and stays as it is. All rows and columns are kept, whatever they are named.
     """
-    drops = drop_lists(docs, least, documents, id_col, text_col).select(F.col("id").alias("cf_id"), F.col("drops").alias("cf_drops"))
-    joined = docs.join(drops, docs[id_col].cast("long").eqNullSafe(drops["cf_id"]), "left").drop("cf_id")
-    names = [c for c in joined.columns if c != "cf_drops"]
+    drops = drop_lists(docs, least, documents, id_col, text_col)
+    names = docs.columns
     place = names.index(text_col)
+    cells = docs.select("*", nameless(id_col, text_col)).toDF(*(f"c{i}" for i in range(len(names))), "a")
+    met = F.col(f"c{names.index(id_col)}").cast("long").eqNullSafe(drops["id"]) & cells["a"].eqNullSafe(drops["alt"])
+    joined = cells.join(drops, met, "left").select(*(f"c{i}" for i in range(len(names))), "drops")
 
     def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, n_lines, n_dropped = [], [], []
-        for text, drops in zip(batch.column(place).to_pylist(), batch.column("cf_drops").to_pylist(), strict=True):
+        for text, drops in zip(batch.column(place).to_pylist(), batch.column("drops").to_pylist(), strict=True):
             n_lines.append((text or "").count("\n") + 1)
             if drops and text:
                 gone = set(drops)
@@ -76,8 +86,8 @@ def dedup_lines(docs: DataFrame, least: int = 10, documents: int = 2, id_col: st
         cols = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
         return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*(f"c{i}" for i in range(len(names))), "cf_lines", "cf_dropped"])
 
-    fields = ", ".join(f"c{i} {'string' if i == place else joined.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
-    return map_batches(joined.select(*[joined[n] for n in names], "cf_drops"), kept, f"{fields}, cf_lines long, cf_dropped long").toDF(*names, "cf_lines", "cf_dropped")
+    fields = ", ".join(f"c{i} {'string' if i == place else docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
+    return map_batches(joined, kept, f"{fields}, cf_lines long, cf_dropped long").toDF(*names, "cf_lines", "cf_dropped")
 
 
 def op6_lines(spark, sf_dir: str) -> DataFrame:
