@@ -3,7 +3,7 @@
 A text's subwords are the byte 2-, 3- and 4-grams of its lower-cased letters, blanks marking word ends, each
 hashed to a bucket. The buckets' embeddings are averaged and a linear layer gives the languages' logits. Both
 are trained together by stochastic gradient descent in numpy. As averaging and the layer are linear, a bucket's
-contribution to each logit is tabulated once, and prediction is a table lookup and a mean.
+contribution to each logit is tabulated once if that is the smaller table, and prediction is a lookup and a mean.
 """
 
 from __future__ import annotations
@@ -18,8 +18,14 @@ from pyspark.sql import functions as F
 from .common import map_batches, texts_of
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 16, 16, (2, 3, 4)
-#: Bounds of the training sample: documents of each language (about), and languages (the most frequent).
-SAMPLE_EACH, LANGUAGES = 400, 128
+#: Bounds of the training sample: documents of each language (about), and characters in all. Where languages are so many
+#: that the second bound leaves fewer, about LEAST_EACH documents of each are taken all the same.
+SAMPLE_EACH, SAMPLE_CHARS, LEAST_EACH = 400, 16_000_000, 20
+#: The share of right calibration answers that falls short of the limits of a sure answer, and the part of the share of
+#: known subwords that a sure answer must reach.
+UNSURE, FAMILIAR = 0.002, 0.8
+#: Labels whose chances are broadcast.
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _SALT = {2: np.uint32(0x9E3779B1), 3: np.uint32(0x85EBCA77), 4: np.uint32(0xC2B2AE3D)}
@@ -41,26 +47,30 @@ def subwords(text: str):
 
 @dataclass
 class Model:
-    """logits[bucket, language], the languages, the temperature and the least score of a sure answer."""
+    """What a bucket adds to each logit (or, with more languages than dimensions, its embedding, and the layer), then
+    whether training met it; the languages, the temperature, and the limits of a sure answer."""
 
     languages: list[str]
-    logits: np.ndarray
+    table: np.ndarray
+    layer: np.ndarray | None
     bias: np.ndarray
     temperature: float
     threshold: float
+    known: float
 
-    def scores(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """The language, its score, and whether both the score and the share of known subwords reach their limits."""
+        if not text or not self.languages or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0, False
+        total, n = np.zeros(self.table.shape[1]), 0
         for buckets in subwords(text):
-            total += self.logits[buckets].sum(0)
+            total += self.table[buckets].sum(0)
             n += len(buckets)
-        return softmax((total / max(n, 1) + self.bias) / self.temperature)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        p = self.scores(text)
-        return self.languages[int(p.argmax())], min(1.0, float(p.max()))
+        mean = total / max(n, 1)
+        logits = mean[:-1] if self.layer is None else mean[:-1] @ self.layer
+        p = softmax((logits + self.bias) / self.temperature)
+        score = min(1.0, float(p.max()))
+        return self.languages[int(p.argmax())], score, score >= self.threshold and mean[-1] >= self.known
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -71,12 +81,13 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def train(examples: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 30.0, seed: int = 7) -> Model:
     """Fit on (language, buckets, counts); every fifth example calibrates instead.
 
-    The temperature minimises the calibration loss; the threshold is the score that all but one in five hundred
-    of the right calibration answers reach, and no more than one half.
+    The temperature minimises the calibration loss; the threshold is the score that all but one in five hundred of the
+    right calibration answers reach. Likewise for the share of known subwords, of which a part is enough: texts unlike any
+    that were learned have few, however sure the softmax is.
     """
     languages = sorted({e[0] for e in examples})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 1), np.float32), None, np.zeros(0), 1.0, 0.0, 0.0)
     index, rng = {x: i for i, x in enumerate(languages)}, np.random.default_rng(seed)
     order = rng.permutation(len(examples))
     fit, held = [i for k, i in enumerate(order) if k % 5 or len(examples) < 50], [i for k, i in enumerate(order) if k % 5 == 0]
@@ -94,15 +105,21 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12,
             layer -= 0.002 * step * np.outer(mean, error)
             bias -= 0.0005 * step * error
             embed[buckets] -= step * share[:, None] * back[None, :]
-    logits = embed @ layer
-    raw = np.array([(examples[i][2] / examples[i][2].sum()) @ logits[examples[i][1]] + bias for i in held])
+    met = np.zeros((BUCKETS, 1), np.float32)
+    for i in fit:
+        met[examples[i][1]] = 1
+    shares = [examples[i][2] / examples[i][2].sum() for i in held]
+    raw = np.array([(share @ embed[examples[i][1]]) @ layer + bias for i, share in zip(held, shares, strict=True)])
     truth = np.array([index[examples[i][0]] for i in held])
     loss = {t: -np.log(softmax(raw / t)[np.arange(len(held)), truth] + 1e-12).mean() for t in np.geomspace(0.1, 4, 30)}
     heat = min(loss, key=loss.get)
     p = softmax(raw / heat)
-    right = p.max(1)[p.argmax(1) == truth]
-    threshold = min(0.5, float(np.quantile(right, 0.002))) if len(right) else 0.0
-    return Model(languages, logits.astype(np.float32), bias.astype(np.float64), float(heat), threshold)
+    right = p.argmax(1) == truth
+    familiar = np.array([float(share @ met[examples[i][1], 0]) for i, share in zip(held, shares, strict=True)])
+    threshold, known = [float(np.quantile(x[right], UNSURE)) if right.any() else 0.0 for x in (p.max(1), familiar)]
+    few = len(languages) <= DIMENSIONS
+    table = np.concatenate([embed @ layer if few else embed, met], axis=1).astype(np.float32)
+    return Model(languages, table, None if few else layer.astype(np.float64), bias.astype(np.float64), float(heat), threshold, FAMILIAR * known)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -111,20 +128,23 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = SAMPLE_EACH) -> Model:
-    """Train on a hash sample of about `each` labelled documents of each language, held-out ones excluded.
+    """Train on a hash sample of about `each` labelled documents of each language, held-out ones excluded; every label is
+    learned.
 
-    The sample is chosen by id; executors turn its whole texts into bucket counts, so the driver gets no text
-    and at most BUCKETS numbers a document.
+    The sample is chosen by id; executors turn its whole texts into bucket counts, so the driver gets no text and at most
+    three numbers a character of the sample, which holds about SAMPLE_CHARS at most.
     """
     usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    languages, chars = sizes.agg(F.count("*"), F.sum(F.col("chars") * F.least(F.lit(1.0), each / F.col("n")))).first()
+    if not languages:
         return train([])
-    chance = F.lit(0)
-    for r in sizes:
-        chance = F.when(F.col("lang") == r.lang, F.lit(int(1e6 * min(1.0, each / r.n)) + 1)).otherwise(chance)
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) < chance)
+    wanted = max(min(float(each), LEAST_EACH), each * min(1.0, SAMPLE_CHARS / max(chars, 1.0)))
+    chance = F.least(F.lit(1.0), wanted / F.col("n")) * 1_000_000 + 1
+    chances = sizes.select("lang", chance.alias("chance"))
+    # Joined unbroadcast, every text would be shuffled by its language; that is left for labels by the hundred thousand.
+    chosen = usable.join(F.broadcast(chances) if languages <= BROADCAST_LANGUAGES else chances, "lang").where(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) < F.col("chance"))
 
     def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         buckets, numbers = [], []
@@ -134,12 +154,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 total += np.bincount(b, minlength=BUCKETS)
             used = np.flatnonzero(total)
             buckets.append(used.astype("<u2").tobytes())
-            numbers.append(np.minimum(total[used], 65535).astype("<u2").tobytes())
+            numbers.append(total[used].astype("<f4").tobytes())
         return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(buckets, pa.binary()), pa.array(numbers, pa.binary())], ["lang", "buckets", "numbers"])
 
     rows = map_batches(chosen.select("lang", "text"), counts, "lang string, buckets binary, numbers binary").collect()
     examples = sorted(((r.lang, bytes(r.buckets), bytes(r.numbers)) for r in rows if r.buckets))
-    return train([(x, np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(n, "<u2").astype(np.float64)) for x, b, n in examples])
+    return train([(x, np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(n, "<f4").astype(np.float64)) for x, b, n in examples])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,8 +168,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
-        sure = [x != UNKNOWN and s >= shared.value.threshold for x, s in found]
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()), pa.array(sure, pa.bool_())], ["id", "lang_pred", "score", "sure"])
+        kinds = (pa.string(), pa.float64(), pa.bool_())
+        columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "lang_pred", "score", "sure"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(rows, run, "id long, lang_pred string, score double, sure boolean")
@@ -161,8 +182,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     place = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shared.value.predict(t) for t in batch.column(place).to_pylist()]
-        return batch.filter(pa.array([x != UNKNOWN and s >= shared.value.threshold for x, s in found], pa.bool_()))
+        return batch.filter(pa.array([shared.value.predict(t)[2] for t in batch.column(place).to_pylist()], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
 
