@@ -136,10 +136,13 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return docs.sparkSession.createDataFrame([], "term string, share double")
     total = texts.count()
     counted = None
-    for part in parts:
+    for i, part in enumerate(parts):
         wanted = docs.sparkSession.sparkContext.broadcast({r.term: i for i, r in enumerate(part.collect())})
         each = map_batches(texts, term_finder(wanted), "name binary, numbers binary").dropDuplicates(["name"])
         one = each.select("numbers").mapInArrow(term_counter(wanted), "term string, n long")
+        if len(parts) > 1:  # so that one part's terms at a time are with the workers
+            one = materialise(one, f"counted-{i}")
+            wanted.destroy()
         counted = one if counted is None else counted.union(one)
     n_t = counted.groupBy("term").agg(F.sum("n").alias("n_t"))
     information = F.log(F.lit(float(total)) / F.col("n_e"))
@@ -184,26 +187,44 @@ def term_spans(text: str, spans: list[Span], shares: dict[str, float]) -> list[S
 def find(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, spans array<struct<start, stop, kind>>): all spans of every whole text, null text as empty.
 
-    Terms go to the workers in bounded parts, one pass each. Repeated rows and null ids pass through.
+    Terms go to the workers in parts of bounded size: a pass over the rows for each part, written to the shared folder
+    but for the last. Repeated rows and null ids pass through.
     """
-    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return _find(rows, [sc.broadcast({r.term: r.share for r in part.collect()}) for part in chunks(terms)])
+    return marked(rows, terms, "text", "spans")
 
 
-def _find(rows: DataFrame, parts: list) -> DataFrame:
+def marked(rows: DataFrame, terms: DataFrame, text_col: str, name: str) -> DataFrame:
+    """rows with a last column `name`: the spans of every text, a null text's are none."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.int32())]))
-
-    def spans_of(text: str) -> list[dict]:
-        base = base_spans(text)
-        more = [s for part in parts for s in term_spans(text, base, part.value)]
-        return [{"start": a, "stop": b, "kind": k} for a, b, k in sorted(base + more, key=lambda s: (s[0], s[2]))]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = texts_of(batch)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(list(map(spans_of, texts)), kind)], ["id", "text", "spans"])
-
-    return map_batches(rows, run, "id long, text string, spans array<struct<start: long, stop: long, kind: int>>", rows=256)
+    place, names = rows.columns.index(text_col), rows.columns
+    fields = ", ".join([*(f"c{i} {rows.schema[n].dataType.simpleString()}" for i, n in enumerate(names)), "spans array<struct<start: long, stop: long, kind: int>>"])
+    numbered = [f"c{i}" for i in range(len(names))]
+
+    def with_terms(part: dict | None, first: bool):
+        shared = rows.sparkSession.sparkContext.broadcast(part or {})
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = texts_of(batch, f"c{place}")
+            had = [()] * len(texts) if first else batch.column("spans").to_pylist()
+            found = []
+            for text, before in zip(texts, had, strict=True):
+                base = base_spans(text) if first else [(s["start"], s["stop"], s["kind"]) for s in before if s["kind"] < len(KINDS)]
+                more = [] if first else [(s["start"], s["stop"], s["kind"]) for s in before if s["kind"] >= len(KINDS)]
+                spans = sorted([*base, *more, *term_spans(text, base, shared.value)], key=lambda s: (s[0], s[2]))
+                found.append([{"start": a, "stop": b, "kind": k} for a, b, k in spans])
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(found, kind)], [*numbered, "spans"])
+
+        return run
+
+    out = rows.toDF(*numbered)
+    parts = chunks(terms) or [None]
+    for i, part in enumerate(parts):
+        shares = None if part is None else {r.term: r.share for r in part.collect()}
+        out = map_batches(out, with_terms(shares, i == 0), fields, rows=256)
+        if i + 1 < len(parts):
+            out = materialise(out, "marked")
+    return out.toDF(*names, name)
 
 
 def clean(text: str, spans: list[Span]) -> str:
@@ -217,21 +238,19 @@ def clean(text: str, spans: list[Span]) -> str:
 
 
 def sanitise(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs, all rows and columns, with personal data and disclosing terms replaced in `text_col`."""
-    sc = docs.sparkSession.sparkContext
-    parts = [sc.broadcast({r.term: r.share for r in part.collect()}) for part in chunks(terms)]
-    place = docs.columns.index(text_col)
-
-    def cleaned(text: str | None) -> str | None:
-        base = base_spans(text) if text else []
-        more = [s for part in parts for s in term_spans(text, base, part.value)] if text else []
-        return clean(text, sorted(base + more, key=lambda s: (s[0], s[2]))) if base or more else text
+    """docs, all rows and columns, with personal data and disclosing terms replaced in `text_col`; null texts stay null."""
+    place, names = docs.columns.index(text_col), docs.columns
+    found = marked(docs, terms, text_col, "spans").toDF(*(f"c{i}" for i in range(len(names))), "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pa.array(list(map(cleaned, batch.column(place).to_pylist())), pa.string())
-        return pa.RecordBatch.from_arrays([texts if i == place else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
-
-    return map_batches(docs, run, docs.schema, rows=256)
+        texts = []
+        for text, spans in zip(batch.column(place).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            texts.append(clean(text, [(s["start"], s["stop"], s["kind"]) for s in spans]) if spans else text)
+        columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
+
+    fields = ", ".join(f"c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
+    return map_batches(found, run, fields, rows=256).toDF(*names)
 
 
 def op2_privacy(spark, sf_dir: str) -> DataFrame:
