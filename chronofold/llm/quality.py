@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import map_batches, materialise, texts_of
 from .shingles import WIDTH, window_hashes, word_hashes
 
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -76,6 +76,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.withColumn("fail_bits", F.expr(f"CAST({bits} AS BIGINT)"))
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger as a table in the shared folder: policies and ablations read it, never the texts."""
+    return materialise(ledger(docs, id_col, text_col), "quality-ledger")
+
+
 def verdicts(entries: DataFrame, policy: str = "v1") -> DataFrame:
     """The ledger with `base_failed` and `kept` under a policy: every rule of the policy and of the base holds."""
     return entries.withColumns({
@@ -101,9 +106,9 @@ def ablations(entries: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
-    """Contract 8 over all documents."""
-    found = verdicts(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    """Contract 8 over all documents, from the stored ledger; fail_bits has a bit for each rule that a document fails."""
+    found = verdicts(stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
 OP8_SQL = r"""
@@ -123,6 +128,8 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT 10 * n_symbols > n_words AND NOT 100 * n_dup_lines > 30 * n_lines AND NOT 10 * n_exclaims > n_words
-       AND NOT word_chars > 14 * n_words AND NOT word_chars < 2 * n_words AS kept
+       AND NOT word_chars > 14 * n_words AND NOT word_chars < 2 * n_words AS kept,
+       ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (100 * n_dup_lines > 30 * n_lines)::BIGINT
+        + 16 * (10 * n_exclaims > n_words)::BIGINT + 32 * (word_chars > 14 * n_words)::BIGINT + 64 * (word_chars < 2 * n_words)::BIGINT)::BIGINT AS fail_bits
 FROM b
 """
