@@ -45,15 +45,20 @@ class Caps:
     """The filters for vectors of one dimension: `sets` turned pairs of codes."""
 
     def __init__(self, dimension: int, z: float, size: int, sets: int):
-        self.half, self.size, self.bound, self.sets = dimension - dimension // 2, size, z * math.sqrt(2 / dimension), []
-        for i in range(sets):
-            rng = np.random.default_rng([SEED, dimension, i])
-            turn = np.linalg.qr(rng.normal(size=(dimension, dimension)))[0]
-            codes = [rng.normal(size=(size, d)) for d in (self.half, dimension // 2)]
-            self.sets.append((turn, [c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) for c in codes]))
+        self.dimension, self.half, self.size, self.bound, self.count = dimension, dimension - dimension // 2, size, z * math.sqrt(2 / dimension), sets
+        self.sets: dict[int, tuple] = {}
+
+    def codes_of(self, i: int) -> tuple:
+        """Set i's turn and codes, made when first asked for."""
+        if i not in self.sets:
+            rng = np.random.default_rng([SEED, self.dimension, i])
+            turn = np.linalg.qr(rng.normal(size=(self.dimension, self.dimension)))[0]
+            codes = [rng.normal(size=(self.size, d)) for d in (self.half, self.dimension // 2)]
+            self.sets[i] = turn, [c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) for c in codes]
+        return self.sets[i]
 
     def of_set(self, vectors: np.ndarray, i: int) -> list[np.ndarray]:
-        turn, codes = self.sets[i]
+        turn, codes = self.codes_of(i)
         turned = vectors @ turn
         left, right = turned[:, : self.half] @ codes[0].T, turned[:, self.half :] @ codes[1].T
         if not right.shape[1]:
@@ -70,7 +75,9 @@ class Caps:
 
     def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
         """For each unit vector, the ascending numbers of the caps it lies in."""
-        each = [self.of_set(vectors, i) for i in range(len(self.sets))]
+        if not self.count:  # the one cap of all
+            return [np.zeros(1, np.int64)] * len(vectors)
+        each = [self.of_set(vectors, i) for i in range(self.count)]
         return [np.sort(np.concatenate(caps)) for caps in zip(*each, strict=True)]
 
 
@@ -168,15 +175,13 @@ def compare(name: list[bytes], weight: np.ndarray, x: np.ndarray, filters: Caps,
 def links(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS) -> DataFrame:
     """(a, b, gained): for the distinct vectors (name, raw, weight), a name, a smaller name it reaches by links,
     and the weight of vectors newly found linked to a."""
-    by_mark = F.substring("raw", 1, 4)
-    marks = vectors.groupBy(by_mark.alias("mark")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "mark").limit(1).collect()
-    if not marks:
-        return vectors.select(F.col("name").alias("a"), F.col("name").alias("b"), F.col("weight").alias("gained"))
-    z, size, sets = filters_needed(vectors.count(), int.from_bytes(marks[0].mark, "little"), cosine, miss)
+    # A row for each dimension of more than PART vectors; the fewer of any other are all compared with each other.
+    many = vectors.groupBy(F.substring("raw", 1, 4).alias("mark")).agg(F.count("*").alias("n")).where(F.col("n") > PART).collect()
+    sized = {d: filters_needed(r.n, d, cosine, miss) for r in many for d in [int.from_bytes(r.mark, "little")]}
 
     def filters_for():
         made: dict[int, Caps] = {}
-        return lambda d: made.get(d) or made.setdefault(d, Caps(d, z, size, sets))
+        return lambda d: made.get(d) or made.setdefault(d, Caps(d, *sized.get(d, (0.0, 1, 0))))
 
     def caps_of(batches):
         filters = filters_for()
