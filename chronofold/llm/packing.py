@@ -70,4 +70,5 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
+    """Contract 3 over all documents: a row for each piece, at least one (the end id) for each document, null texts included."""
     return digest(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("word_bpe_49k.json")))

@@ -108,12 +108,57 @@ def test_privacy_copies_hide_no_term(spark, monkeypatch):
     assert {r.term: r.share for r in privacy.disclosing_terms(docs).collect()} == pytest.approx(want)
 
 
+def test_privacy_query_equals_plain_patterns(spark, tmp_path):
+    """The base kinds of the query against regular expressions read as the contract has them, term spans by the shares."""
+    texts = [*ODD, "mail a.b@c.de, call +1 (743) 555-3824 or 4111 1111 1111 1111; 10.0.0.1, 10.0.0.999", "é😀 x@y.z x@y.z", *(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect())]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    terms = {r.term: r.share for r in privacy.disclosing_terms(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    good = {"email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.split(".")), "card": lambda m: 14 <= len(digits(m)) <= 19 and privacy.luhn(digits(m)), "phone": lambda m: 10 <= len(digits(m)) <= 15}
+    for r in privacy.op2_privacy(spark, str(tmp_path)).collect():
+        text = texts[r.doc_id] or ""
+        base = sorted((m.start(), i, m.end(), k) for i, (k, p) in enumerate(kinds.items()) for m in re.finditer(p, text) if good[k](m[0]))
+        written = [f"{k}:{a}:{b}" for a, _, b, k in base]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x[3] for x in base) for k in kinds)
+        assert r.base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert [s for s in spans if s.split(":")[0] in kinds] == written
+        for kind, a, b in (s.split(":") for s in spans if s.split(":")[0] not in kinds):
+            assert (kind == "gone") == (terms[text[int(a) : int(b)].lower()] >= privacy.REMOVE)
+
+
+def test_packing_query_digests_every_piece(spark, library):
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    found: dict = {}
+    for r in packing.op3_packing(spark, SF).collect():
+        found.setdefault(r.doc_id, []).append(r)
+        assert r.offset == 0 and r.length in {1 << k for k in range(12)}
+    assert set(found) == set(texts)
+    for doc, own in found.items():
+        ids, at = np.array([*ids_of(library["word_bpe_49k.json"], texts[doc]), packing.END_ID], "<u4"), 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+
+
 def test_privacy_in_parts_gives_the_same(spark, monkeypatch):
     docs = docs_of(spark, ["alpha beta gamma", "beta x@y.z delta", None])
     terms = spark.createDataFrame([("alpha", 0.8), ("beta", 0.99), ("delta", 0.8)], "term string, share double")
     whole = sorted(map(str, privacy.find(docs, terms).collect()))
+    cleaned = [r.text for r in privacy.sanitise(docs, terms).collect()]
     monkeypatch.setattr(privacy, "TERMS_AT_ONCE", 1)
     assert sorted(map(str, privacy.find(docs, terms).collect())) == whole
+    assert [r.text for r in privacy.sanitise(docs, terms).collect()] == cleaned == ["<TERM>  gamma", " <EMAIL> <TERM>", None]
+
+
+def test_batches_leave_the_session_as_it_is(spark):
+    from chronofold.llm.common import map_batches
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = map_batches(spark.range(100).coalesce(1), lambda b: b.set_column(0, "id", [b.num_rows] * b.num_rows), "id long", rows=30)
+    assert {r.id for r in sizes.collect()} == {30, 10} and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -239,13 +284,24 @@ def brute_lines(rows, least=10, documents=2):
 def test_line_dedup(spark, documents):
     texts = ["Hello there world\nb\nHELLO there World  ", "x\n\thello there world", None, "", "éééééééééé\nhello there world", "ÉÉÉÉÉÉÉÉÉÉ\néééééééééé\nééééééééé", "hello there world"]
     rows = [(i if i != 6 else None, t) for i, t in enumerate(texts)] + [(1, texts[1]), (7, "hello there world\n\n")]
-    docs = spark.createDataFrame([(i, t, "k", b"d", 1) for i, t in rows], "doc_id long, text string, key string, drops binary, cf long")
+    docs = spark.createDataFrame([(i, t, "k", b"d", 1) for i, t in rows], "doc_id long, text string, cf_id string, cf_drops binary, drops long")
     got = lines.dedup_lines(docs, documents=documents)
     assert got.columns == [*docs.columns, "cf_lines", "cf_dropped"]
     assert Counter((r.doc_id, r.cf_lines, r.text or "") for r in got.collect()) == brute_lines(rows, documents=documents)
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_of_rows_without_ids(spark):
+    shared = "a line that all of them have"
+    rows = [(None, f"{shared}\none"), (None, f"{shared}\ntwo"), (None, f"{shared}\none")]
+    got = Counter(r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got in (Counter([f"{shared}\none", f"{shared}\none", "two"]), Counter(["one", "one", f"{shared}\ntwo"]))
+    named = lines.dedup_lines(spark.createDataFrame([*rows, (5, shared)], "doc_id long, text string"))
+    assert Counter(r.text for r in named.collect()) == Counter(["one", "two", "one", shared])
+    three = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), documents=3)
+    assert Counter(r.text for r in three.collect()) == Counter(t for _, t in rows)
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -266,7 +322,7 @@ def test_quality_ledger(spark):
 
 
 def test_quality_ablations(spark):
-    entries = quality.ledger(spark.read.parquet(f"{SF}/documents.parquet")).cache()
+    entries = quality.stored_ledger(spark.read.parquet(f"{SF}/documents.parquet"))
     bits = [r.fail_bits for r in entries.collect()]
     for r in quality.ablations(entries).collect():
         bit = quality.mask([r.rule])
@@ -287,6 +343,23 @@ def test_language_held_out_accuracy(spark):
     assert kept.columns == docs.columns and kept.count() == found.sure.sum()
 
 
+def test_language_learns_every_label_and_rejects_what_it_never_saw(spark):
+    rng = np.random.default_rng(5)
+    alphabets = ["".join(chr(0x4E00 + 40 * k + j) for j in range(12)) for k in range(140)]
+    text = lambda k: " ".join("".join(rng.choice(list(alphabets[k]), 4)) for _ in range(12))
+    rows = [(i, text(i % 140), f"l{i % 140:03d}") for i in range(140 * 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == 140 and model.layer is not None
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert np.mean([model.predict(t)[0] == x for _, t, x in held]) > 0.9
+    few = language.fit(docs.where("lang < 'l002'"))
+    sure = lambda ts: np.mean([few.predict(t)[2] for t in ts])
+    assert few.layer is None and sure([t for _, t, x in rows if x < "l002"]) > 0.9 and sure([t for _, t, x in rows if x > "l100"]) == 0
+    long = language.fit(spark.createDataFrame([(i, "ab " * 70_000, "x") for i in range(8)] + [(i, "cd", "y") for i in range(8, 16)], "doc_id long, text string, lang string"))
+    assert long.predict("ab ab ab")[0] == "x" and long.predict("cd")[0] == "y"
+
+
 def brute_components(texts, ids):
     sets = [frozenset(shingle_set(t or "").tolist()) for t in texts]
     parent = list(range(len(sets)))
@@ -453,6 +526,37 @@ def test_a_recall_out_of_reach_is_an_error(monkeypatch):
         neighbours.filters_needed(300, 64)
 
 
+@pytest.mark.parametrize("dimensions", [(8,), (16,), (32,), (3, 128)])
+def test_links_of_other_dimensions(spark, monkeypatch, dimensions):
+    monkeypatch.setattr(neighbours, "PART", 100)  # so that some dimensions have filters and the rarest has none
+    rng, x = np.random.default_rng(12), []
+    for d in dimensions:
+        for v in rng.normal(size=(40, d)):
+            x += [(v / np.linalg.norm(v) + rng.normal(size=d) * s / np.sqrt(d)).tolist() for s in (0, 0.2, 0.3, 0.4, 0.45)]
+    x += [[1.0, 2.0, 3.0, 4.0, 5.0], [1.0, 2.0, 3.0, 4.0, 5.1], [-1.0, 2.0, 3.0, 4.0, 5.0]]
+    table = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = {r.id: r for r in neighbours.near_duplicates(table).collect()}
+    want = Counter(itertools.chain.from_iterable(brute_vectors(x)))
+    assert all(got[i].n_links <= want[i] for i in got) and sum(r.n_links for r in got.values()) >= 0.95 * sum(want.values())
+    n = len(x)
+    assert [got[i].n_links for i in (n - 3, n - 2, n - 1)] == [want[i] for i in (n - 3, n - 2, n - 1)]
+
+
+def test_neighbours_query_equals_brute_force(spark, tmp_path):
+    """The query on a table that has links; the supplied one has hardly any."""
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=(60, 64)).astype("f4")
+    x = [(base[i % 60] + rng.normal(size=64).astype("f4") * rng.choice([0, 0.2, 0.4])).astype("f4").tolist() for i in range(300)]
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.op5_neighbours(spark, str(tmp_path)).collect()}
+    pairs = brute_vectors(x)
+    want = Counter(itertools.chain.from_iterable(pairs))
+    groups = dict(connected(spark.createDataFrame(sorted(pairs), "a long, b long")).collect())
+    assert len(pairs) > 300 and sum(n for n, _, _ in got.values()) >= 0.95 * 2 * len(pairs)
+    same = [i for i in got if got[i] == (want[i], groups.get(i, i), groups.get(i, i) == i)]
+    assert len(same) >= 0.93 * len(got)
+
+
 def test_parts_of_hot_caps_count_each_pair_once(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = [(np.ones(16) + rng.normal(size=16) * 0.02).tolist() for _ in range(90)]
