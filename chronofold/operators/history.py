@@ -59,6 +59,28 @@ def as_of(spine: DataFrame, facts: DataFrame, key: tuple[str, str], time: str, v
     return last.select(left, cutoff, F.col("__last.__time").alias("as_of_time"), *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
+def sums_before(facts: DataFrame, asked: DataFrame, by: list[str], time: str, values: list[str], cutoff: str = "cutoff") -> DataFrame:
+    """(by..., cutoff, values...): for each row of asked(by..., cutoff), the sums of its group's facts strictly before it.
+
+    Facts are added up by time, cutoffs stand between the times in one line; days are summed first, so a task orders the
+    times of one group's day, and of a group only its days. Sums of no facts are null.
+    """
+    timed = facts.groupBy(*by, F.col(time).alias("__t")).agg(*[F.sum(v).alias(v) for v in values]).withColumn("__side", F.lit(1))
+    nothing = [F.lit(None).cast(timed.schema[v].dataType).alias(v) for v in values]
+    marks = asked.select(*by, F.col(cutoff).alias("__t"), *nothing, F.lit(0).alias("__side")).distinct()
+    line = timed.select(*by, "__t", *values, "__side").unionByName(marks).withColumn("__day", F.date_trunc("day", "__t"))
+    days = line.groupBy(*by, "__day").agg(*[F.sum(v).alias(v) for v in values])
+    run = Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = days.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__day").alias("__before"), *[F.sum(v).over(run).alias(f"__{v}") for v in values])
+    inside = Window.partitionBy(*by, "__day").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    summed = line.withColumns({v: F.sum(v).over(inside) for v in values}).where("__side = 0")
+    same = F.col("__day") == F.col("__before")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    both = lambda v: F.when(F.col(v).isNotNull() | F.col(f"__{v}").isNotNull(), F.coalesce(v, F.lit(0)) + F.coalesce(f"__{v}", F.lit(0))).alias(v)
+    return summed.join(earlier, same).select(*by, F.col("__t").alias(cutoff), *map(both, values))
+
+
 def first_by(value: str | Column, *order) -> Column:
     """FIRST(value ORDER BY ...): the value at the smallest order key; ties are the caller's to break."""
     return F.min_by(value, F.struct(*order))

@@ -6,10 +6,11 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_uniform
+from .history import sums_before
 
 #: What is predicted where nothing is visible.
 DEFAULTS = {"clf": 0.5, "reg": 0.0}
@@ -36,20 +37,9 @@ def label_features(targets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def means_before(labels: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """(cutoff, global_mean): the mean of all labels(time, label) strictly before each cutoff.
-
-    Labels are added up by time; cutoffs stand between the times in one line. Days are summed first, so a task orders the
-    times of one day only, and a single one orders no more than the days.
-    """
-    daily = labels.groupBy("time").agg(F.sum("label").alias("s"), F.count("label").alias("c"))
-    at = cutoffs.select(F.col("cutoff").alias("time"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"), F.lit(0).alias("side"))
-    line = daily.select("time", F.col("s").cast("double").alias("s"), "c", F.lit(1).alias("side")).unionByName(at).withColumn("day", F.date_trunc("day", "time"))
-    days = line.groupBy("day").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    run = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = days.select("day", F.coalesce(F.sum("s").over(run), F.lit(0.0)).alias("s0"), F.coalesce(F.sum("c").over(run), F.lit(0)).alias("c0"))
-    inside = Window.partitionBy("day").orderBy("time", "side").rowsBetween(Window.unboundedPreceding, 0)
-    summed = line.withColumns({"s": F.sum("s").over(inside), "c": F.sum("c").over(inside)}).where("side = 0").join(earlier, "day")
-    return summed.select(F.col("time").alias("cutoff"), F.try_divide(F.col("s") + F.col("s0"), F.col("c") + F.col("c0")).alias("global_mean"))
+    """(cutoff, global_mean): the mean of all labels(time, label) strictly before each cutoff."""
+    counted = labels.select("time", F.col("label").cast("double").alias("s"), F.when(F.col("label").isNotNull(), 1).otherwise(0).alias("c"))
+    return sums_before(counted, cutoffs, [], "time", ["s", "c"]).select("cutoff", F.try_divide("s", "c").alias("global_mean"))
 
 
 def mean_prediction(features: DataFrame, task_type: str, by: str = "entity") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import capped, centred, days_between, decay, flag, log_ratio, log_scaled, num, ratio
-from ..operators.history import avg_if, before, count_if, first_by, sum_if
+from ..operators.history import avg_if, before, count_if, dedup_first, first_by, sum_if, sums_before, zscored
 
 KEYS = ["who", "cutoff"]
 
@@ -47,6 +47,11 @@ def onto(task: DataFrame, *parts: DataFrame) -> DataFrame:
     return task
 
 
+def once(table: DataFrame, key: str) -> DataFrame:
+    """A static table with one row for each key, should one be stored twice."""
+    return dedup_first(table, [key])
+
+
 def mean(x: Column | str, default: float) -> Column:
     return num(x, default)
 
@@ -76,17 +81,35 @@ def racing_driver(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
 
 def trial_study(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
     masks = {"None (Open Label)": 0.0, "Single": 0.25, "Double": 0.5, "Triple": 0.75, "Quadruple": 1.0}
-    analyses = db["outcome_analyses"].select(F.col("nct_id").alias("other"), "p_value", F.col("date").alias("found"))
+    analyses = db["outcome_analyses"].select(F.col("nct_id").alias("study"), "p_value", F.col("date").alias("found"))
 
     def peers(links: DataFrame, key: str) -> DataFrame:
-        """Other studies that share a sponsor or condition, with their analyses; every pair of links counts."""
-        own = past(task, links.select("nct_id", key, "date"), "nct_id", "date").select(*KEYS, key)
-        others = links.select(F.col("nct_id").alias("other"), key, F.col("date").alias("linked"))
-        met = own.join(others, key).where((F.col("other") != F.col("who")) & (F.col("linked") < F.col("cutoff")))
-        known = met.join(analyses, (met["other"] == analyses["other"]) & (F.col("found") < F.col("cutoff")), "left").drop(analyses["other"])
-        return known.groupBy(*KEYS).agg(F.avg("p_value").alias(f"{key}_p"), F.count_distinct("other").alias(f"{key}_n"), count_if(F.col("p_value") < 0.05).alias(f"{key}_hits"))
-
-    study = task.join(db["studies"].select(F.col("nct_id").alias("who"), "phase", "enrollment", "has_dmc", "start_date"), "who", "left")
+        """Other studies that share a sponsor or condition, with their analyses; every pair of links counts.
+
+        A study's sums are its groups' totals less its own share, so a popular condition costs its links and not their
+        pairs. Distinct others are the group's studies less one; only for studies of several groups they are listed.
+        """
+        own = past(task, links.select("nct_id", key, "date"), "nct_id", "date").where(F.col(key).isNotNull()).groupBy(*KEYS, key).agg(F.count("*").alias("times"))
+        groups = own.select(key, "cutoff").distinct()
+        inside = groups.join(links.select(F.col("nct_id").alias("study"), key, F.col("date").alias("linked")), key).where("linked < cutoff AND study IS NOT NULL")
+        inside = inside.groupBy(key, "cutoff", "study").agg(F.count("*").alias("links"))
+        seen = inside.select("study", "cutoff").distinct().join(analyses, "study").where("found < cutoff")
+        told = seen.groupBy("study", "cutoff").agg(F.sum("p_value").alias("p"), F.count("p_value").alias("c"), count_if(F.col("p_value") < 0.05).alias("h"))
+        known = inside.join(told, ["study", "cutoff"], "left").fillna(0, ["p", "c", "h"])
+        sums = [F.sum(F.col(x) * F.col("links")).alias(f"all_{x}") for x in "pch"]
+        totals = known.groupBy(key, "cutoff").agg(*sums, F.count("*").alias("studies"))
+        mine = known.select(key, "cutoff", F.col("study").alias("who"), *[(F.col(x) * F.col("links")).alias(f"own_{x}") for x in "pch"])
+        shared = own.join(totals, [key, "cutoff"]).join(mine, [*KEYS, key])
+        less = {x: F.sum((F.col(f"all_{x}") - F.col(f"own_{x}")) * F.col("times")).alias(x) for x in "pch"}
+        out = shared.groupBy(*KEYS).agg(*less.values(), F.count("*").alias("groups"), F.max(F.col("studies") - 1).alias("alone"))
+        several = out.where("groups > 1").select(*KEYS)
+        listed = own.join(several, KEYS, "left_semi").select(*KEYS, key).join(inside.select(key, "cutoff", "study"), [key, "cutoff"]).where("study <> who")
+        listed = listed.groupBy(*KEYS).agg(F.count_distinct("study").alias("listed"))
+        full = out.join(listed, KEYS, "left")
+        count = F.when(F.col("groups") > 1, F.coalesce("listed", F.lit(0))).otherwise(F.col("alone"))
+        return full.select(*KEYS, F.try_divide("p", F.when(F.col("c") > 0, F.col("c"))).alias(f"{key}_p"), count.alias(f"{key}_n"), F.col("h").alias(f"{key}_hits"))
+
+    study = task.join(once(db["studies"], "nct_id").select(F.col("nct_id").alias("who"), "phase", "enrollment", "has_dmc", "start_date"), "who", "left")
     # One row a study: where a study has several designs, the one that is smallest by text.
     design = past(task, db["designs"].select("nct_id", "masking", "date"), "nct_id", "date").groupBy(*KEYS).agg(F.min("masking").alias("masking"))
     sites = past(task, db["facilities_studies"].select("nct_id", "facility_id", "date"), "nct_id", "date").groupBy(*KEYS).agg(F.count_distinct("facility_id").alias("sites"))
@@ -100,23 +123,23 @@ def trial_study(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
 def trial_site(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
     met = past(task, db["facilities_studies"].select("facility_id", "nct_id", "date"), "facility_id", "date").select(*KEYS, "nct_id", "days_ago")
     counts = met.groupBy(*KEYS).agg(F.count_distinct("nct_id").alias("n"), F.count_distinct(F.when(D <= 365, F.col("nct_id"))).alias("n1"))
-    kinds = met.join(db["studies"].select("nct_id", "phase", "study_type"), "nct_id").groupBy(*KEYS).agg(F.avg(flag(F.col("phase").isin("Phase 3", "Phase 4"))).alias("late"), F.avg(flag(F.col("study_type") == "Interventional")).alias("active"))
+    kinds = met.join(once(db["studies"], "nct_id").select("nct_id", "phase", "study_type"), "nct_id").groupBy(*KEYS).agg(F.avg(flag(F.col("phase").isin("Phase 3", "Phase 4"))).alias("late"), F.avg(flag(F.col("study_type") == "Interventional")).alias("active"))
     found = met.join(db["outcome_analyses"].select("nct_id", "p_value", F.col("date").alias("at")), "nct_id").where("at < cutoff").groupBy(*KEYS).agg(count_if(F.col("p_value") < 0.05).alias("hits"), F.count("*").alias("analyses"))
-    paid = met.join(db["sponsors_studies"].select("nct_id", "sponsor_id", F.col("date").alias("at")), "nct_id").where("at < cutoff").join(db["sponsors"].select("sponsor_id", "agency_class"), "sponsor_id").groupBy(*KEYS).agg(F.max(flag(F.col("agency_class") == "Industry")).alias("industry"))
+    paid = met.join(db["sponsors_studies"].select("nct_id", "sponsor_id", F.col("date").alias("at")), "nct_id").where("at < cutoff").join(once(db["sponsors"], "sponsor_id").select("sponsor_id", "agency_class"), "sponsor_id").groupBy(*KEYS).agg(F.max(flag(F.col("agency_class") == "Industry")).alias("industry"))
     return onto(task, counts, kinds, found, paid).select(*KEYS,
         ratio("hits", "analyses", 0.44).alias("hit_rate"), log_ratio("n", 6.2).alias("studies"), ratio("n1", "n", 0).alias("recent"), num("late").alias("late"), num("active").alias("interventional"), num("industry").alias("industry"), flag(F.col("analyses").isNotNull()).alias("has_outcome"), flag(F.col("n").isNull()).alias("is_new"))
 
 
 def ads_ad(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
-    ads = db["AdsInfo"].select(F.col("AdID").alias("who"), "CategoryID", "Price")
+    ads = once(db["AdsInfo"], "AdID").select(F.col("AdID").alias("who"), "CategoryID", "Price")
     shown = db["SearchStream"].select("AdID", "SearchDate", "IsClick", "Position", "HistCTR")
     seen = past(task, shown, "AdID", "SearchDate").groupBy(*KEYS).agg(
         F.count("*").alias("n"), count_if(D <= 3).alias("n3"), F.sum("IsClick").alias("clicks"), sum_if("IsClick", D <= 3).alias("clicks3"), F.avg("Position").alias("place"), F.avg("HistCTR").alias("history"))
     visits = past(task, db["VisitStream"].select("AdID", "ViewDate"), "AdID", "ViewDate").groupBy(*KEYS).agg(F.count("*").alias("visits"))
-    # Few distinct cutoffs meet the stream: each cutoff's share is added up by category and day first.
-    daily = shown.join(ads.select(F.col("who").alias("AdID"), "CategoryID"), "AdID").groupBy("CategoryID", "SearchDate").agg(F.sum("IsClick").alias("s"), F.count("IsClick").alias("c"))
-    moments = task.select("cutoff").distinct()
-    category = daily.join(F.broadcast(moments), F.col("SearchDate") < F.col("cutoff")).groupBy("CategoryID", "cutoff").agg((F.sum("s") / F.sum("c")).alias("category_rate"))
+    # The stream is added up by category and time, and each cutoff reads its sums off: no cutoff meets the stream.
+    clicked = shown.join(ads.select(F.col("who").alias("AdID"), "CategoryID"), "AdID").where("IsClick IS NOT NULL").select("CategoryID", "SearchDate", F.col("IsClick").alias("s"), F.lit(1).alias("c"))
+    asked = task.join(ads.select("who", "CategoryID"), "who").where("CategoryID IS NOT NULL").select("CategoryID", "cutoff").distinct()
+    category = sums_before(clicked, asked, ["CategoryID"], "SearchDate", ["s", "c"]).select("CategoryID", "cutoff", F.try_divide("s", "c").alias("category_rate"))
     prices = ads.where("Price > 0").groupBy("CategoryID").agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY Price)").alias("median"))
     full = onto(task.join(ads, "who", "left"), seen, visits).join(category, ["CategoryID", "cutoff"], "left").join(prices, "CategoryID", "left")
     share = F.lit(1.0)
@@ -142,7 +165,7 @@ def retail_customer(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
     agg = bought.withColumn("gap", gap).groupBy(*KEYS).agg(
         F.min("days_ago").alias("last"), count_if(D <= 28).alias("n28"), count_if(D <= 365).alias("n365"), F.count("*").alias("n"), sum_if("price", D <= 28).alias("spend"), (count_if(D <= 28) - count_if((D > 28) & (D <= 56))).alias("trend"),
         F.avg(flag(F.col("sales_channel_id") == 2)).alias("online"), F.count_distinct("article_id").alias("articles"), F.max("gap").alias("longest"), days_between(F.max("t_dat"), F.min("t_dat")).alias("span"))
-    who = db["customer"].select(F.col("customer_id").alias("who"), "age", "club_member_status")
+    who = once(db["customer"], "customer_id").select(F.col("customer_id").alias("who"), "age", "club_member_status")
     return onto(task, agg).join(who, "who", "left").select(*KEYS,
         decay("last", 30).alias("recency"), log_scaled("n28", 50).alias("n28"), log_scaled("n365", 200).alias("n365"), centred("trend", 20).alias("trend"), capped(F.when(F.col("n") > 1, F.col("span") / (F.col("n") - 1)), 90, 90).alias("gap"),
         (F.least(F.greatest(num("last", 9999) / F.greatest(F.coalesce(F.col("longest").cast("double"), num("last", 9999)), F.lit(1.0)), F.lit(0.0)), F.lit(3.0)) / 3).alias("overdue"), num("online", 0.5).alias("online"), log_scaled("spend", 5).alias("spend"),
@@ -155,9 +178,12 @@ def retail_article(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
     agg = past(task, sold, "article_id", "t_dat").groupBy(*KEYS).agg(
         F.min("days_ago").alias("last"), sum_if("price", week).alias("s7"), sum_if("price", month).alias("s28"), sum_if("price", D <= 365).alias("s365"), count_if(week).alias("n7"), count_if(month).alias("n28"),
         (sum_if("price", week) - sum_if("price", (D > 7) & (D <= 14))).alias("trend"), F.count_distinct(F.when(month, F.col("customer_id"))).alias("buyers"), F.max("days_ago").alias("age"))
-    articles = db["article"].select("article_id", "product_group_name")
+    articles = once(db["article"], "article_id").select("article_id", "product_group_name")
     daily = sold.join(articles, "article_id").groupBy("product_group_name", "article_id", "t_dat").agg(F.sum("price").alias("s"))
-    met = daily.join(F.broadcast(task.select("cutoff").distinct()), F.col("t_dat") < F.col("cutoff")).withColumn("days_ago", days_between("cutoff", "t_dat"))
+    # A cutoff asks for its last 28 days and its own, day by day, so sales are met by group and day and not by cutoff.
+    asked = task.join(articles.withColumnRenamed("article_id", "who"), "who").where("product_group_name IS NOT NULL").select("product_group_name", "cutoff").distinct()
+    asked = asked.withColumn("days_ago", F.explode(F.sequence(F.lit(0), F.lit(28)))).withColumn("day", F.date_sub(F.col("cutoff").cast("date"), F.col("days_ago")))
+    met = daily.withColumn("day", F.col("t_dat").cast("date")).join(asked, ["product_group_name", "day"]).where("t_dat < cutoff")
     group = met.groupBy("product_group_name", "cutoff").agg(sum_if("s", week).alias("g7"), F.count_distinct(F.when(month, F.col("article_id"))).alias("items"))
     full = onto(task, agg).join(articles.withColumnRenamed("article_id", "who"), "who", "left").join(group, ["product_group_name", "cutoff"], "left")
     return full.select(*KEYS,
@@ -175,7 +201,7 @@ def _forum(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
     edits = past(task, db["postHistory"].select("UserId", "CreationDate"), "UserId", "CreationDate").groupBy(*KEYS).agg(count_if(quarter).alias("edits90"))
     got = posts.select(*KEYS, "Id").join(votes.where("VoteTypeId = 2").select(F.col("PostId").alias("Id"), F.col("CreationDate").alias("at")), "Id").where("at < cutoff").groupBy(*KEYS).agg(F.count("*").alias("received"))
     badges = past(task, db["badges"].select("UserId", "Class", "Date"), "UserId", "Date").groupBy(*KEYS).agg(F.count("*").alias("badges"), count_if(quarter).alias("badges90"), count_if(F.col("Class") == 1).alias("gold"))
-    users = db["users"].select(F.col("Id").alias("who"), F.col("CreationDate").alias("joined"))
+    users = once(db["users"], "Id").select(F.col("Id").alias("who"), F.col("CreationDate").alias("joined"))
     return onto(task, own, talk, voted, edits, got, badges).join(users, "who", "left").withColumn("age", F.greatest(days_between("cutoff", "joined"), F.lit(0)))
 
 
@@ -216,7 +242,7 @@ def forum_post(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
 
 def _reviews(task: DataFrame, db: dict[str, DataFrame], key: str) -> DataFrame:
     reviews = db["review"].select("review_time", "customer_id", "product_id", "rating", "verified")
-    return past(task, reviews, key, "review_time").join(db["product"].select("product_id", "price", "category"), "product_id", "left")
+    return past(task, reviews, key, "review_time").join(once(db["product"], "product_id").select("product_id", "price", "category"), "product_id", "left")
 
 
 def reviews_customer(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
@@ -234,7 +260,7 @@ def reviews_product(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
     agg = _reviews(task, db, "product_id").groupBy(*KEYS).agg(
         F.min("days_ago").alias("last"), count_if(D <= 90).alias("n90"), F.count("*").alias("n"), F.avg("rating").alias("rating"), F.stddev_pop("rating").alias("spread"), F.avg(flag(F.col("verified"))).alias("verified"), F.count_distinct("customer_id").alias("people"), F.count_distinct(F.when(year, F.col("customer_id"))).alias("people1"),
         sum_if("price", year).alias("revenue"), F.max("days_ago").alias("age"), (count_if(D <= 30) - count_if((D > 30) & (D <= 60))).alias("trend30"), (count_if(D <= 90) - count_if((D > 90) & (D <= 180))).alias("trend90"))
-    goods = db["product"].select(F.col("product_id").alias("who"), F.col("price").alias("now"))
+    goods = once(db["product"], "product_id").select(F.col("product_id").alias("who"), F.col("price").alias("now"))
     return onto(task, agg).join(goods, "who", "left").select(*KEYS,
         decay("last", 87).alias("recency"), log_scaled("n90", 30).alias("n90"), log_scaled("n", 1000).alias("n"), rating("rating").alias("rating"), capped("spread", 2, 0).alias("spread"), num("verified", 0.5).alias("verified"), log_scaled("people", 500).alias("people"), log_scaled("people1", 200).alias("people1"),
         log_scaled("now", 500).alias("price"), log_scaled("revenue", 50000).alias("revenue"), log_scaled("age", 2000).alias("age"), centred("trend30", 10).alias("trend30"), centred("trend90", 20).alias("trend90"), flag(F.col("n").isNull()).alias("is_new"))
@@ -270,6 +296,15 @@ class Program:
         task = labels.select(F.col(self.entity).alias("who"), F.col(self.time).alias("cutoff")).where("who IS NOT NULL AND cutoff IS NOT NULL").distinct()
         return self.features(task, db).withColumnsRenamed({"who": self.entity, "cutoff": self.time})
 
+    def vectors(self, labels: DataFrame, db: dict[str, DataFrame], node: str = "node_id", fit_on: Column | None = None) -> DataFrame:
+        """(node, features...) of every label row: one program row for each, missing and non-finite values 0, each feature
+        less its mean and over its deviation over all label rows, or over those that fit_on tells."""
+        rows = dedup_first(self(labels, db), [self.entity, self.time])
+        names = [c for c in rows.columns if c not in (self.entity, self.time)]
+        kept = [c for c in labels.columns if c not in names]
+        met = labels.select(*kept).join(rows, [self.entity, self.time], "left")
+        return zscored(met, names, fit_on).select(node, *[F.col(c).cast("float").alias(c) for c in names])
+
 
 #: Task to program, by domain.
 PROGRAMS = {

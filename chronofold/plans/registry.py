@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import contexts, encoding, features, graphs, scoring
+from . import contexts, domains, encoding, features, graphs, scoring
 
-GROUPS = (features, encoding, graphs, contexts, scoring)
+GROUPS = (features, domains, encoding, graphs, contexts, scoring)
 FLAGSHIP = "pit_customer_churn_features"
 QUERIES = {name: query for group in GROUPS for name, (query, _) in group.QUERIES.items()}
 ORACLES = {name: sql for group in GROUPS for name, (_, sql) in group.QUERIES.items() if sql}

@@ -88,3 +88,35 @@ def test_program(spark, area, task):
     assert len(got) == 9 and got == plain(cut)
     assert all(v is not None and 0 <= v <= 1.2 for r in got for v in r if isinstance(v, float))
     assert len({r[2:] for r in got}) > 4
+
+
+def test_static_rows_stored_twice_do_not_fan_out(spark):
+    for area, task in (("trials", "study-outcome"), ("trials", "site-success"), ("ads", "ad-ctr"), ("retail", "user-churn"), ("retail", "item-sales"), ("forum", "user-badge"), ("reviews", "item-ltv"), ("reviews", "user-ltv"), ("invitations", "user-ignore")):
+        program = PROGRAMS[area, task]
+        db = {t: frame(spark, t, n, columns) for t, (_, n, columns) in TABLES[area].items()}
+        twice = {t: df.union(df) if TABLES[area][t][0] is None and t != "user_friends" else df for t, df in db.items()}
+        labels = spark.createDataFrame([(i, CUT) for i in range(8)], f"`{program.entity}` long, `{program.time}` timestamp_ntz")
+        plain = lambda found: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in found.collect())
+        assert plain(program(labels, db)) == plain(program(labels, twice))
+
+
+def test_vectors_are_scaled_over_all_or_the_chosen_rows(spark):
+    program = PROGRAMS["reviews", "user-ltv"]
+    db = {t: frame(spark, t, n, columns) for t, (_, n, columns) in TABLES["reviews"].items()}
+    labels = spark.createDataFrame([(100 + i, i % 9, CUT, "train" if i < 6 else "test") for i in range(12)] + [(200, None, CUT, "test")], "node_id long, customer_id long, timestamp timestamp_ntz, split string")
+    for fit in (None, F.col("split") == "train"):
+        got = {r.node_id: r for r in program.vectors(labels, db, fit_on=fit).collect()}
+        assert len(got) == 13 and got[100][1:] == got[109][1:]
+        base = [r.recency for n, r in got.items() if fit is None or n < 106]
+        assert sum(base) == pytest.approx(0, abs=1e-5) and sum(v * v for v in base) / len(base) == pytest.approx(1, abs=1e-4)
+
+
+def test_sums_before_equal_plain_sums(spark):
+    from chronofold.operators.history import sums_before
+
+    rng = random.Random(4)
+    facts = [(rng.choice("abc"), CUT + dt.timedelta(hours=rng.randrange(300)), rng.randrange(9)) for _ in range(200)]
+    asked = [(g, CUT + dt.timedelta(hours=h)) for g in "abcd" for h in (0, 7, 24, 25, 168, 400)] + [("a", facts[0][1])]
+    got = sums_before(spark.createDataFrame(facts, "g string, t timestamp_ntz, v long"), spark.createDataFrame(asked, "g string, cutoff timestamp_ntz"), ["g"], "t", ["v"]).collect()
+    want = {(g, c): sum(v for h, t, v in facts if h == g and t < c) if any(h == g and t < c for h, t, _ in facts) else None for g, c in asked}
+    assert {(r.g, r.cutoff): r.v for r in got} == want and len(got) == len(want)
