@@ -93,3 +93,13 @@ def hash_uniform(seed: int, *keys) -> Column:
 
 def column_name(column, table) -> Column:
     return F.concat(col(column), F.lit(" of "), col(table))
+
+
+def column_of(name) -> Column:
+    """The column's part of "<column> of <table>": what stands before the last " of "."""
+    return F.regexp_extract(col(name), "^(.*) of ", 1)
+
+
+def table_of(name) -> Column:
+    """The table's part of "<column> of <table>": what stands after the last " of "."""
+    return F.regexp_extract(col(name), "^.* of (.*)$", 1)

@@ -68,25 +68,25 @@ def balanced(seeds: DataFrame, by: str, rank: str, positive: str, seed: int) ->
 TIME_PARTS = 64
 
 
-def by_time(rows: DataFrame, time: str, key: str) -> DataFrame:
-    """rows with `place`, their position in time order from 0, and `upto`, the number of rows no later; a whole-number key
-    orders equal times, by its remainder first. Rows without a time are left out.
+def by_time(rows: DataFrame, time: str, key: str, by: str | None = None) -> DataFrame:
+    """rows with `place`, their position in time order from 0 (of each `by`), and `upto`, the number of rows no later; a
+    whole-number key orders equal times, by its remainder first. Rows without a time are left out.
 
     Counts by time and remainder are added up, by day first, so a task ranks the rows of one time and remainder only.
     """
     part = F.pmod(F.col(key), F.lit(TIME_PARTS)).cast("int")
-    dealt = rows.where(F.col(time).isNotNull()).withColumn("__part", part)
-    counts = dealt.groupBy(F.col(time).alias("__time"), "__part").agg(F.count("*").alias("__n")).withColumn("__day", F.date_trunc("day", "__time"))
-    per_day = counts.groupBy("__day").agg(F.sum("__n").alias("__all"))
-    before = per_day.select("__day", (F.sum("__all").over(Window.orderBy("__day")) - F.col("__all")).alias("__days"))
-    inside = Window.partitionBy("__day")
+    dealt = rows.where(F.col(time).isNotNull()).withColumn("__part", part).withColumn("__by", F.col(by) if by else F.lit(0))
+    counts = dealt.groupBy("__by", F.col(time).alias("__time"), "__part").agg(F.count("*").alias("__n")).withColumn("__day", F.date_trunc("day", "__time"))
+    per_day = counts.groupBy("__by", "__day").agg(F.sum("__n").alias("__all"))
+    before = per_day.select("__by", "__day", (F.sum("__all").over(Window.partitionBy("__by").orderBy("__day")) - F.col("__all")).alias("__days"))
+    inside = Window.partitionBy("__by", "__day")
     running = counts.withColumns({
         "__before": F.sum("__n").over(inside.orderBy("__time", "__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"),
         "__upto": F.sum("__n").over(inside.orderBy("__time")),
     })
-    placed = running.join(before, "__day").select("__time", F.col("__part").alias("__p"), (F.col("__days") + F.col("__before")).alias("__before"), (F.col("__days") + F.col("__upto")).alias("upto"))
-    ranked = dealt.withColumn("__k", F.row_number().over(Window.partitionBy(time, "__part").orderBy(key)))
-    met = ranked.join(placed, (F.col(time) == F.col("__time")) & (F.col("__part") == F.col("__p")))
+    placed = running.join(before, ["__by", "__day"]).select(F.col("__by").alias("__b"), "__time", F.col("__part").alias("__p"), (F.col("__days") + F.col("__before")).alias("__before"), (F.col("__days") + F.col("__upto")).alias("upto"))
+    ranked = dealt.withColumn("__k", F.row_number().over(Window.partitionBy("__by", time, "__part").orderBy(key)))
+    met = ranked.join(placed, (F.col("__by") == F.col("__b")) & (F.col(time) == F.col("__time")) & (F.col("__part") == F.col("__p")))
     return met.select(*rows.columns, (F.col("__before") + F.col("__k") - 1).alias("place"), "upto")
 
 

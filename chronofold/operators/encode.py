@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,6 +187,22 @@ def padded(context: DataFrame, by: str, pos: str, value: str, length: int) -> Da
     return kept.select(by, values.alias("values"), F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: i >= F.size("v")).alias("is_padding"))
 
 
+def embedded(texts: DataFrame, column: str, embed: Callable[[list[str]], Iterable[Iterable[float]]] | None = None, batch: int = 256) -> DataFrame:
+    """(column, embedding) of the distinct texts: by `embed`, which gives a vector for each of a batch of texts and is
+    called in the workers, or by hashed character n-grams."""
+    if embed is None:
+        return hashed_embedding(texts, column)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch).column(0)
+                vectors = [list(map(float, v)) for v in embed([t or "" for t in part.to_pylist()])]
+                yield pa.RecordBatch.from_arrays([part, pa.array(vectors, pa.list_(pa.float64()))], [column, "embedding"])
+
+    return texts.select(F.col(column).cast("string")).distinct().mapInArrow(run, f"`{column}` string, embedding array<double>")
+
+
 def hashed_embedding(texts: DataFrame, column: str, dimension: int = 64, width: int = 3) -> DataFrame:
     """(column, embedding): hashed character n-grams with signs, scaled to unit length; no model is needed."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("__t") - width + 1, F.lit(1))), lambda i: F.substring(F.col("__t"), i, F.lit(width)))

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_rank
+from ..functions.scalars import hash_rank, hash_uniform
+from ..sources.shared import materialise
+from .context import by_time
+from .history import as_of
 
 #: Node numbers are a table's code times this, plus the key.
 SPAN = 1 << 40
@@ -97,6 +100,41 @@ def visits(sources: DataFrame, edges: DataFrame, length: int, same_table: int =
     return seen.groupBy("source", "node").agg(F.sum("p").alias("visits"))
 
 
+#: Seconds that stand for "no time", before all times.
+TIMELESS = -62_000_000_000
+
+
+def walk_sample(sources: DataFrame, edges: DataFrame, walks: int, length: int, seed: int = 0, same_table: int = SPAN) -> DataFrame:
+    """(source, node, visits): visits per walk to other nodes of the source's table, estimated by `walks` walks of `length`
+    nodes from each source; what `visits` gives exactly, with a standard error of at most length / sqrt(walks).
+
+    Neighbours are numbered: a node's parents first, then its children by time, so that the visible ones are a prefix. A
+    step draws a number by hash and finds the neighbour by an equi-join; a hub's children are never joined as a whole, and a
+    step has no more rows than walks. Each step is written to the shared folder. A walk ends where there is no neighbour.
+    """
+    up = edges.select(F.col("child").alias("at"), F.col("parent").alias("to"))
+    up = up.withColumn("i", F.row_number().over(Window.partitionBy("at").orderBy("to")) - 1)
+    parents = up.groupBy("at").agg(F.count("*").alias("n_up"))
+    timed = edges.select("child", "parent", F.timestamp_seconds(F.coalesce("child_ts", F.lit(TIMELESS))).cast("timestamp_ntz").alias("t"))
+    down = materialise(by_time(timed, "t", "child", "parent").select("parent", "child", "t", "place", "upto"), "children")
+    steps = down.groupBy("parent", "t").agg(F.max("upto").alias("upto"))
+    drawn = sources.select("source", F.timestamp_seconds(F.coalesce("ts", F.lit(-TIMELESS))).cast("timestamp_ntz").alias("until"))
+    walkers = drawn.withColumns({"walk": F.explode(F.sequence(F.lit(1), F.lit(walks))), "at": F.col("source")})
+    seen = None
+    for step in range(1, length):
+        asked = walkers.select("at", "until").distinct()
+        visible = as_of(asked, steps, ("at", "parent"), "t", ["upto"], tie="upto", cutoff="until", strict=False).select("at", "until", "upto")
+        here = walkers.join(visible, ["at", "until"]).join(parents, "at", "left").fillna(0, ["upto", "n_up"])
+        here = here.where("upto + n_up > 0").withColumn("draw", F.floor(hash_uniform(seed, "source", "walk", F.lit(step)) * (F.col("upto") + F.col("n_up"))).cast("long"))
+        above = here.where("draw < n_up").join(up, (here["at"] == up["at"]) & (F.col("draw") == up["i"])).select("source", "until", "walk", F.col("to").alias("at"))
+        below = here.where("draw >= n_up").join(down, (F.col("at") == F.col("parent")) & (F.col("draw") - F.col("n_up") == F.col("place"))).select("source", "until", "walk", F.col("child").alias("at"))
+        walkers = materialise(above.unionByName(below), "walkers")
+        own = (F.floor(F.col("at") / same_table) == F.floor(F.col("source") / same_table)) & (F.col("at") != F.col("source"))
+        met = walkers.where(own).select("source", F.col("at").alias("node"))
+        seen = met if seen is None else seen.unionByName(met)
+    return seen.groupBy("source", "node").agg((F.count("*") / F.lit(float(walks))).alias("visits"))
+
+
 def ranked_seeds(visited: DataFrame, times: DataFrame, prefer_latest: bool, seed: int) -> DataFrame:
     """(source, node, rank): by time (none last) then visits, or by visits alone; a hash breaks ties."""
     order = ([F.desc_nulls_last("ts")] if prefer_latest else []) + [F.desc(F.round("visits", 9)), hash_rank(seed, "source", "node"), F.col("node")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -77,11 +78,12 @@ def ridge_solution(x: np.ndarray, y: np.ndarray, at: np.ndarray, strength: float
     return float(1 / (1 + np.exp(-np.clip(target @ w, -30, 30))))
 
 
-def ridge_prediction(sets: DataFrame, features: list[str], task_type: str, strength: float = 1.0) -> DataFrame:
-    """(target, prediction) from rows (target, is_target, label, features...): one small regression for each target.
+def fitted(sets: DataFrame, features: list[str], task_type: str, fit: Callable[[np.ndarray, np.ndarray, np.ndarray], float], by: list[str]) -> DataFrame:
+    """(by..., prediction) from rows (by..., is_target, label, features...): a small model for each set, in numpy.
 
-    A target with fewer than two labels gets the default, one whose labels are all equal that label.
+    A set with fewer than two labels or without its target gets the default, one whose labels are all equal that label.
     """
+    fields = ", ".join(f"`{b}` {sets.schema[b].dataType.simpleString()}" for b in by)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         known, row = pdf[~pdf.is_target], pdf[pdf.is_target]
@@ -91,11 +93,16 @@ def ridge_prediction(sets: DataFrame, features: list[str], task_type: str, stren
         elif (y == y[0]).all():
             guess = float(y[0])
         else:
-            x = np.nan_to_num(known[features].to_numpy(float))
-            guess = ridge_solution(x, y, np.nan_to_num(row[features].to_numpy(float)[0]), strength, task_type == "clf")
-        return pd.DataFrame({"target": [pdf.target.iloc[0]], "prediction": [guess]})
+            guess = fit(known[features].to_numpy(float), y, row[features].to_numpy(float)[0])
+        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "prediction": [guess]})
 
-    return sets.select("target", "is_target", "label", *features).groupBy("target").applyInPandas(solve, "target long, prediction double")
+    return sets.select(*by, "is_target", "label", *features).groupBy(*by).applyInPandas(solve, f"{fields}, prediction double")
+
+
+def ridge_prediction(sets: DataFrame, features: list[str], task_type: str, strength: float = 1.0, by: list[str] | None = None) -> DataFrame:
+    """(by..., prediction): one small ridge or L2-logistic regression for each set, its missing values 0."""
+    fit = lambda x, y, at: ridge_solution(np.nan_to_num(x), y, np.nan_to_num(at), strength, task_type == "clf")
+    return fitted(sets, features, task_type, fit, by or ["target"])
 
 
 def linear_solution(x: np.ndarray, y: np.ndarray, at: np.ndarray, logistic: bool) -> float:
@@ -123,25 +130,14 @@ def imputed(features: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(finite, features, means), np.where(np.isfinite(row), row, means)
 
 
-def regression_prediction(sets: DataFrame, features: list[str], task_type: str) -> DataFrame:
-    """(target, prediction) from rows (target, is_target, label, features...): a linear or logistic model for each target.
-
-    A target with fewer than two labels gets the default, one whose labels are all equal that label.
-    """
+def regression_prediction(sets: DataFrame, features: list[str], task_type: str, by: list[str] | None = None) -> DataFrame:
+    """(by..., prediction): a linear or logistic model for each set, missing values imputed."""
+    fit = lambda x, y, at: linear_solution(*_ordered(imputed(x, at), y), task_type == "clf")
+    return fitted(sets, features, task_type, fit, by or ["target"])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        known, row = pdf[~pdf.is_target], pdf[pdf.is_target]
-        y = known.label.to_numpy(float)
-        if len(row) == 0 or len(y) < 2:
-            guess = DEFAULTS[task_type]
-        elif (y == y[0]).all():
-            guess = float(y[0])
-        else:
-            x, at = imputed(known[features].to_numpy(float), row[features].to_numpy(float)[0])
-            guess = linear_solution(x, y, at, task_type == "clf")
-        return pd.DataFrame({"target": [pdf.target.iloc[0]], "prediction": [guess]})
 
-    return sets.select("target", "is_target", "label", *features).groupBy("target").applyInPandas(solve, "target long, prediction double")
+def _ordered(both: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return both[0], y, both[1]
 
 
 #: Settings of the boosted trees that were tuned on validation labels, alike for both kinds of features and tasks.

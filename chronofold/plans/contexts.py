@@ -11,7 +11,7 @@ from ..operators import context as C
 from ..operators import encode as E
 from ..operators import store as ST
 from ..operators.graph import SPAN
-from ..sources.manifest import Table
+from . import evaluation as EV
 from .features import _LABELS, churn_labels
 from .graphs import _N, CODES, EDGES_SQL, ROBIN_SQL, fallback_sql, graph_edges, neighborhood_round_robin, node
 from .tables import ORDER_CUTOFFS, STAR, rounded, table
@@ -253,7 +253,35 @@ def column_runs(spark: SparkSession, sf: str) -> DataFrame:
 RUNS_SQL = f"WITH {_CONTEXT}, p AS (SELECT target, (row_number() OVER (PARTITION BY target ORDER BY col_id, pos) - 1)::INTEGER AS place, col_id FROM ctx) SELECT target, place, col_id, lag(col_id) OVER (PARTITION BY target ORDER BY place) IS DISTINCT FROM col_id AS starts FROM p"
 
 
+def evaluation_by_size(spark: SparkSession, sf: str) -> DataFrame:
+    """AUROC of the mean predictor at three context sizes: contexts, visible labels, predictions, scores in one plan."""
+    truth = _label_rows(spark, sf).select(F.col("node_id").alias("target"), "label")
+    return rounded(EV.scores(visible_labels(spark, sf), truth, "clf"))
+
+
+EVALUATION_SQL = f"""
+WITH p AS ({VISIBLE_SQL}), l AS (SELECT {_LN('c_custkey', 'year(cutoff)')} AS target, churn::INTEGER::DOUBLE AS label FROM ({_LABELS})),
+s AS (SELECT ctx_size, label, rank() OVER (PARTITION BY ctx_size ORDER BY prediction) + (count(*) OVER (PARTITION BY ctx_size, prediction) - 1) / 2.0::DOUBLE AS r FROM p JOIN l USING (target))
+SELECT ctx_size, 'roc_auc' AS metric, round(CASE WHEN sum(label) > 0 AND sum(label) < count(*) THEN (sum(r * label) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * (count(*) - sum(label))) END, 6) AS value, count(*) AS n FROM s GROUP BY 1
+"""
+
+
+def knn_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """The three vectors most like every twentieth one, none later than it; a vector's time is its id modulo 97."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), (F.col("vec_id") % 97).cast("long").alias("ts"), "embedding")
+    targets = rows.where("node_id % 20 = 0").select(F.col("node_id").alias("target"), F.col("node_id").alias("node"))
+    return EV.knn_seeds(rows, targets, 3, "embedding")
+
+
+KNN_SEEDS_SQL = """
+SELECT target, seed, rank::INTEGER AS rank FROM (SELECT q.vec_id AS target, r.vec_id AS seed, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) DESC, r.vec_id) AS rank
+  FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id AND r.vec_id % 97 <= q.vec_id % 97 WHERE q.vec_id % 20 = 0) WHERE rank <= 3
+"""
+
+
 QUERIES = {
+    "evaluation_by_size": (evaluation_by_size, EVALUATION_SQL),
+    "knn_seeds": (knn_seeds, KNN_SEEDS_SQL),
     "encode_nodes": (encode_nodes, NODES_SQL),
     "encode_edges": (encode_edges, STORE_EDGES_SQL),
     "encode_cells": (encode_cells, _cells_sql()),

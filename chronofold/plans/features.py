@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import history as H
+from ..operators.context import by_time
 from .tables import EVENT_FIRST, EVENT_LAST, ORDER_CUTOFFS, rounded, stamped, table
 
 _CUTS = ", ".join(f"(TIMESTAMP '{c}')" for c in ORDER_CUTOFFS)
@@ -77,7 +78,7 @@ def pit_part_sales_features(spark: SparkSession, sf: str) -> DataFrame:
         F.stddev_pop("l_quantity").alias("spread"), F.count_distinct(F.when(d <= 365, F.col("l_suppkey"))).alias("sellers"), F.avg("l_extendedprice").alias("price"),
     )
     brand = brand_before(spark, sf)
-    out = spine.join(agg, ["p_partkey", "cutoff"], "left").join(part, "p_partkey", "left").join(F.broadcast(brand), ["p_brand", "cutoff"], "left")
+    out = spine.join(agg, ["p_partkey", "cutoff"], "left").join(part, "p_partkey", "left").join(brand, ["p_brand", "cutoff"], "left")
     return rounded(out.select(
         "p_partkey", "cutoff", S.log_scaled("q90", 100).alias("f_q90"), S.log_scaled("q365", 300).alias("f_q365"), S.log_scaled("q", 1000).alias("f_q"), S.centred("trend", 200).alias("f_trend"),
         S.decay("last", 100).alias("f_recency"), S.log_scaled("age", 3000).alias("f_age"), S.capped("spread", 20, 0).alias("f_spread"), S.log_scaled("sellers", 20).alias("f_sellers"),
@@ -318,20 +319,18 @@ SPLIT_SQL = f"""SELECT c_custkey, cutoff, CASE dense_rank() OVER (ORDER BY cutof
 
 
 def split_positional(spark: SparkSession, sf: str) -> DataFrame:
-    """80/10/10 by time. Places come from counts by day and a rank inside the day, so no task sorts the table."""
+    """80/10/10 by time. Places come from counts by time and a rank inside it, so no task sorts the table or a day of it."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    day = F.to_date("o_orderdate")
-    per_day = orders.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
-    before = per_day.withColumn("before", F.sum("n").over(Window.orderBy("day")) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    inside = orders.withColumn("day", day).withColumn("k", F.row_number().over(Window.partitionBy("day").orderBy("o_orderdate", "o_orderkey")))
-    placed = inside.join(F.broadcast(before), "day").withColumn("place", F.col("before") + F.col("k") - 1)
-    split = F.when(F.col("place") < F.floor(F.col("total") * 0.8), "train").when(F.col("place") < F.floor(F.col("total") * 0.9), "val").otherwise("test")
+    total = orders.where("o_orderdate IS NOT NULL").agg(F.count("*").alias("total"))
+    placed = by_time(orders, "o_orderdate", "o_orderkey").crossJoin(F.broadcast(total))  # one row
+    early, late = [F.floor(F.col("total") * share) for share in (0.8, 0.9)]
+    split = F.when(F.col("place") < early, "train").when(F.col("place") < late, "val").otherwise("test")
     return placed.select("o_orderkey", split.alias("split"))
 
 
 POSITIONAL_SQL = """
 SELECT o_orderkey, CASE WHEN k < floor(n * 0.8) THEN 'train' WHEN k < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split
-FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders)
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey % 64, o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders)
 """
 
 

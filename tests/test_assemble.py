@@ -225,3 +225,41 @@ def test_boosted_settings_and_early_stop(spark, tmp_path):
     assert V.auroc(got.join(rows, "target")).first().auroc == 1.0
     same = P.identity_prediction(rows, "x").first()
     assert same.prediction == float(same.target % 10)
+
+
+def test_a_whole_run_with_every_predictor(spark, graph):
+    from chronofold.plans import evaluation as EV
+    from chronofold.plans.tasks import RunLog
+
+    nodes, edges, cells = graph
+    targets = A.explicit_targets(nodes, spark.createDataFrame([(20,), (21,), (22,), (23,)], "node_id long"))
+    truth = spark.createDataFrame([(20, 1.0), (21, 0.0), (22, 1.0), (23, 0.0)], "target long, label double")
+    setting = EV.Setting("left", "y", "clf", (6, 20))
+    features = lambda asked: asked.withColumns({"a": F.col("node_id").cast("double"), "b": F.lit(1.0)})
+    want = {"mean": {20: 0.5, 21: 1.0, 22: 0.5, 23: 0.5}, "identity": {20: 20.0, 21: 21.0, 22: 22.0, 23: 23.0}}
+    for name, predictor in EV.PREDICTORS.items():
+        got = EV.predictions(nodes, edges, cells, targets, setting, predictor, featurizer=features).where("ctx_size = 20").collect()
+        assert {r.target for r in got} == {20, 21, 22, 23} and all(0 <= r.prediction <= 23 for r in got)
+        if name in want:
+            assert {r.target: r.prediction for r in got} == want[name]
+    log = RunLog()
+    lines = EV.run(nodes, edges, cells, targets, truth, setting, EV.mean_predictor, log)
+    assert [x["ctx_size"] for x in lines] == [6, 20] and log.metrics == lines and lines[1]["value"] == pytest.approx((0 + 0.5 + 0 + 0.5) / 4)
+    both = EV.ensemble(nodes, edges, cells, targets, setting, EV.mean_predictor, [1, 2], lambda s: spark.createDataFrame([(20, 23, s)], "target long, seed long, rank int"))
+    assert {(r.target, r.ctx_size): r.members for r in both.collect()} == {(t, s): 2 for t in (20, 21, 22, 23) for s in (6, 20)}
+    scored = spark.createDataFrame([("t", 1, 0.5), ("t", 2, 0.9), ("u", 1, None)], "task string, config int, value double")
+    assert [(r.task, r.config) for r in EV.tuned(scored, "clf").collect()] == [("t", 2)]
+    vectors = spark.createDataFrame([(20, 1, [1.0, 0.0]), (21, 5, [1.0, 0.1]), (22, 9, [0.9, 0.1])], "node_id long, ts long, vector array<double>")
+    near = EV.knn_seeds(vectors, targets, 2)
+    assert {(r.target, r.seed, r["rank"]) for r in near.collect()} == {(21, 20, 1), (22, 21, 1), (22, 20, 2)}
+    again = EV.latest_first(near, vectors.select(F.col("node_id").alias("seed"), "ts"))
+    assert {(r.target, r.seed, r["rank"]) for r in again.collect()} == {(21, 20, 1), (22, 21, 1), (22, 20, 2)}
+
+
+def test_sampled_walks_agree_with_expected_visits(spark):
+    edges = spark.createDataFrame([(10, 1, 5), (11, 1, 15), (12, 1, 25), (13, 1, None), (10, 2, 5), (14, 2, 7), (1, 100, None), (2, 100, None)], "child long, parent long, child_ts long")
+    sources = spark.createDataFrame([(10, 20), (14, 6), (13, None)], "source long, ts long")
+    exact = {(r.source, r.node): r.visits for r in G.visits(sources, edges, 6, same_table=1000, least=0).collect()}
+    drawn = {(r.source, r.node): r.visits for r in G.walk_sample(sources, edges, 3000, 6, same_table=1000).collect()}
+    assert set(drawn) == set(exact) and not [k for k in exact if k[0] == 10 and k[1] == 12]
+    assert max(abs(drawn[k] - v) for k, v in exact.items()) < 0.06

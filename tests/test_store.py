@@ -138,3 +138,13 @@ def test_a_shared_folder_is_asked_for_off_one_machine(spark):
     with pytest.raises(ValueError, match="share"):
         shared.shared_dir(Far)
     assert shared.shared_dir(spark)
+
+
+def test_names_of_columns_and_pluggable_embeddings(spark):
+    from chronofold.functions import scalars as S
+
+    row = spark.createDataFrame([("day of week of shop",)], "n string").select(S.column_of("n"), S.table_of("n"), S.column_name(F.lit("a"), F.lit("b"))).first()
+    assert tuple(row) == ("day of week", "shop", "a of b")
+    texts = spark.createDataFrame([("ab",), ("ab",), ("c",), (None,)], "t string")
+    assert {(r.t, tuple(r.embedding)) for r in E.embedded(texts, "t", lambda ts: [[len(t), 1] for t in ts], batch=1).collect()} == {("ab", (2.0, 1.0)), ("c", (1.0, 1.0)), (None, (0.0, 1.0))}
+    assert {len(r.embedding) for r in E.embedded(texts, "t").collect()} == {64}
