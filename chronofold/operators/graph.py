@@ -104,6 +104,13 @@ def visits(sources: DataFrame, edges: DataFrame, length: int, same_table: int =
 TIMELESS = -62_000_000_000
 
 
+def numbered_children(edges: DataFrame) -> DataFrame:
+    """(parent, child, t, place, upto): each parent's children by time, timeless ones first, numbered from 0; upto: how many
+    are no later. A row a child and no list a parent, so a hub is no heavier than its children."""
+    timed = edges.select("child", "parent", F.timestamp_seconds(F.coalesce("child_ts", F.lit(TIMELESS))).cast("timestamp_ntz").alias("t"))
+    return by_time(timed, "t", "child", "parent").select("parent", "child", "t", "place", "upto")
+
+
 def walk_sample(sources: DataFrame, edges: DataFrame, walks: int, length: int, seed: int = 0, same_table: int = SPAN) -> DataFrame:
     """(source, node, visits): visits per walk to other nodes of the source's table, estimated by `walks` walks of `length`
     nodes from each source; what `visits` gives exactly, with a standard error of at most length / sqrt(walks).
@@ -115,8 +122,7 @@ def walk_sample(sources: DataFrame, edges: DataFrame, walks: int, length: int, s
     up = edges.select(F.col("child").alias("at"), F.col("parent").alias("to"))
     up = up.withColumn("i", F.row_number().over(Window.partitionBy("at").orderBy("to")) - 1)
     parents = up.groupBy("at").agg(F.count("*").alias("n_up"))
-    timed = edges.select("child", "parent", F.timestamp_seconds(F.coalesce("child_ts", F.lit(TIMELESS))).cast("timestamp_ntz").alias("t"))
-    down = materialise(by_time(timed, "t", "child", "parent").select("parent", "child", "t", "place", "upto"), "children")
+    down = materialise(numbered_children(edges), "children")
     steps = down.groupBy("parent", "t").agg(F.max("upto").alias("upto"))
     drawn = sources.select("source", F.timestamp_seconds(F.coalesce("ts", F.lit(-TIMELESS))).cast("timestamp_ntz").alias("until"))
     walkers = drawn.withColumns({"walk": F.explode(F.sequence(F.lit(1), F.lit(walks))), "at": F.col("source")})

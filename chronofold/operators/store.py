@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import seconds
 from ..sources.manifest import Database, Files, Manifest, Table, positioned, safe_name, write_meta
 from . import encode as E
+from .graph import numbered_children
 
 ROW = "__row"
 
@@ -138,8 +139,8 @@ def dictionary(sources: list[Source], cell: DataFrame) -> DataFrame:
 def prepare(spark: SparkSession, dataset: str, out: str, *, source: str | None = None, skip_tasks: bool = False, skip_db: bool = False, skip_graph: bool = False, fk: str = "position") -> dict:
     """Encode a dataset folder into `out` and return its metadata, which is written last: a folder without it is unfinished.
 
-    nodes, cells and edges are Parquet, dealt by table; vocab holds (text, n, txt_id), columns (col_id, name), tables
-    (table, split, n, node_offset). With skip_graph there are no edges.
+    nodes, cells and edges are Parquet, dealt by table; adjacency numbers each parent's children by time; vocab holds (text, n, txt_id), columns (col_id, name), tables
+    (table, split, n, node_offset). With skip_graph there are no edges and no adjacency.
     """
     db = Database.load(spark, dataset, skip_tasks=skip_tasks, skip_db=skip_db)
     parts = database_sources(db, skip_tasks, skip_db)
@@ -153,7 +154,8 @@ def prepare(spark: SparkSession, dataset: str, out: str, *, source: str | None =
     spark.createDataFrame([(s.name, s.split, s.rows, s.offset) for s in parts], "table string, split string, n long, node_offset long").coalesce(1).write.parquet(f"{out}/tables")
     if not skip_graph and (edge := edges(parts, fk)) is not None:
         edge.write.partitionBy("parent_table").parquet(f"{out}/edges")
-        files.append("edges")
+        numbered_children(read(spark, out, "edges")).select("parent", "place", "child", "upto").write.parquet(f"{out}/adjacency")
+        files += ["edges", "adjacency"]
     facts = {
         "source": source or dataset,
         "nodes": sum(s.rows for s in parts),
@@ -185,7 +187,7 @@ def prepare_many(spark: SparkSession, datasets: dict[str, str], out_root: str, *
 
 
 def read(spark: SparkSession, path: str, what: str) -> DataFrame:
-    """A part of an encoded dataset: nodes, cells, edges, vocab, columns or tables."""
+    """A part of an encoded dataset: nodes, cells, edges, adjacency, vocab, columns or tables."""
     return spark.read.parquet(f"{path}/{safe_name(what)}")
 
 

@@ -10,7 +10,7 @@ from ..operators import assemble as A
 from ..operators import context as C
 from ..operators import encode as E
 from ..operators import store as ST
-from ..operators.graph import SPAN
+from ..operators.graph import SPAN, numbered_children
 from . import evaluation as EV
 from .features import _LABELS, churn_labels
 from .graphs import _N, CODES, EDGES_SQL, ROBIN_SQL, fallback_sql, graph_edges, neighborhood_round_robin, node
@@ -279,7 +279,19 @@ SELECT target, seed, rank::INTEGER AS rank FROM (SELECT q.vec_id AS target, r.ve
 """
 
 
+def adjacency_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every parent's children in order of time, a row each."""
+    return numbered_children(graph_edges(spark, sf)).select("parent", "place", "child", "upto")
+
+
+ADJACENCY_SQL = f"""
+SELECT parent, row_number() OVER (PARTITION BY parent ORDER BY child_ts NULLS FIRST, child % 64, child) - 1 AS place, child,
+  count(*) OVER (PARTITION BY parent ORDER BY coalesce(child_ts, -62000000000) RANGE UNBOUNDED PRECEDING) AS upto FROM ({EDGES_SQL})
+"""
+
+
 QUERIES = {
+    "adjacency_rows": (adjacency_rows, ADJACENCY_SQL),
     "evaluation_by_size": (evaluation_by_size, EVALUATION_SQL),
     "knn_seeds": (knn_seeds, KNN_SEEDS_SQL),
     "encode_nodes": (encode_nodes, NODES_SQL),

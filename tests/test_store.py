@@ -27,7 +27,9 @@ def dataset(spark, tmp_path):
 
 def test_prepare_round_trip(spark, dataset, tmp_path):
     facts = ST.prepare(spark, dataset, f"{tmp_path}/out")
-    assert facts["files"] == ["cells", "columns", "edges", "nodes", "tables", "vocab"]
+    assert facts["files"] == ["adjacency", "cells", "columns", "edges", "nodes", "tables", "vocab"]
+    beside = sorted((r.place, r.child, r.upto) for r in ST.read(spark, f"{tmp_path}/out", "adjacency").where("parent = 18").collect())
+    assert beside == [(0, 0, 1), (1, 29, 2), (2, 10, 3)]  # events on days 0 and 10, a label on day 9
     assert [(t["table"], t["split"], t["n"], t["node_offset"]) for t in facts["tables"]] == [("events", "db", 18, 0), ("users", "db", 10, 18), ("leaves", "test", 1, 28), ("leaves", "train", 3, 29)]
     out = f"{tmp_path}/out"
     assert facts["nodes"] == 32 == ST.read(spark, out, "nodes").count()
