@@ -17,7 +17,8 @@ from .predict import DEFAULTS
 
 def explicit_targets(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(target, node, ts, table) of the nodes asked for; ids(node_id). Each is its own target, whatever table it is in."""
-    return nodes.join(ids.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("target"), F.col("node_id").alias("node"), "ts", "table")
+    return nodes.join(ids.select("node_id").distinct(), "node_id", "left_semi").select(F.col("node_id").alias("target"),
+        F.col("node_id").alias("node"), "ts", "table")
 
 
 def item_cap(targets: DataFrame, by: list[str], items: int | None, seed: int = 0) -> DataFrame:
@@ -34,7 +35,8 @@ def draw_config(targets: DataFrame, configs: list[int], name: str, seed: int = 0
     return targets.withColumn(name, F.array(*map(F.lit, configs))[F.pmod(number, F.lit(len(configs))).cast("int")])
 
 
-def seed_tiers(targets: DataFrame, similar: DataFrame | None = None, fallback: DataFrame | None = None, labelled: DataFrame | None = None) -> DataFrame:
+def seed_tiers(targets: DataFrame, similar: DataFrame | None = None, fallback: DataFrame | None = None,
+    labelled: DataFrame | None = None) -> DataFrame:
     """(target, seed, tier, place): the target itself (0), seeds like it by rank (1), then others by rank (2).
 
     similar and fallback are (target, seed, rank). A seed counts in its first tier only, and never the target itself. Seeds of
@@ -65,7 +67,8 @@ def collected(tiers: DataFrame, reached: DataFrame) -> DataFrame:
     return kept.select("target", "place", "seed", "tier", "node", "depth", F.col("__before").isNull().alias("first"))
 
 
-def expand(found: DataFrame, cells: DataFrame, nodes: DataFrame, targets: DataFrame, column: str, length: int, skip_text: bool = False, leakage: list[str] | None = None, table: str | None = None) -> DataFrame:
+def expand(found: DataFrame, cells: DataFrame, nodes: DataFrame, targets: DataFrame, column: str, length: int, skip_text: bool = False,
+    leakage: list[str] | None = None, table: str | None = None) -> DataFrame:
     """(target, pos, node, table, col, col_id, sem, num, text, ts, seed, tier, depth, is_target): each context's first
     `length` cells.
 
@@ -76,7 +79,8 @@ def expand(found: DataFrame, cells: DataFrame, nodes: DataFrame, targets: DataFr
     shown = found.where("first").join(cells.withColumnRenamed("node_id", "node"), "node")
     shown = shown.join(nodes.select(F.col("node_id").alias("node"), "ts"), "node")
     of = targets.select("target", F.col("node").alias("__node"), F.col("ts").alias("__ts"), F.col("table").alias("__table"))
-    shown = shown.join(of, "target").withColumn("is_target", (F.col("node") == F.col("__node")) & (F.col("col") == column) & (F.col("place") == 0))
+    shown = shown.join(of, "target").withColumn("is_target", (F.col("node") == F.col("__node")) & (F.col("col") == column)
+        & (F.col("place") == 0))
     if table is not None:
         shown = shown.where((F.col("__table") == table))
     if skip_text:
@@ -87,19 +91,24 @@ def expand(found: DataFrame, cells: DataFrame, nodes: DataFrame, targets: DataFr
     here = Window.partitionBy("target")
     order = [F.desc("is_target"), "place", "depth", "node", "col_id"]
     ranked = shown.withColumns({"pos": F.row_number().over(here.orderBy(*order)) - 1, "__known": F.max("is_target").over(here)})
-    return ranked.where(F.col("__known") & (F.col("pos") < length)).select("target", "pos", "node", "table", "col", "col_id", "sem", "num", "text", "ts", "seed", "tier", "depth", "is_target")
+    return ranked.where(F.col("__known") & (F.col("pos") < length)).select("target", "pos", "node", "table", "col", "col_id", "sem", "num",
+        "text", "ts", "seed", "tier", "depth", "is_target")
 
 
-def contexts(nodes: DataFrame, edges: DataFrame, cells: DataFrame, targets: DataFrame, column: str, *, length: int, depth: int = 2, width: int | None = None, local: int | None = None, similar: DataFrame | None = None, fallback: DataFrame | None = None, labelled: DataFrame | None = None, seed: int = 0, skip_text: bool = False, leakage: list[str] | None = None) -> DataFrame:
+def contexts(nodes: DataFrame, edges: DataFrame, cells: DataFrame, targets: DataFrame, column: str, *, length: int, depth: int = 2,
+    width: int | None = None, local: int | None = None, similar: DataFrame | None = None, fallback: DataFrame | None = None,
+    labelled: DataFrame | None = None, seed: int = 0, skip_text: bool = False, leakage: list[str] | None = None) -> DataFrame:
     """The cells of every target's context: tiers, expansion of each seed once, visited depths, cells, cut.
 
     local: the cells that one seed's expansion may hold; the node that reaches it and all later ones go.
     """
     tiers = seed_tiers(targets, similar, fallback, labelled)
-    starts = tiers.select(F.col("seed").alias("node_id")).distinct().join(nodes, "node_id").select(F.col("node_id").alias("seed"), F.col("node_id").alias("node"), "ts", "table")
+    starts = tiers.select(F.col("seed").alias("node_id")).distinct().join(nodes, "node_id").select(F.col("node_id").alias("seed"),
+        F.col("node_id").alias("node"), "ts", "table")
     reached = bfs(starts, edges, depth, width, seed, task_rule=True)
     if local is not None:
-        reached = bounded(reached, cells.groupBy(F.col("node_id").alias("node")).agg(F.count("*").alias("cells")), local).select("seed", "node", "depth")
+        reached = bounded(reached, cells.groupBy(F.col("node_id").alias("node")).agg(F.count("*").alias("cells")), local).select("seed",
+            "node", "depth")
     return expand(collected(tiers, reached), cells, nodes, targets, column, length, skip_text, leakage)
 
 
@@ -112,7 +121,8 @@ def visible_sets(context: DataFrame, table: str, column: str, sizes: list[int])
 
 def matching(sets: DataFrame, parents: DataFrame, targets: DataFrame) -> DataFrame:
     """The labels of the target's own entity, or all where none is: parents(node, parents array) holds each label row's."""
-    own = targets.select("target", F.col("node").alias("__node")).join(parents.select(F.col("node").alias("__node"), F.col("parents").alias("__own")), "__node").drop("__node")
+    own = targets.select("target", F.col("node").alias("__node")).join(parents.select(F.col("node").alias("__node"),
+        F.col("parents").alias("__own")), "__node").drop("__node")
     met = sets.join(parents, "node").join(own, "target").withColumn("__same", F.col("parents") == F.col("__own"))
     some = F.max("__same").over(Window.partitionBy("target", "ctx_size"))
     return met.withColumn("__some", some).where("__same OR NOT __some").select(*sets.columns)
@@ -173,7 +183,8 @@ def check_seed_orders(orders: DataFrame, nodes: DataFrame, targets: DataFrame, c
 def summary(context: DataFrame, by: str) -> DataFrame:
     """Cells, nodes and labels of each target by `node`, `col`, `table`, `seed`, `tier` or `sem`: what a viewer lists."""
     keys = ["table", "col"] if by == "col" else [by]
-    facts = [F.count("*").alias("cells"), F.countDistinct("node").alias("nodes"), F.min("pos").alias("first_pos"), F.min("depth").alias("depth")]
+    facts = [F.count("*").alias("cells"), F.countDistinct("node").alias("nodes"), F.min("pos").alias("first_pos"),
+        F.min("depth").alias("depth")]
     return context.groupBy("target", *keys).agg(*facts)
 
 

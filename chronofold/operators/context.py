@@ -22,15 +22,21 @@ def neighborhood(targets: DataFrame, entities: DataFrame, labels: DataFrame, sou
     node = F.array(F.struct(F.col("node"), F.lit(2).alias("depth")))
 
     def latest(facts: DataFrame, strict: bool) -> DataFrame:
-        test = (targets["entity"] == facts["entity"]) & ((facts["time"] < targets["cutoff"]) if strict else (facts["time"] <= targets["cutoff"]))
+        test = (targets["entity"] == facts["entity"]) & ((facts["time"] < targets["cutoff"]) if strict
+            else (facts["time"] <= targets["cutoff"]))
         met = targets.join(facts, test).select("target", facts["time"], *[facts[c] for c in facts.columns if c not in ("entity", "time")])
-        return met.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("time"), "node"))).where(F.col("rank") <= width)
+        return met.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("time"),
+            "node"))).where(F.col("rank") <= width)
 
-    first = targets.join(entities, "entity").select("target", F.lit(0).alias("part"), F.lit(0).alias("rank"), F.lit(0).alias("source"), F.array(F.struct("node", F.lit(1).alias("depth"))).alias("nodes"))
-    parts = first.unionByName(latest(labels, True).select("target", F.lit(1).alias("part"), "rank", F.lit(0).alias("source"), node.alias("nodes")))
+    first = targets.join(entities, "entity").select("target", F.lit(0).alias("part"), F.lit(0).alias("rank"), F.lit(0).alias("source"),
+        F.array(F.struct("node", F.lit(1).alias("depth"))).alias("nodes"))
+    parts = first.unionByName(latest(labels, True).select("target", F.lit(1).alias("part"), "rank", F.lit(0).alias("source"),
+        node.alias("nodes")))
     for i, source in enumerate(sources):
-        parts = parts.unionByName(latest(source, False).select("target", F.lit(2).alias("part"), "rank", F.lit(i).alias("source"), F.concat(node, "parents").alias("nodes")))
-    long = parts.select("target", "part", "rank", "source", F.posexplode("nodes").alias("place", "x")).select("target", "part", "rank", "source", "place", "x.node", "x.depth").where("node IS NOT NULL")
+        parts = parts.unionByName(latest(source, False).select("target", F.lit(2).alias("part"), "rank", F.lit(i).alias("source"),
+            F.concat(node, "parents").alias("nodes")))
+    long = parts.select("target", "part", "rank", "source", F.posexplode("nodes").alias("place", "x")).select("target", "part", "rank",
+        "source", "place", "x.node", "x.depth").where("node IS NOT NULL")
     order = F.struct("part", "rank", "source", "place")
     seen = long.groupBy("target", "node").agg(F.min(order).alias("o"), F.min_by("depth", order).alias("depth"))
     return seen.select("target", (F.row_number().over(Window.partitionBy("target").orderBy("o")) - 1).alias("pos"), "node", "depth")
@@ -76,21 +82,25 @@ def by_time(rows: DataFrame, time: str, key: str, by: str | None = None) -> Data
     """
     part = F.pmod(F.col(key), F.lit(TIME_PARTS)).cast("int")
     dealt = rows.where(F.col(time).isNotNull()).withColumn("__part", part).withColumn("__by", F.col(by) if by else F.lit(0))
-    counts = dealt.groupBy("__by", F.col(time).alias("__time"), "__part").agg(F.count("*").alias("__n")).withColumn("__day", F.date_trunc("day", "__time"))
+    counts = dealt.groupBy("__by", F.col(time).alias("__time"), "__part").agg(F.count("*").alias("__n")).withColumn("__day",
+        F.date_trunc("day", "__time"))
     per_day = counts.groupBy("__by", "__day").agg(F.sum("__n").alias("__all"))
-    before = per_day.select("__by", "__day", (F.sum("__all").over(Window.partitionBy("__by").orderBy("__day")) - F.col("__all")).alias("__days"))
+    before = per_day.select("__by", "__day", (F.sum("__all").over(Window.partitionBy("__by").orderBy("__day"))
+        - F.col("__all")).alias("__days"))
     inside = Window.partitionBy("__by", "__day")
     running = counts.withColumns({
         "__before": F.sum("__n").over(inside.orderBy("__time", "__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"),
         "__upto": F.sum("__n").over(inside.orderBy("__time")),
     })
-    placed = running.join(before, ["__by", "__day"]).select(F.col("__by").alias("__b"), "__time", F.col("__part").alias("__p"), (F.col("__days") + F.col("__before")).alias("__before"), (F.col("__days") + F.col("__upto")).alias("upto"))
+    placed = running.join(before, ["__by", "__day"]).select(F.col("__by").alias("__b"), "__time", F.col("__part").alias("__p"),
+        (F.col("__days") + F.col("__before")).alias("__before"), (F.col("__days") + F.col("__upto")).alias("upto"))
     ranked = dealt.withColumn("__k", F.row_number().over(Window.partitionBy("__by", time, "__part").orderBy(key)))
     met = ranked.join(placed, (F.col("__by") == F.col("__b")) & (F.col(time) == F.col("__time")) & (F.col("__part") == F.col("__p")))
     return met.select(*rows.columns, (F.col("__before") + F.col("__k") - 1).alias("place"), "upto")
 
 
-def fallback(targets: DataFrame, rows: DataFrame, count: int, seed: int, time: str = "time", node: str = "node", tried: int = 3, ranked: bool = False) -> DataFrame:
+def fallback(targets: DataFrame, rows: DataFrame, count: int, seed: int, time: str = "time", node: str = "node", tried: int = 3,
+    ranked: bool = False) -> DataFrame:
     """(target, node), on request with rank: `count` random rows no later than the target and other than it, or all of
     them where there are fewer.
 
@@ -102,7 +112,8 @@ def fallback(targets: DataFrame, rows: DataFrame, count: int, seed: int, time: s
     drawn = placed.select(F.col(node).alias("target"), F.col("upto").alias("__upto")).join(targets.select("target"), "target")
     drawn = drawn.withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(tried * count + count + 1))))
     hashed = F.floor(hash_uniform(seed, "target", "__i") * F.col("__upto")).cast("long")
-    drawn = drawn.withColumn("place", F.when(F.col("__i") <= tried * count, hashed).otherwise(F.col("__i") - (tried * count + 1))).where(F.col("place") < F.col("__upto"))
+    drawn = drawn.withColumn("place", F.when(F.col("__i") <= tried * count,
+        hashed).otherwise(F.col("__i") - (tried * count + 1))).where(F.col("place") < F.col("__upto"))
     once = drawn.groupBy("target", "place").agg(F.min("__i").alias("__i"))
     met = once.join(placed.select("place", node), "place").where(F.col("target") != F.col(node))
     chosen = met.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("__i"))).where(F.col("rank") <= count)
@@ -116,7 +127,8 @@ def masked(cells: DataFrame, most: float, seed: int, keys: list[str], by: str) -
 
 def sampled(rows: DataFrame, by: list[str], count: int, seed: int, key: str) -> DataFrame:
     """`count` rows of each group without replacement, in hash order."""
-    return rows.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy(hash_rank(seed, key), key))).where(F.col("draw") <= count)
+    return rows.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy(hash_rank(seed, key),
+        key))).where(F.col("draw") <= count)
 
 
 def label_leak(cells: DataFrame, target_time: str, time: str, column: str, leakage: list[str]) -> DataFrame:

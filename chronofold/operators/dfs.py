@@ -28,7 +28,8 @@ def aggregates(path: Path, extra: list[str] = ()) -> list[Column]:
     """count; max, min, mean and std of numbers; the most frequent category, the smallest among equals."""
     out = [F.count("*").alias(f"{path.name}_count")]
     for c in [*path.numbers, *extra]:
-        out += [f(F.col(c).cast("double")).alias(f"{path.name}_{n}_{c}") for n, f in (("max", F.max), ("min", F.min), ("mean", F.avg), ("std", F.stddev_samp))]
+        out += [f(F.col(c).cast("double")).alias(f"{path.name}_{n}_{c}") for n,
+            f in (("max", F.max), ("min", F.min), ("mean", F.avg), ("std", F.stddev_samp))]
     return out + [F.mode(c, True).alias(f"{path.name}_mode_{c}") for c in path.categories]
 
 
@@ -49,7 +50,8 @@ def synthesise(spine: DataFrame, key: str, paths: list[Path], depth: int, cutoff
             for child in path.children:
                 rows = met.select(F.col(path.key).alias("__k"), F.col(cutoff).alias("__c")).distinct()
                 test = (rows["__k"] == child.table[child.fk]) & ((child.table[child.time] < rows["__c"]) if child.time else F.lit(True))
-                deep = rows.join(child.table, test).groupBy("__k", "__c").agg(*aggregates(Path(child.name, child.table, child.fk, numbers=child.numbers)))
+                deep = rows.join(child.table, test).groupBy("__k",
+                    "__c").agg(*aggregates(Path(child.name, child.table, child.fk, numbers=child.numbers)))
                 made = [c for c in deep.columns if c not in ("__k", "__c")]
                 met = met.join(deep, (met[path.key] == deep["__k"]) & (met[cutoff] == deep["__c"]), "left").drop("__k", "__c")
                 extra += made

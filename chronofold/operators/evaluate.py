@@ -12,13 +12,15 @@ from ..sources.manifest import Files, safe_name
 BINS = 4096
 
 
-def submission(predictions: DataFrame, labels: DataFrame, task_type: str, keys: list[str], node: str = "node", mean: float = 0.0, std: float = 1.0) -> DataFrame:
+def submission(predictions: DataFrame, labels: DataFrame, task_type: str, keys: list[str], node: str = "node", mean: float = 0.0,
+    std: float = 1.0) -> DataFrame:
     """(keys..., label, prediction): predictions back in the label's scale and on its rows, joined by node.
 
     A node predicted twice is an error, raised when the rows are read.
     """
     counted = predictions.withColumn("__n", F.count("*").over(Window.partitionBy(node)))
-    raw = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("row predicted twice: "), F.col(node).cast("string"))).cast("double")).otherwise(F.col("prediction"))
+    raw = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("row predicted twice: "),
+        F.col(node).cast("string"))).cast("double")).otherwise(F.col("prediction"))
     value = sigmoid(raw) if task_type == "clf" else raw * std + mean
     return labels.join(counted.select(node, value.alias("prediction")), node).select(*keys, node, "label", "prediction")
 
@@ -33,7 +35,8 @@ def write_csv(rows: DataFrame, folder: str, name: str) -> str:
     return f"{folder}/{name}"
 
 
-def score_submission(predictions: DataFrame, truth: DataFrame, task_type: str, db: str, task: str, keys: list[str], folder: str, *, offset: int = 0, row: str = "row", mean: float = 0.0, std: float = 1.0, metric: str | None = None, keep: bool = True) -> dict:
+def score_submission(predictions: DataFrame, truth: DataFrame, task_type: str, db: str, task: str, keys: list[str], folder: str, *,
+    offset: int = 0, row: str = "row", mean: float = 0.0, std: float = 1.0, metric: str | None = None, keep: bool = True) -> dict:
     """Align predictions(node, prediction) with truth(row, keys..., label) by node = row + offset, write and score them.
 
     The file is <db>__<task>.csv, or <db>__<task>.partial.csv where rows of truth have no prediction; the metric's name
@@ -87,8 +90,10 @@ def auroc(scored: DataFrame, by: list[str] | None = None, label: str = "label",
     before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "__bin", F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__before"))
     order = Window.partitionBy(*by, "__bin").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = binned.withColumn("__in", F.coalesce(F.sum("n").over(order), F.lit(0))).join(totals, [*by, "__bin"]).withColumn("below", F.col("__in") + F.col("__before"))
-    out = below.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    below = binned.withColumn("__in", F.coalesce(F.sum("n").over(order), F.lit(0))).join(totals, [*by, "__bin"]).withColumn("below",
+        F.col("__in") + F.col("__before"))
+    out = below.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2.0)).alias("ranks"), F.sum("pos").alias("p"),
+        F.sum("n").alias("n"))
     negatives = F.col("n") - F.col("p")
     value = F.when((F.col("p") > 0) & (negatives > 0), (F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * negatives))
     return out.select(*by, value.alias("auroc"), "n")
@@ -98,21 +103,25 @@ def regression_scores(scored: DataFrame, by: list[str] | None = None, label: str
     """(by..., mae, nmae, r2, n); nmae divides by the labels' mean absolute deviation from 0, r2 is null for equal labels."""
     by = by or []
     y, p = F.col(label).cast("double"), F.col(score)
-    out = scored.groupBy(*by).agg(F.avg(F.abs(y - p)).alias("mae"), F.avg(F.abs(y)).alias("size"), F.sum((y - p) * (y - p)).alias("rest"), F.var_pop(y).alias("var"), F.count("*").alias("n"))
-    return out.select(*by, "mae", F.try_divide("mae", "size").alias("nmae"), (1 - F.try_divide(F.col("rest"), F.col("var") * F.col("n"))).alias("r2"), "n")
+    out = scored.groupBy(*by).agg(F.avg(F.abs(y - p)).alias("mae"), F.avg(F.abs(y)).alias("size"), F.sum((y - p) * (y - p)).alias("rest"),
+        F.var_pop(y).alias("var"), F.count("*").alias("n"))
+    return out.select(*by, "mae", F.try_divide("mae", "size").alias("nmae"),
+        (1 - F.try_divide(F.col("rest"), F.col("var") * F.col("n"))).alias("r2"), "n")
 
 
 def partial_scores(scored: DataFrame, wanted: DataFrame, node: str, metric: str) -> DataFrame:
     """The AUROC of a run, named subset_<metric> where some wanted rows have no prediction."""
     have = scored.select(node).distinct()
     missing = wanted.select(node).distinct().join(have, node, "left_anti").agg(F.count("*").alias("missing"))
-    return auroc(scored).join(F.broadcast(missing)).select(F.when(F.col("missing") > 0, F.lit(f"subset_{metric}")).otherwise(F.lit(metric)).alias("metric"), F.col("auroc").alias("value"), "n")
+    return auroc(scored).join(F.broadcast(missing)).select(F.when(F.col("missing") > 0,
+        F.lit(f"subset_{metric}")).otherwise(F.lit(metric)).alias("metric"), F.col("auroc").alias("value"), "n")
 
 
 def best_config(scores: DataFrame, by: list[str], config: str, value: str, larger: bool) -> DataFrame:
     """(by..., config, value): the best configuration, the smallest among equals."""
     order = F.struct((F.col(value) if larger else -F.col(value)).alias("v"), (-F.col(config)).alias("c"))
-    return scores.where(F.col(value).isNotNull()).groupBy(*by).agg(F.max_by(config, order).alias(config), F.max_by(value, order).alias(value))
+    return scores.where(F.col(value).isNotNull()).groupBy(*by).agg(F.max_by(config, order).alias(config),
+        F.max_by(value, order).alias(value))
 
 
 def ensemble(predictions: DataFrame, row: list[str]) -> DataFrame:
@@ -131,7 +140,8 @@ def task_audit(labels: DataFrame, nodes: DataFrame, parents: DataFrame, entity:
     Counted are label rows without an entity or time, rows on one side only, times that differ by a second or more, and
     rows whose parent is not the entity's row position.
     """
-    mine = labels.select((F.col(row) + offset).alias("node_id"), F.col(entity).cast("long").alias("entity"), seconds(time).alias("__ts"), F.col(time).alias("__time"))
+    mine = labels.select((F.col(row) + offset).alias("node_id"), F.col(entity).cast("long").alias("entity"), seconds(time).alias("__ts"),
+        F.col(time).alias("__time"))
     met = mine.join(nodes.select("node_id", "ts"), "node_id")
     linked = mine.join(parents.withColumnRenamed("child", "node_id"), "node_id", "left")
     checks = [
@@ -164,7 +174,8 @@ def alignment_audit(tables: dict[str, DataFrame], manifest, positions: bool = Fa
         t = manifest.table(name)
         if t.pkey and positions:
             n = df.agg(F.count("*").alias("__rows"))
-            add("key off position", name, df.crossJoin(F.broadcast(n)).where((F.col(t.pkey) < 0) | (F.col(t.pkey) >= F.col("__rows"))))  # one row
+            add("key off position", name, df.crossJoin(F.broadcast(n)).where((F.col(t.pkey) < 0)
+                | (F.col(t.pkey) >= F.col("__rows"))))  # one row
         if t.pkey:
             add("null key", name, df.where(F.col(t.pkey).isNull()))
             add("double key", name, df.groupBy(t.pkey).count().where("count > 1"))

@@ -30,14 +30,16 @@ def _thinned(edges: DataFrame, width: int, seed: int) -> DataFrame:
     parts first, and only the first `width` of each part with each other.
     """
     order = [hash_rank(seed, "parent", "child"), F.col("child")]
-    dealt = edges.withColumn("bucket", F.floor(F.col("child_ts") / F.lit(BUCKET))).withColumn("part", F.pmod(F.xxhash64("child"), F.lit(PARTS)).cast("int"))
+    dealt = edges.withColumn("bucket", F.floor(F.col("child_ts") / F.lit(BUCKET))).withColumn("part",
+        F.pmod(F.xxhash64("child"), F.lit(PARTS)).cast("int"))
     dealt = dealt.withColumn("k", F.row_number().over(Window.partitionBy("parent", "bucket", "part").orderBy(*order)))
     ahead = F.col("k") <= width
     group = Window.partitionBy("parent", "bucket", F.when(ahead, -1).otherwise(F.col("part"))).orderBy(*order)
     return dealt.withColumn("in_bucket", F.when(ahead, F.row_number().over(group)).otherwise(width + 1)).drop("part", "k")
 
 
-def bfs(seeds: DataFrame, edges: DataFrame, depth: int, width: int | None = None, seed: int = 0, checkpoint: bool = False, task_rule: bool = False) -> DataFrame:
+def bfs(seeds: DataFrame, edges: DataFrame, depth: int, width: int | None = None, seed: int = 0, checkpoint: bool = False,
+    task_rule: bool = False) -> DataFrame:
     """(seed, node, depth): every node within `depth` steps, at its smallest depth.
 
     seeds(seed, node, ts). A node expanded shows all its parents and at most `width` of its visible children, in the
@@ -58,7 +60,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, depth: int, width: int | None = None
             down = met.where(visible)
         else:
             whole = F.col("child_ts").isNull() | (F.col("bucket") < F.floor(F.col("ts") / F.lit(BUCKET)))
-            down = met.where(visible & (~whole | (F.col("in_bucket") <= width))).select("seed", "ts", *extra, F.col("node").alias("via"), "child").distinct()
+            down = met.where(visible & (~whole | (F.col("in_bucket") <= width))).select("seed", "ts", *extra, F.col("node").alias("via"),
+                "child").distinct()
             rank = F.row_number().over(Window.partitionBy("seed", "via").orderBy(hash_rank(seed, "via", "child"), "child"))
             down = down.withColumn("k", rank).where(F.col("k") <= width)
         found = up.unionByName(down.select("seed", "ts", *extra, F.col("child").alias("node")))
@@ -66,7 +69,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, depth: int, width: int | None = None
             labels = edges.where("child_split <> 'db'").withColumnRenamed("child_table", "__table")
             own = frontier.join(labels, (frontier["node"] == labels["parent"]) & (frontier["table"] == labels["__table"])).where(visible)
             found = found.unionByName(own.select("seed", "ts", *extra, F.col("child").alias("node")))
-        frontier = found.distinct().join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "ts", *extra, F.lit(level).alias("depth"))
+        frontier = found.distinct().join(reached.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "ts", *extra,
+            F.lit(level).alias("depth"))
         if checkpoint:
             frontier = frontier.checkpoint()
         reached = reached.unionByName(frontier)
@@ -91,11 +95,14 @@ def visits(sources: DataFrame, edges: DataFrame, length: int, same_table: int =
     for _ in range(length - 1):
         up = mass.join(edges, mass["node"] == edges["child"]).select("source", "ts", "node", "p", F.col("parent").alias("to"))
         visible = F.col("child_ts").isNull() | F.col("ts").isNull() | (F.col("child_ts") <= F.col("ts"))
-        down = mass.join(edges, mass["node"] == edges["parent"]).where(visible).select("source", "ts", "node", "p", F.col("child").alias("to"))
+        down = mass.join(edges, mass["node"] == edges["parent"]).where(visible).select("source", "ts", "node", "p",
+            F.col("child").alias("to"))
         steps = up.unionByName(down)
         degree = steps.groupBy("source", "node").agg(F.count("*").alias("degree"))
-        mass = steps.join(degree, ["source", "node"]).groupBy("source", "ts", F.col("to").alias("node")).agg(F.sum(F.col("p") / F.col("degree")).alias("p")).where(F.col("p") >= least)
-        kept = mass.where((F.floor(F.col("node") / same_table) == F.floor(F.col("source") / same_table)) & (F.col("node") != F.col("source"))).select("source", "node", "p")
+        mass = steps.join(degree, ["source", "node"]).groupBy("source", "ts",
+            F.col("to").alias("node")).agg(F.sum(F.col("p") / F.col("degree")).alias("p")).where(F.col("p") >= least)
+        kept = mass.where((F.floor(F.col("node") / same_table) == F.floor(F.col("source") / same_table))
+            & (F.col("node") != F.col("source"))).select("source", "node", "p")
         seen = kept if seen is None else seen.unionByName(kept)
     return seen.groupBy("source", "node").agg(F.sum("p").alias("visits"))
 
@@ -129,11 +136,15 @@ def walk_sample(sources: DataFrame, edges: DataFrame, walks: int, length: int, s
     seen = None
     for step in range(1, length):
         asked = walkers.select("at", "until").distinct()
-        visible = as_of(asked, steps, ("at", "parent"), "t", ["upto"], tie="upto", cutoff="until", strict=False).select("at", "until", "upto")
+        visible = as_of(asked, steps, ("at", "parent"), "t", ["upto"], tie="upto", cutoff="until", strict=False).select("at", "until",
+            "upto")
         here = walkers.join(visible, ["at", "until"]).join(parents, "at", "left").fillna(0, ["upto", "n_up"])
-        here = here.where("upto + n_up > 0").withColumn("draw", F.floor(hash_uniform(seed, "source", "walk", F.lit(step)) * (F.col("upto") + F.col("n_up"))).cast("long"))
-        above = here.where("draw < n_up").join(up, (here["at"] == up["at"]) & (F.col("draw") == up["i"])).select("source", "until", "walk", F.col("to").alias("at"))
-        below = here.where("draw >= n_up").join(down, (F.col("at") == F.col("parent")) & (F.col("draw") - F.col("n_up") == F.col("place"))).select("source", "until", "walk", F.col("child").alias("at"))
+        here = here.where("upto + n_up > 0").withColumn("draw",
+            F.floor(hash_uniform(seed, "source", "walk", F.lit(step)) * (F.col("upto") + F.col("n_up"))).cast("long"))
+        above = here.where("draw < n_up").join(up, (here["at"] == up["at"]) & (F.col("draw") == up["i"])).select("source", "until", "walk",
+            F.col("to").alias("at"))
+        below = here.where("draw >= n_up").join(down, (F.col("at") == F.col("parent"))
+            & (F.col("draw") - F.col("n_up") == F.col("place"))).select("source", "until", "walk", F.col("child").alias("at"))
         walkers = materialise(above.unionByName(below), "walkers")
         own = (F.floor(F.col("at") / same_table) == F.floor(F.col("source") / same_table)) & (F.col("at") != F.col("source"))
         met = walkers.where(own).select("source", F.col("at").alias("node"))
@@ -143,5 +154,7 @@ def walk_sample(sources: DataFrame, edges: DataFrame, walks: int, length: int, s
 
 def ranked_seeds(visited: DataFrame, times: DataFrame, prefer_latest: bool, seed: int) -> DataFrame:
     """(source, node, rank): by time (none last) then visits, or by visits alone; a hash breaks ties."""
-    order = ([F.desc_nulls_last("ts")] if prefer_latest else []) + [F.desc(F.round("visits", 9)), hash_rank(seed, "source", "node"), F.col("node")]
-    return visited.join(times, "node").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(*order))).select("source", "node", "rank")
+    order = ([F.desc_nulls_last("ts")] if prefer_latest else []) + [F.desc(F.round("visits", 9)), hash_rank(seed, "source", "node"),
+        F.col("node")]
+    return visited.join(times, "node").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(
+        *order))).select("source", "node", "rank")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import col, days_between
 
 
-def before(spine: DataFrame, facts: DataFrame, on: list[tuple[str, str]], time: str, cutoff: str = "cutoff", strict: bool = True, how: str = "inner") -> DataFrame:
+def before(spine: DataFrame, facts: DataFrame, on: list[tuple[str, str]], time: str, cutoff: str = "cutoff", strict: bool = True,
+    how: str = "inner") -> DataFrame:
     """Spine rows with every fact of their entity before the cutoff, and `days_ago`."""
     seen = facts[time] < spine[cutoff] if strict else facts[time] <= spine[cutoff]
     for left, right in on:
@@ -20,7 +21,8 @@ def before(spine: DataFrame, facts: DataFrame, on: list[tuple[str, str]], time:
     return spine.join(facts, seen, how).withColumn("days_ago", days_between(cutoff, time))
 
 
-def within(spine: DataFrame, facts: DataFrame, on: list[tuple[str, str]], time: str, days: int, cutoff: str = "cutoff", how: str = "left") -> DataFrame:
+def within(spine: DataFrame, facts: DataFrame, on: list[tuple[str, str]], time: str, days: int, cutoff: str = "cutoff",
+    how: str = "left") -> DataFrame:
     """Spine rows with the facts of the `days` days after the cutoff: the window of a forecast label."""
     test = (facts[time] > spine[cutoff]) & (facts[time] <= spine[cutoff] + F.expr(f"INTERVAL {days} DAY"))
     for left, right in on:
@@ -40,7 +42,8 @@ def spine_between(entities: DataFrame, key: str, first: str, last: str, days: in
     return entities.select(key, F.explode(times).alias("cutoff"))
 
 
-def as_of(spine: DataFrame, facts: DataFrame, key: tuple[str, str], time: str, values: list[str], tie: str, cutoff: str = "cutoff", strict: bool = True) -> DataFrame:
+def as_of(spine: DataFrame, facts: DataFrame, key: tuple[str, str], time: str, values: list[str], tie: str, cutoff: str = "cutoff",
+    strict: bool = True) -> DataFrame:
     """The latest fact before each cutoff, without multiplying spine by facts.
 
     Both sides are laid in one time line for each entity, and the last fact's values are carried forward. One
@@ -51,8 +54,10 @@ def as_of(spine: DataFrame, facts: DataFrame, key: tuple[str, str], time: str, v
     fact_first = 1 if strict else 0  # at equal times, spine rows before or after facts
     line = (
         facts.where(F.col(time).isNotNull())
-        .select(F.col(right).alias(left), F.col(time).alias("__at"), F.lit(fact_first).alias("__side"), F.col(tie).alias("__tie"), packed.alias("__fact"), F.lit(None).cast(spine.schema[cutoff].dataType).alias(cutoff))
-        .unionByName(spine.select(left, F.col(cutoff).alias("__at"), F.lit(1 - fact_first).alias("__side"), F.lit(None).cast(facts.schema[tie].dataType).alias("__tie"), F.lit(None).alias("__fact"), cutoff), allowMissingColumns=False)
+        .select(F.col(right).alias(left), F.col(time).alias("__at"), F.lit(fact_first).alias("__side"), F.col(tie).alias("__tie"),
+            packed.alias("__fact"), F.lit(None).cast(spine.schema[cutoff].dataType).alias(cutoff))
+        .unionByName(spine.select(left, F.col(cutoff).alias("__at"), F.lit(1 - fact_first).alias("__side"),
+            F.lit(None).cast(facts.schema[tie].dataType).alias("__tie"), F.lit(None).alias("__fact"), cutoff), allowMissingColumns=False)
     )
     order = Window.partitionBy(left).orderBy("__at", "__side", F.col("__tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     last = line.withColumn("__last", F.last("__fact", ignorenulls=True).over(order)).where(F.col(cutoff).isNotNull())
@@ -71,13 +76,15 @@ def sums_before(facts: DataFrame, asked: DataFrame, by: list[str], time: str, va
     line = timed.select(*by, "__t", *values, "__side").unionByName(marks).withColumn("__day", F.date_trunc("day", "__t"))
     days = line.groupBy(*by, "__day").agg(*[F.sum(v).alias(v) for v in values])
     run = Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = days.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__day").alias("__before"), *[F.sum(v).over(run).alias(f"__{v}") for v in values])
+    earlier = days.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__day").alias("__before"),
+        *[F.sum(v).over(run).alias(f"__{v}") for v in values])
     inside = Window.partitionBy(*by, "__day").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     summed = line.withColumns({v: F.sum(v).over(inside) for v in values}).where("__side = 0")
     same = F.col("__day") == F.col("__before")
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
-    both = lambda v: F.when(F.col(v).isNotNull() | F.col(f"__{v}").isNotNull(), F.coalesce(v, F.lit(0)) + F.coalesce(f"__{v}", F.lit(0))).alias(v)
+    both = lambda v: F.when(F.col(v).isNotNull() | F.col(f"__{v}").isNotNull(),
+        F.coalesce(v, F.lit(0)) + F.coalesce(f"__{v}", F.lit(0))).alias(v)
     return summed.join(earlier, same).select(*by, F.col("__t").alias(cutoff), *map(both, values))
 
 
@@ -117,4 +124,5 @@ def zscored(df: DataFrame, columns: list[str], fit_on: Column | None = None) ->
     stats = base.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
     joined = clean.join(F.broadcast(stats))
     scale = lambda c: F.when(F.col(f"__s_{c}") < 1e-8, 1.0).otherwise(F.col(f"__s_{c}"))
-    return joined.select(*[c for c in df.columns if c not in columns], *[((F.col(c) - F.col(f"__m_{c}")) / scale(c)).alias(c) for c in columns])
+    return joined.select(*[c for c in df.columns if c not in columns],
+        *[((F.col(c) - F.col(f"__m_{c}")) / scale(c)).alias(c) for c in columns])

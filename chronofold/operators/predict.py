@@ -34,7 +34,8 @@ def label_features(targets: DataFrame, labels: DataFrame) -> DataFrame:
     own = visible_labels(targets, labels).groupBy("target").agg(F.avg("label").alias("entity_mean"), F.count("label").alias("n"))
     overall = means_before(labels, targets.select("cutoff").distinct()).withColumnRenamed("cutoff", "__cutoff")
     out = targets.join(own, "target", "left").join(overall, F.col("cutoff") == F.col("__cutoff"), "left")
-    return out.select("target", F.col("n").isNotNull().alias("same_entity"), "entity_mean", F.log1p(F.coalesce("n", F.lit(0)).cast("double")).alias("log_entity_count"), "global_mean")
+    return out.select("target", F.col("n").isNotNull().alias("same_entity"), "entity_mean",
+        F.log1p(F.coalesce("n", F.lit(0)).cast("double")).alias("log_entity_count"), "global_mean")
 
 
 def means_before(labels: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -54,7 +55,8 @@ def linear_prediction(points: DataFrame, by: str, x: str, y: str, at: DataFrame,
     no point: the default."""
     lines = points.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("base"), F.avg(y).alias("mean"))
     joined = at.join(lines, by, "left")
-    return joined.select(by, F.coalesce(F.col("base") + F.col("slope") * F.col(at_x), "mean", F.lit(DEFAULTS[task_type])).alias("prediction"))
+    return joined.select(by, F.coalesce(F.col("base") + F.col("slope") * F.col(at_x), "mean",
+        F.lit(DEFAULTS[task_type])).alias("prediction"))
 
 
 def ridge_solution(x: np.ndarray, y: np.ndarray, at: np.ndarray, strength: float, logistic: bool) -> float:
@@ -78,7 +80,8 @@ def ridge_solution(x: np.ndarray, y: np.ndarray, at: np.ndarray, strength: float
     return float(1 / (1 + np.exp(-np.clip(target @ w, -30, 30))))
 
 
-def fitted(sets: DataFrame, features: list[str], task_type: str, fit: Callable[[np.ndarray, np.ndarray, np.ndarray], float], by: list[str]) -> DataFrame:
+def fitted(sets: DataFrame, features: list[str], task_type: str, fit: Callable[[np.ndarray, np.ndarray, np.ndarray], float],
+    by: list[str]) -> DataFrame:
     """(by..., prediction) from rows (by..., is_target, label, features...): a small model for each set, in numpy.
 
     A set with fewer than two labels or without its target gets the default, one whose labels are all equal that label.
@@ -157,7 +160,8 @@ def held_back(train: DataFrame, share: float, seed: int) -> DataFrame:
     return train.withColumn("__stop", hash_uniform(seed, "target", "label") < share)
 
 
-def boosted_prediction(train: DataFrame, test: DataFrame, features: list[str], task_type: str, seed: int = 0, stop_share: float = 0.0, **options) -> DataFrame:
+def boosted_prediction(train: DataFrame, test: DataFrame, features: list[str], task_type: str, seed: int = 0, stop_share: float = 0.0,
+    **options) -> DataFrame:
     """(target, prediction) of gradient-boosted trees fitted on all of train; classes are weighted by their odds.
 
     With stop_share > 0 that share of the rows decides when adding trees ends.

@@ -13,7 +13,8 @@ BLOCK_BYTES, ROWS = 32 << 20, 1024
 
 def _usable(df: DataFrame, key: str, vector: str, time: str | None) -> DataFrame:
     at = F.col(time).cast("long") if time else F.lit(None).cast("long")
-    return df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), at.alias("t")).where("v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x))")
+    return df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"),
+        at.alias("t")).where("v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x))")
 
 
 def _passes(queries: DataFrame) -> list[tuple]:
@@ -45,7 +46,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str, vector: str,
 def _against(rows: DataFrame, ids: list, times: list, matrix: np.ndarray, k: int, key: str) -> DataFrame:
     with np.errstate(all="ignore"):
         unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = rows.sparkSession.sparkContext.broadcast((np.array(ids, np.int64), np.array([np.inf if t is None else t for t in times], float), unit))
+    shared = rows.sparkSession.sparkContext.broadcast((np.array(ids, np.int64),
+        np.array([np.inf if t is None else t for t in times], float), unit))
 
     def best(batches):
         names, cutoffs, unit = shared.value
@@ -67,6 +69,7 @@ def _against(rows: DataFrame, ids: list, times: list, matrix: np.ndarray, k: int
                 order = np.lexsort((owners, -np.round(every, 9)), axis=1)[:, :k]
                 top, who = np.take_along_axis(every, order, 1), np.take_along_axis(owners, order, 1)
         some = np.isfinite(top)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, some.sum(1))), pa.array(who[some]), pa.array(top[some])], ["query", key, "cosine"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, some.sum(1))), pa.array(who[some]), pa.array(top[some])],
+            ["query", key, "cosine"])
 
     return rows.mapInArrow(best, f"query long, {key} long, cosine double")

@@ -75,7 +75,8 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 def nodes(sources: list[Source]) -> DataFrame:
     """(node_id, table, split, row_idx, ts) of every row."""
-    return union([s.df.select(node_id(s).alias("node_id"), F.lit(s.name).alias("table"), F.lit(s.split).alias("split"), F.col(ROW).alias("row_idx"), node_ts(s).alias("ts")) for s in sources])
+    return union([s.df.select(node_id(s).alias("node_id"), F.lit(s.name).alias("table"), F.lit(s.split).alias("split"),
+        F.col(ROW).alias("row_idx"), node_ts(s).alias("ts")) for s in sources])
 
 
 def edges(sources: list[Source], fk: str = "position") -> DataFrame | None:
@@ -91,12 +92,14 @@ def edges(sources: list[Source], fk: str = "position") -> DataFrame | None:
                 continue
             kind = s.df.schema[column].dataType
             key = F.explode(column) if isinstance(kind, T.ArrayType) else F.col(column)
-            one = s.df.select(node_id(s).alias("child"), F.lit(s.name).alias("child_table"), F.lit(s.split).alias("child_split"), node_ts(s).alias("child_ts"), F.lit(parent_name).alias("parent_table"), F.lit(column).alias("fk_col"), key.alias("__key"))
+            one = s.df.select(node_id(s).alias("child"), F.lit(s.name).alias("child_table"), F.lit(s.split).alias("child_split"),
+                node_ts(s).alias("child_ts"), F.lit(parent_name).alias("parent_table"), F.lit(column).alias("fk_col"), key.alias("__key"))
             floating = isinstance(one.schema["__key"].dataType, (T.DoubleType, T.FloatType))
             one = one.where("__key IS NOT NULL" + (" AND NOT isnan(__key)" if floating else ""))
             if fk == "position" or not p.table.pkey:
                 outside = (F.col("__key") < 0) | (F.col("__key") >= p.rows)
-                place = F.when(outside, F.raise_error(F.concat(F.lit(f"{s.name}.{column} names no row of {parent_name}: "), F.col("__key").cast("string"))).cast("long")).otherwise(F.col("__key").cast("long"))
+                place = F.when(outside, F.raise_error(F.concat(F.lit(f"{s.name}.{column} names no row of {parent_name}: "),
+                    F.col("__key").cast("string"))).cast("long")).otherwise(F.col("__key").cast("long"))
                 one = one.withColumn("parent", place + p.offset)
             else:
                 keys = p.df.select(F.col(p.table.pkey).alias("__pkey"), node_id(p).alias("parent"))
@@ -115,16 +118,20 @@ def cells(sources: list[Source]) -> DataFrame:
 
     Label splits are scored with the training split's statistics, by column name; times with those of all tables.
     """
-    times = E.datetime_stats({f"{s.name}/{s.split}": s.df.drop(ROW) for s in sources}, Manifest({f"{s.name}/{s.split}": Table(f"{s.name}/{s.split}", s.table.pkey, s.table.time_col, s.table.fkeys) for s in sources}))
+    times = E.datetime_stats({f"{s.name}/{s.split}": s.df.drop(ROW) for s in sources},
+        Manifest({f"{s.name}/{s.split}": Table(f"{s.name}/{s.split}", s.table.pkey, s.table.time_col, s.table.fkeys) for s in sources}))
     ids = {name: i for i, name in enumerate(column_names(sources))}
     train = {s.name: s for s in sources if s.split == "train"}
     out = []
     for s in sources:
         fit = train.get(s.name, s)
         stats = E.column_stats(fit.df.drop(ROW), fit.table)
-        one = E.cells(s.df, s.table, node_id(s), stats, times, E.value_columns(s.df.drop(ROW), s.table)).withColumnRenamed("row_idx", "node_id")
-        own = F.create_map(*[x for c in E.value_columns(s.df.drop(ROW), s.table) for x in (F.lit(c), F.lit(ids[f"{c} of {s.name}"]))] or [F.lit(""), F.lit(0)])
-        out.append(one.select("node_id", "table", F.lit(s.split).alias("split"), "col", own[F.col("col")].alias("col_id"), "sem", "num", "text"))
+        one = E.cells(s.df, s.table, node_id(s), stats, times, E.value_columns(s.df.drop(ROW), s.table)).withColumnRenamed("row_idx",
+            "node_id")
+        own = F.create_map(*[x for c in E.value_columns(s.df.drop(ROW), s.table) for x in (F.lit(c),
+            F.lit(ids[f"{c} of {s.name}"]))] or [F.lit(""), F.lit(0)])
+        out.append(one.select("node_id", "table", F.lit(s.split).alias("split"), "col", own[F.col("col")].alias("col_id"), "sem", "num",
+            "text"))
     return union(out)
 
 
@@ -136,7 +143,8 @@ def dictionary(sources: list[Source], cell: DataFrame) -> DataFrame:
     return E.with_text_ids(E.vocabulary([cell.where("sem = 'text'").select("text"), named]))
 
 
-def prepare(spark: SparkSession, dataset: str, out: str, *, source: str | None = None, skip_tasks: bool = False, skip_db: bool = False, skip_graph: bool = False, fk: str = "position") -> dict:
+def prepare(spark: SparkSession, dataset: str, out: str, *, source: str | None = None, skip_tasks: bool = False, skip_db: bool = False,
+    skip_graph: bool = False, fk: str = "position") -> dict:
     """Encode a dataset folder into `out` and return its metadata, which is written last: a folder without it is unfinished.
 
     nodes, cells and edges are Parquet, dealt by table; adjacency numbers each parent's children by time; vocab holds (text, n, txt_id), columns (col_id, name), tables
@@ -151,7 +159,8 @@ def prepare(spark: SparkSession, dataset: str, out: str, *, source: str | None =
     cells(parts).write.partitionBy("table").parquet(f"{out}/cells")
     dictionary(parts, read(spark, out, "cells")).write.parquet(f"{out}/vocab")
     spark.createDataFrame(list(enumerate(column_names(parts))), "col_id int, name string").coalesce(1).write.parquet(f"{out}/columns")
-    spark.createDataFrame([(s.name, s.split, s.rows, s.offset) for s in parts], "table string, split string, n long, node_offset long").coalesce(1).write.parquet(f"{out}/tables")
+    spark.createDataFrame([(s.name, s.split, s.rows, s.offset) for s in parts],
+        "table string, split string, n long, node_offset long").coalesce(1).write.parquet(f"{out}/tables")
     if not skip_graph and (edge := edges(parts, fk)) is not None:
         edge.write.partitionBy("parent_table").parquet(f"{out}/edges")
         numbered_children(read(spark, out, "edges")).select("parent", "place", "child", "upto").write.parquet(f"{out}/adjacency")
@@ -162,14 +171,16 @@ def prepare(spark: SparkSession, dataset: str, out: str, *, source: str | None =
         "cells": read(spark, out, "cells").count(),
         "texts": read(spark, out, "vocab").count(),
         "tables": [{"table": s.name, "split": s.split, "n": s.rows, "node_offset": s.offset} for s in parts],
-        "tasks": {n: {"entity_table": t.entity_table, "entity_col": t.entity_col, "target_col": t.target_col, "task_type": t.task_type} for n, t in db.tasks.items()},
+        "tasks": {n: {"entity_table": t.entity_table, "entity_col": t.entity_col, "target_col": t.target_col,
+            "task_type": t.task_type} for n, t in db.tasks.items()},
         "files": sorted(files),
     }
     write_meta(spark, out, **facts)
     return facts
 
 
-def prepare_many(spark: SparkSession, datasets: dict[str, str], out_root: str, *, index: int = 0, of: int = 1, skip_existing: bool = True, **options) -> dict[str, str]:
+def prepare_many(spark: SparkSession, datasets: dict[str, str], out_root: str, *, index: int = 0, of: int = 1, skip_existing: bool = True,
+    **options) -> dict[str, str]:
     """(name: "done", "skipped" or the error) of this worker's share of datasets {name: folder}; one that fails stops no other."""
     files, report = Files(spark), {}
     for name in sorted(datasets)[index::of]:

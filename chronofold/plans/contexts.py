@@ -21,10 +21,12 @@ _STORED = ("customer", "events", "nation", "orders", "part", "region", "supplier
 
 def _sources(spark: SparkSession, sf: str, names: tuple[str, ...] = _STORED) -> list[ST.Source]:
     """Tables whose primary key counts their rows from 0."""
-    return ST.sources_of([(STAR.table(n), "db", E.normalised(table(spark, sf, n)).withColumn(ST.ROW, F.col(STAR.table(n).pkey).cast("long"))) for n in names])
+    return ST.sources_of([(STAR.table(n), "db", E.normalised(table(spark, sf, n)).withColumn(ST.ROW,
+        F.col(STAR.table(n).pkey).cast("long"))) for n in names])
 
 
-_OFFSETS = "o AS (" + " UNION ALL ".join(f"SELECT '{n}' AS t, (SELECT count(*) FROM {n}) AS n" for n in _STORED) + "), f AS (SELECT t, (sum(n) OVER (ORDER BY t) - n)::BIGINT AS first FROM o)"
+_OFFSETS = "o AS (" + " UNION ALL ".join(f"SELECT '{n}' AS t, (SELECT count(*) FROM {n}) AS n" for n
+    in _STORED) + "), f AS (SELECT t, (sum(n) OVER (ORDER BY t) - n)::BIGINT AS first FROM o)"
 _AT = lambda t: f"(SELECT first FROM f WHERE t = '{t}')"
 _TIMES = {"orders": "epoch_us(o_orderdate) // 1000000", "events": "epoch_us(ts) // 1000000"}
 
@@ -33,7 +35,11 @@ def encode_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return ST.nodes(_sources(spark, sf))
 
 
-NODES_SQL = f"WITH {_OFFSETS} " + " UNION ALL ".join(f"SELECT ({STAR.table(n).pkey} + {_AT(n)})::BIGINT AS node_id, '{n}' AS \"table\", 'db' AS split, {STAR.table(n).pkey}::BIGINT AS row_idx, {'(' + _TIMES[n] + ')::BIGINT' if n in _TIMES else 'NULL::BIGINT'} AS ts FROM {n}" for n in _STORED)
+NODES_SQL = f"WITH {_OFFSETS} " + " UNION ALL ".join((
+    f"SELECT ({STAR.table(n).pkey} + {_AT(n)})::BIGINT AS node_id, '{n}' AS \"table\", 'db' AS split, "
+    f"{STAR.table(n).pkey}::BIGINT AS row_idx, {'(' + _TIMES[n] + ')::BIGINT' if n in _TIMES else 'NULL::BIGINT'} "
+    f"AS ts FROM {n}"
+) for n in _STORED)
 
 
 def encode_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +48,11 @@ def encode_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FKS = [(n, c, p) for n in _STORED for c, p in STAR.table(n).fkeys.items()]
-STORE_EDGES_SQL = f"WITH {_OFFSETS} " + " UNION ALL ".join(f"SELECT ({STAR.table(n).pkey} + {_AT(n)})::BIGINT AS child, ({c} + {_AT(p)})::BIGINT AS parent, '{n}' AS child_table, 'db' AS child_split, {'(' + _TIMES[n] + ')::BIGINT' if n in _TIMES else 'NULL::BIGINT'} AS child_ts, '{p}' AS parent_table, '{c}' AS fk_col FROM {n} WHERE {c} IN (SELECT {STAR.table(p).pkey} FROM {p})" for n, c, p in _FKS)
+STORE_EDGES_SQL = f"WITH {_OFFSETS} " + " UNION ALL ".join((
+    f"SELECT ({STAR.table(n).pkey} + {_AT(n)})::BIGINT AS child, ({c} + {_AT(p)})::BIGINT AS parent, '{n}' AS "
+    f"child_table, 'db' AS child_split, {'(' + _TIMES[n] + ')::BIGINT' if n in _TIMES else 'NULL::BIGINT'} AS "
+    f"child_ts, '{p}' AS parent_table, '{c}' AS fk_col FROM {n} WHERE {c} IN (SELECT {STAR.table(p).pkey} FROM {p})"
+) for n, c, p in _FKS)
 
 _CELLED = ("customer", "nation", "orders", "part")
 
@@ -52,7 +62,9 @@ def encode_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: The cell columns of the tables above and their kinds.
-_CELL_COLUMNS = {"customer": {"c_name": "text", "c_acctbal": "number", "c_mktsegment": "text"}, "nation": {"n_name": "text"}, "orders": {"o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "datetime", "o_orderpriority": "text"}, "part": {"p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "number", "p_retailprice": "number"}}
+_CELL_COLUMNS = {"customer": {"c_name": "text", "c_acctbal": "number", "c_mktsegment": "text"}, "nation": {"n_name": "text"},
+    "orders": {"o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "datetime", "o_orderpriority": "text"},
+    "part": {"p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "number", "p_retailprice": "number"}}
 
 
 def _cells_sql() -> str:
@@ -61,9 +73,17 @@ def _cells_sql() -> str:
     for t, cs in _CELL_COLUMNS.items():
         at = "+".join(["0", *[f"(SELECT count(*) FROM {p})" for p in _CELLED if p < t]])
         for c, kind in cs.items():
-            value = {"text": "NULL::DOUBLE", "number": f"round(({c} - m) / d, 4)", "datetime": f"round((epoch_us({c})::DOUBLE / 86400000000.0::DOUBLE - m) / d, 4)"}[kind]
-            stats = {"text": "", "number": f", (SELECT avg({c}) AS m, stddev_samp({c}) AS d FROM {t})", "datetime": f", (SELECT avg(v) AS m, stddev_pop(v) AS d FROM (SELECT epoch_us({c})::DOUBLE / 86400000000.0::DOUBLE AS v FROM {t}))"}[kind]
-            parts.append(f"SELECT ({STAR.table(t).pkey} + {at})::BIGINT AS node_id, '{t}' AS \"table\", 'db' AS split, '{c}' AS col, {names.index(f'{c} of {t}')} AS col_id, '{kind}' AS sem, {value} AS num, {c if kind == 'text' else 'NULL'} AS text FROM {t}{stats} WHERE {c} IS NOT NULL")
+            value = {"text": "NULL::DOUBLE", "number": f"round(({c} - m) / d, 4)",
+                "datetime": f"round((epoch_us({c})::DOUBLE / 86400000000.0::DOUBLE - m) / d, 4)"}[kind]
+            stats = {"text": "", "number": f", (SELECT avg({c}) AS m, stddev_samp({c}) AS d FROM {t})", "datetime": (
+                f", (SELECT avg(v) AS m, stddev_pop(v) AS d FROM (SELECT epoch_us({c})::DOUBLE / 86400000000.0::DOUBLE AS v "
+                f"FROM {t}))"
+            )}[kind]
+            parts.append((
+                f"SELECT ({STAR.table(t).pkey} + {at})::BIGINT AS node_id, '{t}' AS \"table\", 'db' AS split, '{c}' AS col, "
+                f"{names.index(f'{c} of {t}')} AS col_id, '{kind}' AS sem, {value} AS num, {c if kind == 'text' else 'NULL'} AS "
+                f"text FROM {t}{stats} WHERE {c} IS NOT NULL"
+            ))
     return " UNION ALL ".join(parts)
 
 
@@ -84,52 +104,69 @@ _SIZES = (6, 12, 24)
 
 def _label_rows(spark: SparkSession, sf: str) -> DataFrame:
     at = F.lit(_LABEL * SPAN) + F.col("c_custkey").cast("long") * 10000 + F.year("cutoff")
-    return churn_labels(spark, sf).select(at.alias("node_id"), node("customer", "c_custkey").alias("parent"), S.seconds("cutoff").alias("ts"), F.col("churn").cast("double").alias("label"))
+    return churn_labels(spark, sf).select(at.alias("node_id"), node("customer", "c_custkey").alias("parent"),
+        S.seconds("cutoff").alias("ts"), F.col("churn").cast("double").alias("label"))
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     none, db = F.lit(None).cast("long"), F.lit("db").alias("split")
-    people = table(spark, sf, "customer").select(node("customer", "c_custkey").alias("node_id"), F.lit("customer").alias("table"), db, none.alias("ts"))
-    nations = table(spark, sf, "nation").select(node("nation", "n_nationkey").alias("node_id"), F.lit("nation").alias("table"), db, none.alias("ts"))
-    regions = table(spark, sf, "region").select(node("region", "r_regionkey").alias("node_id"), F.lit("region").alias("table"), db, none.alias("ts"))
-    orders = table(spark, sf, "orders").select(node("orders", "o_orderkey").alias("node_id"), F.lit("orders").alias("table"), db, S.seconds("o_orderdate").alias("ts"))
+    people = table(spark, sf, "customer").select(node("customer", "c_custkey").alias("node_id"), F.lit("customer").alias("table"), db,
+        none.alias("ts"))
+    nations = table(spark, sf, "nation").select(node("nation", "n_nationkey").alias("node_id"), F.lit("nation").alias("table"), db,
+        none.alias("ts"))
+    regions = table(spark, sf, "region").select(node("region", "r_regionkey").alias("node_id"), F.lit("region").alias("table"), db,
+        none.alias("ts"))
+    orders = table(spark, sf, "orders").select(node("orders", "o_orderkey").alias("node_id"), F.lit("orders").alias("table"), db,
+        S.seconds("o_orderdate").alias("ts"))
     labels = _label_rows(spark, sf).select("node_id", F.lit("churn").alias("table"), F.lit("train").alias("split"), "ts")
     return ST.union([people, nations, regions, orders, labels])
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     db = graph_edges(spark, sf).select("child", "parent", "child_ts", F.lit("db").alias("child_split"), F.lit("").alias("child_table"))
-    labels = _label_rows(spark, sf).select(F.col("node_id").alias("child"), "parent", F.col("ts").alias("child_ts"), F.lit("train").alias("child_split"), F.lit("churn").alias("child_table"))
+    labels = _label_rows(spark, sf).select(F.col("node_id").alias("child"), "parent", F.col("ts").alias("child_ts"),
+        F.lit("train").alias("child_split"), F.lit("churn").alias("child_table"))
     return db.unionByName(labels)
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
     def one(df: DataFrame, at, name: str, *columns) -> DataFrame:
-        entry = [F.struct(F.lit(c).alias("col"), F.lit(i).alias("col_id"), F.lit(sem).alias("sem"), (F.lit(None).cast("double") if sem == "text" else v.cast("double")).alias("num"), (v.cast("string") if sem == "text" else F.lit(None).cast("string")).alias("text")) for c, i, sem, v in columns]
+        entry = [F.struct(F.lit(c).alias("col"), F.lit(i).alias("col_id"), F.lit(sem).alias("sem"),
+            (F.lit(None).cast("double") if sem == "text" else v.cast("double")).alias("num"),
+            (v.cast("string") if sem == "text" else F.lit(None).cast("string")).alias("text")) for c, i, sem, v in columns]
         return df.select(at.alias("node_id"), F.lit(name).alias("table"), F.inline(F.array(*entry)))
 
     return ST.union([
-        one(table(spark, sf, "customer"), node("customer", "c_custkey"), "customer", ("c_mktsegment", 0, "text", F.col("c_mktsegment")), ("c_acctbal", 1, "number", F.col("c_acctbal"))),
+        one(table(spark, sf, "customer"), node("customer", "c_custkey"), "customer", ("c_mktsegment", 0, "text", F.col("c_mktsegment")),
+            ("c_acctbal", 1, "number", F.col("c_acctbal"))),
         one(table(spark, sf, "nation"), node("nation", "n_nationkey"), "nation", ("n_name", 2, "text", F.col("n_name"))),
-        one(table(spark, sf, "orders"), node("orders", "o_orderkey"), "orders", ("o_orderstatus", 3, "text", F.col("o_orderstatus")), ("o_totalprice", 4, "number", F.col("o_totalprice"))),
+        one(table(spark, sf, "orders"), node("orders", "o_orderkey"), "orders", ("o_orderstatus", 3, "text", F.col("o_orderstatus")),
+            ("o_totalprice", 4, "number", F.col("o_totalprice"))),
         one(_label_rows(spark, sf), F.col("node_id"), "churn", ("label", 5, "number", F.col("label"))),
     ])
 
 
 def _targets(spark: SparkSession, sf: str) -> DataFrame:
-    return _label_rows(spark, sf).select(F.col("node_id").alias("target"), F.col("node_id").alias("node"), "ts", F.lit("churn").alias("table"))
+    return _label_rows(spark, sf).select(F.col("node_id").alias("target"), F.col("node_id").alias("node"), "ts",
+        F.lit("churn").alias("table"))
 
 
 def context_tiers(spark: SparkSession, sf: str) -> DataFrame:
     """The target, the customer's earlier labels, then two random earlier labels."""
     labels = _label_rows(spark, sf)
-    similar = C.seed_order(labels.select(F.col("node_id").alias("target"), F.col("parent").alias("entity"), F.col("ts").alias("cutoff")), labels.select(F.col("parent").alias("entity"), F.col("node_id").alias("node"), F.col("ts").alias("time")))
+    similar = C.seed_order(labels.select(F.col("node_id").alias("target"), F.col("parent").alias("entity"), F.col("ts").alias("cutoff")),
+        labels.select(F.col("parent").alias("entity"), F.col("node_id").alias("node"), F.col("ts").alias("time")))
     similar = similar.select("target", F.col("node").alias("seed"), "rank")
-    drawn = C.fallback(_targets(spark, sf).select("target"), labels.select(F.col("node_id").alias("node"), F.timestamp_seconds("ts").cast("timestamp_ntz").alias("time")), 2, 7, ranked=True)
-    return A.seed_tiers(_targets(spark, sf), similar, drawn.select("target", F.col("node").alias("seed"), "rank"), labels.where("label IS NOT NULL").select(F.col("node_id").alias("seed")))
+    drawn = C.fallback(_targets(spark, sf).select("target"), labels.select(F.col("node_id").alias("node"),
+        F.timestamp_seconds("ts").cast("timestamp_ntz").alias("time")), 2, 7, ranked=True)
+    return A.seed_tiers(_targets(spark, sf), similar, drawn.select("target", F.col("node").alias("seed"), "rank"),
+        labels.where("label IS NOT NULL").select(F.col("node_id").alias("seed")))
 
 
-_LAB = f"lab AS (SELECT {_LN('c_custkey', 'year(cutoff)')} AS node, {_N('customer', 'c_custkey')} AS parent, (epoch_us(cutoff) // 1000000)::BIGINT AS ts, churn::DOUBLE AS label FROM ({_LABELS}))"
+_LAB = (
+    f"lab AS (SELECT {_LN('c_custkey', 'year(cutoff)')} AS node, {_N('customer', 'c_custkey')} AS parent, "
+    f"(epoch_us(cutoff) // 1000000)::BIGINT AS ts, churn::DOUBLE AS label FROM ({_LABELS}))"
+)
 
 
 _TIERS = f"""{_LAB}, {fallback_sql('SELECT node, ts AS time FROM lab', 2, 7)},
@@ -144,7 +181,8 @@ TIERS_SQL = f"WITH {_TIERS} SELECT * FROM tiers"
 def _context(spark: SparkSession, sf: str) -> DataFrame:
     tiers = context_tiers(spark, sf)
     starts = _targets(spark, sf).select(F.col("node").alias("seed"), "node", "ts", "table")
-    reached = A.bounded(A.bfs(starts, _edges(spark, sf), 2, 3, 5, task_rule=True), _cells(spark, sf).groupBy(F.col("node_id").alias("node")).agg(F.count("*").alias("cells")), 12)
+    reached = A.bounded(A.bfs(starts, _edges(spark, sf), 2, 3, 5, task_rule=True),
+        _cells(spark, sf).groupBy(F.col("node_id").alias("node")).agg(F.count("*").alias("cells")), 12)
     found = A.collected(tiers, reached.select("seed", "node", "depth"))
     return A.expand(found, _cells(spark, sf), _nodes(spark, sf), _targets(spark, sf), "label", _SIZES[-1], leakage=["label"])
 
@@ -167,7 +205,10 @@ b AS (SELECT seed, node, depth FROM (SELECT r.*, sum(cells) OVER (PARTITION BY s
 m AS (SELECT target, place, seed, tier, node, depth FROM tiers JOIN b USING (seed) QUALIFY row_number() OVER (PARTITION BY target, node ORDER BY place) = 1),
 x AS (SELECT m.*, tab, col, col_id, sem, num, text, m.node = target AND col = 'label' AND place = 0 AS is_target, c.ts FROM m JOIN c USING (node) JOIN lab t ON t.node = target WHERE (m.node = target AND col = 'label' AND place = 0) OR NOT (c.ts IS NOT DISTINCT FROM t.ts AND tab = 'churn' AND col = 'label')),
 ctx AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY target ORDER BY is_target DESC, place, depth, node, col_id) - 1)::INTEGER AS pos FROM x) WHERE pos < {_SIZES[-1]})"""
-CONTEXT_SQL = f'WITH {_CONTEXT} SELECT target, pos, node, tab AS "table", col, col_id, sem, round(num, 4) AS num, text, seed, tier, depth, is_target FROM ctx'
+CONTEXT_SQL = (
+    f'WITH {_CONTEXT} SELECT target, pos, node, tab AS "table", col, col_id, sem, round(num, 4) AS num, text, seed, '
+    f'tier, depth, is_target FROM ctx'
+)
 
 
 def visible_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,7 +236,11 @@ def explicit_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found.select("target", "pos", "node", "table", "col", "num", "depth", "is_target"), 4)
 
 
-EXPLICIT_SQL = f"SELECT {_N('customer', 'c_custkey')} AS target, 0 AS pos, {_N('customer', 'c_custkey')} AS node, 'customer' AS \"table\", 'c_acctbal' AS col, round(c_acctbal::DOUBLE, 4) AS num, 0 AS depth, true AS is_target FROM customer WHERE c_acctbal IS NOT NULL"
+EXPLICIT_SQL = (
+    f"SELECT {_N('customer', 'c_custkey')} AS target, 0 AS pos, {_N('customer', 'c_custkey')} AS node, 'customer' "
+    f"AS \"table\", 'c_acctbal' AS col, round(c_acctbal::DOUBLE, 4) AS num, 0 AS depth, true AS is_target FROM "
+    f"customer WHERE c_acctbal IS NOT NULL"
+)
 
 
 def context_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,14 +248,21 @@ def context_summary(spark: SparkSession, sf: str) -> DataFrame:
     return A.summary(_context(spark, sf), "table")
 
 
-SUMMARY_SQL = f'WITH {_CONTEXT} SELECT target, tab AS "table", count(*) AS cells, count(DISTINCT node) AS nodes, min(pos) AS first_pos, min(depth) AS depth FROM ctx GROUP BY 1, 2'
+SUMMARY_SQL = (
+    f'WITH {_CONTEXT} SELECT target, tab AS "table", count(*) AS cells, count(DISTINCT node) AS nodes, min(pos) AS '
+    f'first_pos, min(depth) AS depth FROM ctx GROUP BY 1, 2'
+)
 
 
 def context_graph(spark: SparkSession, sf: str) -> DataFrame:
     return A.context_edges(_context(spark, sf), _edges(spark, sf))
 
 
-GRAPH_SQL = f"WITH {_CONTEXT}, s AS (SELECT DISTINCT target, node FROM ctx), g AS (SELECT child, parent FROM e UNION SELECT node, parent FROM lab) SELECT a.target, child, parent FROM g JOIN s a ON a.node = child JOIN s b ON b.node = parent AND b.target = a.target"
+GRAPH_SQL = (
+    f"WITH {_CONTEXT}, s AS (SELECT DISTINCT target, node FROM ctx), g AS (SELECT child, parent FROM e UNION SELECT "
+    f"node, parent FROM lab) SELECT a.target, child, parent FROM g JOIN s a ON a.node = child JOIN s b ON b.node = "
+    f"parent AND b.target = a.target"
+)
 
 
 def context_checks(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,7 +274,11 @@ def context_checks(spark: SparkSession, sf: str) -> DataFrame:
     return one.unionByName(A.check_seed_orders(tiers, nodes, targets).withColumn("of", F.lit("seeds")))
 
 
-CHECKS_SQL = "SELECT unnest(['unknown node', 'double node', 'later node', 'unknown target', 'missing target']) AS \"check\", 0::BIGINT AS found, 'context' AS \"of\" UNION ALL SELECT unnest(['unknown node', 'double node', 'double rank', 'other table', 'not earlier', 'unknown target']), 0, 'seeds'"
+CHECKS_SQL = (
+    "SELECT unnest(['unknown node', 'double node', 'later node', 'unknown target', 'missing target']) AS "
+    "\"check\", 0::BIGINT AS found, 'context' AS \"of\" UNION ALL SELECT unnest(['unknown node', 'double node', "
+    "'double rank', 'other table', 'not earlier', 'unknown target']), 0, 'seeds'"
+)
 
 
 def neighborhood_checks(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,7 +289,11 @@ def neighborhood_checks(spark: SparkSession, sf: str) -> DataFrame:
     return A.check_contexts(context.select("target", "node"), nodes, targets)
 
 
-NEIGHBORHOOD_CHECKS_SQL = f"WITH c AS ({ROBIN_SQL}) SELECT 'unknown node' AS \"check\", count(*) FILTER (WHERE node // {SPAN} = {CODES['events']}) AS found FROM c UNION ALL SELECT unnest(['double node', 'later node', 'unknown target', 'missing target']), 0"
+NEIGHBORHOOD_CHECKS_SQL = (
+    f"WITH c AS ({ROBIN_SQL}) SELECT 'unknown node' AS \"check\", count(*) FILTER (WHERE node // {SPAN} = "
+    f"{CODES['events']}) AS found FROM c UNION ALL SELECT unnest(['double node', 'later node', 'unknown target', "
+    f"'missing target']), 0"
+)
 
 
 def items_capped(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,7 +302,11 @@ def items_capped(spark: SparkSession, sf: str) -> DataFrame:
     return A.draw_config(A.item_cap(targets, ["ts"], 50, 2), [512, 1024, 2048], "local", 6)
 
 
-ITEMS_SQL = f"WITH {_LAB} SELECT node AS target, ts, ([512, 1024, 2048])[1 + ('0x' || substr(md5('6|' || node), 1, 8))::BIGINT % 3] AS local FROM lab QUALIFY row_number() OVER (PARTITION BY ts ORDER BY md5('2|' || node), node) <= 50"
+ITEMS_SQL = (
+    f"WITH {_LAB} SELECT node AS target, ts, ([512, 1024, 2048])[1 + ('0x' || substr(md5('6|' || node), 1, "
+    f"8))::BIGINT % 3] AS local FROM lab QUALIFY row_number() OVER (PARTITION BY ts ORDER BY md5('2|' || node), "
+    f"node) <= 50"
+)
 
 
 def column_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -250,7 +314,11 @@ def column_runs(spark: SparkSession, sf: str) -> DataFrame:
     return A.runs(A.by_column(_context(spark, sf)), "col_id").select("target", "place", "col_id", "starts")
 
 
-RUNS_SQL = f"WITH {_CONTEXT}, p AS (SELECT target, (row_number() OVER (PARTITION BY target ORDER BY col_id, pos) - 1)::INTEGER AS place, col_id FROM ctx) SELECT target, place, col_id, lag(col_id) OVER (PARTITION BY target ORDER BY place) IS DISTINCT FROM col_id AS starts FROM p"
+RUNS_SQL = (
+    f"WITH {_CONTEXT}, p AS (SELECT target, (row_number() OVER (PARTITION BY target ORDER BY col_id, pos) - "
+    f"1)::INTEGER AS place, col_id FROM ctx) SELECT target, place, col_id, lag(col_id) OVER (PARTITION BY target "
+    f"ORDER BY place) IS DISTINCT FROM col_id AS starts FROM p"
+)
 
 
 def evaluation_by_size(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,7 +336,8 @@ SELECT ctx_size, 'roc_auc' AS metric, round(CASE WHEN sum(label) > 0 AND sum(lab
 
 def knn_seeds(spark: SparkSession, sf: str) -> DataFrame:
     """The three vectors most like every twentieth one, none later than it; a vector's time is its id modulo 97."""
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), (F.col("vec_id") % 97).cast("long").alias("ts"), "embedding")
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), (F.col("vec_id") % 97).cast("long").alias("ts"),
+        "embedding")
     targets = rows.where("node_id % 20 = 0").select(F.col("node_id").alias("target"), F.col("node_id").alias("node"))
     return EV.knn_seeds(rows, targets, 3, "embedding")
 

@@ -20,8 +20,12 @@ def column_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, 4)
 
 
-_STAT = lambda t, c: f"SELECT '{t}' AS \"table\", '{c}' AS col, 'number' AS sem, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM {t}"
-COLUMN_STATS_SQL = " UNION ALL ".join(_STAT(t, c) for t, cs in {"customer": ["c_acctbal"], "part": ["p_size", "p_retailprice"], "orders": ["o_totalprice"], "lineitem": ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]}.items() for c in cs)
+_STAT = lambda t, c: (
+    f"SELECT '{t}' AS \"table\", '{c}' AS col, 'number' AS sem, count({c}) AS n, round(avg({c}), 4) AS mean, "
+    f"round(stddev_samp({c}), 4) AS std FROM {t}"
+)
+COLUMN_STATS_SQL = " UNION ALL ".join(_STAT(t, c) for t, cs in {"customer": ["c_acctbal"], "part": ["p_size", "p_retailprice"],
+    "orders": ["o_totalprice"], "lineitem": ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]}.items() for c in cs)
 
 
 def datetime_global_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +67,8 @@ UNION ALL SELECT o_orderkey, 'orders', 'o_orderdate', 'datetime', round((v - tm)
 
 def train_stat_propagation(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics of the oldest orders, applied to all splits by column name."""
-    orders = table(spark, sf, "orders").withColumn("split", F.when(F.col("o_orderdate") < stamped(ORDER_CUTOFFS[2]), "train").when(F.col("o_orderdate") < stamped(ORDER_CUTOFFS[3]), "val").otherwise("test"))
+    orders = table(spark, sf, "orders").withColumn("split", F.when(F.col("o_orderdate") < stamped(ORDER_CUTOFFS[2]),
+        "train").when(F.col("o_orderdate") < stamped(ORDER_CUTOFFS[3]), "val").otherwise("test"))
     return rounded(E.train_stats(E.column_stats(orders, STAR.table("orders"), ["split"])), 4)
 
 
@@ -74,7 +79,8 @@ SELECT 'o_totalprice' AS col, split, 'number' AS sem, n, mean, std FROM (SELECT
 
 
 def vocab_counts(spark: SparkSession, sf: str) -> DataFrame:
-    frames = [table(spark, sf, t).select(c) for t, c in (("customer", "c_name"), ("customer", "c_mktsegment"), ("part", "p_type"), ("orders", "o_orderpriority"), ("nation", "n_name"))]
+    frames = [table(spark, sf, t).select(c) for t, c in (("customer", "c_name"), ("customer", "c_mktsegment"), ("part", "p_type"),
+        ("orders", "o_orderpriority"), ("nation", "n_name"))]
     return E.vocabulary(frames)
 
 
@@ -102,7 +108,8 @@ UNION ALL SELECT 'events', event_id, epoch_us(ts) // 1000000, 'user_id', 'custom
 
 def adjacency_sorted(spark: SparkSession, sf: str) -> DataFrame:
     adj = E.adjacency(fk_edges(spark, sf))
-    return adj.select("parent_table", "parent", "child_table", F.array_join(F.transform("children", lambda x: x.cast("string")), ",").alias("children"))
+    return adj.select("parent_table", "parent", "child_table", F.array_join(F.transform("children", lambda x: x.cast("string")),
+        ",").alias("children"))
 
 
 ADJ_SQL = f"""
@@ -131,7 +138,10 @@ def node_times(spark: SparkSession, sf: str) -> DataFrame:
     return orders.join(wanted, "node", "left_semi")
 
 
-NODE_TIMES_SQL = "SELECT o_orderkey AS node, (epoch_us(o_orderdate) // 1000000)::BIGINT AS ts FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"
+NODE_TIMES_SQL = (
+    "SELECT o_orderkey AS node, (epoch_us(o_orderdate) // 1000000)::BIGINT AS ts FROM orders WHERE o_orderkey IN "
+    "(SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"
+)
 
 
 def column_semantic_types(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,11 +149,15 @@ def column_semantic_types(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, sem string")
 
 
-_KINDS = {"customer": {"c_name": "text", "c_acctbal": "number", "c_mktsegment": "text"}, "events": {"ts": "datetime", "event_type": "text", "value": "number", "props": "text"}, "nation": {"n_name": "text"},
-          "orders": {"o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "datetime", "o_orderpriority": "text"}, "part": {"p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "number", "p_retailprice": "number"},
+_KINDS = {"customer": {"c_name": "text", "c_acctbal": "number", "c_mktsegment": "text"},
+    "events": {"ts": "datetime", "event_type": "text", "value": "number", "props": "text"}, "nation": {"n_name": "text"},
+          "orders": {"o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "datetime", "o_orderpriority": "text"},
+              "part": {"p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "number", "p_retailprice": "number"},
           "region": {"r_name": "text"}, "supplier": {"s_name": "text", "s_acctbal": "number"},
-          "lineitem": {"l_linenumber": "number", "l_quantity": "number", "l_extendedprice": "number", "l_discount": "number", "l_tax": "number", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "datetime"}}
-KINDS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c} of {n}', '{k}')" for n, cs in _KINDS.items() for c, k in cs.items()) + ") v(name, sem)"
+          "lineitem": {"l_linenumber": "number", "l_quantity": "number", "l_extendedprice": "number", "l_discount": "number",
+              "l_tax": "number", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "datetime"}}
+KINDS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c} of {n}', '{k}')" for n, cs in _KINDS.items() for c,
+    k in cs.items()) + ") v(name, sem)"
 
 
 def column_name_cycle(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +178,9 @@ def padded_histories(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
     ranked = table(spark, sf, "orders").select("o_custkey", "o_totalprice", (F.row_number().over(w) - 1).alias("pos"))
     out = E.padded(ranked, "o_custkey", "pos", "o_totalprice", 6)
-    return out.select("o_custkey", F.array_join(F.transform("values", lambda v: F.coalesce(F.round(v).cast("long").cast("string"), F.lit("-"))), ",").alias("prices"), F.array_join(F.transform("is_padding", lambda p: F.when(p, "1").otherwise("0")), "").alias("padding"))
+    return out.select("o_custkey", F.array_join(F.transform("values",
+        lambda v: F.coalesce(F.round(v).cast("long").cast("string"), F.lit("-"))), ",").alias("prices"),
+        F.array_join(F.transform("is_padding", lambda p: F.when(p, "1").otherwise("0")), "").alias("padding"))
 
 
 PADDED_SQL = """

@@ -51,7 +51,8 @@ def identity_predictor(sets: DataFrame, features: list[str], task_type: str) ->
     return sets.where("is_target").select(*BY, F.col(features[0]).cast("double").alias("prediction"))
 
 
-PREDICTORS: dict[str, Callable] = {"mean": mean_predictor, "linear": linear_predictor, "ridge": ridge_predictor, "identity": identity_predictor}
+PREDICTORS: dict[str, Callable] = {"mean": mean_predictor, "linear": linear_predictor, "ridge": ridge_predictor,
+    "identity": identity_predictor}
 
 
 @dataclass(frozen=True)
@@ -69,9 +70,12 @@ class Setting:
     leakage: tuple[str, ...] = field(default=())
 
 
-def predictions(nodes: DataFrame, edges: DataFrame, cells: DataFrame, targets: DataFrame, setting: Setting, predictor: Predictor, featurizer: Featurizer | None = None, similar: DataFrame | None = None, fallback: DataFrame | None = None, parents: DataFrame | None = None) -> DataFrame:
+def predictions(nodes: DataFrame, edges: DataFrame, cells: DataFrame, targets: DataFrame, setting: Setting, predictor: Predictor,
+    featurizer: Featurizer | None = None, similar: DataFrame | None = None, fallback: DataFrame | None = None,
+    parents: DataFrame | None = None) -> DataFrame:
     """(target, ctx_size, prediction) of every target at every size; the default where a context shows nothing."""
-    context = A.contexts(nodes, edges, cells, targets, setting.column, length=max(setting.sizes), depth=setting.depth, width=setting.width, local=setting.local, similar=similar, fallback=fallback, seed=setting.seed, leakage=list(setting.leakage))
+    context = A.contexts(nodes, edges, cells, targets, setting.column, length=max(setting.sizes), depth=setting.depth, width=setting.width,
+        local=setting.local, similar=similar, fallback=fallback, seed=setting.seed, leakage=list(setting.leakage))
     sets = A.visible_sets(context, setting.table, setting.column, list(setting.sizes))
     if parents is not None:
         sets = A.matching(sets, parents, targets)
@@ -93,21 +97,25 @@ def scores(predicted: DataFrame, truth: DataFrame, task_type: str) -> DataFrame:
     return V.regression_scores(met, ["ctx_size"]).select("ctx_size", F.lit("mae").alias("metric"), F.col("mae").alias("value"), "n")
 
 
-def run(nodes: DataFrame, edges: DataFrame, cells: DataFrame, targets: DataFrame, truth: DataFrame, setting: Setting, predictor: Predictor, log: RunLog | None = None, **more) -> list[dict]:
+def run(nodes: DataFrame, edges: DataFrame, cells: DataFrame, targets: DataFrame, truth: DataFrame, setting: Setting, predictor: Predictor,
+    log: RunLog | None = None, **more) -> list[dict]:
     """Predict and score; a line for each context size, also in the log."""
     log = log or RunLog()
     with log.stage("predict and score"):
-        rows = scores(predictions(nodes, edges, cells, targets, setting, predictor, **more), truth, setting.task_type).orderBy("ctx_size").collect()
+        rows = scores(predictions(nodes, edges, cells, targets, setting, predictor, **more), truth,
+            setting.task_type).orderBy("ctx_size").collect()
     for r in rows:
         log.metric(**r.asDict())
     return [r.asDict() for r in rows]
 
 
-def ensemble(nodes: DataFrame, edges: DataFrame, cells: DataFrame, targets: DataFrame, setting: Setting, predictor: Predictor, seeds: list[int], fallbacks: Callable[[int], DataFrame], **more) -> DataFrame:
+def ensemble(nodes: DataFrame, edges: DataFrame, cells: DataFrame, targets: DataFrame, setting: Setting, predictor: Predictor,
+    seeds: list[int], fallbacks: Callable[[int], DataFrame], **more) -> DataFrame:
     """(target, ctx_size, prediction, members): the mean over contexts drawn with several seeds."""
     out = None
     for s in seeds:
-        one = predictions(nodes, edges, cells, targets, Setting(**{**setting.__dict__, "seed": s}), predictor, fallback=fallbacks(s), **more)
+        one = predictions(nodes, edges, cells, targets, Setting(**{**setting.__dict__, "seed": s}), predictor, fallback=fallbacks(s),
+            **more)
         out = one if out is None else out.unionByName(one)
     return V.ensemble(out, BY)
 
@@ -123,7 +131,8 @@ def knn_seeds(vectors: DataFrame, targets: DataFrame, k: int, vector: str = "vec
 
     asked = vectors.join(targets.select(F.col("node").alias("node_id")), "node_id", "left_semi")
     found = nearest(asked, vectors, k, "node_id", vector, time="ts")
-    return targets.select("target", F.col("node").alias("query")).join(found, "query").select("target", F.col("node_id").alias("seed"), "rank")
+    return targets.select("target", F.col("node").alias("query")).join(found, "query").select("target", F.col("node_id").alias("seed"),
+        "rank")
 
 
 def latest_first(seeds: DataFrame, times: DataFrame) -> DataFrame:

@@ -35,15 +35,19 @@ def pit_customer_churn_features(spark: SparkSession, sf: str) -> DataFrame:
         F.count("*").alias("n"), F.min("days_ago").alias("last"), H.count_if(d <= 90).alias("n90"), H.count_if(d <= 365).alias("n365"),
         (H.sum_if("o_totalprice", d <= 180) - H.sum_if("o_totalprice", (d > 180) & (d <= 360))).alias("trend"),
         F.avg("gap").alias("avg_gap"), F.max("gap").alias("max_gap"), H.sum_if("o_totalprice", d <= 365).alias("spend"),
-        F.count_distinct("o_orderpriority").alias("kinds"), F.avg(F.when(F.col("o_orderpriority") == "1-URGENT", 1.0).otherwise(0.0)).alias("urgent"),
+        F.count_distinct("o_orderpriority").alias("kinds"), F.avg(F.when(F.col("o_orderpriority") == "1-URGENT",
+            1.0).otherwise(0.0)).alias("urgent"),
     )
     customer = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     out = spine.join(agg, ["c_custkey", "cutoff"], "left").join(customer, "c_custkey", "left")
     return rounded(out.select(
-        "c_custkey", "cutoff", S.decay("last", 180).alias("f_recency"), S.log_scaled("n90", 5).alias("f_n90"), S.log_scaled("n365", 20).alias("f_n365"), S.log_scaled("n", 50).alias("f_total"),
+        "c_custkey", "cutoff", S.decay("last", 180).alias("f_recency"), S.log_scaled("n90", 5).alias("f_n90"),
+            S.log_scaled("n365", 20).alias("f_n365"), S.log_scaled("n", 50).alias("f_total"),
         S.centred("trend", 400000).alias("f_trend"), S.capped("avg_gap", 365, 365).alias("f_gap"),
-        (F.least(F.greatest(S.num("last", 9999) / F.greatest(S.num("max_gap", 1), F.lit(1.0)), F.lit(0.0)), F.lit(3.0)) / 3).alias("f_overdue"),
-        S.log_scaled("spend", 500000).alias("f_spend"), S.ratio("kinds", F.lit(5), 0).alias("f_kinds"), F.coalesce("urgent", F.lit(0.5)).alias("f_urgent"),
+        (F.least(F.greatest(S.num("last", 9999) / F.greatest(S.num("max_gap", 1), F.lit(1.0)), F.lit(0.0)),
+            F.lit(3.0)) / 3).alias("f_overdue"),
+        S.log_scaled("spend", 500000).alias("f_spend"), S.ratio("kinds", F.lit(5), 0).alias("f_kinds"),
+            F.coalesce("urgent", F.lit(0.5)).alias("f_urgent"),
         S.flag(F.col("c_mktsegment") == "BUILDING").alias("f_building"), S.flag(F.col("n").isNull()).alias("f_new"),
     ))
 
@@ -74,15 +78,21 @@ def pit_part_sales_features(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("days_ago")
     agg = H.before(spine, lines, [("p_partkey", "l_partkey")], "l_shipdate").groupBy("p_partkey", "cutoff").agg(
         H.sum_if("l_quantity", d <= 90).alias("q90"), H.sum_if("l_quantity", d <= 365).alias("q365"), F.sum("l_quantity").alias("q"),
-        (H.sum_if("l_quantity", d <= 180) - H.sum_if("l_quantity", (d > 180) & (d <= 360))).alias("trend"), F.min("days_ago").alias("last"), F.max("days_ago").alias("age"),
-        F.stddev_pop("l_quantity").alias("spread"), F.count_distinct(F.when(d <= 365, F.col("l_suppkey"))).alias("sellers"), F.avg("l_extendedprice").alias("price"),
+        (H.sum_if("l_quantity", d <= 180) - H.sum_if("l_quantity", (d > 180) & (d <= 360))).alias("trend"), F.min("days_ago").alias("last"),
+            F.max("days_ago").alias("age"),
+        F.stddev_pop("l_quantity").alias("spread"), F.count_distinct(F.when(d <= 365, F.col("l_suppkey"))).alias("sellers"),
+            F.avg("l_extendedprice").alias("price"),
     )
     brand = brand_before(spark, sf)
     out = spine.join(agg, ["p_partkey", "cutoff"], "left").join(part, "p_partkey", "left").join(brand, ["p_brand", "cutoff"], "left")
     return rounded(out.select(
-        "p_partkey", "cutoff", S.log_scaled("q90", 100).alias("f_q90"), S.log_scaled("q365", 300).alias("f_q365"), S.log_scaled("q", 1000).alias("f_q"), S.centred("trend", 200).alias("f_trend"),
-        S.decay("last", 100).alias("f_recency"), S.log_scaled("age", 3000).alias("f_age"), S.capped("spread", 20, 0).alias("f_spread"), S.log_scaled("sellers", 20).alias("f_sellers"),
-        S.log_ratio("price", 12).alias("f_price"), F.least(S.ratio("q365", F.col("b365") / F.greatest(F.col("b_parts").cast("double"), F.lit(1.0)), 0), F.lit(3.0)).alias("f_vs_brand"), S.flag(F.col("q").isNull()).alias("f_never"),
+        "p_partkey", "cutoff", S.log_scaled("q90", 100).alias("f_q90"), S.log_scaled("q365", 300).alias("f_q365"),
+            S.log_scaled("q", 1000).alias("f_q"), S.centred("trend", 200).alias("f_trend"),
+        S.decay("last", 100).alias("f_recency"), S.log_scaled("age", 3000).alias("f_age"), S.capped("spread", 20, 0).alias("f_spread"),
+            S.log_scaled("sellers", 20).alias("f_sellers"),
+        S.log_ratio("price", 12).alias("f_price"), F.least(S.ratio("q365",
+            F.col("b365") / F.greatest(F.col("b_parts").cast("double"), F.lit(1.0)), 0), F.lit(3.0)).alias("f_vs_brand"),
+            S.flag(F.col("q").isNull()).alias("f_never"),
     ))
 
 
@@ -91,7 +101,9 @@ def brand_before(spark: SparkSession, sf: str) -> DataFrame:
     meets a few rows for each cutoff instead of every line."""
     lines = table(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_quantity")
     part = table(spark, sf, "part").select("p_partkey", "p_brand")
-    daily = lines.where(F.col("l_shipdate") < stamped(max(ORDER_CUTOFFS))).join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "l_partkey", F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("day")).agg(F.sum("l_quantity").alias("q"))
+    daily = lines.where(F.col("l_shipdate") < stamped(max(ORDER_CUTOFFS))).join(part,
+        F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "l_partkey",
+        F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("day")).agg(F.sum("l_quantity").alias("q"))
     cuts = F.array(*[stamped(c) for c in ORDER_CUTOFFS])
     met = daily.withColumn("cutoff", F.explode(F.filter(cuts, lambda c: (F.col("day") < c) & (F.datediff(c, "day") <= 365))))
     return met.groupBy("p_brand", "cutoff").agg(F.sum("q").alias("b365"), F.count_distinct("l_partkey").alias("b_parts"))
@@ -130,15 +142,23 @@ def pit_user_engagement(spark: SparkSession, sf: str) -> DataFrame:
     facts = events.withColumnRenamed("user_id", "who")
     d, kind = F.col("days_ago"), F.col("event_type")
     agg = H.before(spine, facts, [("user_id", "who")], "ts").groupBy("user_id", "cutoff").agg(
-        F.count("*").alias("n"), F.min("days_ago").alias("last"), F.min(F.when(kind == "purchase", d)).alias("last_buy"), H.count_if(d <= 3).alias("n3"), H.count_if(d <= 7).alias("n7"),
-        H.count_if((kind == "purchase") & (d <= 14)).alias("buys"), F.try_divide(H.sum_if(F.round(F.col("value") * 100).cast("long"), kind == "view").cast("double"), H.count_if((kind == "view") & F.col("value").isNotNull()) * 100.0).alias("viewed"), F.max(F.when(kind == "purchase", 1).otherwise(0)).alias("bought"),
+        F.count("*").alias("n"), F.min("days_ago").alias("last"), F.min(F.when(kind == "purchase", d)).alias("last_buy"),
+            H.count_if(d <= 3).alias("n3"), H.count_if(d <= 7).alias("n7"),
+        H.count_if((kind == "purchase") & (d <= 14)).alias("buys"),
+            F.try_divide(H.sum_if(F.round(F.col("value") * 100).cast("long"), kind == "view").cast("double"),
+            H.count_if((kind == "view") & F.col("value").isNotNull()) * 100.0).alias("viewed"),
+            F.max(F.when(kind == "purchase", 1).otherwise(0)).alias("bought"),
         F.count_distinct("event_type").alias("kinds"), F.max("days_ago").alias("age"),
     )
     out = spine.join(agg, ["user_id", "cutoff"], "left")
     return rounded(out.select(
-        "user_id", "cutoff", F.exp(-F.least(S.num("last", 9999), S.num("last_buy", 9999)) / 6.0).alias("f_recent"), S.decay("last_buy", 9).alias("f_buy"), S.log_scaled("n3", 20).alias("f_n3"),
-        S.log_scaled("n7", 50).alias("f_n7"), S.log_scaled("n", 200).alias("f_n"), S.ratio("buys", "n7", 0.5).alias("f_buy_rate"), S.capped("viewed", 97, 0).alias("f_viewed"),
-        S.num("bought").alias("f_bought"), S.ratio("kinds", F.lit(5), 0).alias("f_kinds"), (F.coalesce(F.col("age") - F.col("last"), F.lit(0)) / F.nullif(F.col("n") - 1, F.lit(0))).cast("double").alias("f_cadence"), S.flag(F.col("n").isNull()).alias("f_new"),
+        "user_id", "cutoff", F.exp(-F.least(S.num("last", 9999), S.num("last_buy", 9999)) / 6.0).alias("f_recent"),
+            S.decay("last_buy", 9).alias("f_buy"), S.log_scaled("n3", 20).alias("f_n3"),
+        S.log_scaled("n7", 50).alias("f_n7"), S.log_scaled("n", 200).alias("f_n"), S.ratio("buys", "n7", 0.5).alias("f_buy_rate"),
+            S.capped("viewed", 97, 0).alias("f_viewed"),
+        S.num("bought").alias("f_bought"), S.ratio("kinds", F.lit(5), 0).alias("f_kinds"),
+            (F.coalesce(F.col("age") - F.col("last"), F.lit(0)) / F.nullif(F.col("n") - 1, F.lit(0))).cast("double").alias("f_cadence"),
+            S.flag(F.col("n").isNull()).alias("f_new"),
     ))
 
 
@@ -162,11 +182,16 @@ def pit_supplier_two_hop(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
     spine = _spine(spark, sf, "supplier", "s_suppkey")
     one = H.before(spine, lines, [("s_suppkey", "l_suppkey")], "l_shipdate")
-    first = one.groupBy("s_suppkey", "cutoff").agg(F.count("*").alias("lines"), H.count_if(F.col("l_returnflag") == "R").alias("returned"), F.min("days_ago").alias("last"))
+    first = one.groupBy("s_suppkey", "cutoff").agg(F.count("*").alias("lines"), H.count_if(F.col("l_returnflag") == "R").alias("returned"),
+        F.min("days_ago").alias("last"))
     two = one.drop("days_ago").join(orders, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("o_orderdate") < F.col("cutoff")))
-    second = two.groupBy("s_suppkey", "cutoff").agg(F.count_distinct("o_orderkey").alias("orders"), F.count_distinct("o_custkey").alias("buyers"), F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("filled"))
+    second = two.groupBy("s_suppkey", "cutoff").agg(F.count_distinct("o_orderkey").alias("orders"),
+        F.count_distinct("o_custkey").alias("buyers"), F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("filled"))
     out = spine.join(first, ["s_suppkey", "cutoff"], "left").join(second, ["s_suppkey", "cutoff"], "left")
-    return rounded(out.select("s_suppkey", "cutoff", S.log_scaled("lines", 1000).alias("f_lines"), S.ratio("returned", "lines", 0.3).alias("f_returned"), S.decay("last", 30).alias("f_recency"), S.log_scaled("orders", 1000).alias("f_orders"), S.log_scaled("buyers", 1000).alias("f_buyers"), F.coalesce("filled", F.lit(0.5)).alias("f_filled")))
+    return rounded(out.select("s_suppkey", "cutoff", S.log_scaled("lines", 1000).alias("f_lines"),
+        S.ratio("returned", "lines", 0.3).alias("f_returned"), S.decay("last", 30).alias("f_recency"),
+        S.log_scaled("orders", 1000).alias("f_orders"), S.log_scaled("buyers", 1000).alias("f_buyers"),
+        F.coalesce("filled", F.lit(0.5)).alias("f_filled")))
 
 
 PIT_SUPPLIER_SQL = f"""
@@ -190,12 +215,16 @@ def pit_peer_history(spark: SparkSession, sf: str) -> DataFrame:
     customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     spine = _spine(spark, sf)
-    own = H.before(spine, orders, [("c_custkey", "o_custkey")], "o_orderdate").groupBy("c_custkey", "cutoff").agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("v"))
+    own = H.before(spine, orders, [("c_custkey", "o_custkey")], "o_orderdate").groupBy("c_custkey", "cutoff").agg(F.count("*").alias("n"),
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("v"))
     full = spine.join(own, ["c_custkey", "cutoff"], "left").join(customer, "c_custkey").fillna(0, ["n", "v"])
-    peers = full.groupBy("c_nationkey", "c_mktsegment", "cutoff").agg(F.count("*").alias("people"), F.sum("n").alias("all_n"), F.sum("v").alias("all_v"), H.count_if(F.col("n") > 0).alias("active"))
+    peers = full.groupBy("c_nationkey", "c_mktsegment", "cutoff").agg(F.count("*").alias("people"), F.sum("n").alias("all_n"),
+        F.sum("v").alias("all_v"), H.count_if(F.col("n") > 0).alias("active"))
     out = full.join(peers, ["c_nationkey", "c_mktsegment", "cutoff"])
     return rounded(out.select(
-        "c_custkey", "cutoff", (F.col("people") - 1).alias("peers"), (F.col("active") - F.when(F.col("n") > 0, 1).otherwise(0)).alias("peers_active"), (F.col("all_n") - F.col("n")).alias("peer_orders"),
+        "c_custkey", "cutoff", (F.col("people") - 1).alias("peers"),
+            (F.col("active") - F.when(F.col("n") > 0, 1).otherwise(0)).alias("peers_active"),
+            (F.col("all_n") - F.col("n")).alias("peer_orders"),
         F.when(F.col("all_n") > F.col("n"), (F.col("all_v") - F.col("v")) / (F.col("all_n") - F.col("n"))).alias("peer_value"),
     ), 4)
 
@@ -215,9 +244,12 @@ def pit_first_last_order(spark: SparkSession, sf: str) -> DataFrame:
     spine = _spine(spark, sf)
     seen = H.before(spine, orders, [("c_custkey", "o_custkey")], "o_orderdate")
     agg = seen.groupBy("c_custkey", "cutoff").agg(
-        H.first_by("o_orderpriority", "o_orderdate", "o_orderkey").alias("first_priority"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"), F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("last_price"),
+        H.first_by("o_orderpriority", "o_orderdate", "o_orderkey").alias("first_priority"),
+            F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"),
+            F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("last_price"),
     )
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("last_order")).agg(F.count("*").alias("last_lines"), F.max("l_quantity").alias("last_most"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("last_order")).agg(F.count("*").alias("last_lines"),
+        F.max("l_quantity").alias("last_most"))
     return agg.join(lines, "last_order", "left")
 
 
@@ -246,7 +278,8 @@ def gap_lead_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Gaps between consecutive orders: a window inside, aggregates outside."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     gaps = table(spark, sf, "orders").select("o_custkey", S.days_between(F.lead("o_orderdate").over(w), F.col("o_orderdate")).alias("gap"))
-    return rounded(gaps.where("gap IS NOT NULL").groupBy("o_custkey").agg(F.max("gap").alias("longest"), F.avg("gap").alias("mean_gap"), F.count("*").alias("gaps")))
+    return rounded(gaps.where("gap IS NOT NULL").groupBy("o_custkey").agg(F.max("gap").alias("longest"), F.avg("gap").alias("mean_gap"),
+        F.count("*").alias("gaps")))
 
 
 GAP_SQL = """
@@ -256,10 +289,14 @@ FROM (SELECT o_custkey, date_diff('day', o_orderdate, lead(o_orderdate) OVER (PA
 
 
 def category_median_price(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(table(spark, sf, "part").where("p_retailprice > 0").groupBy("p_brand").agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY p_retailprice)").alias("median_price"), F.count("*").alias("n")))
+    return rounded(table(spark, sf, "part").where("p_retailprice > 0").groupBy("p_brand")
+        .agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY p_retailprice)").alias("median_price"), F.count("*").alias("n")))
 
 
-MEDIAN_SQL = "SELECT p_brand, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY p_retailprice), 6) AS median_price, count(*) AS n FROM part WHERE p_retailprice > 0 GROUP BY 1"
+MEDIAN_SQL = (
+    "SELECT p_brand, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY p_retailprice), 6) AS median_price, "
+    "count(*) AS n FROM part WHERE p_retailprice > 0 GROUP BY 1"
+)
 
 
 def order_status_trend(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,9 +306,13 @@ def order_status_trend(spark: SparkSession, sf: str) -> DataFrame:
     past = orders.where(F.col("o_orderdate") < stamped(ORDER_CUTOFFS[-1])).withColumn("d", d)
     d = F.col("d")
     return rounded(past.groupBy("o_custkey").agg(
-        (H.sum_if(p, d <= 365) - H.sum_if(p, (d > 365) & (d <= 730))).alias("trend"), F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0)).alias("filled_rate"),
-        F.max(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)).cast("long").alias("any_urgent"), (H.count_if(F.col("o_orderstatus") == "F").cast("double") / F.nullif(H.count_if(F.col("o_orderstatus") == "O"), F.lit(0))).alias("f_per_o"),
-        F.when(F.count("*") > 1, (F.max(d) - F.min(d)).cast("double") / (F.count("*") - 1)).alias("cadence"), F.min(F.when(F.col("o_orderstatus") == "P", p)).alias("least_pending"),
+        (H.sum_if(p, d <= 365) - H.sum_if(p, (d > 365) & (d <= 730))).alias("trend"),
+            F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0)).alias("filled_rate"),
+        F.max(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)).cast("long").alias("any_urgent"),
+            (H.count_if(F.col("o_orderstatus") == "F").cast("double") / F.nullif(H.count_if(F.col("o_orderstatus") == "O"),
+            F.lit(0))).alias("f_per_o"),
+        F.when(F.count("*") > 1, (F.max(d) - F.min(d)).cast("double") / (F.count("*") - 1)).alias("cadence"),
+            F.min(F.when(F.col("o_orderstatus") == "P", p)).alias("least_pending"),
     ), 4)
 
 
@@ -289,7 +330,8 @@ def churn_labels(spark: SparkSession, sf: str, days: int = 180) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     spine = _spine(spark, sf)
     eligible = spine.join(orders, (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_orderdate") < F.col("cutoff")), "left_semi")
-    return H.within(eligible, orders, [("c_custkey", "o_custkey")], "o_orderdate", days).groupBy("c_custkey", "cutoff").agg((F.count("o_custkey") == 0).alias("churn"), F.coalesce(F.sum("o_totalprice"), F.lit(0.0)).alias("spend"))
+    return H.within(eligible, orders, [("c_custkey", "o_custkey")], "o_orderdate", days).groupBy("c_custkey",
+        "cutoff").agg((F.count("o_custkey") == 0).alias("churn"), F.coalesce(F.sum("o_totalprice"), F.lit(0.0)).alias("spend"))
 
 
 def label_customer_churn(spark: SparkSession, sf: str) -> DataFrame:
@@ -346,7 +388,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedpri
 
 
 def features_zscored(spark: SparkSession, sf: str) -> DataFrame:
-    raw = table(spark, sf, "customer").select("c_custkey", "c_acctbal", F.try_divide(F.lit(1000.0), F.col("c_custkey").cast("double")).alias("inverse"), F.lit(3.0).alias("constant"))
+    raw = table(spark, sf, "customer").select("c_custkey", "c_acctbal",
+        F.try_divide(F.lit(1000.0), F.col("c_custkey").cast("double")).alias("inverse"), F.lit(3.0).alias("constant"))
     return rounded(H.zscored(raw, ["c_acctbal", "inverse", "constant"]), 5)
 
 

@@ -24,9 +24,12 @@ def node(name: str, key: str):
 def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Orders and customers, customers and nations, nations and regions."""
     none = F.lit(None).cast("long")
-    orders = table(spark, sf, "orders").select(node("orders", "o_orderkey").alias("child"), node("customer", "o_custkey").alias("parent"), S.seconds("o_orderdate").alias("child_ts"))
-    people = table(spark, sf, "customer").select(node("customer", "c_custkey").alias("child"), node("nation", "c_nationkey").alias("parent"), none.alias("child_ts"))
-    nations = table(spark, sf, "nation").select(node("nation", "n_nationkey").alias("child"), node("region", "n_regionkey").alias("parent"), none.alias("child_ts"))
+    orders = table(spark, sf, "orders").select(node("orders", "o_orderkey").alias("child"), node("customer", "o_custkey").alias("parent"),
+        S.seconds("o_orderdate").alias("child_ts"))
+    people = table(spark, sf, "customer").select(node("customer", "c_custkey").alias("child"),
+        node("nation", "c_nationkey").alias("parent"), none.alias("child_ts"))
+    nations = table(spark, sf, "nation").select(node("nation", "n_nationkey").alias("child"), node("region", "n_regionkey").alias("parent"),
+        none.alias("child_ts"))
     return orders.unionByName(people).unionByName(nations)
 
 
@@ -37,10 +40,14 @@ UNION ALL SELECT {_N('customer', 'c_custkey')}, {_N('nation', 'c_nationkey')}, N
 
 
 def order_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(node("orders", "o_orderkey").alias("seed"), S.seconds("o_orderdate").alias("ts")).withColumn("node", F.col("seed"))
+    return table(spark, sf, "orders").select(node("orders", "o_orderkey").alias("seed"),
+        S.seconds("o_orderdate").alias("ts")).withColumn("node", F.col("seed"))
 
 
-_SEEDS = f"SELECT {_N('orders', 'o_orderkey')} AS seed, {_N('orders', 'o_orderkey')} AS node, (epoch_us(o_orderdate) // 1000000)::BIGINT AS ts FROM orders"
+_SEEDS = (
+    f"SELECT {_N('orders', 'o_orderkey')} AS seed, {_N('orders', 'o_orderkey')} AS node, (epoch_us(o_orderdate) // "
+    f"1000000)::BIGINT AS ts FROM orders"
+)
 
 
 def bfs_depth2(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +60,11 @@ def bfs_width_capped(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bfs_sql(width: int | None) -> str:
     cap = f"QUALIFY row_number() OVER (PARTITION BY seed, via ORDER BY md5('5|' || via || '|' || child), child) <= {width}" if width else ""
-    step = lambda f: f"SELECT seed, ts, parent AS node FROM {f} JOIN e ON node = child UNION SELECT seed, ts, child FROM (SELECT seed, ts, via, child FROM (SELECT DISTINCT seed, ts, node AS via, child FROM {f} JOIN e ON node = parent WHERE child_ts IS NULL OR child_ts <= ts) {cap})"
+    step = lambda f: (
+        f"SELECT seed, ts, parent AS node FROM {f} JOIN e ON node = child UNION SELECT seed, ts, child FROM (SELECT "
+        f"seed, ts, via, child FROM (SELECT DISTINCT seed, ts, node AS via, child FROM {f} JOIN e ON node = parent "
+        f"WHERE child_ts IS NULL OR child_ts <= ts) {cap})"
+    )
     return f"""
 WITH e AS ({EDGES_SQL}), l0 AS ({_SEEDS}), s1 AS ({step('l0')}), l1 AS (SELECT * FROM s1 WHERE (seed, node) NOT IN (SELECT seed, node FROM l0)),
 s2 AS ({step('l1')}), r AS (SELECT seed, node, 0 AS depth FROM l0 UNION ALL SELECT seed, node, 1 FROM l1 UNION ALL SELECT seed, node, 2 FROM s2)
@@ -64,9 +75,11 @@ SELECT seed, node, min(depth) AS depth FROM r GROUP BY 1, 2
 def bfs_budgeted(spark: SparkSession, sf: str) -> DataFrame:
     """The expansion cut where its cells, added up by depth, reach a budget; every node has as many cells as values."""
     reached = bfs_depth2(spark, sf)
-    cells = F.when(F.floor(F.col("node") / G.SPAN) == CODES["orders"], 4).when(F.floor(F.col("node") / G.SPAN) == CODES["customer"], 3).otherwise(1)
+    cells = F.when(F.floor(F.col("node") / G.SPAN) == CODES["orders"], 4).when(F.floor(F.col("node") / G.SPAN) == CODES["customer"],
+        3).otherwise(1)
     total = F.sum("cells").over(Window.partitionBy("seed").orderBy("depth", "node").rowsBetween(Window.unboundedPreceding, 0))
-    return reached.withColumn("cells", cells).withColumn("running", total.cast("long")).where("running < 24").select("seed", "node", "depth", "running")
+    return reached.withColumn("cells", cells).withColumn("running", total.cast("long")).where("running < 24").select("seed", "node",
+        "depth", "running")
 
 
 BUDGET_SQL = f"""
@@ -103,12 +116,17 @@ def seed_rank_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rank_sql(latest: bool) -> str:
-    return f"SELECT source, v.node, (row_number() OVER (PARTITION BY source ORDER BY {'ts DESC NULLS LAST,' if latest else ''} visits DESC, md5('9|' || source || '|' || v.node), v.node))::INTEGER AS rank FROM ({WALK_SQL}) v JOIN ({_SEEDS}) s ON s.node = v.node"
+    return (
+        f"SELECT source, v.node, (row_number() OVER (PARTITION BY source ORDER BY "
+        f"{'ts DESC NULLS LAST,' if latest else ''} visits DESC, md5('9|' || source || '|' || v.node), "
+        f"v.node))::INTEGER AS rank FROM ({WALK_SQL}) v JOIN ({_SEEDS}) s ON s.node = v.node"
+    )
 
 
 def seed_balanced(spark: SparkSession, sf: str) -> DataFrame:
     """Ranked seeds, finished and unfinished orders in turn; orders with a pending label are left out."""
-    labels = table(spark, sf, "orders").where("o_orderstatus IN ('F', 'O')").select(node("orders", "o_orderkey").alias("node"), (F.col("o_orderstatus") == "F").alias("positive"))
+    labels = table(spark, sf, "orders").where("o_orderstatus IN ('F', 'O')").select(node("orders", "o_orderkey").alias("node"),
+        (F.col("o_orderstatus") == "F").alias("positive"))
     seeds = seed_rank_latest(spark, sf).join(labels, "node")
     return C.balanced(seeds, "source", "rank", "positive", 3).select("source", "node", "positive", "place")
 
@@ -141,7 +159,8 @@ FALLBACK_SQL = f"WITH {fallback_sql('SELECT o_orderkey AS node, o_orderdate AS t
 
 
 def mask_cells(spark: SparkSession, sf: str) -> DataFrame:
-    cells = table(spark, sf, "customer").select(F.col("c_custkey").alias("row"), F.explode(F.array(*map(F.lit, ("c_name", "c_acctbal", "c_mktsegment")))).alias("col"))
+    cells = table(spark, sf, "customer").select(F.col("c_custkey").alias("row"),
+        F.explode(F.array(*map(F.lit, ("c_name", "c_acctbal", "c_mktsegment")))).alias("col"))
     return C.masked(cells, 0.5, 11, ["col"], "row")
 
 
@@ -152,10 +171,14 @@ SELECT row, col, ('0x' || substr(md5('11|' || row || '|' || col), 1, 8))::BIGINT
 
 
 def sample_per_segment(spark: SparkSession, sf: str) -> DataFrame:
-    return C.sampled(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], 20, 4, "c_custkey").select("c_mktsegment", "c_custkey", "draw")
+    return C.sampled(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], 20, 4,
+        "c_custkey").select("c_mktsegment", "c_custkey", "draw")
 
 
-SAMPLE_SQL = "SELECT * FROM (SELECT c_mktsegment, c_custkey, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('4|' || c_custkey), c_custkey))::INTEGER AS draw FROM customer) WHERE draw <= 20"
+SAMPLE_SQL = (
+    "SELECT * FROM (SELECT c_mktsegment, c_custkey, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY "
+    "md5('4|' || c_custkey), c_custkey))::INTEGER AS draw FROM customer) WHERE draw <= 20"
+)
 
 
 def _event_targets(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +187,11 @@ def _event_targets(spark: SparkSession, sf: str) -> DataFrame:
     return users.withColumn("cutoff", F.explode(times)).withColumn("target", F.col("entity") * 100 + F.dayofmonth("cutoff"))
 
 
-_TARGETS = f"SELECT user_id AS entity, cutoff, user_id * 100 + day(cutoff) AS target FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(generate_series(TIMESTAMP '{EVENT_FIRST}', TIMESTAMP '{EVENT_LAST}', INTERVAL 7 DAY)) AS cutoff)"
+_TARGETS = (
+    f"SELECT user_id AS entity, cutoff, user_id * 100 + day(cutoff) AS target FROM (SELECT DISTINCT user_id FROM "
+    f"events), (SELECT unnest(generate_series(TIMESTAMP '{EVENT_FIRST}', TIMESTAMP '{EVENT_LAST}', INTERVAL 7 DAY)) "
+    f"AS cutoff)"
+)
 
 
 def recent_history_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,9 +199,11 @@ def recent_history_topk(spark: SparkSession, sf: str) -> DataFrame:
     targets = _event_targets(spark, sf)
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     met = targets.join(orders, (F.col("entity") == F.col("o_custkey")) & (F.col("o_orderdate") <= F.col("cutoff")))
-    top = met.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("o_orderdate"), "o_orderkey"))).where("rank <= 4")
+    top = met.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("o_orderdate"),
+        "o_orderkey"))).where("rank <= 4")
     people = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    return top.join(people, F.col("o_custkey") == F.col("c_custkey"), "left").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("target", "rank", "o_orderkey", "n_name")
+    return top.join(people, F.col("o_custkey") == F.col("c_custkey"), "left").join(table(spark, sf, "nation"),
+        F.col("c_nationkey") == F.col("n_nationkey"), "left").select("target", "rank", "o_orderkey", "n_name")
 
 
 TOPK_SQL = f"""
@@ -188,10 +217,14 @@ def neighborhood_round_robin(spark: SparkSession, sf: str) -> DataFrame:
     people = table(spark, sf, "customer")
     nations = table(spark, sf, "nation")
     entities = people.select(F.col("c_custkey").alias("entity"), node("customer", "c_custkey").alias("node"))
-    home = people.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.array(F.struct(node("nation", "c_nationkey").alias("node"), F.lit(3).alias("depth")), F.struct(node("region", "n_regionkey").alias("node"), F.lit(4).alias("depth"))).alias("parents"))
-    orders = table(spark, sf, "orders").join(home, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("entity"), node("orders", "o_orderkey").alias("node"), F.col("o_orderdate").alias("time"), "parents")
+    home = people.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey",
+        F.array(F.struct(node("nation", "c_nationkey").alias("node"), F.lit(3).alias("depth")),
+        F.struct(node("region", "n_regionkey").alias("node"), F.lit(4).alias("depth"))).alias("parents"))
+    orders = table(spark, sf, "orders").join(home, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("entity"),
+        node("orders", "o_orderkey").alias("node"), F.col("o_orderdate").alias("time"), "parents")
     none = F.array().cast("array<struct<node:bigint,depth:int>>")
-    events = table(spark, sf, "events").select(F.col("user_id").alias("entity"), node("events", "event_id").alias("node"), F.col("ts").alias("time"), none.alias("parents"), "event_type")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("entity"), node("events", "event_id").alias("node"),
+        F.col("ts").alias("time"), none.alias("parents"), "event_type")
     buys = events.where("event_type = 'purchase'").select("entity", "node", "time")
     return C.neighborhood(targets, entities, buys, [events.drop("event_type"), orders], 3)
 
@@ -212,24 +245,34 @@ SELECT target, (row_number() OVER (PARTITION BY target ORDER BY part, rank, sour
 def context_budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
     cells = F.when(F.col("depth") == 2, 4).otherwise(2)
     ordered = neighborhood_round_robin(spark, sf).withColumn("cells", cells)
-    return C.budget_prefix(ordered, ["target"], [F.col("pos")], "cells", 20).select("target", "pos", "node", F.col("running").cast("long").alias("running"))
+    return C.budget_prefix(ordered, ["target"], [F.col("pos")], "cells", 20).select("target", "pos", "node",
+        F.col("running").cast("long").alias("running"))
 
 
-PREFIX_SQL = f"SELECT target, pos, node, running FROM (SELECT *, (sum(CASE WHEN depth = 2 THEN 4 ELSE 2 END) OVER (PARTITION BY target ORDER BY pos ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM ({ROBIN_SQL})) WHERE running < 20"
+PREFIX_SQL = (
+    f"SELECT target, pos, node, running FROM (SELECT *, (sum(CASE WHEN depth = 2 THEN 4 ELSE 2 END) OVER (PARTITION "
+    f"BY target ORDER BY pos ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM ({ROBIN_SQL})) WHERE running < 20"
+)
 
 
 def context_label_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Orders seen in contexts of several sizes: prefixes of one order."""
     nested = C.nested_sizes(neighborhood_round_robin(spark, sf), "pos", [2, 4, 8, 16])
-    return nested.groupBy("target", "ctx_size").agg(F.count("*").alias("nodes"), F.count(F.when(F.floor(F.col("node") / G.SPAN) == CODES["orders"], 1)).alias("orders"))
+    return nested.groupBy("target", "ctx_size").agg(F.count("*").alias("nodes"),
+        F.count(F.when(F.floor(F.col("node") / G.SPAN) == CODES["orders"], 1)).alias("orders"))
 
 
-COUNTS_SQL = f"SELECT target, s AS ctx_size, count(*) AS nodes, count(*) FILTER (WHERE node // {G.SPAN} = 4) AS orders FROM ({ROBIN_SQL}), (VALUES (2), (4), (8), (16)) v(s) WHERE pos < s GROUP BY 1, 2"
+COUNTS_SQL = (
+    f"SELECT target, s AS ctx_size, count(*) AS nodes, count(*) FILTER (WHERE node // {G.SPAN} = 4) AS orders FROM "
+    f"({ROBIN_SQL}), (VALUES (2), (4), (8), (16)) v(s) WHERE pos < s GROUP BY 1, 2"
+)
 
 
 def historical_seed_order(spark: SparkSession, sf: str) -> DataFrame:
-    labels = churn_labels(spark, sf).select(F.col("c_custkey").alias("entity"), "cutoff", (F.col("c_custkey") * 10000 + F.year("cutoff")).alias("node"))
-    return C.seed_order(labels.select(F.col("node").alias("target"), "entity", "cutoff"), labels.select("entity", "node", F.col("cutoff").alias("time")))
+    labels = churn_labels(spark, sf).select(F.col("c_custkey").alias("entity"), "cutoff",
+        (F.col("c_custkey") * 10000 + F.year("cutoff")).alias("node"))
+    return C.seed_order(labels.select(F.col("node").alias("target"), "entity", "cutoff"),
+        labels.select("entity", "node", F.col("cutoff").alias("time")))
 
 
 SEED_ORDER_SQL = f"""
@@ -242,9 +285,13 @@ def _context_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of customers' contexts: the customer (3 columns), its orders (4) and its nation (1)."""
     people = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     columns = lambda *names: F.posexplode(F.array(*map(F.lit, names)))
-    own = people.select(F.col("c_custkey").alias("target"), F.lit(0).alias("block"), node("customer", "c_custkey").alias("node"), F.array(node("nation", "c_nationkey")).alias("parents"), columns("c_name", "c_acctbal", "c_mktsegment").alias("i", "column"))
-    home = people.select(F.col("c_custkey").alias("target"), F.lit(1).alias("block"), node("nation", "c_nationkey").alias("node"), F.array().cast("array<bigint>").alias("parents"), columns("n_name").alias("i", "column"))
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("target"), F.lit(2).alias("block"), node("orders", "o_orderkey").alias("node"), F.array(node("customer", "o_custkey")).alias("parents"), columns("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority").alias("i", "column"))
+    own = people.select(F.col("c_custkey").alias("target"), F.lit(0).alias("block"), node("customer", "c_custkey").alias("node"),
+        F.array(node("nation", "c_nationkey")).alias("parents"), columns("c_name", "c_acctbal", "c_mktsegment").alias("i", "column"))
+    home = people.select(F.col("c_custkey").alias("target"), F.lit(1).alias("block"), node("nation", "c_nationkey").alias("node"),
+        F.array().cast("array<bigint>").alias("parents"), columns("n_name").alias("i", "column"))
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("target"), F.lit(2).alias("block"),
+        node("orders", "o_orderkey").alias("node"), F.array(node("customer", "o_custkey")).alias("parents"),
+        columns("o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority").alias("i", "column"))
     every = own.unionByName(home).unionByName(orders)
     return every.withColumn("pos", F.row_number().over(Window.partitionBy("target").orderBy("block", "node", "i")) - 1).drop("block", "i")
 

@@ -16,7 +16,8 @@ from .tables import ORDER_CUTOFFS, STAR, rounded, table
 
 
 def _paths(spark: SparkSession, sf: str) -> list[D.Path]:
-    lines = D.Path("line", table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate"), "l_orderkey", time="l_shipdate", numbers=("l_quantity",))
+    lines = D.Path("line", table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate"), "l_orderkey", time="l_shipdate",
+        numbers=("l_quantity",))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     return [D.Path("order", orders, "o_custkey", "o_orderkey", "o_orderdate", ("o_totalprice",), ("o_orderpriority",), (lines,))]
 
@@ -37,13 +38,16 @@ def dfs_depth2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _agg(name: str, c: str) -> str:
-    return ", ".join(f"round({f}({c})::DOUBLE, {4 if '_std' in f'{name}_{n}_{c}' else 6}) AS {name}_{n}_{c}" for n, f in (("max", "max"), ("min", "min"), ("mean", "avg"), ("std", "stddev_samp")))
+    return ", ".join(f"round({f}({c})::DOUBLE, {4 if '_std' in f'{name}_{n}_{c}' else 6}) AS {name}_{n}_{c}" for n,
+        f in (("max", "max"), ("min", "min"), ("mean", "avg"), ("std", "stddev_samp")))
 
 
 def _dfs_sql(deep: bool) -> str:
-    raw = ", ".join(f"{f}(l_quantity)::DOUBLE AS line_{n}_l_quantity" for n, f in (("max", "max"), ("min", "min"), ("mean", "avg"), ("std", "stddev_samp")))
+    raw = ", ".join(f"{f}(l_quantity)::DOUBLE AS line_{n}_l_quantity" for n,
+        f in (("max", "max"), ("min", "min"), ("mean", "avg"), ("std", "stddev_samp")))
     join = "LEFT JOIN l ON l.k = o_orderkey AND l.c = cutoff" if deep else ""
-    more = ", " + ", ".join(_agg("order", c) for c in ("line_count", "line_max_l_quantity", "line_min_l_quantity", "line_mean_l_quantity", "line_std_l_quantity")) if deep else ""
+    more = ", " + ", ".join(_agg("order", c) for c in ("line_count", "line_max_l_quantity", "line_min_l_quantity", "line_mean_l_quantity",
+        "line_std_l_quantity")) if deep else ""
     return f"""
 WITH t AS (SELECT c_custkey, cutoff FROM customer, (VALUES {_CUTS}) c(cutoff)), m AS (SELECT c_custkey, cutoff, o_orderkey, o_totalprice, o_orderpriority FROM t JOIN orders ON o_custkey = c_custkey AND o_orderdate < cutoff),
 l AS (SELECT o_orderkey AS k, cutoff AS c, count(*) AS line_count, {raw} FROM (SELECT DISTINCT o_orderkey, cutoff FROM m) JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate < cutoff GROUP BY 1, 2),
@@ -54,11 +58,15 @@ SELECT t.c_custkey, t.cutoff, a.* EXCLUDE (c_custkey, cutoff), pr.o_orderpriorit
 
 
 def _labels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = churn_labels(spark, sf).select((F.col("c_custkey") * 10000 + F.year("cutoff")).alias("target"), F.col("c_custkey").alias("entity"), "cutoff", F.col("churn").cast("double").alias("label"), "spend")
+    rows = churn_labels(spark, sf).select((F.col("c_custkey") * 10000 + F.year("cutoff")).alias("target"),
+        F.col("c_custkey").alias("entity"), "cutoff", F.col("churn").cast("double").alias("label"), "spend")
     return rows.select("target", "entity", "cutoff"), rows.select("target", "entity", F.col("cutoff").alias("time"), "label", "spend")
 
 
-_L = f"SELECT c_custkey * 10000 + year(cutoff) AS target, c_custkey AS entity, cutoff, churn::INTEGER::DOUBLE AS label, spend FROM ({_LABELS})"
+_L = (
+    f"SELECT c_custkey * 10000 + year(cutoff) AS target, c_custkey AS entity, cutoff, churn::INTEGER::DOUBLE AS "
+    f"label, spend FROM ({_LABELS})"
+)
 _FEATS = f"""
 SELECT t.target, n IS NOT NULL AS same_entity, entity_mean, ln(1 + coalesce(n, 0)::DOUBLE) AS log_entity_count, global_mean FROM ({_L}) t
 LEFT JOIN (SELECT a.target, avg(b.label) AS entity_mean, count(*) AS n FROM ({_L}) a JOIN ({_L}) b ON a.entity = b.entity AND b.cutoff < a.cutoff GROUP BY 1) o USING (target)
@@ -97,8 +105,10 @@ def pred_ridge(spark: SparkSession, sf: str) -> DataFrame:
     targets, labels = _labels(spark, sf)
     last = F.lit(ORDER_CUTOFFS[-1]).cast("timestamp_ntz")
     rows = labels.select("entity", "time", "spend", F.year("time").cast("double").alias("year"), "label")
-    own = rows.where(F.col("time") == last).select(F.col("entity").alias("target"), F.lit(True).alias("is_target"), F.lit(None).cast("double").alias("label"), "year", F.col("label").alias("churn"))
-    past = rows.where(F.col("time") < last).select(F.col("entity").alias("target"), F.lit(False).alias("is_target"), F.col("spend").alias("label"), "year", F.col("label").alias("churn"))
+    own = rows.where(F.col("time") == last).select(F.col("entity").alias("target"), F.lit(True).alias("is_target"),
+        F.lit(None).cast("double").alias("label"), "year", F.col("label").alias("churn"))
+    past = rows.where(F.col("time") < last).select(F.col("entity").alias("target"), F.lit(False).alias("is_target"),
+        F.col("spend").alias("label"), "year", F.col("label").alias("churn"))
     return P.ridge_prediction(own.unionByName(past), ["year", "churn"], "reg")
 
 
@@ -107,7 +117,10 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return pred_entity_mean(spark, sf).join(labels.select("target", "time", "label", "spend"), "target")
 
 
-_SCORED = f"SELECT f.target, round(coalesce(entity_mean, global_mean, 0.5), 6) AS prediction, l.cutoff AS time, l.label, l.spend FROM ({_FEATS}) f JOIN ({_L}) l USING (target)"
+_SCORED = (
+    f"SELECT f.target, round(coalesce(entity_mean, global_mean, 0.5), 6) AS prediction, l.cutoff AS time, l.label, "
+    f"l.spend FROM ({_FEATS}) f JOIN ({_L}) l USING (target)"
+)
 
 
 def metric_auroc(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +166,10 @@ def ensemble_mean(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.ensemble(every, ["target"]), 5)
 
 
-ENSEMBLE_SQL = f"SELECT target, round((round(coalesce(entity_mean, global_mean, 0.5), 6) + round(coalesce(global_mean, 0.5), 6)) / 2, 5) AS prediction, 2::BIGINT AS members FROM ({_FEATS})"
+ENSEMBLE_SQL = (
+    f"SELECT target, round((round(coalesce(entity_mean, global_mean, 0.5), 6) + round(coalesce(global_mean, 0.5), "
+    f"6)) / 2, 5) AS prediction, 2::BIGINT AS members FROM ({_FEATS})"
+)
 
 
 def submission_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,11 +230,16 @@ def task_audit(spark: SparkSession, sf: str) -> DataFrame:
     return V.task_audit(table(spark, sf, "orders"), nodes, parents, "o_custkey", "o_orderdate", "o_orderkey", at)
 
 
-TASK_AUDIT_SQL = "SELECT unnest(['null entity or time', 'label without node', 'node without label', 'other time', 'other parent']) AS \"check\", 0::BIGINT AS found"
+TASK_AUDIT_SQL = (
+    "SELECT unnest(['null entity or time', 'label without node', 'node without label', 'other time', 'other "
+    "parent']) AS \"check\", 0::BIGINT AS found"
+)
 
 
 def metric_means(spark: SparkSession, sf: str) -> DataFrame:
-    long = metric_auroc(spark, sf).select(F.lit("auroc").alias("metric"), F.col("auroc").alias("value")).unionByName(metric_mae_r2(spark, sf).select(F.lit("mae").alias("metric"), F.col("mae").alias("value")))
+    long = metric_auroc(spark, sf).select(F.lit("auroc").alias("metric"),
+        F.col("auroc").alias("value")).unionByName(metric_mae_r2(spark, sf).select(F.lit("mae").alias("metric"),
+        F.col("mae").alias("value")))
     return rounded(V.mean_scores(long, ["metric"]), 4)
 
 
@@ -230,29 +251,42 @@ def _audit_sql() -> str:
     out = []
     for t in STAR.tables.values():
         if t.pkey:
-            out += [f"SELECT 'null key' AS \"check\", '{t.name}' AS \"table\", count(*) AS found FROM {t.name} WHERE {t.pkey} IS NULL", f"SELECT 'double key', '{t.name}', count(*) FROM (SELECT {t.pkey} FROM {t.name} GROUP BY 1 HAVING count(*) > 1)"]
+            out += [(
+                f"SELECT 'null key' AS \"check\", '{t.name}' AS \"table\", count(*) AS found FROM {t.name} WHERE {t.pkey} IS "
+                f"NULL"
+            ), f"SELECT 'double key', '{t.name}', count(*) FROM (SELECT {t.pkey} FROM {t.name} GROUP BY 1 HAVING count(*) > 1)"]
         if t.time_col:
             out.append(f"SELECT 'null time', '{t.name}', count(*) FROM {t.name} WHERE {t.time_col} IS NULL")
-        out += [f"SELECT 'orphan {fk}', '{t.name}', count(*) FROM {t.name} WHERE {fk} IS NOT NULL AND {fk} NOT IN (SELECT {STAR.table(p).pkey} FROM {p})" for fk, p in t.fkeys.items()]
+        out += [(
+            f"SELECT 'orphan {fk}', '{t.name}', count(*) FROM {t.name} WHERE {fk} IS NOT NULL AND {fk} NOT IN (SELECT "
+            f"{STAR.table(p).pkey} FROM {p})"
+        ) for fk, p in t.fkeys.items()]
     return " UNION ALL ".join(out)
 
 
 def orders_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Beyond the feature programs: rollup with its grouping level."""
-    return rounded(table(spark, sf, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.sum("o_totalprice").alias("total")), 1)
+    return rounded(table(spark, sf, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.grouping_id().cast("long").alias("level"),
+        F.count("*").alias("n"), F.sum("o_totalprice").alias("total")), 1)
 
 
 def customers_without_events(spark: SparkSession, sf: str) -> DataFrame:
     """Beyond the feature programs: set difference and intersection, labelled."""
-    people, users, buyers = table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "events").select("user_id"), table(spark, sf, "orders").select("o_custkey")
-    return people.subtract(users).withColumn("kind", F.lit("no events")).unionByName(people.intersect(users).intersect(buyers).withColumn("kind", F.lit("events and orders")))
+    people, users, buyers = table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "events").select("user_id"), table(spark, sf,
+        "orders").select("o_custkey")
+    return people.subtract(users).withColumn("kind", F.lit("no events")).unionByName(people.intersect(users).intersect(buyers)
+        .withColumn("kind", F.lit("events and orders")))
 
 
 QUERIES = {
     "dfs_depth1": (dfs_depth1, _dfs_sql(False)),
     "dfs_depth2": (dfs_depth2, _dfs_sql(True)),
-    "label_features": (label_features, f"SELECT target, same_entity, round(entity_mean, 6) AS entity_mean, round(log_entity_count, 6) AS log_entity_count, round(global_mean, 6) AS global_mean FROM ({_FEATS})"),
-    "pred_entity_mean": (pred_entity_mean, f"SELECT target, round(coalesce(entity_mean, global_mean, 0.5), 6) AS prediction FROM ({_FEATS})"),
+    "label_features": (label_features, (
+        f"SELECT target, same_entity, round(entity_mean, 6) AS entity_mean, round(log_entity_count, 6) AS "
+        f"log_entity_count, round(global_mean, 6) AS global_mean FROM ({_FEATS})"
+    )),
+    "pred_entity_mean": (pred_entity_mean,
+        f"SELECT target, round(coalesce(entity_mean, global_mean, 0.5), 6) AS prediction FROM ({_FEATS})"),
     "pred_global_mean": (pred_global_mean, f"SELECT target, round(coalesce(global_mean, 0.5), 6) AS prediction FROM ({_FEATS})"),
     "pred_linear_1d": (pred_linear_1d, LINEAR_SQL),
     "pred_ridge": (pred_ridge, None),
@@ -261,11 +295,21 @@ QUERIES = {
     "task_audit": (task_audit, TASK_AUDIT_SQL),
     "metric_auroc": (metric_auroc, AUROC_SQL),
     "metric_mae_r2": (metric_mae_r2, MAE_SQL),
-    "metric_means": (metric_means, f"SELECT 'auroc' AS metric, round(avg(auroc), 4) AS value, count(*) AS tasks FROM ({AUROC_SQL}) UNION ALL SELECT 'mae', round(avg(mae), 4), count(*) FROM ({MAE_SQL})"),
+    "metric_means": (metric_means, (
+        f"SELECT 'auroc' AS metric, round(avg(auroc), 4) AS value, count(*) AS tasks FROM ({AUROC_SQL}) UNION ALL "
+        f"SELECT 'mae', round(avg(mae), 4), count(*) FROM ({MAE_SQL})"
+    )),
     "tune_grid_best": (tune_grid_best, TUNE_SQL),
     "ensemble_mean": (ensemble_mean, ENSEMBLE_SQL),
     "submission_rows": (submission_rows, SUBMISSION_SQL),
     "alignment_audit": (alignment_audit, _audit_sql()),
-    "orders_rollup": (orders_rollup, "SELECT o_orderstatus, o_orderpriority, grouping_id(o_orderstatus, o_orderpriority)::BIGINT AS level, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"),
-    "customers_without_events": (customers_without_events, "SELECT c_custkey, 'no events' AS kind FROM (SELECT c_custkey FROM customer EXCEPT SELECT user_id FROM events) UNION ALL SELECT c_custkey, 'events and orders' FROM (SELECT c_custkey FROM customer INTERSECT SELECT user_id FROM events INTERSECT SELECT o_custkey FROM orders)"),
+    "orders_rollup": (orders_rollup, (
+        "SELECT o_orderstatus, o_orderpriority, grouping_id(o_orderstatus, o_orderpriority)::BIGINT AS level, count(*) "
+        "AS n, round(sum(o_totalprice), 1) AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"
+    )),
+    "customers_without_events": (customers_without_events, (
+        "SELECT c_custkey, 'no events' AS kind FROM (SELECT c_custkey FROM customer EXCEPT SELECT user_id FROM events) "
+        "UNION ALL SELECT c_custkey, 'events and orders' FROM (SELECT c_custkey FROM customer INTERSECT SELECT user_id "
+        "FROM events INTERSECT SELECT o_custkey FROM orders)"
+    )),
 }

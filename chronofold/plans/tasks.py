@@ -36,7 +36,8 @@ def include_list(text: str) -> list[str]:
     return [name for line in text.splitlines() if (name := line.split("#", 1)[0].strip())]
 
 
-def select(tasks: Iterable[TaskSpec], names: Iterable[str] | None = None, task_type: str | None = None, split: str | None = None) -> list[TaskSpec]:
+def select(tasks: Iterable[TaskSpec], names: Iterable[str] | None = None, task_type: str | None = None,
+    split: str | None = None) -> list[TaskSpec]:
     """Tasks of the named databases or `db/task` names, of a type and of a split; names that fit nothing are an error."""
     every = list(tasks)
     if names is not None:

@@ -136,7 +136,8 @@ class Database:
         for name in [] if skip_tasks else files.names(f"{path}/tasks"):
             t = yaml.safe_load(files.read(f"{path}/tasks/{name}/manifest.yaml")) or {}
             kind = "clf" if "class" in str(t.get("task_type", "")) or t.get("task_type") == "clf" else "reg"
-            tasks[name] = Task(name, t["entity_table"], t["entity_col"], t["target_col"], kind, t.get("time_col"), tuple(map(tuple, (t.get("pairs") or {}).items())), tuple(t.get("leakage") or ()))
+            tasks[name] = Task(name, t["entity_table"], t["entity_col"], t["target_col"], kind, t.get("time_col"),
+                tuple(map(tuple, (t.get("pairs") or {}).items())), tuple(t.get("leakage") or ()))
         return Database(spark, path, Manifest.of(spec.get("tables", spec)), tasks, names)
 
     def table(self, name: str, row_col: str | None = None) -> DataFrame:
@@ -166,7 +167,8 @@ class Database:
         return [prefix + n for n in self.names]
 
 
-def write_database(tables: dict[str, DataFrame], manifest: Manifest, path: str, tasks: dict[str, tuple[Task, dict[str, DataFrame]]] | None = None) -> None:
+def write_database(tables: dict[str, DataFrame], manifest: Manifest, path: str,
+    tasks: dict[str, tuple[Task, dict[str, DataFrame]]] | None = None) -> None:
     """Tables, label splits and manifests in the dataset layout."""
     import yaml
 
@@ -176,7 +178,8 @@ def write_database(tables: dict[str, DataFrame], manifest: Manifest, path: str,
         df.write.parquet(f"{path}/db/{safe_name(name)}.parquet")
     files.write(f"{path}/manifest.yaml", yaml.safe_dump({"tables": manifest.as_dict()}))
     for name, (task, splits) in (tasks or {}).items():
-        spec = {"entity_table": task.entity_table, "entity_col": task.entity_col, "target_col": task.target_col, "task_type": task.task_type, "time_col": task.time_col, "pairs": dict(task.pairs), "leakage": list(task.leakage)}
+        spec = {"entity_table": task.entity_table, "entity_col": task.entity_col, "target_col": task.target_col,
+            "task_type": task.task_type, "time_col": task.time_col, "pairs": dict(task.pairs), "leakage": list(task.leakage)}
         files.write(f"{path}/tasks/{safe_name(name)}/manifest.yaml", yaml.safe_dump(spec))
         for split, df in splits.items():
             df.write.parquet(f"{path}/tasks/{name}/{safe_name(split)}.parquet")
@@ -212,7 +215,8 @@ def read_labels(spark: SparkSession, path: str, time_col: str) -> DataFrame:
     return df if kind in ("timestamp_ntz",) else df.withColumn(time_col, F.col(time_col).cast("timestamp_ntz"))
 
 
-def read_external(spark: SparkSession, url: str, names: list[str], by: dict[str, tuple[str, int, int]] | None = None, parts: int = 64, **options: str) -> dict[str, DataFrame]:
+def read_external(spark: SparkSession, url: str, names: list[str], by: dict[str, tuple[str, int, int]] | None = None, parts: int = 64,
+    **options: str) -> dict[str, DataFrame]:
     """Tables of a database over JDBC; its driver must be on the class path.
 
     by: for a table, a numeric column with its least and largest value, by which it is read in `parts` tasks.

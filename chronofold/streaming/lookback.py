@@ -19,7 +19,8 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
 def daily_counts(events: DataFrame, late: str = "2 days", days: int = 7) -> DataFrame:
     """(user_id, day, n, value): events of the `days` days that end with `day`, by sliding windows under a watermark."""
     window = F.window("ts", f"{days} days", "1 day")
-    counted = events.withWatermark("ts", late).groupBy("user_id", window.alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    counted = events.withWatermark("ts", late).groupBy("user_id", window.alias("w")).agg(F.count("*").alias("n"),
+        F.sum("value").alias("value"))
     return counted.select("user_id", F.col("w.end").alias("day"), "n", "value")
 
 
@@ -32,7 +33,8 @@ def run_to(counts: DataFrame, out: str, checkpoint: str) -> None:
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
+    query = counts.writeStream.outputMode("update").option("checkpointLocation",
+        checkpoint).foreachBatch(save).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
