@@ -14,7 +14,7 @@ from ..operators.graph import SPAN, numbered_children
 from . import evaluation as EV
 from .features import _LABELS, churn_labels
 from .graphs import _N, CODES, EDGES_SQL, ROBIN_SQL, fallback_sql, graph_edges, neighborhood_round_robin, node
-from .tables import ORDER_CUTOFFS, STAR, rounded, table
+from .tables import STAR, rounded, table
 
 _STORED = ("customer", "events", "nation", "orders", "part", "region", "supplier")
 
