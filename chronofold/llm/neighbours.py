@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, map_batches, materialise
+from .common import connected, join_by_key, map_batches, map_stream, materialise
 
 COSINE, MISS, CAP, SEED = 0.9, 0.05, 8, 11
 #: Share of pairs at the least cosine that the sets of filters must find together, of so many random ones.
@@ -131,8 +131,10 @@ def named(rows: DataFrame) -> DataFrame:
             names.append(xxhash.xxh3_128_digest((x + 0.0).tobytes()) if good else None)
             with np.errstate(over="ignore"):
                 short = good and (x.astype("<f4") == x).all()
-            raws.append(len(x).to_bytes(4, "little") + bytes([4 if short else 8]) + x.astype("<f4" if short else "<f8").tobytes() if good else None)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.binary()), pa.array(raws, pa.binary())], ["id", "name", "raw"])
+            raws.append(len(x).to_bytes(4, "little") + bytes([4 if short else 8]) + x.astype("<f4" if short else "<f8").tobytes() if good
+                else None)
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.binary()), pa.array(raws, pa.binary())],
+            ["id", "name", "raw"])
 
     return map_batches(rows, run, "id long, name binary, raw binary", rows=2048)
 
@@ -193,14 +195,18 @@ def links(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS) -> Dat
                 which = [i for i, x in enumerate(dims) if x == d]
                 for i, c in zip(which, filters(d).decode(np.stack([unit(raws[i]) for i in which])), strict=True):
                     caps[i] = c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(caps, pa.list_(pa.int64()))], ["name", "raw", "weight", "dim", "caps"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims, pa.int32()), pa.array(caps, pa.list_(pa.int64()))],
+                ["name", "raw", "weight", "dim", "caps"])
 
-    capped = materialise(vectors.select("name", "raw", "weight").repartition("name").mapInArrow(caps_of, "name binary, raw binary, weight long, dim int, caps array<long>"), "caps")
+    capped = materialise(map_stream(vectors.select("name", "raw", "weight").repartition("name"), caps_of,
+        "name binary, raw binary, weight long, dim int, caps array<long>"), "caps")
     each = capped.select("name", "raw", "weight", "dim", F.explode("caps").alias("cap"))
-    sizes = each.groupBy("dim", "cap").agg(F.count("*").alias("n")).where("n > 1").select("dim", "cap", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    sizes = each.groupBy("dim", "cap").agg(F.count("*").alias("n")).where("n > 1").select("dim", "cap",
+        F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     dealt = each.join(sizes, ["dim", "cap"]).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    job = dealt.select("dim", "cap", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") > F.col("other")).cast("int").alias("side"), "name", "raw", "weight")
+    job = dealt.select("dim", "cap", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"),
+        (F.col("part") > F.col("other")).cast("int").alias("side"), "name", "raw", "weight")
     ordered = job.repartition("dim", "cap", "lo", "hi").sortWithinPartitions("dim", "cap", "lo", "hi")
 
     def finish(key, rows, filters):
@@ -229,12 +235,14 @@ def links(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS) -> Dat
         yield out(finish(key, rows, filters))
 
     def out(columns):
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())], ["a", "b", "gained"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()),
+            pa.array(columns[2], pa.int64())], ["a", "b", "gained"])
 
-    return ordered.mapInArrow(run, "a binary, b binary, gained long")
+    return map_stream(ordered, run, "a binary, b binary, gained long")
 
 
-def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, miss: float = MISS) -> DataFrame:
+def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
+    miss: float = MISS) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
     Equal vectors are compared once and count as linked with each other, repeated rows and equal ids included.
@@ -242,17 +250,25 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     different lengths never link. Null ids count for no minimum.
     """
     rows = materialise(named(table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))), "vectors")
-    nodes = rows.where("name IS NOT NULL").groupBy("name").agg(F.first("raw").alias("raw"), F.count("*").alias("weight"), F.min("id").alias("rep"))
+    nodes = rows.where("name IS NOT NULL").groupBy("name").agg(F.first("raw").alias("raw"), F.count("*").alias("weight"),
+        F.min("id").alias("rep"))
     nodes = materialise(nodes, "distinct-vectors")
     found = materialise(links(nodes, cosine, miss), "vector-links")
     gained = found.groupBy(F.col("a").alias("name")).agg(F.sum("gained").alias("gained"))
     groups = connected(found.where("a <> b").select("a", "b"), "vector-groups").withColumnRenamed("node", "name")
-    joined = nodes.select("name", "weight", "rep").join(gained, "name", "left").join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_node = joined.join(smallest, "component").select("name", (F.col("weight") - 1 + F.coalesce("gained", F.lit(0))).alias("n_links"), "component_id")
-    done = rows.select("id", "name").join(materialise(of_node, "vector-components"), "name", "left")
-    component = F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return done.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    joined = nodes.select("name", "weight", "rep").join(gained, "name", "left").join(groups, "name", "left").withColumn("component",
+        F.coalesce("component", "name"))
+    joined = materialise(joined, "vector-nodes")
+    total = rows.count()
+    smallest = materialise(joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")),
+        "vector-groups")
+    of_node = join_by_key(joined, smallest, "component", "members", total)
+    of_node = of_node.select("name", (F.col("weight") - 1 + F.coalesce("gained", F.lit(0))).alias("n_links"), "component_id", "weight")
+    linked = rows.where("name IS NOT NULL").select("id", "name")
+    done = join_by_key(linked, materialise(of_node, "vector-components"), "name", "weight", total).select("id",
+        F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = rows.where("name IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 
 def op5_neighbours(spark, sf_dir: str) -> DataFrame:

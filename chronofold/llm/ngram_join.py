@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected, discard, map_batches, materialise, texts_of
+from .common import connected, discard, join_by_key, map_batches, map_stream, materialise, slices, texts_of
 from .shingles import WIDTH, shingle_set
 
-#: Similarity in percent; ranges in which sketches are added up.
-PERCENT, RANGES = 80, 64
+#: Similarity in percent; ranges in which sketches are added up; texts whose tokens are in memory at once.
+PERCENT, RANGES, ROWS = 80, 64, 1024
 #: A sketch has about a slot for so many characters of text, between these powers of two. 64 MB of levels are the most
 #: that is broadcast; beyond it (about 3 GB of text) slots are shared by more tokens, which costs candidates, not links.
 CHARS_A_SLOT, LEAST_BITS, MOST_BITS = 48, 18, 26
@@ -167,7 +167,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int) ->
 
     def run(batches):
         sketch, seen = np.zeros(1 << bits, np.uint16), set()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             texts, cols, fresh = texts_of(batch), ([], [], []), []
             for text in texts:
                 tokens = shingle_set(text, width)
@@ -189,7 +189,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int) ->
                 cols = [*[[None]] * 5, [i], [zlib.compress(parts[i].tobytes(), 1)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return rows.mapInArrow(run, "id long, n long, name binary, parity binary, content binary, slots int, counts binary")
+    return map_stream(rows, run, "id long, n long, name binary, parity binary, content binary, slots int, counts binary")
 
 
 def content_hash(text: str) -> bytes:
@@ -209,9 +209,11 @@ def slot_levels(scanned: DataFrame, bits: int) -> tuple[np.ndarray, int]:
                 if i not in sums:
                     sums[i] = np.zeros(len(found), np.int64)
                 sums[i] += found
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([level(s).tobytes() for s in sums.values()], pa.binary())], ["slots", "levels"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()),
+            pa.array([level(s).tobytes() for s in sums.values()], pa.binary())], ["slots", "levels"])
 
-    parts = scanned.where("slots IS NOT NULL").select("slots", "counts").repartition("slots").mapInArrow(add, "slots int, levels binary").collect()
+    parts = map_stream(scanned.where("slots IS NOT NULL").select("slots", "counts").repartition("slots"), add,
+        "slots int, levels binary").collect()
     levels = np.zeros((RANGES, (1 << bits) // RANGES), np.uint8)
     for r in parts:
         levels[r.slots] = np.frombuffer(r.levels, np.uint8)
@@ -225,7 +227,7 @@ def index(docs: DataFrame, levels: np.ndarray, frequent: int, text_col: str, wid
 
     def run(batches):
         seen = set()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             found = []
             for text in texts_of(batch):
                 tokens = shingle_set(text, width)
@@ -234,9 +236,10 @@ def index(docs: DataFrame, levels: np.ndarray, frequent: int, text_col: str, wid
                     keys, rest, parts = index_keys(tokens, shared.value, frequent, percent)
                     found.append((keys, np.full(len(keys), node_number(name), np.int64), rest << 32 | len(tokens), parts))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["key", "node", "bounds", "parts"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)],
+                    ["key", "node", "bounds", "parts"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, node long, bounds long, parts int")
+    return map_stream(docs.select(F.col(text_col).cast("string").alias("text")), run, "key long, node long, bounds long, parts int")
 
 
 def shared_entries(keyed: DataFrame) -> DataFrame:
@@ -246,9 +249,12 @@ def shared_entries(keyed: DataFrame) -> DataFrame:
     """
     salt = F.when(F.col("parts") > 0, 1 + F.pmod("node", "parts")).otherwise(0)
     here = Window.partitionBy("key", "salt")
-    found = keyed.withColumn("salt", salt).withColumns({"lo": F.min("node").over(here), "hi": F.max("node").over(here), "copies": F.count("*").over(here)})
-    found = found.where("lo <> hi OR parts > 0").withColumn("parts", F.when(F.col("parts") > 0, F.col("parts")).otherwise((1 + F.floor(F.col("copies") / KEY_PART)).cast("int")))
-    return found.select("key", "node", F.shiftright("bounds", 32).alias("rest"), F.col("bounds").bitwiseAND(0xFFFFFFFF).alias("n"), "parts").distinct()
+    found = keyed.withColumn("salt", salt).withColumns({"lo": F.min("node").over(here), "hi": F.max("node").over(here),
+        "copies": F.count("*").over(here)})
+    found = found.where("lo <> hi OR parts > 0").withColumn("parts",
+        F.when(F.col("parts") > 0, F.col("parts")).otherwise((1 + F.floor(F.col("copies") / KEY_PART)).cast("int")))
+    return found.select("key", "node", F.shiftright("bounds", 32).alias("rest"), F.col("bounds").bitwiseAND(0xFFFFFFFF).alias("n"),
+        "parts").distinct()
 
 
 def with_key_facts(entries: DataFrame, **facts) -> DataFrame:
@@ -268,14 +274,16 @@ def node_filter(nodes: DataFrame):
     """A broadcast test that holds for all node numbers given and for few others; its size, 8 MB, depends on nothing."""
     spark = nodes.sparkSession
     hashed = nodes.select(F.pmod("node", F.lit(1 << FILTER_BITS)).alias("h"))
-    words = hashed.groupBy(F.shiftright("h", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 31 AS INT))")).alias("bits"))
+    words = hashed.groupBy(F.shiftright("h", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 31 AS INT))"))
+        .alias("bits"))
 
     def gather(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column(c)).astype("<u4").tobytes()], pa.binary()) for c in ("w", "bits")], ["w", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column(c)).astype("<u4").tobytes()], pa.binary()) for c in ("w",
+                "bits")], ["w", "bits"])
 
     bits = np.zeros(1 << FILTER_BITS - 5, np.uint32)
-    for r in words.mapInArrow(gather, "w binary, bits binary").collect():
+    for r in map_stream(words, gather, "w binary, bits binary").collect():
         bits[np.frombuffer(r.w, "<u4")] = np.frombuffer(r.bits, "<u4")
     shared = spark.sparkContext.broadcast(bits)
 
@@ -292,7 +300,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, text_col: str, width: int) -> D
 
     def run(batches):
         seen = set()
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             names, sets = [], []
             for text in texts_of(batch):
                 tokens = shingle_set(text, width)
@@ -302,7 +310,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, text_col: str, width: int) -> D
                     sets.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["name", "tokens"])
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "name binary, tokens binary")
+    found = map_stream(docs.select(F.col(text_col).cast("string").alias("text")), run, "name binary, tokens binary")
     return materialise(found.dropDuplicates(["name"]), "node-sets")
 
 
@@ -315,7 +323,8 @@ def likely(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     right = parities.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        passed = [may_be_similar(*row, percent) for row in zip(*(batch.column(c).to_pylist() for c in ("px", "py", "nx", "ny")), strict=True)]
+        passed = [may_be_similar(*row, percent) for row in zip(*(batch.column(c).to_pylist() for c in ("px", "py", "nx", "ny")),
+            strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(passed, pa.bool_())], ["x", "y", "passed"])
 
     met = pairs.join(left, "x").join(right, "y").select("x", "y", "px", "py", "nx", "ny")
@@ -362,7 +371,8 @@ def one_each(here: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def each_other(here: DataFrame, percent: int) -> DataFrame:
     """(x, y): the pairs of nodes of a key that are in different groups and could be similar by their places in it."""
-    that = here.select("key", F.col("node").alias("other"), F.col("n").alias("its_n"), F.col("rest").alias("its_rest"), F.col("component").alias("its"), "parts")
+    that = here.select("key", F.col("node").alias("other"), F.col("n").alias("its_n"), F.col("rest").alias("its_rest"),
+        F.col("component").alias("its"), "parts")
     that = that.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     met = here.withColumn("part", F.pmod("node", "parts").cast("int")).join(that, ["key", "part"])
     met = met.where("node < other AND component <> its").where(FITS.format(percent))
@@ -380,7 +390,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = sketch_bits(docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0)
     scanned = materialise(scan(docs, id_col, text_col, width, bits), "shingle-scan")
     rows = scanned.where("slots IS NULL").select("id", "n", "name", "content")
-    nodes = rows.where("n > 0").groupBy("name").agg(F.min("id").alias("rep"))
+    nodes = rows.where("n > 0").groupBy("name").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     entries = shared_entries(index(docs, *slot_levels(scanned, bits), text_col, width, percent))
     # Under a key, no set shares more than the key's largest rest, nor with a smaller set than its smallest.
     able = F.least("rest", "most") * (100 + percent) >= (F.col("n") + F.greatest("least", F.col("n") * percent / 100)) * percent
@@ -401,21 +411,27 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         met = materialise(likely(pairs, parities, percent), "tried")
         tried = met if tried is None else tried.union(met)
         if turn < ROUNDS and (turn == 0 or not met.where("passed").isEmpty()):
-            groups = connected(tried.where("passed").select(F.col("x").alias("a"), F.col("y").alias("b")), "likely").withColumnRenamed("component", "joined")
+            groups = connected(tried.where("passed").select(F.col("x").alias("a"), F.col("y").alias("b")),
+                "likely").withColumnRenamed("component", "joined")
     chosen = tried.where("passed").select("x", "y").distinct()
     links = checked_links(docs, chosen, text_col, width, percent)
     found = connected(links, "shingle-links").withColumnRenamed("node", "name")
     # Groups of pairs that looked similar and were not may have hidden pairs.
     here = apart(entries, found.select(number_of().alias("node"), number_of("component").alias("joined")))
-    hidden = materialise(likely(each_other(materialise(here, "open-keys"), percent).join(tried, ["x", "y"], "left_anti"), parities, percent), "hidden").where("passed").select("x", "y").distinct()
+    hidden = materialise(likely(each_other(materialise(here, "open-keys"), percent).join(tried, ["x", "y"], "left_anti"), parities,
+        percent), "hidden").where("passed").select("x", "y").distinct()
     if not hidden.isEmpty():
         more = checked_links(docs, hidden, text_col, width, percent)
         if not more.isEmpty():
             found = connected(links.union(more), "shingle-links").withColumnRenamed("node", "name")
-    grouped = nodes.join(found, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    smallest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"), F.min_by("name", F.struct(F.col("rep").isNull(), "rep", "name")).alias("first"))
-    named = materialise(grouped.select("name", "component").join(smallest, "component").select("name", "component_id", "first"), "components")
-    worded = rows.where("n > 0").join(named, "name").select("id", "name", "n", "content", "component_id", "first")
+    grouped = materialise(nodes.join(found, "name", "left").withColumn("component", F.coalesce("component", "name")), "grouped")
+    first = F.min_by("name", F.struct(F.col("rep").isNull(), "rep", "name")).alias("first")
+    smallest = materialise(grouped.groupBy("component").agg(F.min("rep").alias("component_id"), first, F.count("*").alias("members")),
+        "groups")
+    total = rows.count()
+    named = join_by_key(grouped.select("name", "copies", "component"), smallest, "component", "members", total)
+    named = materialise(named.select("name", "copies", "component_id", "first"), "components")
+    worded = join_by_key(rows.where("n > 0"), named, "name", "copies", total).select("id", "name", "n", "content", "component_id", "first")
     return worded.union(rows.where("n = 0").select("id", "name", "n", "content", F.col("id"), F.lit(None).cast("binary")))
 
 
@@ -438,7 +454,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialise(components(docs, id_col, text_col, width, percent).where("n > 0"), "members")
     first = found.where("name = first AND id <=> component_id").groupBy("name", "id").agg(F.min("content").alias("content"))
     stays = first.select(F.col("id").alias("its_id"), F.col("content").alias("its_content"))
-    doubtful = found.groupBy("name").agg(F.count("*").alias("rows"), F.first("first").alias("first")).where("rows > 1 OR name <> first").select("name")
+    doubtful = found.groupBy("name").agg(F.count("*").alias("rows"),
+        F.first("first").alias("first")).where("rows > 1 OR name <> first").select("name")
     holds = node_filter(found.join(doubtful, "name", "left_semi").select(number_of("content").alias("node")))
     place, names = docs.columns.index(text_col), docs.columns
 
@@ -447,14 +464,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mask = pa.array([(not holds(m)) == sure for m in marks], pa.bool_())
         if sure:
             return batch.filter(mask)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], [*(f"c{i}" for i in range(len(names))), "content"]).filter(mask)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())],
+            [*(f"c{i}" for i in range(len(names))), "content"]).filter(mask)
 
     sure = map_batches(docs, lambda batch: pick(batch, True), docs.schema)
     fields = ", ".join(f"c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
     others = map_batches(docs, lambda batch: pick(batch, False), f"{fields}, content binary")
     row_id, cells = F.col(f"c{names.index(id_col)}").cast("long"), [f"c{i}" for i in range(len(names))]
     one = others.join(stays, (others["content"] == stays["its_content"]) & row_id.eqNullSafe(stays["its_id"]), "left_semi")
-    one = one.withColumn("rank", F.row_number().over(Window.partitionBy(row_id, "content").orderBy(F.xxhash64(F.to_json(F.struct(*cells))))))
+    one = one.withColumn("rank", F.row_number().over(Window.partitionBy(row_id,
+        "content").orderBy(F.xxhash64(F.to_json(F.struct(*cells))))))
     return sure.unionByName(one.where("rank = 1").select(*cells).toDF(*names))
 
 
