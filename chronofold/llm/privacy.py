@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, texts_of
+from .common import map_batches, map_stream, materialise, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 TERM, REMOVED = "term", "gone"
@@ -115,7 +115,7 @@ def chunks(terms: DataFrame) -> list[DataFrame]:
 def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, share): terms that disclose some entity, with the largest share of its information.
 
-    With N documents, n_e contexts of an entity, n_et of them with the term and n_t distinct texts with the term,
+    With N distinct texts, n_e contexts of an entity, n_et of them with the term and n_t distinct texts with the term,
     the share is ln(N n_et / (n_e n_t)) / ln(N / n_e). Equal contexts and equal texts count once, so copies of a
     document are no evidence for a term or against it; a term needs SUPPORT contexts. Null texts and ids do no harm.
     """
@@ -124,29 +124,33 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def found(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(e, c, sorted(terms)) for text in texts_of(batch) for e, c, terms in mentions(text)]
         e, c, t = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(c, pa.int64()), pa.array(t, pa.list_(pa.string()))], ["entity", "context", "terms"])
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(c, pa.int64()), pa.array(t, pa.list_(pa.string()))],
+            ["entity", "context", "terms"])
 
-    contexts = materialise(map_batches(texts, found, "entity long, context long, terms array<string>").dropDuplicates(["entity", "context"]), "contexts")
+    contexts = materialise(map_batches(texts, found, "entity long, context long, terms array<string>").dropDuplicates(["entity",
+        "context"]), "contexts")
     entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    beside = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
+    beside = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity",
+        "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
     pairs = materialise(beside.join(entities, "entity"), "entity-terms")
     candidates = materialise(pairs.select("term").distinct(), "candidate-terms")
     parts = chunks(candidates)
     if not parts:
         return docs.sparkSession.createDataFrame([], "term string, share double")
-    total = texts.count()
+    total = texts.select(F.xxhash64(F.coalesce("text", F.lit("")))).distinct().count()
     counted = None
     for i, part in enumerate(parts):
         wanted = docs.sparkSession.sparkContext.broadcast({r.term: i for i, r in enumerate(part.collect())})
         each = map_batches(texts, term_finder(wanted), "name binary, numbers binary").dropDuplicates(["name"])
-        one = each.select("numbers").mapInArrow(term_counter(wanted), "term string, n long")
+        one = map_stream(each.select("numbers"), term_counter(wanted), "term string, n long")
         if len(parts) > 1:  # so that one part's terms at a time are with the workers
             one = materialise(one, f"counted-{i}")
             wanted.destroy()
         counted = one if counted is None else counted.union(one)
     n_t = counted.groupBy("term").agg(F.sum("n").alias("n_t"))
     information = F.log(F.lit(float(total)) / F.col("n_e"))
-    share = F.when(information > 0, F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t", "n_et"))) / information).otherwise(0.0)
+    share = F.when(information > 0, F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.greatest("n_t",
+        "n_et"))) / information).otherwise(0.0)
     scored = pairs.join(n_t, "term").groupBy("term").agg(F.max(share).alias("share"))
     return scored.where(F.col("share") >= GENERALISE)
 
@@ -171,7 +175,8 @@ def term_counter(wanted):
         for batch in batches:
             counts += np.bincount(np.frombuffer(b"".join(batch.column("numbers").to_pylist()), "<u4"), minlength=len(counts))
         rows = [(t, counts[i]) for t, i in wanted.value.items() if counts[i]]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())],
+            ["term", "n"])
 
     return run
 
@@ -181,7 +186,8 @@ def term_spans(text: str, spans: list[Span], shares: dict[str, float]) -> list[S
     if not shares or len(lowered := text.lower()) != len(text):
         lowered = "".join(c if len(low := c.lower()) != 1 else low for c in text) if shares else ""
     rest = hidden(lowered, spans)
-    return [(m.start(), m.end(), 4 + (s >= REMOVE)) for m in LETTERS.finditer(rest) if (s := shares.get(m[0])) is not None] if shares else []
+    return [(m.start(), m.end(), 4 + (s >= REMOVE)) for m in LETTERS.finditer(rest)
+        if (s := shares.get(m[0])) is not None] if shares else []
 
 
 def find(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,26 +200,34 @@ def find(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: st
     return marked(rows, terms, "text", "spans")
 
 
-def marked(rows: DataFrame, terms: DataFrame, text_col: str, name: str) -> DataFrame:
-    """rows with a last column `name`: the spans of every text, a null text's are none."""
+def marked(rows: DataFrame, terms: DataFrame, text_col: str, name: str | None) -> DataFrame:
+    """rows with a last column `name`: the spans of every text, a null text's are none. Without a name, rows with cleaned
+    texts instead, in the same pass."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.int32())]))
     place, names = rows.columns.index(text_col), rows.columns
-    fields = ", ".join([*(f"c{i} {rows.schema[n].dataType.simpleString()}" for i, n in enumerate(names)), "spans array<struct<start: long, stop: long, kind: int>>"])
     numbered = [f"c{i}" for i in range(len(names))]
+    plain = ", ".join(f"c{i} {rows.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
+    fields = f"{plain}, spans array<struct<start: long, stop: long, kind: int>>"
 
-    def with_terms(part: dict | None, first: bool):
+    def with_terms(part: dict | None, first: bool, cleaned: bool):
         shared = rows.sparkSession.sparkContext.broadcast(part or {})
 
+        def spans_of(text: str, before: list | None) -> list[Span]:
+            had = [(s["start"], s["stop"], s["kind"]) for s in before or ()]
+            base = [s for s in had if s[2] < len(KINDS)] if before is not None else base_spans(text)
+            more = [s for s in had if s[2] >= len(KINDS)]
+            return sorted([*base, *more, *term_spans(text, base, shared.value)], key=lambda s: (s[0], s[2]))
+
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = texts_of(batch, f"c{place}")
-            had = [()] * len(texts) if first else batch.column("spans").to_pylist()
-            found = []
-            for text, before in zip(texts, had, strict=True):
-                base = base_spans(text) if first else [(s["start"], s["stop"], s["kind"]) for s in before if s["kind"] < len(KINDS)]
-                more = [] if first else [(s["start"], s["stop"], s["kind"]) for s in before if s["kind"] >= len(KINDS)]
-                spans = sorted([*base, *more, *term_spans(text, base, shared.value)], key=lambda s: (s[0], s[2]))
-                found.append([{"start": a, "stop": b, "kind": k} for a, b, k in spans])
-            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(found, kind)], [*numbered, "spans"])
+            texts = batch.column(place).to_pylist()
+            had = [None] * len(texts) if first else batch.column("spans").to_pylist()
+            found = [spans_of(t or "", before) for t, before in zip(texts, had, strict=True)]
+            columns = [batch.column(i) for i in range(len(names))]
+            if cleaned:
+                columns[place] = pa.array([clean(t, spans) if spans else t for t, spans in zip(texts, found, strict=True)], pa.string())
+                return pa.RecordBatch.from_arrays(columns, numbered)
+            told = [[{"start": a, "stop": b, "kind": k} for a, b, k in spans] for spans in found]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(told, kind)], [*numbered, "spans"])
 
         return run
 
@@ -221,10 +235,12 @@ def marked(rows: DataFrame, terms: DataFrame, text_col: str, name: str) -> DataF
     parts = chunks(terms) or [None]
     for i, part in enumerate(parts):
         shares = None if part is None else {r.term: r.share for r in part.collect()}
-        out = map_batches(out, with_terms(shares, i == 0), fields, rows=256)
-        if i + 1 < len(parts):
+        last = i + 1 == len(parts)
+        ends = last and name is None
+        out = map_batches(out, with_terms(shares, i == 0, ends), plain if ends else fields, rows=256)
+        if not last:
             out = materialise(out, "marked")
-    return out.toDF(*names, name)
+    return out.toDF(*names, *([name] if name else []))
 
 
 def clean(text: str, spans: list[Span]) -> str:
@@ -239,18 +255,7 @@ def clean(text: str, spans: list[Span]) -> str:
 
 def sanitise(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, all rows and columns, with personal data and disclosing terms replaced in `text_col`; null texts stay null."""
-    place, names = docs.columns.index(text_col), docs.columns
-    found = marked(docs, terms, text_col, "spans").toDF(*(f"c{i}" for i in range(len(names))), "spans")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for text, spans in zip(batch.column(place).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            texts.append(clean(text, [(s["start"], s["stop"], s["kind"]) for s in spans]) if spans else text)
-        columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
-        return pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
-
-    fields = ", ".join(f"c{i} {docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
-    return map_batches(found, run, fields, rows=256).toDF(*names)
+    return marked(docs, terms, text_col, None)
 
 
 def op2_privacy(spark, sf_dir: str) -> DataFrame:
@@ -259,7 +264,8 @@ def op2_privacy(spark, sf_dir: str) -> DataFrame:
     terms = materialise(disclosing_terms(docs), "disclosing-terms")
     found = find(docs, terms)
     names = F.array(*[F.lit(k) for k in (*KINDS, TERM, REMOVED)])
-    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])),
+        ",")
     base = F.filter("spans", lambda s: s["kind"] < 4)
     return found.select(
         F.col("id").alias("doc_id"),
