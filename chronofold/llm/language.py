@@ -119,7 +119,8 @@ def train(examples: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12,
     threshold, known = [float(np.quantile(x[right], UNSURE)) if right.any() else 0.0 for x in (p.max(1), familiar)]
     few = len(languages) <= DIMENSIONS
     table = np.concatenate([embed @ layer if few else embed, met], axis=1).astype(np.float32)
-    return Model(languages, table, None if few else layer.astype(np.float64), bias.astype(np.float64), float(heat), threshold, FAMILIAR * known)
+    return Model(languages, table, None if few else layer.astype(np.float64), bias.astype(np.float64), float(heat), threshold,
+        FAMILIAR * known)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -144,7 +145,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chance = F.least(F.lit(1.0), wanted / F.col("n")) * 1_000_000 + 1
     chances = sizes.select("lang", chance.alias("chance"))
     # Joined unbroadcast, every text would be shuffled by its language; that is left for labels by the hundred thousand.
-    chosen = usable.join(F.broadcast(chances) if languages <= BROADCAST_LANGUAGES else chances, "lang").where(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) < F.col("chance"))
+    chosen = usable.join(F.broadcast(chances) if languages <= BROADCAST_LANGUAGES else chances,
+        "lang").where(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) < F.col("chance"))
 
     def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         buckets, numbers = [], []
@@ -155,7 +157,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             used = np.flatnonzero(total)
             buckets.append(used.astype("<u2").tobytes())
             numbers.append(total[used].astype("<f4").tobytes())
-        return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(buckets, pa.binary()), pa.array(numbers, pa.binary())], ["lang", "buckets", "numbers"])
+        return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(buckets, pa.binary()), pa.array(numbers, pa.binary())],
+            ["lang", "buckets", "numbers"])
 
     rows = map_batches(chosen.select("lang", "text"), counts, "lang string, buckets binary, numbers binary").collect()
     examples = sorted(((r.lang, bytes(r.buckets), bytes(r.numbers)) for r in rows if r.buckets))

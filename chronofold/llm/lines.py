@@ -30,7 +30,8 @@ def drop_lists(docs: DataFrame, least: int = 10, documents: int = 2, id_col: str
     A key counts once for each document. Rows with null ids are documents told apart by `alt`, a hash of their text; they
     come after all others, in the order of their hashes.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), nameless(id_col, text_col).alias("alt"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), nameless(id_col, text_col).alias("alt"),
+        F.col(text_col).cast("string").alias("text"))
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, alts, keys = [], [], []
@@ -39,7 +40,8 @@ def drop_lists(docs: DataFrame, least: int = 10, documents: int = 2, id_col: str
             ids += [doc] * len(own)
             alts += [alt] * len(own)
             keys += own
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(alts, pa.int64()), pa.array(keys, pa.binary())], ["id", "alt", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(alts, pa.int64()), pa.array(keys, pa.binary())],
+            ["id", "alt", "key"])
 
     held = materialise(map_batches(rows, hashed, "id long, alt long, key binary"), "line-keys")
     keeper = [F.min("id").alias("keeper"), F.min("alt").alias("alt_keeper")]
@@ -84,7 +86,8 @@ def dedup_lines(docs: DataFrame, least: int = 10, documents: int = 2, id_col: st
                 n_dropped.append(0)
             texts.append(text)
         cols = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(names))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*(f"c{i}" for i in range(len(names))), "cf_lines", "cf_dropped"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
+            [*(f"c{i}" for i in range(len(names))), "cf_lines", "cf_dropped"])
 
     fields = ", ".join(f"c{i} {'string' if i == place else docs.schema[n].dataType.simpleString()}" for i, n in enumerate(names))
     return map_batches(joined, kept, f"{fields}, cf_lines long, cf_dropped long").toDF(*names, "cf_lines", "cf_dropped")
@@ -93,7 +96,8 @@ def dedup_lines(docs: DataFrame, least: int = 10, documents: int = 2, id_col: st
 def op6_lines(spark, sf_dir: str) -> DataFrame:
     """Contract 6 over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("cf_lines").alias("n_lines"), F.col("cf_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs).select("doc_id", F.col("cf_lines").alias("n_lines"), F.col("cf_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP6_SQL = r"""

@@ -97,7 +97,8 @@ def ablations(entries: DataFrame, policy: str = "v1") -> DataFrame:
     used = mask(POLICIES[policy])
     patterns = entries.groupBy(F.col("fail_bits").bitwiseAND(used).alias("bits")).agg(F.count("*").alias("n"))
     rules = [(r, 1 << i) for i, r in enumerate(RULES) if used >> i & 1]
-    exploded = patterns.withColumn("rule", F.explode(F.array(*[F.struct(F.lit(r).alias("name"), F.lit(b).cast("long").alias("bit")) for r, b in rules])))
+    exploded = patterns.withColumn("rule", F.explode(F.array(*[F.struct(F.lit(r).alias("name"), F.lit(b).cast("long").alias("bit")) for r,
+        b in rules])))
     hit = F.col("bits").bitwiseAND(F.col("rule.bit"))
     return exploded.groupBy(F.col("rule.name").alias("rule")).agg(
         F.sum(F.when(hit != 0, F.col("n")).otherwise(0)).alias("failing"),
@@ -108,7 +109,8 @@ def ablations(entries: DataFrame, policy: str = "v1") -> DataFrame:
 def op8_quality(spark, sf_dir: str) -> DataFrame:
     """Contract 8 over all documents, from the stored ledger; fail_bits has a bit for each rule that a document fails."""
     found = verdicts(stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "kept", "fail_bits")
 
 
 OP8_SQL = r"""

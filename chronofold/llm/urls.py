@@ -36,7 +36,8 @@ def bits(key: Column) -> Column:
     h = F.xxhash64(F.lit("bits"), key)
     word = F.lit(0).cast("long")
     for k in range(BITS):
-        word = word.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")))
+        word = word.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"),
+            F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")))
     return word
 
 
@@ -44,7 +45,8 @@ def blocked_filter(listed: DataFrame, blocks: int) -> Column:
     """The filter's words as one array value; its size depends on `blocks` alone."""
     spark = listed.sparkSession
     words = listed.groupBy(place(F.col("key"), blocks).cast("long").alias("id")).agg(F.bit_or(bits(F.col("key"))).alias("word"))
-    full = spark.range(blocks).join(words, "id", "left").select(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word")).alias("w"))
+    full = spark.range(blocks).join(words, "id", "left").select(F.struct("id",
+        F.coalesce("word", F.lit(0).cast("long")).alias("word")).alias("w"))
     return full.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["word"]).alias("words")).scalar()
 
 
@@ -55,7 +57,8 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     urls have empty host and path and fit nothing. Repeated pages are judged each; entries listed twice count
     once (the first verdict by name). An empty list lets everything through to the default.
     """
-    entries = listed.select(F.translate("host", UPPER, LOWER).alias("h"), F.col("path").alias("p"), F.col("verdict").alias("v")).where("h IS NOT NULL AND p IS NOT NULL")
+    entries = listed.select(F.translate("host", UPPER, LOWER).alias("h"), F.col("path").alias("p"),
+        F.col("verdict").alias("v")).where("h IS NOT NULL AND p IS NOT NULL")
     entries = entries.groupBy(F.concat("h", "p").alias("key"), F.length("p").alias("size")).agg(F.min("v").alias("listed_verdict"))
     n, sizes = entries.agg(F.count("*"), F.sort_array(F.collect_set("size"))).first()
     host, path = host_and_path(F.col(url_col))
@@ -68,25 +71,30 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
         blocks *= 2
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.transform(F.array(*[F.lit(s) for s in sizes]), lambda s: F.when(F.length("path") >= s, F.substring(F.col("path"), F.lit(1), s))), lambda p: p.isNotNull())
+    prefixes = F.filter(F.transform(F.array(*[F.lit(s) for s in sizes]),
+        lambda s: F.when(F.length("path") >= s, F.substring(F.col("path"), F.lit(1), s))), lambda p: p.isNotNull())
     candidates = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     words = blocked_filter(entries, blocks)
     passing = F.filter("candidates", lambda k: F.get(F.col("words"), place(k, blocks)).bitwiseAND(bits(k)) == bits(k))
     probed = rows.withColumn("candidates", candidates).withColumn("words", words).select("id", "host", "path", passing.alias("hits"))
     none = probed.where(F.size("hits") == 0).select(*plain)
-    some = probed.where(F.size("hits") > 0).withColumn("uid", F.monotonically_increasing_id()).select("uid", "id", "host", "path", F.explode("hits").alias("key"))
+    some = probed.where(F.size("hits") > 0).withColumn("uid", F.monotonically_increasing_id()).select("uid", "id", "host", "path",
+        F.explode("hits").alias("key"))
     if n <= BROADCAST_ROWS:
         joined = some.join(F.broadcast(entries), "key", "left")
     else:
         salted = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = some.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
-    best = F.struct(F.when(F.col("listed_verdict").isNotNull(), F.length("key")).alias("size"), F.when(F.col("listed_verdict").isNotNull(), F.col("key")).alias("rule"), F.col("listed_verdict").alias("v"))
+    best = F.struct(F.when(F.col("listed_verdict").isNotNull(), F.length("key")).alias("size"),
+        F.when(F.col("listed_verdict").isNotNull(), F.col("key")).alias("rule"), F.col("listed_verdict").alias("v"))
     decided = joined.groupBy("uid", "id", "host", "path").agg(F.max(best).alias("best"))
-    return none.unionByName(decided.select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict")))
+    return none.unionByName(decided.select("id", "host", "path", F.col("best.rule").alias("rule"),
+        F.coalesce("best.v", F.lit(default)).alias("verdict")))
 
 
 #: Fixed values of contract 1.
-RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+    ("net", "/fr/", "block")]
 
 
 def op1_urls(spark, sf_dir: str) -> DataFrame:
