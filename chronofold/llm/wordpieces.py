@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import array
 import heapq
+import itertools
 import json
 import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,8 @@ BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
 #: A space and what follows it up to the next white space, or a run of white space as BYTE_SPLIT takes it.
 BYTE_CUTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Commas and points beside other symbols, and runs of white space.
-TOUCHING, BLANK_RUN = re.compile(r"(?:[^\w\s]|_)[,.]|[,.](?:[^\w\s]|_)"), re.compile(r"\s\s")
+#: Commas and points beside other symbols.
+TOUCHING = re.compile(r"(?:[^\w\s]|_)[,.]|[,.](?:[^\w\s]|_)")
 #: The first blank of a run.
 BORDER = re.compile(r"(?<=\S)\s")
 #: The rank of a pair that no merge joins.
@@ -75,6 +77,12 @@ def touching(text: str) -> bool:
     return ",," in text or ".." in text or ",." in text or ".," in text
 
 
+def blank_run(text: str) -> bool:
+    """Whether a plain text without two spaces in a row has other blanks in a row."""
+    lone = [b for b in "\t\n\r" if b in text]
+    return any(a + b in text or b + a in text for a in lone for b in (" ", *lone))
+
+
 class Cuts(dict):
     """A bounded cache of what `encode` gives for a cut of text, as little-endian unsigned 32-bit ids."""
 
@@ -170,7 +178,8 @@ class Pieces:
     def ids(self, text: str) -> bytes:
         """The ids of a whole text."""
         if "<|" in text and self.marks.search(text):
-            parts = [packed([self.special[p]]) if p in self.special else packed(self.chunk(self.normal(p))) for p in self.marks.split(text) if p]
+            parts = [packed([self.special[p]]) if p in self.special else packed(self.chunk(self.normal(p))) for p in self.marks.split(text)
+                if p]
             return b"".join(parts)
         return by_cuts(self, text, lambda: packed(self.chunk(self.normal(text))))
 
@@ -200,7 +209,8 @@ class Library:
     equal to the library's; texts with special marks or characters outside PLAIN go to the library itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES, chars: int | None = None):
+        """entries: cuts to keep; chars: characters encoded together, which takes about nine bytes each."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -210,14 +220,15 @@ class Library:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         pieces = Pieces(path)
-        self.words, self.split, self.known = pieces.words, pieces.split, Generations()
-        self.merges = MergeTable(pieces)
+        self.words, self.split, self.known = pieces.words, pieces.split, Generations(entries)
+        self.merges, self.chars = MergeTable(pieces), chars or BATCH_CHARS
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def cut(self, text: str) -> list[str] | None:
-        """Cuts that may be encoded apart, or None if the text is not an ordinary one.
+    def cut(self, text: str) -> str | None:
+        """The text with its cuts, which may be encoded apart, told by zeros (or by blanks, where those part words), or None
+        if the text is not an ordinary one.
 
         Commas and points that no other symbol touches are cut off their words, so that fewer cuts differ. What touches
         is looked for in lower case, where a letter may have become a letter and a mark; a space before a comma or point
@@ -227,17 +238,19 @@ class Library:
             return None
         if self.words:
             text = text.lower()
-            return text.split() if touching(text) else text.replace(",", " , ").replace(".", " . ").split()
+            return text if touching(text) else text.replace(",", " , ").replace(".", " . ")
         if "  " in text:
-            return BYTE_CUTS.findall(text)
-        if " ," not in text and " ." not in text and not touching(text) and not BLANK_RUN.search(text):
+            return "\0".join(BYTE_CUTS.findall(text))
+        if " ," not in text and " ." not in text and not touching(text) and not blank_run(text):
             text = text.replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.")
-        return [c for c in text.replace(" ", "\0 ").split("\0") if c]
+        return text.replace(" ", "\0 ")
 
     def learn(self, missing: set[str]) -> dict[str, bytes]:
         """The ids of cuts, all their words merged at once; short cuts are added to the cache."""
         known, whole, parts, long_ones = self.known.young, [], {}, {}
-        for cut in missing:
+        if "" in missing:
+            known[""] = b""
+        for cut in filter(None, missing):
             if len(cut) > CACHE_CHARS:
                 long_ones[cut] = self.whole(cut)
             elif cut.isalpha() or (not self.words and cut[0] == " " and cut[1:].isalpha()):
@@ -256,25 +269,40 @@ class Library:
         out, at = [], 0
         while at < len(texts):
             end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) < BATCH_CHARS):
+            while end < len(texts) and (end == at or chars + len(texts[end]) < self.chars):
                 chars += len(texts[end])
                 end += 1
-            if stretch and chars > 4 * BATCH_CHARS and (parts := stretches(texts[at])):
+            if stretch and chars > 4 * self.chars and (parts := stretches(texts[at])):
                 out.append(b"".join(x for part in parts for x in self.ids_of([part], False)))
             else:
                 cuts = [self.cut(t) for t in texts[at:end]]
-                found = [None if c is None else self.known.look(c) for c in cuts]
-                open_ = [(c, ids, [i for i, x in enumerate(ids) if x is None]) for c, ids in zip(cuts, found, strict=True) if ids and None in ids]
-                if missing := {c[i] for c, _, gaps in open_ for i in gaps}:
-                    long_ones = self.learn(missing)
-                    for c, ids, gaps in open_:
-                        for i in gaps:
-                            ids[i] = long_ones[c[i]] if c[i] in long_ones else self.known.young[c[i]]
-                out += [self.whole(t) if ids is None else b"".join(ids) for ids, t in zip(found, texts[at:end], strict=True)]
+                found = iter(self.of_cuts([c for c in cuts if c is not None]))
+                out += [self.whole(t) if c is None else next(found) for c, t in zip(cuts, texts[at:end], strict=True)]
                 self.known.turn()
             at = end
         return out
 
+    def of_cuts(self, cuts: list[str]) -> list[bytes]:
+        """The ids of texts told in cuts: distinct cuts are looked up once, and Arrow puts the ids of all of them in order."""
+        if not cuts:
+            return []
+        marked = pa.array(cuts, pa.string())
+        lists = pc.ascii_split_whitespace(marked) if self.words else pc.split_pattern(marked, "\0")
+        numbered = lists.flatten().dictionary_encode()
+        names = numbered.dictionary.to_pylist()
+        ids = self.known.look(names)
+        if gaps := [i for i, x in enumerate(ids) if x is None]:
+            long_ones = self.learn({names[i] for i in gaps})
+            for i in gaps:
+                ids[i] = long_ones[names[i]] if names[i] in long_ones else self.known.young[names[i]]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        table = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        raw = np.asarray(table.take(numbered.indices).flatten()).astype("<u4", copy=False).tobytes()
+        places = np.concatenate([[0], np.cumsum(sizes[np.asarray(numbered.indices)])])[np.asarray(lists.offsets)
+            - lists.offsets[0].as_py()].tolist()
+        return [raw[4 * a : 4 * b] for a, b in itertools.pairwise(places)]
+
 
 def stretches(text: str) -> list[str]:
     """A very long ordinary text in stretches that may be encoded apart; put together they are the text.
@@ -296,20 +324,21 @@ def stretches(text: str) -> list[str]:
 class Generations:
     """A bounded cache of two generations: what was not asked for while the young one filled is dropped."""
 
-    def __init__(self):
+    def __init__(self, entries: int):
+        self.entries = entries
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def look(self, cuts: list[str]) -> list:
         got = list(map(self.young.get, cuts))
-        if self.old and None in got:
-            for i, ids in enumerate(got):
-                if ids is None and (kept := self.old.get(cuts[i])) is not None:
+        if self.old:
+            for i in [i for i, ids in enumerate(got) if ids is None]:
+                if (kept := self.old.get(cuts[i])) is not None:
                     self.young[cuts[i]] = got[i] = kept
         return got
 
     def turn(self) -> None:
-        if len(self.young) > CACHE_ENTRIES // 2:
+        if len(self.young) > self.entries // 2:
             self.old, self.young = self.young, {}
 
 
@@ -390,10 +419,10 @@ class MergeTable:
 _coders: dict = {}
 
 
-def coder(kind, path: str):
+def coder(kind, path: str, **options):
     """This worker's encoder for a vocabulary file."""
     if (kind, path) not in _coders:
-        _coders[kind, path] = kind(path)
+        _coders[kind, path] = kind(path, **options)
     return _coders[kind, path]
 
 
@@ -407,7 +436,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces = coder(Pieces, path)
         ids = [array.array("I", pieces.ids(t or "")).tolist() for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(pieces.decode, ids)), pa.string())], ["id", "token_ids", "decoded"])
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32())),
+            pa.array(list(map(pieces.decode, ids)), pa.string())], ["id", "token_ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(rows, run, "id long, token_ids array<int>, decoded string", rows=128)
