@@ -18,6 +18,9 @@ from .common import map_batches
 from .wordpieces import Library, coder, vocabulary
 
 WINDOW, END_ID = 2048, 1
+#: Cuts of texts that a worker keeps and characters that it encodes together: fewer than elsewhere, as packing stands in a
+#: pipeline whose workers do more.
+CACHE_ENTRIES, TOGETHER = 200_000, 2_000_000
 SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -27,7 +30,8 @@ def binary_lengths(n: int, window: int = WINDOW) -> list[int]:
     return [window] * (n // window) + [1 << b for b in range(window.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, id_col: str = "doc_id",
+    text_col: str = "text") -> DataFrame:
     """One row per piece: the document's id, the piece's place, its ids (little-endian uint32) and sequence.
 
     A null or empty text is one piece, the end id. sequence_id holds the length's exponent, the partition and
@@ -47,7 +51,7 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW,
             counts[:] = 0
         cols: list[list] = [[] for _ in range(7)]
         texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-        for doc, ids in zip(batch.column("id").to_pylist(), coder(Library, path).ids_of(texts), strict=True):
+        for doc, ids in zip(batch.column("id").to_pylist(), coder(Library, path, entries=CACHE_ENTRIES, chars=TOGETHER).ids_of(texts), strict=True):
             ids += end
             at, n = 0, len(ids) // 4
             for length in binary_lengths(n, window):
@@ -58,7 +62,8 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW,
                 counts[power] += 1
                 at += length
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+            ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_batches(rows, run, SCHEMA, rows=1024)
@@ -66,7 +71,8 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW,
 
 def digest(pieces: DataFrame) -> DataFrame:
     """Contract 3's columns of packed pieces."""
-    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+        "offset")
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
