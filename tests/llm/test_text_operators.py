@@ -87,7 +87,7 @@ def test_privacy_disclosing_terms(spark):
     docs = docs_of(spark, plain + told + copies + ["Only Zorblatt here", None, ""])
     shares = {r.term: r.share for r in privacy.disclosing_terms(docs).collect()}
     assert "zorblatt" in shares and "common" not in shares and "quux" not in shares
-    n, n_e, n_t = docs.count(), 8, 9
+    n, n_e, n_t = len(plain) + len(told) + 3, 8, 9  # of the copies one, the text beside them, and the empty one
     assert shares["zorblatt"] == pytest.approx(np.log(n * 8 / (n_e * n_t)) / np.log(n / n_e))
     terms = spark.createDataFrame([("zorblatt", shares["zorblatt"])], "term string, share double")
     found = {r.id: r for r in privacy.find(docs, terms).collect()}
@@ -240,10 +240,15 @@ def test_packing_covers_every_id_once(spark, library):
 
 def test_rank_coding_round_trip():
     rng = np.random.default_rng(5)
-    for n in (0, 1, 3, 4, 5, 1000):
-        ranks = (rng.integers(0, 1 << 32, n, dtype=np.uint64) >> rng.integers(0, 32, n).astype(np.uint64)).astype(np.uint32)
-        control, data = idfiles.encode_ranks(ranks)
-        assert len(control) == -(-n // 4) and (idfiles.decode_ranks(control, data, n) == ranks).all()
+    for sizes in ([0], [1], [3], [4, 0, 5], [1000, 1, 0, 7, 0], []):
+        sizes = np.array(sizes, np.int64)
+        ranks = (rng.integers(0, 1 << 32, sizes.sum(), dtype=np.uint64) >> rng.integers(0, 32, sizes.sum()).astype(np.uint64)).astype(np.uint32)
+        control, data = idfiles.encode_many(ranks, sizes)
+        assert [len(c) for c in control] == (-(-sizes // 4)).tolist() and (idfiles.decode_many(b"".join(control), b"".join(data), sizes) == ranks).all()
+        at = 0
+        for c, d, n in zip(control, data, sizes.tolist(), strict=True):  # each record can be read by itself
+            assert (idfiles.decode_many(c, d, np.array([n])) == ranks[at : at + n]).all()
+            at += n
 
 
 def test_id_files_round_trip(spark, library):
@@ -456,6 +461,16 @@ def test_keep_first_of_equal_ids_sets_and_texts(spark):
     assert sorted(map(str, kept[0])) == sorted(map(str, kept[1])) and Counter(r.doc_id for r in kept[0]) == {1: 1, None: 1, 3: 2}
 
 
+def test_joins_by_hot_keys(spark, monkeypatch):
+    from chronofold.llm import common
+
+    monkeypatch.setattr(common, "KEY_ROWS", 3)
+    rows = [(k, i) for i, k in enumerate("a" * 9 + "bbb" + "c" + "dddd")] + [(None, 99), ("z", 98)]
+    table = [(k, n, v) for k, n, v in (("a", 9, 1), ("b", 3, None), ("c", 1, 3), ("d", 4, 4))]
+    got = common.join_by_key(spark.createDataFrame(rows, "k string, i int"), spark.createDataFrame(table, "k string, w long, v int"), "k", "w", len(rows))
+    assert got.columns == ["k", "i", "v"] and {tuple(r) for r in got.collect()} == {(k, i, v) for k, i in rows for x, _, v in table if k == x}
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(connected(spark.createDataFrame(edges, "a long, b long")).collect())
