@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from chronofold.plans import registry
+from chronofold.plans.tables import rounded
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,3 +32,33 @@ def test_query(spark, oracle, name):
         names = ", ".join(f'"{c}"' for c in columns)
         assert sorted(oracle.sql(registry.ORACLES[name]).columns) == columns
         assert rows == plain(oracle.sql(f"SELECT {names} FROM ({registry.ORACLES[name].strip()})").fetchall())
+
+
+def test_halves_are_rounded_as_in_the_sql(spark, tmp_path):
+    """160 ratings whose mean is 3.01875: the feature, 0.5046875, stands just under the half as a double."""
+    at = "TIMESTAMP '1996-05-01'"
+    made = {
+        "supplier": "SELECT 1::BIGINT AS s_suppkey",
+        "part": "SELECT 1::BIGINT AS p_partkey, 'a' AS p_brand, 9.5::DOUBLE AS p_retailprice",
+        "lineitem": f"SELECT (CASE WHEN i < 3 THEN 3 ELSE 2 END)::BIGINT AS l_orderkey, 1::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, 9::DOUBLE AS l_quantity, {at} AS l_shipdate FROM range(160) r(i)",
+    }
+    con = duckdb.connect()
+    for t, sql in made.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    name = "program_reviews_customer"
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    assert {r.rating for r in got.collect()} == {0.504687}
+    assert plain(map(tuple, got.collect())) == plain(want)
+
+
+def test_rounded_is_the_round_of_the_sql(spark, tmp_path):
+    numbers = [0.5046875, -0.5046875, 5e-7, -5e-7, 0.49999999999999994, 123456789012.3456785, 1e305, -1e305, float("inf"), float("-inf"), float("nan"), None]
+    numbers += [k / 640 for k in range(-640, 640)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i long, x double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/x")
+    for digits in (2, 3, 4, 5, 6, 9):
+        want = duckdb.sql(f"SELECT i, round(x, {digits}) FROM '{tmp_path}/x/*.parquet'").fetchall()
+        show = lambda rows: sorted((i, repr(x + 0.0) if x is not None else "") for i, x in rows)
+        assert show(map(tuple, rounded(df, digits).collect())) == show(want)
