@@ -220,7 +220,7 @@ class Library:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         pieces = Pieces(path)
-        self.words, self.split, self.known = pieces.words, pieces.split, Generations(entries)
+        self.words, self.split, self.known = pieces.words, pieces.split, Recurring(entries)
         self.merges, self.chars = MergeTable(pieces), chars or BATCH_CHARS
 
     def whole(self, text: str) -> bytes:
@@ -245,24 +245,25 @@ class Library:
             text = text.replace("\n", "\0\n\0").replace(",", "\0,").replace(".", "\0.")
         return text.replace(" ", "\0 ")
 
-    def learn(self, missing: set[str]) -> dict[str, bytes]:
-        """The ids of cuts, all their words merged at once; short cuts are added to the cache."""
-        known, whole, parts, long_ones = self.known.young, [], {}, {}
-        if "" in missing:
-            known[""] = b""
-        for cut in filter(None, missing):
-            if len(cut) > CACHE_CHARS:
-                long_ones[cut] = self.whole(cut)
-            elif cut.isalpha() or (not self.words and cut[0] == " " and cut[1:].isalpha()):
-                whole.append(cut)
-            else:
-                parts[cut] = self.split.findall(cut)
-        words = [*whole, *{w for found in parts.values() for w in found}]
-        ids = dict(zip(words, self.merges.many([w.encode() for w in words]), strict=True))
-        for cut, found in parts.items():
-            known[cut] = b"".join(map(ids.__getitem__, found))
-        known.update((cut, ids[cut]) for cut in whole)
-        return long_ones
+    def learn(self, cuts: pa.StringArray) -> pa.ListArray:
+        """The ids of distinct cuts, all their words merged at once; long cuts go to the library."""
+        long = np.asarray(pc.utf8_length(cuts)) > CACHE_CHARS
+        bare = cuts if self.words else pc.if_else(pc.starts_with(cuts, " "), pc.utf8_slice_codeunits(cuts, 1), cuts)
+        letters = np.asarray(pc.utf8_is_alpha(bare)) & ~long
+        others = ~letters & ~long
+        found = [self.split.findall(cut) for cut in cuts.filter(pa.array(others)).to_pylist()]
+        words = pa.concat_arrays([cuts.filter(pa.array(letters)), pa.array(itertools.chain.from_iterable(found), pa.string())])
+        words = words.dictionary_encode()
+        lists = self.merges.many(words.dictionary).take(words.indices)
+        whole = [np.frombuffer(self.whole(cut), "<u4") for cut in cuts.filter(pa.array(long)).to_pylist()]
+        # Words of each cut: those of letters only come first, then all others, long ones last.
+        counts = np.concatenate([np.ones(letters.sum(), np.int64), np.fromiter(map(len, found), np.int64, len(found))])
+        ends = np.asarray(lists.offsets)[borders(counts)]
+        ends = np.concatenate([ends, ends[-1] + np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)))])
+        ids = np.concatenate([np.asarray(lists.flatten()), *whole]).astype(np.uint32, copy=False)
+        place = np.empty(len(cuts), np.int64)
+        place[np.concatenate([np.flatnonzero(letters), np.flatnonzero(others), np.flatnonzero(long)])] = np.arange(len(cuts))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)).take(pa.array(place))
 
     def ids_of(self, texts: list[str], stretch: bool = True) -> list[bytes]:
         """Ids of whole texts, a few at a time so that the cuts of few are in memory; very long ones in stretches."""
@@ -278,7 +279,6 @@ class Library:
                 cuts = [self.cut(t) for t in texts[at:end]]
                 found = iter(self.of_cuts([c for c in cuts if c is not None]))
                 out += [self.whole(t) if c is None else next(found) for c, t in zip(cuts, texts[at:end], strict=True)]
-                self.known.turn()
             at = end
         return out
 
@@ -288,22 +288,18 @@ class Library:
             return []
         marked = pa.array(cuts, pa.string())
         lists = pc.ascii_split_whitespace(marked) if self.words else pc.split_pattern(marked, "\0")
-        numbered = lists.flatten().dictionary_encode()
-        names = numbered.dictionary.to_pylist()
-        ids = self.known.look(names)
-        if gaps := [i for i, x in enumerate(ids) if x is None]:
-            long_ones = self.learn({names[i] for i in gaps})
-            for i in gaps:
-                ids[i] = long_ones[names[i]] if names[i] in long_ones else self.known.young[names[i]]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        table = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4")))
-        raw = np.asarray(table.take(numbered.indices).flatten()).astype("<u4", copy=False).tobytes()
-        places = np.concatenate([[0], np.cumsum(sizes[np.asarray(numbered.indices)])])[np.asarray(lists.offsets)
-            - lists.offsets[0].as_py()].tolist()
+        numbers, table = self.known.look(lists.flatten(), self.learn)
+        raw = np.asarray(table.take(numbers).flatten()).astype("<u4", copy=False).tobytes()
+        sizes = np.diff(np.asarray(table.offsets))[np.asarray(numbers)]
+        places = borders(sizes)[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
         return [raw[4 * a : 4 * b] for a, b in itertools.pairwise(places)]
 
 
+def borders(sizes: np.ndarray) -> np.ndarray:
+    """Where runs of so many things begin, and where the last one ends."""
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
 def stretches(text: str) -> list[str]:
     """A very long ordinary text in stretches that may be encoded apart; put together they are the text.
 
@@ -321,25 +317,36 @@ def stretches(text: str) -> list[str]:
     return out
 
 
-class Generations:
-    """A bounded cache of two generations: what was not asked for while the young one filled is dropped."""
+class Recurring:
+    """A bounded cache of cuts and their ids in Arrow arrays, a tenth of the size of Python's strings: once there are more
+    than `entries`, the half that was used most stays, and its uses count half."""
 
     def __init__(self, entries: int):
-        self.entries = entries
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def look(self, cuts: list[str]) -> list:
-        got = list(map(self.young.get, cuts))
-        if self.old:
-            for i in [i for i, ids in enumerate(got) if ids is None]:
-                if (kept := self.old.get(cuts[i])) is not None:
-                    self.young[cuts[i]] = got[i] = kept
-        return got
-
-    def turn(self) -> None:
-        if len(self.young) > self.entries // 2:
-            self.old, self.young = self.young, {}
+        self.entries, self.uses = entries, np.zeros(0, np.int64)
+        self.young, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+
+    def look(self, cuts: pa.StringArray, learn) -> tuple[pa.Array, pa.ListArray]:
+        """For each cut a number, and the ids by number; `learn` gives those of cuts that are not here."""
+        n = len(self.young)
+        numbered = pa.concat_arrays([self.young, cuts]).dictionary_encode()
+        names, numbers, ids = numbered.dictionary, numbered.indices.slice(n), self.ids
+        if len(names) > n:
+            ids = pa.concat_arrays([ids, learn(names.slice(n))])
+        uses = np.bincount(np.asarray(numbers), minlength=len(names))
+        uses[:n] += self.uses
+        self.keep(names, ids, uses, n)
+        return numbers, ids
+
+    def keep(self, names: pa.StringArray, ids: pa.ListArray, uses: np.ndarray, n: int) -> None:
+        """Keep these but for the long ones, of which the first n hold none."""
+        stay = n + np.flatnonzero(np.asarray(pc.utf8_length(names.slice(n))) <= CACHE_CHARS)
+        stay = np.concatenate([np.arange(n), stay])
+        if len(stay) > self.entries:
+            stay = np.sort(stay[np.argpartition(-uses[stay], self.entries // 2)[: self.entries // 2]])
+            uses = uses // 2
+        if len(stay) < len(names):
+            names, ids, uses = names.take(pa.array(stay)), ids.take(pa.array(stay)), uses[stay]
+        self.young, self.ids, self.uses = names, ids, uses
 
 
 class MergeTable:
@@ -381,39 +388,50 @@ class MergeTable:
                 break
         return out
 
-    def many(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for n, which in by_length.items():
-            raw = np.frombuffer(b"".join(words[i] for i in which), np.uint8).reshape(len(which), n)
-            symbols, rows = self.start[raw], np.array(which)
-            symbols[:, -1] = self.end[raw[:, -1]]
-            ranks = self.find(symbols[:, :-1], symbols[:, 1:])
-            while symbols.shape[1] > 1:
-                at = ranks.argmin(1)
-                low = ranks[np.arange(len(rows)), at]
-                if (done := low == FREE).any():
-                    for i, ids in zip(rows[done].tolist(), symbols[done].astype("<u4"), strict=True):
-                        out[i] = ids.tobytes()
-                    go = ~done
-                    symbols, ranks, rows, at, low = symbols[go], ranks[go], rows[go], at[go], low[go]
-                    if not len(rows):
-                        break
-                width, here = symbols.shape[1] - 1, np.arange(len(rows))
-                col = np.arange(width)[None, :]
-                symbols = np.take_along_axis(symbols, col + (col > at[:, None]), 1)
-                symbols[here, at] = self.merged[low]
-                col = np.arange(width - 1)[None, :]
-                ranks = np.take_along_axis(ranks, col + (col >= at[:, None]), 1)
-                has = at > 0
-                ranks[here[has], at[has] - 1] = self.find(symbols[here[has], at[has] - 1], symbols[here[has], at[has]])
-                has = at < width - 1
-                ranks[here[has], at[has]] = self.find(symbols[here[has], at[has]], symbols[here[has], at[has] + 1])
-            for i, ids in zip(rows.tolist(), symbols.astype("<u4"), strict=True):
-                out[i] = ids.tobytes()
-        return out
+    def many(self, words: pa.StringArray) -> pa.ListArray:
+        """The ids of each word; none is empty."""
+        if not len(words):
+            return pa.array([], pa.list_(pa.uint32()))
+        at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        letters, lengths, done = np.frombuffer(words.buffers()[2], np.uint8), np.diff(at), []
+        by_length = np.argsort(lengths, kind="stable")
+        for rows in np.split(by_length, np.flatnonzero(np.diff(lengths[by_length])) + 1):
+            raw = letters[at[rows][:, None] + np.arange(lengths[rows[0]])]
+            done += self.merge(rows, raw)
+        sizes = np.empty(len(words), np.int64)
+        for rows, symbols in done:
+            sizes[rows] = symbols.shape[1]
+        ends = borders(sizes)
+        ids = np.empty(ends[-1], np.uint32)
+        for rows, symbols in done:
+            ids[ends[rows][:, None] + np.arange(symbols.shape[1])] = symbols
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+
+    def merge(self, rows: np.ndarray, raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of words of one length, given as a row of bytes each: parts of `rows` with as many ids for each of its words."""
+        done, symbols = [], self.start[raw]
+        symbols[:, -1] = self.end[raw[:, -1]]
+        ranks = self.find(symbols[:, :-1], symbols[:, 1:])
+        while symbols.shape[1] > 1:
+            at = ranks.argmin(1)
+            low = ranks[np.arange(len(rows)), at]
+            if (over := low == FREE).any():
+                done.append((rows[over], symbols[over]))
+                go = ~over
+                symbols, ranks, rows, at, low = symbols[go], ranks[go], rows[go], at[go], low[go]
+                if not len(rows):
+                    return done
+            width, here = symbols.shape[1] - 1, np.arange(len(rows))
+            col = np.arange(width)[None, :]
+            symbols = np.take_along_axis(symbols, col + (col > at[:, None]), 1)
+            symbols[here, at] = self.merged[low]
+            col = np.arange(width - 1)[None, :]
+            ranks = np.take_along_axis(ranks, col + (col >= at[:, None]), 1)
+            has = at > 0
+            ranks[here[has], at[has] - 1] = self.find(symbols[here[has], at[has] - 1], symbols[here[has], at[has]])
+            has = at < width - 1
+            ranks[here[has], at[has]] = self.find(symbols[here[has], at[has]], symbols[here[has], at[has] + 1])
+        return [*done, (rows, symbols)]
 
 
 _coders: dict = {}

@@ -1,5 +1,6 @@
 """Each text operator against brute force, an exact round trip or held-out accuracy, and on odd inputs."""
 
+import cProfile
 import hashlib
 import itertools
 import re
@@ -191,6 +192,39 @@ def test_long_cuts_are_not_kept(library):
     assert fast.ids_of(["x" * 100]) == [packed_ids(ids_of(library["byte_bpe_50k.json"], "x" * 100))] and not fast.known.young
 
 
+def many_words(n):
+    """Distinct words of one to three syllables and a few signs, and texts that hold them again and again."""
+    syllables = ["".join(x) for x in itertools.product("bdkltmnprs", "aeioué", ["", "n", "r"])]
+    words = ["".join(x) for x in itertools.islice(itertools.product(syllables, repeat=3), 0, 37 * n, 37)]
+    words = [w + "$" if i % 50 == 0 else w for i, w in enumerate(words)]
+    return [" ".join(words[i : i + 500]) for i in range(0, n, 250)]
+
+
+def calls_of(fast, texts):
+    """The ids of texts, and how many calls from Python that took."""
+    profile = cProfile.Profile()
+    ids = profile.runcall(fast.ids_of, texts)
+    return ids, sum(e.callcount for e in profile.getstats())
+
+
+def test_words_are_not_encoded_one_by_one(library):
+    texts = many_words(20_000)
+    fast = wordpieces.Library(wordpieces.vocabulary("word_bpe_49k.json"))
+    first, calls = calls_of(fast, texts)
+    again, calls_again = calls_of(fast, texts)
+    assert first == again == [packed_ids(e.ids) for e in library["word_bpe_49k.json"].encode_batch(texts, add_special_tokens=False)]
+    assert calls < 20_000 and calls_again < 5_000
+
+
+@pytest.mark.parametrize("entries", [0, 1, 2, 300])
+def test_a_full_cache_of_cuts_gives_the_same(library, entries):
+    texts = [*many_words(1_000), "x" * 60 + " y " + "z" * 49, "", " \n", "one two, two. three"] * 2
+    for name, tokenizer in library.items():
+        fast = wordpieces.Library(wordpieces.vocabulary(name), entries=entries, chars=2_000)
+        assert fast.ids_of(texts) == [packed_ids(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert len(fast.known.young) <= max(entries, 1) and max(map(len, fast.known.young.to_pylist()), default=0) <= wordpieces.CACHE_CHARS
+
+
 def test_long_texts_in_stretches(library, monkeypatch):
     monkeypatch.setattr(wordpieces, "BATCH_CHARS", 50)
     text = "Some words, \n\n and  more   words. " * 100
