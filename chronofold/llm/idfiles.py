@@ -20,8 +20,9 @@ from .common import discard, fresh_path, map_batches, map_stream, materialise, s
 from .wordpieces import Library, coder, vocabulary
 
 END_ID = 2
-#: Characters encoded together, cuts that a worker keeps, and records coded together: few, so that arrays stay in its cache.
-TOGETHER, CACHE_ENTRIES, RECORDS = 16_000_000, 2_000_000, 64
+#: Characters and texts encoded together (a whole Arrow batch as a rule), cuts that a worker keeps (each group numbers them
+#: anew, so more cost more than they spare), and records coded together: few, so that arrays stay in its cache.
+TOGETHER, TEXTS, CACHE_ENTRIES, RECORDS = 16_000_000, 8192, 500_000, 64
 #: Row c: the four lengths, less one, that control byte c stands for.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])[None, :]) & 3).astype(np.int64)
 
@@ -88,7 +89,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID, id_col
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(small, pa.binary())], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    staged = materialise(map_batches(rows, ids, "id long, ids binary", rows=4096), "token-ids")
+    staged = materialise(map_batches(rows, ids, "id long, ids binary", rows=TEXTS), "token-ids")
 
     def counts(batches):
         total = np.zeros(0, np.int64)

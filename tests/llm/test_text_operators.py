@@ -216,6 +216,14 @@ def test_words_are_not_encoded_one_by_one(library):
     assert calls < 20_000 and calls_again < 5_000
 
 
+def test_words_of_id_files_are_not_encoded_one_by_one(library):
+    texts = many_words(20_000)
+    fast = wordpieces.Library(wordpieces.vocabulary("byte_bpe_50k.json"), entries=idfiles.CACHE_ENTRIES, chars=idfiles.TOGETHER)
+    ids, calls = calls_of(fast, texts)
+    assert ids == [packed_ids(e.ids) for e in library["byte_bpe_50k.json"].encode_batch(texts, add_special_tokens=False)]
+    assert calls < 20_000 and fast.known.ids.nbytes + fast.known.young.nbytes < 60 * len(fast.known.young)
+
+
 @pytest.mark.parametrize("entries", [0, 1, 2, 300])
 def test_a_full_cache_of_cuts_gives_the_same(library, entries):
     texts = [*many_words(1_000), "x" * 60 + " y " + "z" * 49, "", " \n", "one two, two. three"] * 2
