@@ -62,3 +62,10 @@ def test_rounded_is_the_round_of_the_sql(spark, tmp_path):
         want = duckdb.sql(f"SELECT i, round(x, {digits}) FROM '{tmp_path}/x/*.parquet'").fetchall()
         show = lambda rows: sorted((i, repr(x + 0.0) if x is not None else "") for i, x in rows)
         assert show(map(tuple, rounded(df, digits).collect())) == show(want)
+
+
+@pytest.mark.parametrize("name", ["column_runs", "context_tiers", "explicit_contexts", "visible_labels"])
+def test_no_table_that_grows_goes_through_the_driver(spark, name):
+    """Labels unfold to many times the rows that Spark guesses from the files, so a guessed broadcast gathers millions of them."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
