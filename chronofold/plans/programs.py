@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import capped, centred, days_between, decay, flag, log_ratio, log_scaled, num, ratio
-from ..operators.history import avg_if, before, count_if, dedup_first, first_by, sum_if, sums_before, zscored
+from ..operators.history import avg_if, before, count_if, dedup_first, first_by, spread, sum_if, sums_before, zscored
 
 KEYS = ["who", "cutoff"]
 
@@ -43,7 +43,7 @@ def past(task: DataFrame, facts: DataFrame, key: str, time: str) -> DataFrame:
 
 def onto(task: DataFrame, *parts: DataFrame) -> DataFrame:
     for part in parts:
-        task = task.join(part, [k for k in KEYS if k in part.columns], "left")
+        task = task.join(spread(part), [k for k in KEYS if k in part.columns], "left")
     return task
 
 
@@ -92,45 +92,48 @@ def trial_study(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
     masks = {"None (Open Label)": 0.0, "Single": 0.25, "Double": 0.5, "Triple": 0.75, "Quadruple": 1.0}
     analyses = db["outcome_analyses"].select(F.col("nct_id").alias("study"), "p_value", F.col("date").alias("found"))
 
-    def peers(links: DataFrame, key: str) -> DataFrame:
+    def peers(links: DataFrame, key: str, enough: int | None = None) -> DataFrame:
         """Other studies that share a sponsor or condition, with their analyses; every pair of links counts.
 
         A study's sums are its groups' totals less its own share, so a popular condition costs its links and not their
-        pairs. Distinct others are the group's studies less one; only for studies of several groups they are listed.
+        pairs. Distinct others are the group's studies less one; only for studies of several groups they are listed. Where a
+        count from `enough` on says no more than `enough`, a study with a group of that many others needs no list either, so
+        what is listed is at most `enough` others for each link, however large the groups are.
         """
         own = past(task, links.select("nct_id", key, "date"), "nct_id", "date").where(F.col(key).isNotNull()).groupBy(*KEYS,
             key).agg(F.count("*").alias("times"))
         groups = own.select(key, "cutoff").distinct()
-        inside = groups.join(links.select(F.col("nct_id").alias("study"), key, F.col("date").alias("linked")),
+        inside = groups.join(spread(links.select(F.col("nct_id").alias("study"), key, F.col("date").alias("linked"))),
             key).where("linked < cutoff AND study IS NOT NULL")
         inside = inside.groupBy(key, "cutoff", "study").agg(F.count("*").alias("links"))
-        seen = inside.select("study", "cutoff").distinct().join(analyses, "study").where("found < cutoff")
+        seen = inside.select("study", "cutoff").distinct().join(spread(analyses), "study").where("found < cutoff")
         told = seen.groupBy("study", "cutoff").agg(F.sum("p_value").alias("p"), F.count("p_value").alias("c"),
             count_if(F.col("p_value") < 0.05).alias("h"))
-        known = inside.join(told, ["study", "cutoff"], "left").fillna(0, ["p", "c", "h"])
+        known = inside.join(spread(told), ["study", "cutoff"], "left").fillna(0, ["p", "c", "h"])
         sums = [F.sum(F.col(x) * F.col("links")).alias(f"all_{x}") for x in "pch"]
         totals = known.groupBy(key, "cutoff").agg(*sums, F.count("*").alias("studies"))
         mine = known.select(key, "cutoff", F.col("study").alias("who"), *[(F.col(x) * F.col("links")).alias(f"own_{x}") for x in "pch"])
-        shared = own.join(totals, [key, "cutoff"]).join(mine, [*KEYS, key])
+        shared = own.join(spread(totals), [key, "cutoff"]).join(spread(mine), [*KEYS, key])
         less = {x: F.sum((F.col(f"all_{x}") - F.col(f"own_{x}")) * F.col("times")).alias(x) for x in "pch"}
         out = shared.groupBy(*KEYS).agg(*less.values(), F.count("*").alias("groups"), F.max(F.col("studies") - 1).alias("alone"))
-        several = out.where("groups > 1").select(*KEYS)
-        listed = own.join(several, KEYS, "left_semi").select(*KEYS, key).join(inside.select(key, "cutoff", "study"),
-            [key, "cutoff"]).where("study <> who")
+        counted = F.col("groups") > 1 if enough is None else (F.col("groups") > 1) & (F.col("alone") < enough)
+        listed = own.join(spread(out.where(counted).select(*KEYS)), KEYS, "left_semi").select(*KEYS, key).join(
+            spread(inside.select(key, "cutoff", "study")), [key, "cutoff"]).where("study <> who")
         listed = listed.groupBy(*KEYS).agg(F.count_distinct("study").alias("listed"))
-        full = out.join(listed, KEYS, "left")
-        count = F.when(F.col("groups") > 1, F.coalesce("listed", F.lit(0))).otherwise(F.col("alone"))
+        full = out.join(spread(listed), KEYS, "left")
+        count = F.when(counted, F.coalesce("listed", F.lit(0))).otherwise(F.col("alone"))
         return full.select(*KEYS, F.try_divide("p", F.when(F.col("c") > 0, F.col("c"))).alias(f"{key}_p"), count.alias(f"{key}_n"),
             F.col("h").alias(f"{key}_hits"))
 
-    study = task.join(once(db["studies"], "nct_id").select(F.col("nct_id").alias("who"), "phase", "enrollment", "has_dmc", "start_date"),
-        "who", "left")
+    study = task.join(spread(once(db["studies"], "nct_id").select(F.col("nct_id").alias("who"), "phase", "enrollment", "has_dmc",
+        "start_date")), "who", "left")
     # One row a study: where a study has several designs, the one that is smallest by text.
     design = past(task, db["designs"].select("nct_id", "masking", "date"), "nct_id",
         "date").groupBy(*KEYS).agg(F.min("masking").alias("masking"))
     sites = past(task, db["facilities_studies"].select("nct_id", "facility_id", "date"), "nct_id",
         "date").groupBy(*KEYS).agg(F.count_distinct("facility_id").alias("sites"))
-    full = onto(study, design, sites, peers(db["sponsors_studies"], "sponsor_id"), peers(db["conditions_studies"], "condition_id"))
+    # The feature of 499 other studies or more is 1.
+    full = onto(study, design, sites, peers(db["sponsors_studies"], "sponsor_id", 499), peers(db["conditions_studies"], "condition_id"))
     masked = F.coalesce(F.create_map(*[F.lit(x) for kv in masks.items() for x in kv])[F.col("masking")], F.lit(0.0))
     return full.select(*KEYS,
         mean("sponsor_id_p", 0.5).alias("sponsor_p"), F.least(F.log(1 + num("sponsor_id_n")) / F.log(F.lit(500.0)),

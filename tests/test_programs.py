@@ -1,6 +1,7 @@
 """The thirteen programs on random tables: nothing after the cutoff matters, and features stay in range."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -120,3 +121,40 @@ def test_sums_before_equal_plain_sums(spark):
     got = sums_before(spark.createDataFrame(facts, "g string, t timestamp_ntz, v long"), spark.createDataFrame(asked, "g string, cutoff timestamp_ntz"), ["g"], "t", ["v"]).collect()
     want = {(g, c): sum(v for h, t, v in facts if h == g and t < c) if any(h == g and t < c for h, t, _ in facts) else None for g, c in asked}
     assert {(r.g, r.cutoff): r.v for r in got} == want and len(got) == len(want)
+
+
+def _most_rows(df):
+    """The most rows that any join of the plan that ran has made."""
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        made = plan.metrics().get("numOutputRows")
+        own = made.get().value() if "Join" in kind and made.isDefined() else 0
+        return max([own, *(walk(plan.children().apply(i)) for i in range(plan.children().size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_trial_study_lists_no_popular_groups(spark):
+    """1000 studies share two sponsors, three others share two of their own: the counts are exact, the popular pairs unlisted."""
+    from chronofold.plans.programs import trial_study
+
+    at = dt.datetime(2000, 1, 1)
+    links = [(s, i, at) for i in range(1000) for s in (1, 2)] + [(s, i, at) for i in (1000, 1001, 1002) for s in (3, 4)]
+    db = {
+        "sponsors_studies": spark.createDataFrame(links, "sponsor_id long, nct_id long, date timestamp_ntz"),
+        "conditions_studies": spark.createDataFrame([(1, 1000, at)], "condition_id long, nct_id long, date timestamp_ntz"),
+        "outcome_analyses": spark.createDataFrame([(1000, 0.25, at)], "nct_id long, p_value double, date timestamp_ntz"),
+        "designs": spark.createDataFrame([(0, "Single", at)], "nct_id long, masking string, date timestamp_ntz"),
+        "facilities_studies": spark.createDataFrame([(1, 0, at)], "facility_id long, nct_id long, date timestamp_ntz"),
+        "studies": spark.createDataFrame([(0, "Phase 3", 5, "Yes", at)], "nct_id long, phase string, enrollment long, has_dmc string, start_date timestamp_ntz"),
+    }
+    task = spark.range(1003).selectExpr("id AS who", "TIMESTAMP_NTZ'2001-01-01' AS cutoff")
+    found = trial_study(task, db)
+    got = {r.who: r.sponsor_studies for r in found.collect()}
+    assert {got[i] for i in range(1000)} == {1.0}
+    assert all(abs(got[i] - math.log(3) / math.log(500)) < 1e-12 for i in (1000, 1001, 1002))
+    assert _most_rows(found) < 10_000
