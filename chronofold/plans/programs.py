@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import capped, centred, days_between, decay, flag, log_ratio, log_scaled, num, ratio
 from ..operators.history import avg_if, before, count_if, dedup_first, first_by, spread, sum_if, sums_before, zscored
+from ..sources.shared import materialise
 
 KEYS = ["who", "cutoff"]
 
@@ -329,20 +330,28 @@ def forum_post(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
 
 
 def _reviews(task: DataFrame, db: dict[str, DataFrame], key: str) -> DataFrame:
+    """Earlier reviews with their product. The product is looked up before reviews meet the cutoffs, which multiply them."""
     reviews = db["review"].select("review_time", "customer_id", "product_id", "rating", "verified")
-    return past(task, reviews, key, "review_time").join(once(db["product"], "product_id").select("product_id", "price", "category"),
-        "product_id", "left")
+    goods = once(db["product"], "product_id").select("product_id", "price", "category")
+    return past(task, reviews.join(spread(goods), "product_id", "left"), key, "review_time")
+
+
+def latest_of(name: str) -> Column:
+    """Whether a fact is the latest of its label row with this value; nulls never are. To count such facts is to count distinct
+    values, but rows that are dealt by entity stay where they are: several distinct counts would multiply and deal them anew."""
+    first = F.row_number().over(Window.partitionBy(*KEYS, name).orderBy("days_ago")) == 1
+    return first & F.col(name).isNotNull()
 
 
 def reviews_customer(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
     price, quarter = F.col("price"), D <= 90
-    agg = _reviews(task, db, "customer_id").groupBy(*KEYS).agg(
+    agg = _reviews(task, db, "customer_id").withColumns({"new_product": latest_of("product_id"), "new_category": latest_of("category")}).groupBy(*KEYS).agg(
         F.min("days_ago").alias("last"), count_if(D <= 30).alias("n30"), count_if(quarter).alias("n90"), F.count("*").alias("n"),
             F.avg("rating").alias("rating"), F.stddev_pop("rating").alias("spread"), count_if(F.col("rating") <= 2).alias("low"),
             F.avg(flag(F.col("verified"))).alias("verified"),
         avg_if(price, price > 0).alias("price"), sum_if(price, (price > 0) & (D <= 365)).alias("spend1"),
-            sum_if(price, price > 0).alias("spend"), F.count_distinct("product_id").alias("products"),
-            F.count_distinct("category").alias("categories"), (count_if(quarter) - count_if((D > 90) & (D <= 180))).alias("trend"))
+            sum_if(price, price > 0).alias("spend"), count_if(F.col("new_product")).alias("products"),
+            count_if(F.col("new_category")).alias("categories"), (count_if(quarter) - count_if((D > 90) & (D <= 180))).alias("trend"))
     return onto(task, agg).select(*KEYS,
         decay("last", 87).alias("recency"), log_scaled("n30", 20).alias("n30"), log_scaled("n90", 30).alias("n90"),
             log_scaled("n", 500).alias("n"), rating("rating").alias("rating"), capped("spread", 2, 0).alias("spread"),
@@ -354,15 +363,15 @@ def reviews_customer(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
 
 def reviews_product(task: DataFrame, db: dict[str, DataFrame]) -> DataFrame:
     year = D <= 365
-    agg = _reviews(task, db, "product_id").groupBy(*KEYS).agg(
+    agg = _reviews(task, db, "product_id").withColumn("new_customer", latest_of("customer_id")).groupBy(*KEYS).agg(
         F.min("days_ago").alias("last"), count_if(D <= 90).alias("n90"), F.count("*").alias("n"), F.avg("rating").alias("rating"),
             F.stddev_pop("rating").alias("spread"), F.avg(flag(F.col("verified"))).alias("verified"),
-            F.count_distinct("customer_id").alias("people"), F.count_distinct(F.when(year, F.col("customer_id"))).alias("people1"),
+            count_if(F.col("new_customer")).alias("people"), count_if(F.col("new_customer") & year).alias("people1"),
         sum_if("price", year).alias("revenue"), F.max("days_ago").alias("age"),
             (count_if(D <= 30) - count_if((D > 30) & (D <= 60))).alias("trend30"),
             (count_if(D <= 90) - count_if((D > 90) & (D <= 180))).alias("trend90"))
     goods = once(db["product"], "product_id").select(F.col("product_id").alias("who"), F.col("price").alias("now"))
-    return onto(task, agg).join(goods, "who", "left").select(*KEYS,
+    return onto(task, agg).join(spread(goods), "who", "left").select(*KEYS,
         decay("last", 87).alias("recency"), log_scaled("n90", 30).alias("n90"), log_scaled("n", 1000).alias("n"),
             rating("rating").alias("rating"), capped("spread", 2, 0).alias("spread"), num("verified", 0.5).alias("verified"),
             log_scaled("people", 500).alias("people"), log_scaled("people1", 200).alias("people1"),
@@ -417,7 +426,8 @@ class Program:
         rows = dedup_first(self(labels, db), [self.entity, self.time])
         names = [c for c in rows.columns if c not in (self.entity, self.time)]
         kept = [c for c in labels.columns if c not in names]
-        met = labels.select(*kept).join(rows, [self.entity, self.time], "left")
+        # Statistics and rows are both read from one stored table: the program runs once.
+        met = materialise(labels.select(*kept).join(spread(rows), [self.entity, self.time], "left"), "features")
         return zscored(met, names, fit_on).select(node, *[F.col(c).cast("float").alias(c) for c in names])
 
 

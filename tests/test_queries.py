@@ -69,3 +69,10 @@ def test_no_table_that_grows_goes_through_the_driver(spark, name):
     """Labels unfold to many times the rows that Spark guesses from the files, so a guessed broadcast gathers millions of them."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
+
+
+@pytest.mark.parametrize("name", ["program_reviews_product", "program_reviews_customer"])
+def test_reviews_are_dealt_once(spark, name):
+    """Distinct counts neither multiply the reviews nor deal them anew, and products are not sent through the driver."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "BroadcastExchange" not in plan
