@@ -76,3 +76,38 @@ def test_reviews_are_dealt_once(spark, name):
     """Distinct counts neither multiply the reviews nor deal them anew, and products are not sent through the driver."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "BroadcastExchange" not in plan
+
+
+def test_nearest_holds_few_cosines_at_once(spark):
+    """6000 queries against 2000 rows: numpy's peak in a task, and the vectors found."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from chronofold.operators import similarity
+
+    vectors = np.random.default_rng(1).normal(size=(6000, 8))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+    class Shared:
+        def broadcast(self, value):
+            self.value = value
+            return self
+
+    class Rows:
+        sparkSession = type("Session", (), {"sparkContext": Shared()})
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = similarity._against(Rows(), list(range(6000)), [None] * 6000, vectors, 3, "id")
+    batch = pa.RecordBatch.from_arrays([pa.array(list(vectors[:2000])), pa.array(range(2000)), pa.nulls(2000, pa.int64())], ["v", "id", "t"])
+    tracemalloc.start()
+    found = next(iter(run([batch]))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    cos = unit @ unit[:2000].T
+    cos[range(2000), range(2000)] = -2
+    assert found["id"] == np.argsort(-cos, axis=1)[:, :3].ravel().tolist()
+    assert peak < 120e6
